@@ -110,3 +110,50 @@ def numeric_summary(df: DataFrame, columns: Sequence[str], approx: bool = False)
 def numeric_columns_of(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
     names = columns if columns else df.columns
     return [c for c in names if c in df.columns and is_numeric(dtype_of(df, c))]
+
+
+def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+    """Long per-column statistics from ONE aggregation pass.
+
+    (column, dtype, n_rows, n_missing, n_unique, mean, std, min, max, q1, median, q3,
+    skewness, mean_len). Numeric fields are NULL for non-numeric columns; ``mean_len`` is
+    the mean character length of non-NULL values of string columns.
+    """
+    from ..functions.types import is_string
+
+    cols = list(columns or df.columns)
+    exprs = [F.count(F.lit(1)).alias("__rows")]
+    for i, c in enumerate(cols):
+        dt = dtype_of(df, c)
+        x = F.col(f"`{c}`")
+        exprs += [F.sum(is_missing(df, c).cast("long")).alias(f"miss__{i}"),
+                  F.count_distinct(x).alias(f"uniq__{i}")]
+        if is_numeric(dt):
+            d = x.cast("double")
+            q = quantiles(d, [0.25, 0.5, 0.75], approx)
+            exprs += [F.avg(d).alias(f"mean__{i}"), F.stddev_samp(d).alias(f"std__{i}"),
+                      F.min(d).alias(f"min__{i}"), F.max(d).alias(f"max__{i}"), q.alias(f"q__{i}"),
+                      sample_skewness(d).alias(f"skew__{i}")]
+        if is_string(dt):
+            exprs.append(F.avg(F.length(x)).alias(f"len__{i}"))
+    one = df.agg(*exprs)
+    structs = []
+    none = F.lit(None).cast("double")
+    for i, c in enumerate(cols):
+        dt = dtype_of(df, c)
+        num = is_numeric(dt)
+        structs.append(F.struct(
+            F.lit(c).alias("column"), F.lit(dt.simpleString()).alias("dtype"),
+            F.col("__rows").alias("n_rows"), F.col(f"miss__{i}").alias("n_missing"),
+            F.col(f"uniq__{i}").alias("n_unique"),
+            (F.col(f"mean__{i}") if num else none).alias("mean"),
+            (F.col(f"std__{i}") if num else none).alias("std"),
+            (F.col(f"min__{i}") if num else none).alias("min"),
+            (F.col(f"max__{i}") if num else none).alias("max"),
+            (F.col(f"q__{i}")[0] if num else none).alias("q1"),
+            (F.col(f"q__{i}")[1] if num else none).alias("median"),
+            (F.col(f"q__{i}")[2] if num else none).alias("q3"),
+            (F.col(f"skew__{i}") if num else none).alias("skewness"),
+            (F.col(f"len__{i}") if is_string(dt) else none).alias("mean_len"),
+        ))
+    return one.select(F.inline(F.array(*structs)))
