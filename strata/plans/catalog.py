@@ -1,3 +1,4 @@
 """Imports every catalogue module so that all queries are registered."""
 from . import catalog_query  # noqa: F401
 from . import catalog_profile  # noqa: F401
+from . import catalog_segment  # noqa: F401
