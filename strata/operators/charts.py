@@ -103,4 +103,38 @@ def histogram_bins_for(n: int) -> int:
     return min(K.HIST_MAX_BINS, max(K.HIST_MIN_BINS, int(n ** 0.5 + 0.5)))
 
 
-__all__ = ["histogram", "box_by_category", "box_has_spread", "series_pivot", "box_stats", "radar", "long_values"]
+
+
+def pca_map(df: DataFrame, features: str = "features", label: str = "cluster", keep=(), digits: int = 4
+            ) -> DataFrame:
+    """G1: two PCA axes (4 dp) plus the label.
+
+    Exactly 2 features are used as they are; fewer than 2 give an empty table. Components
+    come from Spark ML PCA on centred vectors (a d×2 matrix on the driver); each axis'
+    sign is fixed so its largest-magnitude loading is positive; projection is a column
+    expression, so rows never leave the executors.
+    """
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector
+
+    first = df.select(features).where(F.col(features).isNotNull()).first()
+    d = len(first[0]) if first else 0
+    x = F.col(features)
+    if d < 2:
+        return df.limit(0).select(*keep, label, F.lit(0.0).alias("PC1"), F.lit(0.0).alias("PC2"))
+    if d == 2:
+        return df.select(*keep, label, round_half_even(x[0], digits).alias("PC1"), round_half_even(x[1], digits).alias("PC2"))
+    vec = df.select(array_to_vector(features).alias("__v"))
+    sc = StandardScaler(inputCol="__v", outputCol="__c", withMean=True, withStd=False).fit(vec)
+    mean = list(sc.mean)
+    pc = PCA(k=2, inputCol="__c", outputCol="__p").fit(sc.transform(vec)).pc.toArray()
+    axes = []
+    for j in range(2):
+        col = pc[:, j]
+        if col[abs(col).argmax()] < 0:
+            col = -col
+        centred = F.zip_with(x, F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b)
+        proj = F.aggregate(F.zip_with(centred, F.array(*[F.lit(float(w)) for w in col]), lambda a, b: a * b),
+                           F.lit(0.0), lambda acc, v: acc + v)
+        axes.append(round_half_even(proj, digits).alias(f"PC{j + 1}"))
+    return df.select(*keep, label, *axes)

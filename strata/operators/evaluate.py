@@ -107,6 +107,11 @@ def davies_bouldin(df: DataFrame, features: str = "features", label: str = "clus
 # ---------------------------------------------------------------- silhouette
 
 EXACT_CHUNK_ROWS = 20000
+PAIRS_PER_TASK = 20_000_000  # distance evaluations per silhouette task
+
+
+def spark_parallelism(df: DataFrame) -> int:
+    return df.sparkSession.sparkContext.defaultParallelism
 
 
 def _chunk_distance_sums(points: DataFrame, chunk: np.ndarray, chunk_labels: np.ndarray, k: int,
@@ -163,6 +168,9 @@ def silhouette(df: DataFrame, features: str = "features", label: str = "cluster"
     lmap = F.create_map(*[x for lab, i in index.items() for x in (F.lit(lab), F.lit(i))])
     pts = a.select(F.monotonically_increasing_id().alias("__pid"), lmap[F.col("__l")].alias("__li"), "__f")
     pts = pts.checkpoint(eager=True) if n > chunk_rows else pts.cache()
+    # spread the pair work: each task scores ~PAIRS_PER_TASK point–reference distances
+    work_parts = max(1, min(4 * spark_parallelism(df), -(-n * min(n, chunk_rows) // PAIRS_PER_TASK)))
+    scored = pts.repartition(work_parts) if work_parts > 1 else pts.coalesce(1)
     partials = []
     # driver loop over bounded chunks of the reference set (each ≤ chunk_rows × dims doubles)
     n_chunks = (n + chunk_rows - 1) // chunk_rows
@@ -171,7 +179,7 @@ def silhouette(df: DataFrame, features: str = "features", label: str = "cluster"
         rows = part.select("__li", "__f").collect()
         ref = np.array([r["__f"] for r in rows], dtype=np.float64)
         lab = np.array([r["__li"] for r in rows], dtype=np.int64)
-        partials.append(_chunk_distance_sums(pts, ref, lab, k, "__f"))
+        partials.append(_chunk_distance_sums(scored, ref, lab, k, "__f"))
     sums = partials[0]
     for p in partials[1:]:
         sums = sums.unionByName(p)

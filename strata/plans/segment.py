@@ -78,8 +78,9 @@ def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationR
     prep = prepare(base, strategy, columns=feature_cols, keep=base.columns)
     if not prep.feature_names:
         raise ValueError("no usable feature after preparation")
-    feats = C.stable_layout(prep.df, partitions=cfg.partitions).cache()
-    n = feats.count()
+    n = prep.df.count()
+    feats = C.stable_layout(prep.df, partitions=cfg.partitions, n_rows=n).cache()
+    feats.count()
     search = C.search_k(feats, k_min=cfg.k_min, k_max=cfg.k_max, n_init=cfg.n_init, seed=K.RANDOM_SEED,
                         silhouette_sample=cfg.silhouette_sample, n_rows=n)
     k = search.optimal_k
