@@ -72,7 +72,8 @@ def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationR
     if not report.kept:
         raise ValueError("every column was filtered out; choose other columns")
     years = [year_of(sel, o).alias(n) for o, n in report.datetime_extracted]
-    base = sel.select("*", *years)
+    # every original column travels with the row; only the selection feeds the features
+    base = df.select("*", *years)
     feature_cols = report.kept
     strategy = derive_strategy(base.select(*feature_cols), cfg.ordinal_mappings)
     prep = prepare(base, strategy, columns=feature_cols, keep=base.columns)
@@ -112,7 +113,7 @@ def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationR
                "optimal_k": k, "grade": grade, "grade_label": grade_label,
                "caution": caution_from_silhouette(sil), "refinements": refinements,
                "flat_k_curve": search.flat, "forced_k_min": search.forced_k_min, "elbow_k": search.elbow_k}
-    profile_cols = [c for c in base.columns]
+    profile_cols = list(sel.columns) + [n for _, n in report.datetime_extracted]
     numeric = [c for c in profile_cols if is_numeric(dtype_of(base, c))]
     others = [c for c in profile_cols if c not in numeric]
     nprof = E.numeric_profile(labelled, numeric) if numeric else None

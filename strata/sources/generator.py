@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 SHARES = (0.26, 0.30, 0.19, 0.25)
 NUMERIC = {
     # column: [(mean, sd) per profile], clip range
-    "hours": ([(7.5, 1.0), (3.0, 0.8), (5.0, 1.0), (1.5, 0.5)], (0.5, 12.0)),
-    "sessions": ([(25, 4), (8, 3), (15, 4), (4, 2)], (1, 60)),
-    "wellbeing": ([(3.0, 0.8), (7.5, 0.9), (5.5, 1.0), (8.5, 0.7)], (1.0, 10.0)),
-    "age": ([(22, 3), (38, 6), (30, 5), (55, 7)], (16, 80)),
+    # profiles sit at different corners (not on one line), so four groups are the natural answer
+    "hours": ([(8.0, 0.6), (2.0, 0.6), (8.0, 0.6), (2.0, 0.6)], (0.5, 12.0)),
+    "sessions": ([(30, 3), (30, 3), (5, 2), (5, 2)], (1, 60)),
+    "wellbeing": ([(2.5, 0.6), (8.5, 0.6), (8.5, 0.6), (2.5, 0.6)], (1.0, 10.0)),
+    "age": ([(25, 3), (25, 3), (55, 4), (55, 4)], (16, 80)),
 }
 CATEGORICAL = {
     "slot": (["night", "morning", "evening"], [(0.7, 0.1, 0.2), (0.1, 0.6, 0.3), (0.2, 0.2, 0.6), (0.05, 0.8, 0.15)]),
@@ -34,7 +35,9 @@ def _pick(u: Column, probs) -> Column:
 
 def planted_segments(spark: SparkSession, n: int, seed: int = 42, partitions: int | None = None) -> DataFrame:
     base = spark.range(0, n, 1, partitions or spark.sparkContext.defaultParallelism).withColumnRenamed("id", "row_id")
-    base = base.withColumn("profile", _pick(F.rand(seed), SHARES))
+    draws = [F.rand(seed + 100 + j).alias(f"__u{j}") for j in range(len(CATEGORICAL))]
+    base = base.select("row_id", F.rand(seed).alias("__p"), *draws)
+    base = base.withColumn("profile", _pick(F.col("__p"), SHARES))
     cols = [F.col("row_id"), F.col("profile")]
     for j, (name, (params, (lo, hi))) in enumerate(NUMERIC.items()):
         mean = F.element_at(F.array(*[F.lit(float(m)) for m, _ in params]), F.col("profile") + 1)
@@ -42,7 +45,7 @@ def planted_segments(spark: SparkSession, n: int, seed: int = 42, partitions: in
         v = F.least(F.lit(float(hi)), F.greatest(F.lit(float(lo)), mean + sd * F.randn(seed + 1 + j)))
         cols.append(F.round(v, 2).alias(name))
     for j, (name, (levels, per)) in enumerate(CATEGORICAL.items()):
-        u = F.rand(seed + 100 + j)
+        u = F.col(f"__u{j}")
         choice = None
         for pi, probs in enumerate(per):
             idx = _pick(u, probs)

@@ -108,7 +108,12 @@ class RunStore:
         base = self._path(table)
         if not self._exists(base):
             return None
-        df = self.spark.read.option("ignoreCorruptFiles", "true").parquet(base)
+        from pyspark.errors import AnalysisException
+
+        try:
+            df = self.spark.read.option("ignoreCorruptFiles", "true").parquet(base)
+        except AnalysisException:
+            return None  # folder left empty after its last run was deleted
         if run_id is not None:
             df = df.where(F.col("run_id") == run_id)
         return df
@@ -122,7 +127,8 @@ class RunStore:
             df = self.read(t, run_id) if self._exists(self._path(t, run_id)) else None
             if df is not None:
                 out[t] = df
-        out["segments"] = self.effective_segments(run_id)
+        if "segments" in out:
+            out["segments"] = self.effective_segments(run_id)
         return out
 
     def delete_run(self, run_id: str) -> bool:
@@ -178,6 +184,8 @@ class RunStore:
         """Base segments with the latest non-NULL edit of each field laid over them."""
         base = self.read("segments", run_id)
         edits = self.read("edits", run_id)
+        if edits is not None and run_id is not None and edits.isEmpty():
+            edits = None
         if edits is None:
             return base.withColumn("validated", F.lit(None).cast("boolean")) \
                 .withColumn("curated_at", F.lit(None).cast("string"))
