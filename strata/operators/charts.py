@@ -25,11 +25,11 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
         "lo", bins_expr.alias("bins"),
         F.when((F.col("hi") - F.col("lo")) / bins_expr == 0, F.lit(1.0))
         .otherwise((F.col("hi") - F.col("lo")) / bins_expr).alias("w"))
-    lo = params.select("lo").scalar()
-    bins = params.select("bins").scalar()
-    w = params.select("w").scalar()
-    counted = vals.select(F.least(bins - 1, F.floor((F.col("v") - lo) / w).cast("int")).alias("bin")) \
-        .groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    # bounds as ONE scalar subquery attached as a column (referenced fields reuse it)
+    p = params.select(F.struct("lo", "bins", "w").alias("p")).scalar()
+    lo, bins, w = F.col("__p.lo"), F.col("__p.bins"), F.col("__p.w")
+    counted = vals.withColumn("__p", p).select(F.least(bins - 1, F.floor((F.col("v") - lo) / w).cast("int"))
+                                               .alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     # the bin frame has at most HIST_MAX_BINS rows: broadcasting it is bounded
     frame = params.select(F.explode(F.sequence(F.lit(0), F.col("bins") - 1)).alias("bin"), "lo", "w")
     return (frame.join(counted, "bin", "left")

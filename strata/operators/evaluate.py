@@ -38,9 +38,11 @@ def cluster_sizes(df: DataFrame, label: str = "cluster") -> DataFrame:
 def cluster_share(df: DataFrame, label: str = "cluster") -> DataFrame:
     """Size and % of total (1 dp)."""
     sizes = cluster_sizes(df, label)
-    total = df.select(F.count(F.lit(1))).scalar()
-    return sizes.select(label, "n", F.when(total > 0, round_half_even(F.col("n") / total * 100, 1))
-                        .otherwise(F.lit(0.0)).alias("pct"))
+    # the total is the sum of the (few) group sizes: one scalar, attached once
+    total = sizes.select(F.sum("n")).scalar()
+    t = F.col("__t")
+    return sizes.withColumn("__t", total).select(
+        label, "n", F.when(t > 0, round_half_even(F.col("n") / t * 100, 1)).otherwise(F.lit(0.0)).alias("pct"))
 
 
 def _long_features(df: DataFrame, features: str, label: str) -> DataFrame:

@@ -110,8 +110,10 @@ def _small_count(df: DataFrame) -> int:
 def total_pct(table: DataFrame, value_col: str = "n", out_col: str = "pct") -> DataFrame:
     """Q11: value / grand total × 100 (1 dp); a zero total leaves the value as it is."""
     total = table.select(F.sum(value_col)).scalar()
-    pct = F.when(total > 0, round_half_even(F.col(value_col) / total * 100, 1)).otherwise(F.col(value_col).cast("double"))
-    return table.withColumn(value_col, pct).withColumnRenamed(value_col, out_col)
+    t = F.col("__total")
+    pct = F.when(t > 0, round_half_even(F.col(value_col) / t * 100, 1)).otherwise(F.col(value_col).cast("double"))
+    return table.withColumn("__total", total).withColumn(value_col, pct).drop("__total") \
+        .withColumnRenamed(value_col, out_col)
 
 
 def row_pct(table: DataFrame, primary: str, value_col: str = "n", out_col: str = "pct") -> DataFrame:
@@ -165,15 +167,13 @@ def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     from .stats import ranked, value_freq
 
     top = ranked(value_freq(df, cols), ["column"]).where(F.col("rank") == 1)
-    # top/freq per column attach as scalar subqueries over the one-row-per-column ranking
+    # one scalar subquery: a map column → (value, n) over the one-row-per-column ranking
+    tops = top.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("value", "n")))).alias("m"))
+    one = base.withColumn("__top", tops.select("m").scalar())
     fields = []
     for i, c in enumerate(cols):
-        t = top.where(F.col("column") == c)
-        fields += [
-            t.select(F.first("value")).scalar().alias(f"top__{i}"),
-            t.select(F.first("n")).scalar().alias(f"freq__{i}"),
-        ]
-    one = base.select("*", *fields)
+        fields += [F.col("__top")[c]["value"].alias(f"top__{i}"), F.col("__top")[c]["n"].alias(f"freq__{i}")]
+    one = one.select(*[x for x in one.columns if x != "__top"], *fields)
     idx = {c: i for i, c in enumerate(cols)}
     return stack_rows(
         one.select(*[F.col(n).cast("string").alias(n) for n in one.columns]),

@@ -91,7 +91,7 @@ def rule_decisions(df: DataFrame, extract_datetime: bool = True) -> DataFrame:
     the one-row-per-column statistics, so it runs inside Spark.
     """
     cols = df.columns
-    st = column_stats(df)
+    st = column_stats(df, with_quantiles=False)
     strings = [c for c in cols if is_string(dtype_of(df, c))]
     kinds = {}
     for c in cols:

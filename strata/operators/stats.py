@@ -45,6 +45,11 @@ def sample_skewness(col: Column | str) -> Column:
     return F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
+def attach_scalar(df: DataFrame, scalar: Column, name: str = "__s") -> DataFrame:
+    """Attach a scalar subquery as a column so it runs once however often it is referenced."""
+    return df.withColumn(name, scalar)
+
+
 def stack_rows(one_row: DataFrame, label_col: str, labels: Sequence[str], columns: Sequence[str],
                cell: callable) -> DataFrame:
     """Turn a one-row aggregate into ``len(labels)`` rows: (label_col, *columns).
@@ -112,12 +117,17 @@ def numeric_columns_of(df: DataFrame, columns: Sequence[str] | None = None) -> l
     return [c for c in names if c in df.columns and is_numeric(dtype_of(df, c))]
 
 
-def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """Long per-column statistics from ONE aggregation pass.
+def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
+                 with_quantiles: bool = True) -> DataFrame:
+    """Long per-column statistics from two single-pass aggregations.
 
     (column, dtype, n_rows, n_missing, n_unique, mean, std, min, max, q1, median, q3,
     skewness, mean_len). Numeric fields are NULL for non-numeric columns; ``mean_len`` is
     the mean character length of non-NULL values of string columns.
+
+    Distinct counts run as their own aggregate (attached as ONE scalar subquery): mixed
+    with percentile buffers, Spark's distinct rewrite would carry every buffer through the
+    row expansion, which is many times slower.
     """
     from ..functions.types import is_string
 
@@ -126,33 +136,38 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bo
     for i, c in enumerate(cols):
         dt = dtype_of(df, c)
         x = F.col(f"`{c}`")
-        exprs += [F.sum(is_missing(df, c).cast("long")).alias(f"miss__{i}"),
-                  F.count_distinct(x).alias(f"uniq__{i}")]
+        exprs.append(F.sum(is_missing(df, c).cast("long")).alias(f"miss__{i}"))
         if is_numeric(dt):
             d = x.cast("double")
-            q = quantiles(d, [0.25, 0.5, 0.75], approx)
             exprs += [F.avg(d).alias(f"mean__{i}"), F.stddev_samp(d).alias(f"std__{i}"),
-                      F.min(d).alias(f"min__{i}"), F.max(d).alias(f"max__{i}"), q.alias(f"q__{i}"),
+                      F.min(d).alias(f"min__{i}"), F.max(d).alias(f"max__{i}"),
                       sample_skewness(d).alias(f"skew__{i}")]
+            if with_quantiles:
+                exprs.append(quantiles(d, [0.25, 0.5, 0.75], approx).alias(f"q__{i}"))
         if is_string(dt):
             exprs.append(F.avg(F.length(x)).alias(f"len__{i}"))
-    one = df.agg(*exprs)
+    distinct = df.agg(*[(F.approx_count_distinct(F.col(f"`{c}`")) if approx else F.count_distinct(F.col(f"`{c}`")))
+                        .alias(f"u{i}") for i, c in enumerate(cols)])
+    uniq = distinct.select(F.struct(*[F.col(f"u{i}") for i in range(len(cols))]).alias("s")).scalar()
+    # attach the subquery once as a column: each direct reference would re-run it
+    one = df.agg(*exprs).withColumn("__u", uniq)
     structs = []
     none = F.lit(None).cast("double")
     for i, c in enumerate(cols):
         dt = dtype_of(df, c)
         num = is_numeric(dt)
+        qs = num and with_quantiles
         structs.append(F.struct(
             F.lit(c).alias("column"), F.lit(dt.simpleString()).alias("dtype"),
             F.col("__rows").alias("n_rows"), F.col(f"miss__{i}").alias("n_missing"),
-            F.col(f"uniq__{i}").alias("n_unique"),
+            F.col(f"__u.u{i}").alias("n_unique"),
             (F.col(f"mean__{i}") if num else none).alias("mean"),
             (F.col(f"std__{i}") if num else none).alias("std"),
             (F.col(f"min__{i}") if num else none).alias("min"),
             (F.col(f"max__{i}") if num else none).alias("max"),
-            (F.col(f"q__{i}")[0] if num else none).alias("q1"),
-            (F.col(f"q__{i}")[1] if num else none).alias("median"),
-            (F.col(f"q__{i}")[2] if num else none).alias("q3"),
+            (F.col(f"q__{i}")[0] if qs else none).alias("q1"),
+            (F.col(f"q__{i}")[1] if qs else none).alias("median"),
+            (F.col(f"q__{i}")[2] if qs else none).alias("q3"),
             (F.col(f"skew__{i}") if num else none).alias("skewness"),
             (F.col(f"len__{i}") if is_string(dt) else none).alias("mean_len"),
         ))
