@@ -56,7 +56,10 @@ def _text(value: Any) -> str:
 
 
 def predicate(df: DataFrame, cond: Filter) -> Column | None:
-    """Column for one condition, or None when the condition is skipped."""
+    """Column for one condition, or None when the condition is skipped.
+
+    The result may be NULL for NULL inputs (except ``ne``); use ``two_valued`` before negating.
+    """
     if cond.column not in df.columns:
         return None
     dt = dtype_of(df, cond.column)
@@ -69,35 +72,33 @@ def predicate(df: DataFrame, cond: Filter) -> Column | None:
         if val is None:
             return None
     op = cond.op
+    # Plain comparisons: inside WHERE and conditional aggregates a NULL result acts as false,
+    # and plain forms are what Parquet/ORC pushdown recognises (a coalesce wrapper is not).
     if op in ("eq", "ne"):
-        if stringy:
-            test = F.lower(c).eqNullSafe(F.lit(_text(val).lower()))
-        else:
-            test = c.eqNullSafe(F.lit(val))
+        lhs, rhs = (F.lower(c), F.lit(_text(val).lower())) if stringy else (c, F.lit(val))
         # eq: NULL never matches; ne: NULL is kept (x != NULL is true in the reference)
-        return F.coalesce(test & c.isNotNull(), F.lit(False)) if op == "eq" else ~test
+        return lhs == rhs if op == "eq" else ~lhs.eqNullSafe(rhs)
     if op in ("gt", "lt", "gte", "lte"):
         lit = F.lit(_text(val)) if (stringy and isinstance(val, (int, float))) else F.lit(val)
-        cmp = {"gt": c > lit, "lt": c < lit, "gte": c >= lit, "lte": c <= lit}[op]
-        return F.coalesce(cmp, F.lit(False))
+        return {"gt": c > lit, "lt": c < lit, "gte": c >= lit, "lte": c <= lit}[op]
     if op == "in":
         vals = list(val) if isinstance(val, (list, tuple)) else [val]
         if stringy:
-            test = F.lower(c).isin([_text(v).lower() for v in vals])
-        elif numeric:
+            return F.lower(c).isin([_text(v).lower() for v in vals])
+        if numeric:
             nums = [v for v in vals if isinstance(v, (int, float)) and not isinstance(v, bool)]
-            if not nums:
-                return F.lit(False)
-            test = c.isin(nums)
-        else:
-            test = c.cast("string").isin([_text(v) for v in vals])
-        return F.coalesce(test, F.lit(False))
+            return c.isin(nums) if nums else F.lit(False)
+        return c.cast("string").isin([_text(v) for v in vals])
     if op == "contains":
-        test = F.contains(F.lower(c.cast("string")), F.lit(_text(val).lower()))
-        return F.coalesce(test, F.lit(False))
+        return F.contains(F.lower(c.cast("string")), F.lit(_text(val).lower()))
     return None
 
 
+def two_valued(pred: Column) -> Column:
+    """NULL → false, for callers that negate or select on the predicate's value itself."""
+    return F.coalesce(pred, F.lit(False))
+
+
 def conjunction(df: DataFrame, conditions: Iterable[Filter] | None) -> Column | None:
     preds = [p for p in (predicate(df, c) for c in (conditions or [])) if p is not None]
     if not preds:

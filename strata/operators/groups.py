@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.ladders import caution_size_col
-from ..functions.predicates import Filter, as_filters, conjunction
+from ..functions.predicates import Filter, as_filters, conjunction, two_valued
 from ..functions.rounding import round_half_even
 from ..functions.types import dtype_of, is_numeric, non_numeric_columns, numeric_columns
 from .evidence import group_vs_total
@@ -20,7 +20,7 @@ class GroupError(ValueError):
 
 def _pred(df: DataFrame, filters: Sequence[Filter]):
     p = conjunction(df, as_filters(filters))
-    return F.lit(True) if p is None else p
+    return F.lit(True) if p is None else two_valued(p)
 
 
 def compare_groups(df: DataFrame, filters_a: Sequence[Filter], filters_b: Sequence[Filter],
