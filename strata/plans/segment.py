@@ -38,6 +38,35 @@ class SegmentConfig:
     partitions: int | None = None
 
 
+@dataclass
+class SegmentModel:
+    """A fitted segmentation: feature plan + KMeans (or bisecting) model + id renumbering.
+
+    ``transform`` is projection + model scoring only, so it applies to new batch data and
+    to streaming DataFrames (``readStream``) without refitting.
+    """
+    plan: Any
+    model: Any
+    mapping: dict[int, int]
+    names: dict[int, str] = field(default_factory=dict)
+    features: str = "features"
+
+    def transform(self, df: DataFrame, keep: Sequence[str] | None = None, out: str = "cluster",
+                  segment_col: str | None = "segment") -> DataFrame:
+        from pyspark.ml.functions import array_to_vector
+
+        feats = self.plan.transform(df, keep, self.features).withColumn("__vec", array_to_vector(self.features))
+        pred = self.model.setFeaturesCol("__vec").setPredictionCol("__pred").transform(feats)
+        m = F.create_map(*[x for o, n in self.mapping.items() for x in (F.lit(o), F.lit(n))])
+        res = pred.withColumn(out, m[F.col("__pred")]).drop("__pred", "__vec")
+        if segment_col:
+            names = F.create_map(*[x for k, v in self.names.items() for x in (F.lit(k), F.lit(v))]) \
+                if self.names else None
+            name = names[F.col(out)] if names is not None else F.lit(None).cast("string")
+            res = res.withColumn(segment_col, F.coalesce(name, F.lit(K.UNKNOWN_SEGMENT)))
+        return res
+
+
 @dataclass
 class SegmentationResult:
     labelled: DataFrame                 # original rows + derived years + features + cluster
@@ -51,6 +80,7 @@ class SegmentationResult:
     segments: DataFrame
     report: Any
     metadata: dict[str, Any]
+    model: SegmentModel | None = None
 
 
 def validate_table(df: DataFrame) -> None:
@@ -86,6 +116,7 @@ def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationR
                         silhouette_sample=cfg.silhouette_sample, n_rows=n)
     k = search.optimal_k
     refinements = 0
+    seg_model = None
     if cfg.algorithm == "hierarchical":
         labelled = C.hierarchical(feats, k)
         sil = E.silhouette(labelled, "features", "cluster", sample_size=cfg.silhouette_sample)
@@ -102,7 +133,10 @@ def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationR
                 fit = refit
                 pred = C._vectors(feats, "features")
                 sil = E.silhouette(fit.model.transform(pred), "__vec", "__pred", sample_size=cfg.silhouette_sample)
-        labelled = C.assign(feats, fit)
+        mapping = C.renumber_map(fit.model, fit.model.transform(C._vectors(feats, "features")))
+        labelled = C.assign(feats, fit, mapping=mapping)
+        seg_model = SegmentModel(prep.plan, fit.model, mapping,
+                                 {new: f"Segment {new}" for new in mapping.values()})
     labelled = labelled.cache()
     grade, grade_label = quality_grade(sil)
     ch = E.calinski_harabasz(labelled).first()[0]
@@ -128,7 +162,7 @@ def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationR
         F.lit(metrics["caution"]).alias("caution"))
     return SegmentationResult(labelled, search.to_df(spark), metrics, sizes, nprof, cprof, nev, cev, segments,
                               report, {"prepare": prep.metadata, "feature_names": prep.feature_names,
-                                       "k_search": search.curve, "n_rows": n})
+                                       "k_search": search.curve, "n_rows": n}, seg_model)
 
 
 def summary_table(res: SegmentationResult) -> DataFrame:
