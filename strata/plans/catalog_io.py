@@ -86,3 +86,32 @@ def segment_cards_q(spark, sf):
                                       F.sort_array(F.collect_set("c_mktsegment")).alias("markets"))
     return segment_cards(seg.select("cluster", F.concat(F.lit("Segment "), F.col("cluster").cast("string"))
                                     .alias("label"), "size", "markets"))
+
+
+@register("csv_ingest", f"""
+SELECT c_mktsegment, count(*) AS n, count(c_acctbal) AS n_balance, {r("sum(c_acctbal)", 2)} AS balance
+FROM (SELECT c_mktsegment, CASE WHEN c_nationkey = 3 THEN NULL ELSE floor(c_acctbal) END AS c_acctbal FROM customer)
+GROUP BY c_mktsegment
+""")
+def csv_ingest(spark, sf):
+    """S1–S4 end to end: customer written as a ';' CSV with '$1,234' / '$-12' money text and
+    'sin dato' sentinels into the session's shared scratch folder, read back through the salvaging reader."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    c = tbl(spark, sf, "customer")
+    v = F.floor("c_acctbal").cast("bigint")
+    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+    a = F.abs(v)
+    money = F.when(a >= 1000, F.concat(F.lit("$"), sign, F.expr("CAST(abs(floor(c_acctbal)) AS BIGINT) div 1000")
+                                       .cast("string"), F.lit(","), F.lpad((a % 1000).cast("string"), 3, "0"))) \
+        .otherwise(F.concat(F.lit("$"), sign, a.cast("string")))
+    text = c.select("c_custkey", "c_name", "c_mktsegment",
+                    F.when(F.col("c_nationkey") == 3, F.lit("sin dato")).otherwise(money).alias("c_acctbal"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/strata-csv/{uuid.uuid4().hex}"
+    text.write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
+    back = ingest.read_csv(spark, path)
+    return rounded(back.groupBy("c_mktsegment").agg(
+        F.count(F.lit(1)).alias("n"), F.count("c_acctbal").alias("n_balance"),
+        F.sum("c_acctbal").alias("balance")), 2)
