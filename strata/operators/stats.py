@@ -125,9 +125,9 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bo
     skewness, mean_len). Numeric fields are NULL for non-numeric columns; ``mean_len`` is
     the mean character length of non-NULL values of string columns.
 
-    Distinct counts run as their own aggregate (attached as ONE scalar subquery): mixed
-    with percentile buffers, Spark's distinct rewrite would carry every buffer through the
-    row expansion, which is many times slower.
+    Distinct counts run as their own aggregate (kept apart from the percentile buffers that
+    the distinct rewrite would otherwise carry through its row expansion) and are attached
+    once as a scalar-subquery column, so the subquery runs once rather than per field.
     """
     from ..functions.types import is_string
 
