@@ -1,0 +1,160 @@
+"""Batched Lloyd KMeans: every (k, seed) restart advances in the same pass over the data.
+
+The reference's model selection fits ``n_init`` restarts for each of up to 9 values of k
+(plus 30 refinement restarts). Fitted one by one, each restart is its own chain of Spark
+jobs and its own passes over the feature table. Here one iteration is ONE scan for all
+active models: each partition computes, per model, nearest-centre assignments (numpy,
+Arrow batches) and emits only per-cluster partial sums; one keyed aggregation merges them.
+Centres and partial sums are bounded by Σk × d, never by the number of rows.
+
+Initialisation is seeded k-means++ on a deterministic, bounded hash-ordered sample
+(≤ ``INIT_SAMPLE`` rows, the same sample for every model); the iterations use every row.
+Convergence per model follows the reference's (scikit-learn) rule: stop when the squared
+Frobenius shift of the centres is at most ``tol × mean per-feature variance`` of the data.
+"""
+from __future__ import annotations
+
+from dataclasses import dataclass
+from typing import Sequence
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+INIT_SAMPLE = 10_000
+
+
+@dataclass
+class Centers:
+    k: int
+    seed: int
+    centers: np.ndarray   # k × d
+    cost: float           # sum of squared distances to the nearest centre (all rows)
+    sizes: np.ndarray     # rows per centre
+    iterations: int
+
+
+def kmeanspp(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Seeded k-means++ on the bounded sample (distinct points where possible)."""
+    rng = np.random.default_rng(seed)
+    n = len(sample)
+    first = int(rng.integers(n))
+    centers = [sample[first]]
+    d2 = ((sample - centers[0]) ** 2).sum(1)
+    for _ in range(1, k):
+        total = d2.sum()
+        if total <= 0:
+            idx = int(rng.integers(n))
+        else:
+            idx = int(np.searchsorted(np.cumsum(d2), rng.random() * total, side="right"))
+            idx = min(idx, n - 1)
+        centers.append(sample[idx])
+        d2 = np.minimum(d2, ((sample - sample[idx]) ** 2).sum(1))
+    return np.array(centers, dtype=np.float64)
+
+
+def _pass(df: DataFrame, features: str, models: list[np.ndarray], with_sums: bool = True) -> list[tuple]:
+    """One scan for all models: per (model, cluster) count, coordinate sums and cost."""
+    spark = df.sparkSession
+    bc = spark.sparkContext.broadcast([m.astype(np.float64) for m in models])
+
+    def fn(batches):
+        import numpy as _np
+        import pandas as _pd
+        from pyspark import TaskContext
+
+        cs = bc.value
+        pid = TaskContext.get().partitionId()
+        acc = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            X = _np.stack(pdf[features].to_numpy()).astype(_np.float64)
+            xx = (X * X).sum(1)
+            for mi, C in enumerate(cs):
+                # squared distances via the Gram form, clipped at 0 against rounding
+                D = _np.maximum(xx[:, None] + (C * C).sum(1)[None, :] - 2.0 * X @ C.T, 0.0)
+                lab = D.argmin(1)
+                k = len(C)
+                cnt = _np.bincount(lab, minlength=k).astype(_np.float64)
+                cost = _np.bincount(lab, weights=D[_np.arange(len(X)), lab], minlength=k)
+                sums = _np.zeros_like(C)
+                if with_sums:
+                    _np.add.at(sums, lab, X)
+                if mi in acc:
+                    a = acc[mi]
+                    acc[mi] = (a[0] + cnt, a[1] + cost, a[2] + sums)
+                else:
+                    acc[mi] = (cnt, cost, sums)
+        rows = []
+        for mi, (cnt, cost, sums) in acc.items():
+            for j in range(len(cnt)):
+                rows.append((mi, j, pid, float(cnt[j]), float(cost[j]), sums[j].tolist()))
+        yield _pd.DataFrame(rows, columns=["model", "cluster", "pid", "n", "cost", "s"])
+
+    part = df.select(features).mapInPandas(
+        fn, "model int, cluster int, pid int, n double, cost double, s array<double>")
+    d = len(models[0][0])
+    # merge partials in partition order so the sums do not depend on arrival order
+    merged = part.groupBy("model", "cluster").agg(
+        F.sum("n").alias("n"), F.sum("cost").alias("cost"),
+        F.sort_array(F.collect_list(F.struct("pid", "s"))).alias("parts"))
+    merged = merged.select("model", "cluster", "n", "cost", F.aggregate(
+        "parts", F.array_repeat(F.lit(0.0), d), lambda a, p: F.zip_with(a, p["s"], lambda x, y: x + y)).alias("s"))
+    out = merged.collect()   # Σk rows: bounded by the models, not the data
+    bc.unpersist()
+    return [(r["model"], r["cluster"], r["n"], r["cost"], r["s"]) for r in out]
+
+
+def fit_many(df: DataFrame, specs: Sequence[tuple[int, int]], features: str = "features", max_iter: int = 300,
+             tol: float = 1e-4, init_seed: int = 42) -> list[Centers]:
+    """Fit every (k, seed) in ``specs`` together; returns one ``Centers`` per spec."""
+    sample_rows = df.select(features).where(F.col(features).isNotNull()) \
+        .orderBy(F.xxhash64(features, F.lit(init_seed)), features).limit(INIT_SAMPLE).collect()
+    sample = np.array([r[0] for r in sample_rows], dtype=np.float64)
+    uniq = np.unique(sample, axis=0)
+    models = [kmeanspp(uniq if len(uniq) >= k else sample, k, s) for k, s in specs]
+    var = df.select(F.posexplode(features).alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("v")) \
+        .agg(F.avg("v")).first()[0] or 0.0
+    threshold = tol * float(var)
+    active = list(range(len(models)))
+    iters = [0] * len(models)
+    it = 0
+    while active and it < max_iter:
+        it += 1
+        res = _pass(df, features, [models[i] for i in active])
+        by = {}
+        for mi, j, n, _, s in res:
+            by.setdefault(active[mi], {})[j] = (n, np.array(s))
+        still = []
+        for m in active:
+            C = models[m]
+            new = C.copy()
+            for j, (n, s) in by.get(m, {}).items():
+                if n > 0:
+                    new[j] = s / n
+            shift = float(((new - C) ** 2).sum())
+            models[m] = new
+            iters[m] = it
+            if shift > threshold:
+                still.append(m)
+        active = still
+    final = _pass(df, features, models, with_sums=False)
+    costs = np.zeros(len(models))
+    sizes = [np.zeros(len(m)) for m in models]
+    for mi, j, n, cost, _ in final:
+        costs[mi] += cost
+        sizes[mi][j] = n
+    return [Centers(k, s, models[i], float(costs[i]), sizes[i], iters[i]) for i, (k, s) in enumerate(specs)]
+
+
+def nearest(features: str | Column, centers: np.ndarray) -> Column:
+    """Index of the nearest centre as a Spark expression (first index on ties); works on streams."""
+    x = F.col(features) if isinstance(features, str) else features
+    dists = []
+    for c in centers:
+        cv = F.array(*[F.lit(float(v)) for v in c])
+        dists.append(F.aggregate(F.zip_with(x, cv, lambda a, b: (a - b) * (a - b)), F.lit(0.0),
+                                 lambda acc, v: acc + v))
+    arr = F.array(*dists)
+    return (F.array_position(arr, F.array_min(arr)) - 1).cast("int")

@@ -35,6 +35,7 @@ class SegmentConfig:
     ordinal_mappings: dict[str, list] = field(default_factory=dict)
     extract_datetime: bool = True
     algorithm: str = "kmeans"               # kmeans | hierarchical | bisecting
+    engine: str = "spark_ml"                # spark_ml | batched (shared passes for all restarts)
     partitions: int | None = None
 
 
@@ -50,15 +51,22 @@ class SegmentModel:
     mapping: dict[int, int]
     names: dict[int, str] = field(default_factory=dict)
     features: str = "features"
+    centers: Any = None
 
     def transform(self, df: DataFrame, keep: Sequence[str] | None = None, out: str = "cluster",
                   segment_col: str | None = "segment") -> DataFrame:
         from pyspark.ml.functions import array_to_vector
 
-        feats = self.plan.transform(df, keep, self.features).withColumn("__vec", array_to_vector(self.features))
-        pred = self.model.setFeaturesCol("__vec").setPredictionCol("__pred").transform(feats)
+        feats = self.plan.transform(df, keep, self.features)
+        if self.model is None:
+            from ..operators.kmeans import nearest
+
+            pred = feats.withColumn("__pred", nearest(self.features, self.centers))
+        else:
+            feats = feats.withColumn("__vec", array_to_vector(self.features))
+            pred = self.model.setFeaturesCol("__vec").setPredictionCol("__pred").transform(feats)
         m = F.create_map(*[x for o, n in self.mapping.items() for x in (F.lit(o), F.lit(n))])
-        res = pred.withColumn(out, m[F.col("__pred")]).drop("__pred", "__vec")
+        res = pred.withColumn(out, m[F.col("__pred")]).drop("__pred", *(["__vec"] if "__vec" in pred.columns else []))
         if segment_col:
             names = F.create_map(*[x for k, v in self.names.items() for x in (F.lit(k), F.lit(v))]) \
                 if self.names else None
@@ -113,7 +121,7 @@ def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationR
     feats = C.stable_layout(prep.df, partitions=cfg.partitions, n_rows=n).cache()
     feats.count()
     search = C.search_k(feats, k_min=cfg.k_min, k_max=cfg.k_max, n_init=cfg.n_init, seed=K.RANDOM_SEED,
-                        silhouette_sample=cfg.silhouette_sample, n_rows=n)
+                        silhouette_sample=cfg.silhouette_sample, n_rows=n, engine=cfg.engine)
     k = search.optimal_k
     refinements = 0
     seg_model = None
@@ -127,16 +135,15 @@ def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationR
         fit = search.fits[k]
         sil = dict((kk, s) for kk, _, s in search.curve)[k]
         if C.should_refine(sil, 0):
-            refit = C.kmeans(feats, k, n_init=cfg.refine_n_init, seed=K.RANDOM_SEED)
+            refit = C.kmeans(feats, k, n_init=cfg.refine_n_init, seed=K.RANDOM_SEED, engine=cfg.engine)
             refinements = 1
             if refit.cost < fit.cost:
                 fit = refit
-                pred = C._vectors(feats, "features")
-                sil = E.silhouette(fit.model.transform(pred), "__vec", "__pred", sample_size=cfg.silhouette_sample)
-        mapping = C.renumber_map(fit.model, fit.model.transform(C._vectors(feats, "features")))
+                sil = E.silhouette(fit.predict(feats), "features", "__pred", sample_size=cfg.silhouette_sample)
+        mapping = C.renumber_map(fit.model, fit.predict(feats), centers=fit.centers)
         labelled = C.assign(feats, fit, mapping=mapping)
         seg_model = SegmentModel(prep.plan, fit.model, mapping,
-                                 {new: f"Segment {new}" for new in mapping.values()})
+                                 {new: f"Segment {new}" for new in mapping.values()}, centers=fit.centers)
     labelled = labelled.cache()
     grade, grade_label = quality_grade(sil)
     ch = E.calinski_harabasz(labelled).first()[0]

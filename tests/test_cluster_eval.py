@@ -115,3 +115,18 @@ def test_quality_ladders(spark):
     df = spark.createDataFrame([(0.55,), (0.35,), (0.2,), (0.05,), (None,), (float("nan"),)], "s double")
     got = [r[0] for r in df.select(L.grade_col(F.col("s"))).collect()]
     assert got == ["A", "B", "C", "D", "—", "—"]
+
+
+def test_batched_engine_matches_spark_ml(spark):
+    rng = np.random.default_rng(5)
+    X = np.vstack([rng.normal(0, 0.4, (50, 3)), rng.normal(3, 0.4, (40, 3)), rng.normal(-3, 0.4, (30, 3))])
+    df = spark.createDataFrame([(list(map(float, x)),) for x in X], "features array<double>").cache()
+    ml = C.kmeans(df, 3, n_init=2)
+    bt = C.kmeans(df, 3, n_init=2, engine="batched")
+    assert bt.cost == pytest.approx(ml.cost, rel=1e-6)
+    sizes = sorted(r["n"] for r in E.cluster_sizes(C.assign(df, bt)).collect())
+    assert sizes == [30, 40, 50]
+    from strata.operators.kmeans import nearest
+    lab = df.withColumn("p", nearest("features", bt.centers)).collect()
+    C_ = bt.centers
+    assert all(r["p"] == int(np.argmin(((C_ - np.array(r["features"])) ** 2).sum(1))) for r in lab)

@@ -35,3 +35,13 @@ def test_planted_segments_recovered_and_run_roundtrip(spark):
     assert store.get_run("../etc") is None and store.get_run("0" * 12) is None
     assert store.delete_run(rid) and store.get_run(rid) is None
     assert [r["run_id"] for r in store.list_runs().collect()] == [rid2]
+
+
+def test_segment_with_batched_engine(spark):
+    gen = planted_segments(spark, 400, seed=3)
+    cols = ["hours", "sessions", "wellbeing", "age", "slot", "device"]
+    res = segment(gen, SegmentConfig(columns=cols, n_init=2, k_max=5, engine="batched"))
+    assert res.metrics["optimal_k"] == 4
+    again = {r["row_id"]: r["cluster"] for r in res.model.transform(gen).collect()}
+    first = {r["row_id"]: r["cluster"] for r in res.labelled.collect()}
+    assert again == first
