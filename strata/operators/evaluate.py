@@ -16,6 +16,7 @@ from ..functions.rounding import round_half_even
 from .stats import quantiles, ranked, value_freq
 
 NOISE = -1
+BROADCAST_CLUSTERS = 10_000
 
 
 def as_array(df: DataFrame, features: str) -> DataFrame:
@@ -89,21 +90,26 @@ def davies_bouldin(df: DataFrame, features: str = "features", label: str = "clus
     cen = centroids(df, features, label).groupBy(label).agg(
         F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("c"))
     cen = cen.select(label, F.col("c.mean").alias("centroid"))
-    # centroid table has k rows × dims values: bounded by the number of clusters
-    s = a.join(F.broadcast(cen), label).select(label, F.sqrt(F.aggregate(
+    # the centroid table has one row per cluster: broadcast only when that count is checked small
+    small = cen.limit(BROADCAST_CLUSTERS + 1).count() <= BROADCAST_CLUSTERS
+    s = a.join(F.broadcast(cen) if small else cen, label).select(label, F.sqrt(F.aggregate(
         F.zip_with(features, "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v))
         .alias("d")).groupBy(label).agg(F.avg("d").alias("s"))
     cs = cen.join(s, label)
-    left = cs.select(F.col(label).alias("i"), F.col("centroid").alias("ci"), F.col("s").alias("si"))
-    right = cs.select(F.col(label).alias("j"), F.col("centroid").alias("cj"), F.col("s").alias("sj"))
-    pairs = left.join(F.broadcast(right), F.col("i") != F.col("j"))
-    dij = F.sqrt(F.aggregate(F.zip_with("ci", "cj", lambda x, y: (x - y) * (x - y)), F.lit(0.0),
-                             lambda acc, v: acc + v))
-    ratio = pairs.select("i", "si", "sj", dij.alias("dij")).select(
-        "i", F.when(F.col("dij") == 0, F.lit(0.0)).otherwise((F.col("si") + F.col("sj")) / F.col("dij")).alias("r"))
-    per = ratio.groupBy("i").agg(F.max("r").alias("r"))
-    return per.agg(F.count(F.lit(1)).alias("k"), F.avg("r").alias("db")).select(
-        F.when(F.col("k") < 2, F.lit(None).cast("double")).otherwise(F.col("db")).alias("davies_bouldin"))
+    # the k centroids (one row each) are gathered into one array row; the k×k ratios are
+    # array expressions on that row — no join between clusters
+    allc = cs.agg(F.collect_list(F.struct(F.col(label).alias("id"), "centroid", "s")).alias("c"))
+
+    def dist(a, b):
+        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
+                                  lambda acc, v: acc + v))
+
+    per = F.transform("c", lambda ci: F.array_max(F.transform(
+        F.filter("c", lambda cj: cj["id"] != ci["id"]),
+        lambda cj: F.when(dist(ci["centroid"], cj["centroid"]) == 0, F.lit(0.0))
+        .otherwise((ci["s"] + cj["s"]) / dist(ci["centroid"], cj["centroid"])))))
+    return allc.select(F.when(F.size("c") < 2, F.lit(None).cast("double")).otherwise(
+        F.aggregate(per, F.lit(0.0), lambda acc, v: acc + v) / F.size("c")).alias("davies_bouldin"))
 
 
 # ---------------------------------------------------------------- silhouette
