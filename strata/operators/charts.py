@@ -40,12 +40,19 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
 
 def box_by_category(df: DataFrame, x: str, y: str, digits: int | None = None) -> DataFrame:
     """Min, q1, median, q3, max of ``y`` per ``x`` category (finite values only)."""
+    from .quantiles import auto_quantile_method, exact_quantile_array
+
     v = F.col(y).cast("double")
     src = df.select(F.col(x).cast("string").alias(x), v.alias("__v")).where(
         F.col("__v").isNotNull() & ~F.isnan("__v"))
-    q = quantiles("__v", [0.25, 0.5, 0.75])
-    out = src.groupBy(x).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("min"), q.alias("__q"),
-                             F.max("__v").alias("max"))
+    if auto_quantile_method(src, ["__v"])["__v"] == "sort":
+        out = src.groupBy(x).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("min"), F.max("__v").alias("max"))
+        out = out.join(exact_quantile_array(src, "__v", [0.25, 0.5, 0.75], [x]).withColumnRenamed("q", "__q"),
+                       x, "left")
+    else:
+        q = quantiles("__v", [0.25, 0.5, 0.75])
+        out = src.groupBy(x).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("min"), q.alias("__q"),
+                                 F.max("__v").alias("max"))
     cols = [F.col("min"), F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
             F.col("__q")[2].alias("q3"), F.col("max")]
     if digits is not None:
@@ -73,10 +80,17 @@ def series_pivot(df: DataFrame, x: str, color: str, y: str, colors: Sequence[str
 def box_stats(labelled: DataFrame, numeric_cols: Sequence[str], cluster_col: str = "cluster",
               digits: int = 3) -> DataFrame:
     """(column, cluster, min, q1, median, q3, max) rounded to 3 dp; empty groups omitted."""
+    from .quantiles import auto_quantile_method, exact_quantile_array
+
     lv = labelled.select(cluster_col, *[F.col(c).cast("double").alias(c) for c in numeric_cols]) \
         .unpivot([cluster_col], list(numeric_cols), "column", "v").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    q = quantiles("v", [0.25, 0.5, 0.75])
-    out = lv.groupBy("column", cluster_col).agg(F.min("v").alias("min"), q.alias("__q"), F.max("v").alias("max"))
+    if "sort" in auto_quantile_method(labelled, list(numeric_cols)).values():
+        out = lv.groupBy("column", cluster_col).agg(F.min("v").alias("min"), F.max("v").alias("max")).join(
+            exact_quantile_array(lv, "v", [0.25, 0.5, 0.75], ["column", cluster_col]).withColumnRenamed("q", "__q"),
+            ["column", cluster_col], "left")
+    else:
+        q = quantiles("v", [0.25, 0.5, 0.75])
+        out = lv.groupBy("column", cluster_col).agg(F.min("v").alias("min"), q.alias("__q"), F.max("v").alias("max"))
     return out.select(
         "column", cluster_col,
         round_half_even(F.col("min"), digits).alias("min"),

@@ -208,16 +208,26 @@ def silhouette(df: DataFrame, features: str = "features", label: str = "cluster"
 
 # ---------------------------------------------------------------- profiles
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], label: str = "cluster", approx: bool = False) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: Sequence[str], label: str = "cluster", approx: bool = False,
+                    method: str = "auto") -> DataFrame:
     """(cluster, column, mean, median, std) on original values; one shuffle for all columns.
 
-    std uses ddof 1 and is NULL with fewer than 2 values.
+    std uses ddof 1 and is NULL with fewer than 2 values. The median is exact: map-based for
+    few distinct values, sort-based (skew-safe) for continuous columns.
     """
+    from .quantiles import auto_quantile_method, exact_quantiles
+
     lv = df.select(label, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]) \
         .unpivot([label], list(columns), "column", "v")
-    return lv.groupBy(label, "column").agg(
-        F.avg("v").alias("mean"), quantiles("v", [0.5], approx)[0].alias("median"),
-        F.stddev_samp("v").alias("std"))
+    use_sort = not approx and (method == "sort" or (
+        method == "auto" and "sort" in auto_quantile_method(df, columns).values()))
+    if not use_sort:
+        return lv.groupBy(label, "column").agg(
+            F.avg("v").alias("mean"), quantiles("v", [0.5], approx)[0].alias("median"),
+            F.stddev_samp("v").alias("std"))
+    base = lv.groupBy(label, "column").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    med = exact_quantiles(lv, "v", [0.5], [label, "column"]).select(label, "column", F.col("q").alias("median"))
+    return base.join(med, [label, "column"], "left").select(label, "column", "mean", "median", "std")
 
 
 def category_profile(df: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:

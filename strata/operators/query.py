@@ -138,20 +138,33 @@ def filter_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("value")).select(F.lit("rows_found").alias("metric"), "value")
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
-    """Q2: count, mean, std, min, 25/50/75 %, max per column, one row per statistic."""
+def describe_numeric(df: DataFrame, columns: Sequence[str], approx: bool = False,
+                     method: str = "auto") -> DataFrame:
+    """Q2: count, mean, std, min, 25/50/75 %, max per column, one row per statistic.
+
+    Quartiles are exact: the map-based ``percentile`` for columns with few distinct values,
+    the sort-based ``exact_quantiles`` for continuous ones (chosen per column by ``method``
+    ="auto"); ``approx=True`` uses the mergeable sketch instead.
+    """
+    from .quantiles import auto_quantile_method, exact_quantile_array
+
     cols = list(columns)
+    methods = {c: "approx" for c in cols} if approx else (
+        auto_quantile_method(df, cols) if method == "auto" else {c: method for c in cols})
     exprs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        q = quantiles(x, [0.25, 0.5, 0.75], approx)
-        exprs += [
-            F.count(x).cast("double").alias(f"count__{i}"), F.avg(x).alias(f"mean__{i}"),
-            F.stddev_samp(x).alias(f"std__{i}"), F.min(x).alias(f"min__{i}"),
-            q[0].alias(f"25%__{i}"), q[1].alias(f"50%__{i}"), q[2].alias(f"75%__{i}"),
-            F.max(x).alias(f"max__{i}"),
-        ]
+        exprs += [F.count(x).cast("double").alias(f"count__{i}"), F.avg(x).alias(f"mean__{i}"),
+                  F.stddev_samp(x).alias(f"std__{i}"), F.min(x).alias(f"min__{i}"), F.max(x).alias(f"max__{i}")]
+        if methods[c] != "sort":
+            exprs.append(quantiles(x, [0.25, 0.5, 0.75], methods[c] == "approx").alias(f"q__{i}"))
     one = df.agg(*exprs)
+    for i, c in enumerate(cols):
+        if methods[c] == "sort":
+            # one-row exact result attached once as a scalar-subquery column
+            one = one.withColumn(f"q__{i}", exact_quantile_array(df, c, [0.25, 0.5, 0.75]).select("q").scalar())
+    one = one.select("*", *[F.col(f"q__{i}")[j].alias(f"{n}__{i}") for i in range(len(cols))
+                            for j, n in enumerate(("25%", "50%", "75%"))])
     idx = {c: i for i, c in enumerate(cols)}
     return stack_rows(one, "statistic", DESCRIBE_STATS, cols, lambda s, c: f"`{s}__{idx[c]}`")
 
@@ -210,13 +223,37 @@ def _agg_expr(df: DataFrame, target: str, agg: str, approx: bool = False) -> Col
     return F.count(c)
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(right[k])
+        cond = c if cond is None else cond & c
+    return left.join(right, cond, "left").select(left["*"], *[right[c] for c in right.columns if c not in keys])
+
+
 def groupby_agg(df: DataFrame, keys: Sequence[str], targets: Sequence[str], agg: str = "mean",
-                approx: bool = False) -> DataFrame:
-    """Q6: one aggregate over ≥1 targets per 1–2 keys; 3 dp only when >1 target."""
+                approx: bool = False, method: str = "auto") -> DataFrame:
+    """Q6: one aggregate over ≥1 targets per 1–2 keys; 3 dp only when >1 target.
+
+    A median over a continuous target uses the sort-based exact quantile (a hot key is
+    split over many tasks); over few distinct values the map-based aggregate.
+    """
+    from .quantiles import auto_quantile_method, exact_quantiles
+
     tg = [t for t in targets if t in df.columns]
     if not tg:
         raise QueryError("no valid target column")
-    out = df.groupBy(*keys).agg(*[_agg_expr(df, t, agg, approx).alias(t) for t in tg])
+    exprs = {t: _agg_expr(df, t, agg, approx) for t in tg}
+    sort_cols = []
+    if agg == "median" and not approx:
+        methods = auto_quantile_method(df, tg) if method == "auto" else {t: method for t in tg}
+        sort_cols = [t for t in tg if methods[t] == "sort"]
+    out = df.groupBy(*keys).agg(*[exprs[t].alias(t) for t in tg if t not in sort_cols] or
+                                [F.count(F.lit(1)).alias("__rows")])
+    for t in sort_cols:
+        med = exact_quantiles(df, t, [0.5], keys).select(*keys, F.col("q").alias(t))
+        out = _null_safe_join(out, med, keys)
+    out = out.select(*keys, *tg)
     if len(tg) > 1:
         out = out.select(*keys, *[
             round_half_even(F.col(t), 3).alias(t)
@@ -293,6 +330,7 @@ def no_missing_row(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- executor
 
 def run_query(df: DataFrame, q: DataQuery, approx: bool = False, resolve_chart: bool = True) -> QueryResult:
+    # quantiles: exact; map- or sort-based per column (see operators/quantiles.py)
     """Execute a typed query: bins → filters → operation → normalisation → chart choice."""
     validate_columns(df, q)
     df = apply_bins(df, q.bins)

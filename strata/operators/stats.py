@@ -118,7 +118,7 @@ def numeric_columns_of(df: DataFrame, columns: Sequence[str] | None = None) -> l
 
 
 def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
-                 with_quantiles: bool = True) -> DataFrame:
+                 with_quantiles: bool = True, method: str = "auto") -> DataFrame:
     """Long per-column statistics from two single-pass aggregations.
 
     (column, dtype, n_rows, n_missing, n_unique, mean, std, min, max, q1, median, q3,
@@ -131,7 +131,14 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bo
     """
     from ..functions.types import is_string
 
+    from .quantiles import auto_quantile_method, exact_quantile_array
+
     cols = list(columns or df.columns)
+    numeric_cols = [c for c in cols if is_numeric(dtype_of(df, c))]
+    sort_cols = set()
+    if with_quantiles and not approx and numeric_cols:
+        m = auto_quantile_method(df, numeric_cols) if method == "auto" else {c: method for c in numeric_cols}
+        sort_cols = {c for c, v in m.items() if v == "sort"}
     exprs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
         dt = dtype_of(df, c)
@@ -142,7 +149,7 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bo
             exprs += [F.avg(d).alias(f"mean__{i}"), F.stddev_samp(d).alias(f"std__{i}"),
                       F.min(d).alias(f"min__{i}"), F.max(d).alias(f"max__{i}"),
                       sample_skewness(d).alias(f"skew__{i}")]
-            if with_quantiles:
+            if with_quantiles and c not in sort_cols:
                 exprs.append(quantiles(d, [0.25, 0.5, 0.75], approx).alias(f"q__{i}"))
         if is_string(dt):
             exprs.append(F.avg(F.length(x)).alias(f"len__{i}"))
@@ -151,6 +158,9 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bo
     uniq = distinct.select(F.struct(*[F.col(f"u{i}") for i in range(len(cols))]).alias("s")).scalar()
     # attach the subquery once as a column: each direct reference would re-run it
     one = df.agg(*exprs).withColumn("__u", uniq)
+    for i, c in enumerate(cols):
+        if c in sort_cols:
+            one = one.withColumn(f"q__{i}", exact_quantile_array(df, c, [0.25, 0.5, 0.75]).select("q").scalar())
     structs = []
     none = F.lit(None).cast("double")
     for i, c in enumerate(cols):
