@@ -175,7 +175,13 @@ def silhouette(df: DataFrame, features: str = "features", label: str = "cluster"
     counts = [sizes[lab] for lab in labels]
     lmap = F.create_map(*[x for lab, i in index.items() for x in (F.lit(lab), F.lit(i))])
     pts = a.select(F.monotonically_increasing_id().alias("__pid"), lmap[F.col("__l")].alias("__li"), "__f")
-    pts = pts.checkpoint(eager=True) if n > chunk_rows else pts.cache()
+    if n > chunk_rows:
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        pts = pts.checkpoint(eager=True)
+    else:
+        pts = pts.cache()
     # spread the pair work: each task scores ~PAIRS_PER_TASK point–reference distances
     work_parts = max(1, min(4 * spark_parallelism(df), -(-n * min(n, chunk_rows) // PAIRS_PER_TASK)))
     scored = pts.repartition(work_parts) if work_parts > 1 else pts.coalesce(1)
