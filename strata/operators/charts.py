@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.rounding import round_half_even
-from .stats import long_values, quantiles
+from .stats import quantiles
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:

@@ -123,18 +123,20 @@ def spark_parallelism(df: DataFrame) -> int:
 
 
 def _chunk_distance_sums(points: DataFrame, chunk: np.ndarray, chunk_labels: np.ndarray, k: int,
-                         features: str) -> DataFrame:
-    """Per point: sum of Euclidean distances to the chunk's members of each cluster (ARRAY<DOUBLE>[k])."""
+                         features: str, chunk_weights: np.ndarray | None = None) -> DataFrame:
+    """Per point: (weighted) sum of Euclidean distances to the chunk's members of each cluster."""
     spark = points.sparkSession
-    bc = spark.sparkContext.broadcast((chunk, chunk_labels))
+    if chunk_weights is None:
+        chunk_weights = np.ones(len(chunk_labels))
+    bc = spark.sparkContext.broadcast((chunk, chunk_labels, chunk_weights))
 
     def fn(batches):
         import numpy as _np
         import pandas as _pd
 
-        ref, lab = bc.value
+        ref, lab, wts = bc.value
         onehot = _np.zeros((len(lab), k))
-        onehot[_np.arange(len(lab)), lab] = 1.0
+        onehot[_np.arange(len(lab)), lab] = wts
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -146,13 +148,13 @@ def _chunk_distance_sums(points: DataFrame, chunk: np.ndarray, chunk_labels: np.
                 d = _np.sqrt(_np.einsum("ijk,ijk->ij", diff, diff))
                 out[s:s + step] = d @ onehot
             yield _pd.DataFrame({"__pid": pdf["__pid"].to_numpy(), "__li": pdf["__li"].to_numpy(),
-                                 "__sums": list(out)})
+                                 "__w": pdf["__w"].to_numpy(), "__sums": list(out)})
 
-    return points.mapInPandas(fn, "__pid long, __li int, __sums array<double>")
+    return points.mapInPandas(fn, "__pid long, __li int, __w double, __sums array<double>")
 
 
 def silhouette(df: DataFrame, features: str = "features", label: str = "cluster", sample_size: int | None = None,
-               seed: int = 42, chunk_rows: int = EXACT_CHUNK_ROWS) -> float | None:
+               seed: int = 42, chunk_rows: int = EXACT_CHUNK_ROWS, weight: str | None = None) -> float | None:
     """Mean Euclidean silhouette (NOT the squared-distance variant of ClusteringEvaluator).
 
     Exact by default: the reference set is collected in bounded chunks of ``chunk_rows``
@@ -160,12 +162,16 @@ def silhouette(df: DataFrame, features: str = "features", label: str = "cluster"
     output row per point, never one per pair. ``sample_size`` switches to the sampled
     estimate on a deterministic hash sample (the same rows are scored and referenced).
     Returns None for fewer than 2 clusters or more clusters than n − 1.
+
+    ``weight`` names a multiplicity column (identical rows collapsed into one): the result
+    equals the silhouette over the expanded rows, at the cost of the distinct rows only.
     """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
     a = as_array(df, features).where(F.col(label) != NOISE).select(
-        F.col(label).cast("int").alias("__l"), F.col(features).alias("__f"))
+        F.col(label).cast("int").alias("__l"), F.col(features).alias("__f"), w.alias("__w"))
     if sample_size is not None:
         a = a.withColumn("__h", F.xxhash64("__f", F.lit(seed))).orderBy("__h").limit(sample_size).drop("__h")
-    sizes = {int(r["__l"]): int(r["n"]) for r in a.groupBy("__l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {int(r["__l"]): float(r["n"]) for r in a.groupBy("__l").agg(F.sum("__w").alias("n")).collect()}
     n = sum(sizes.values())
     k = len(sizes)
     if k < 2 or k > n - 1:
@@ -174,32 +180,35 @@ def silhouette(df: DataFrame, features: str = "features", label: str = "cluster"
     index = {lab: i for i, lab in enumerate(labels)}
     counts = [sizes[lab] for lab in labels]
     lmap = F.create_map(*[x for lab, i in index.items() for x in (F.lit(lab), F.lit(i))])
-    pts = a.select(F.monotonically_increasing_id().alias("__pid"), lmap[F.col("__l")].alias("__li"), "__f")
-    if n > chunk_rows:
+    n_rows = int(a.count() if weight else n)
+    pts = a.select(F.monotonically_increasing_id().alias("__pid"), lmap[F.col("__l")].alias("__li"), "__f", "__w")
+    if n_rows > chunk_rows:
         from ..session import ensure_checkpoint_dir
 
         ensure_checkpoint_dir(df.sparkSession)
         pts = pts.checkpoint(eager=True)
     else:
         pts = pts.cache()
+    n = int(n)
     # spread the pair work: each task scores ~PAIRS_PER_TASK point–reference distances
-    work_parts = max(1, min(4 * spark_parallelism(df), -(-n * min(n, chunk_rows) // PAIRS_PER_TASK)))
+    work_parts = max(1, min(4 * spark_parallelism(df), -(-n_rows * min(n_rows, chunk_rows) // PAIRS_PER_TASK)))
     scored = pts.repartition(work_parts) if work_parts > 1 else pts.coalesce(1)
     partials = []
     # driver loop over bounded chunks of the reference set (each ≤ chunk_rows × dims doubles)
-    n_chunks = (n + chunk_rows - 1) // chunk_rows
+    n_chunks = (n_rows + chunk_rows - 1) // chunk_rows
     for ci in range(n_chunks):
         part = pts.where((F.col("__pid") % n_chunks) == ci) if n_chunks > 1 else pts
-        rows = part.select("__li", "__f").collect()
+        rows = part.select("__li", "__f", "__w").collect()
         ref = np.array([r["__f"] for r in rows], dtype=np.float64)
         lab = np.array([r["__li"] for r in rows], dtype=np.int64)
-        partials.append(_chunk_distance_sums(scored, ref, lab, k, "__f"))
+        wts = np.array([r["__w"] for r in rows], dtype=np.float64)
+        partials.append(_chunk_distance_sums(scored, ref, lab, k, "__f", wts))
     sums = partials[0]
     for p in partials[1:]:
         sums = sums.unionByName(p)
     if len(partials) > 1:
-        sums = sums.groupBy("__pid", "__li").agg(F.collect_list("__sums").alias("__all")).select(
-            "__pid", "__li", F.aggregate("__all", F.array_repeat(F.lit(0.0), k),
+        sums = sums.groupBy("__pid", "__li", "__w").agg(F.collect_list("__sums").alias("__all")).select(
+            "__pid", "__li", "__w", F.aggregate("__all", F.array_repeat(F.lit(0.0), k),
                                          lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y)).alias("__sums"))
     cnt = F.array(*[F.lit(float(c)) for c in counts])
     own_n = cnt[F.col("__li")]
@@ -207,7 +216,8 @@ def silhouette(df: DataFrame, features: str = "features", label: str = "cluster"
     mean_to = F.transform(F.col("__sums"), lambda v, i: F.when(i != F.col("__li"), v / F.element_at(cnt, i + 1)))
     b_i = F.array_min(F.filter(mean_to, lambda v: v.isNotNull()))
     s_i = F.when(own_n <= 1, F.lit(0.0)).otherwise((b_i - a_i) / F.greatest(a_i, b_i))
-    val = sums.select(F.coalesce(s_i, F.lit(0.0)).alias("s")).agg(F.avg("s")).first()[0]
+    val = sums.select(F.coalesce(s_i, F.lit(0.0)).alias("s"), "__w").agg(
+        F.sum(F.col("s") * F.col("__w")) / F.sum("__w")).first()[0]
     pts.unpersist()
     return None if val is None else float(val)
 

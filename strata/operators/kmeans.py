@@ -53,7 +53,8 @@ def kmeanspp(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.array(centers, dtype=np.float64)
 
 
-def _pass(df: DataFrame, features: str, models: list[np.ndarray], with_sums: bool = True) -> list[tuple]:
+def _pass(df: DataFrame, features: str, models: list[np.ndarray], with_sums: bool = True,
+          weight: str | None = None) -> list[tuple]:
     """One scan for all models: per (model, cluster) count, coordinate sums and cost."""
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast([m.astype(np.float64) for m in models])
@@ -70,17 +71,18 @@ def _pass(df: DataFrame, features: str, models: list[np.ndarray], with_sums: boo
             if pdf.empty:
                 continue
             X = _np.stack(pdf[features].to_numpy()).astype(_np.float64)
+            wv = pdf["__w"].to_numpy().astype(_np.float64)
             xx = (X * X).sum(1)
             for mi, C in enumerate(cs):
                 # squared distances via the Gram form, clipped at 0 against rounding
                 D = _np.maximum(xx[:, None] + (C * C).sum(1)[None, :] - 2.0 * X @ C.T, 0.0)
                 lab = D.argmin(1)
                 k = len(C)
-                cnt = _np.bincount(lab, minlength=k).astype(_np.float64)
-                cost = _np.bincount(lab, weights=D[_np.arange(len(X)), lab], minlength=k)
+                cnt = _np.bincount(lab, weights=wv, minlength=k)
+                cost = _np.bincount(lab, weights=wv * D[_np.arange(len(X)), lab], minlength=k)
                 sums = _np.zeros_like(C)
                 if with_sums:
-                    _np.add.at(sums, lab, X)
+                    _np.add.at(sums, lab, X * wv[:, None])
                 if mi in acc:
                     a = acc[mi]
                     acc[mi] = (a[0] + cnt, a[1] + cost, a[2] + sums)
@@ -92,7 +94,8 @@ def _pass(df: DataFrame, features: str, models: list[np.ndarray], with_sums: boo
                 rows.append((mi, j, pid, float(cnt[j]), float(cost[j]), sums[j].tolist()))
         yield _pd.DataFrame(rows, columns=["model", "cluster", "pid", "n", "cost", "s"])
 
-    part = df.select(features).mapInPandas(
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    part = df.select(features, w.alias("__w")).mapInPandas(
         fn, "model int, cluster int, pid int, n double, cost double, s array<double>")
     d = len(models[0][0])
     # merge partials in partition order so the sums do not depend on arrival order
@@ -107,22 +110,25 @@ def _pass(df: DataFrame, features: str, models: list[np.ndarray], with_sums: boo
 
 
 def fit_many(df: DataFrame, specs: Sequence[tuple[int, int]], features: str = "features", max_iter: int = 300,
-             tol: float = 1e-4, init_seed: int = 42) -> list[Centers]:
+             tol: float = 1e-4, init_seed: int = 42, weight: str | None = None) -> list[Centers]:
     """Fit every (k, seed) in ``specs`` together; returns one ``Centers`` per spec."""
     sample_rows = df.select(features).where(F.col(features).isNotNull()) \
         .orderBy(F.xxhash64(features, F.lit(init_seed)), features).limit(INIT_SAMPLE).collect()
     sample = np.array([r[0] for r in sample_rows], dtype=np.float64)
     uniq = np.unique(sample, axis=0)
     models = [kmeanspp(uniq if len(uniq) >= k else sample, k, s) for k, s in specs]
-    var = df.select(F.posexplode(features).alias("dim", "x")).groupBy("dim").agg(F.var_pop("x").alias("v")) \
-        .agg(F.avg("v")).first()[0] or 0.0
+    wcol = F.col(weight).cast("double") if weight else F.lit(1.0)
+    lx = df.select(wcol.alias("w"), F.posexplode(features).alias("dim", "x"))
+    var = lx.groupBy("dim").agg(
+        (F.sum(F.col("w") * F.col("x") * F.col("x")) / F.sum("w")
+         - (F.sum(F.col("w") * F.col("x")) / F.sum("w")) ** 2).alias("v")).agg(F.avg("v")).first()[0] or 0.0
     threshold = tol * float(var)
     active = list(range(len(models)))
     iters = [0] * len(models)
     it = 0
     while active and it < max_iter:
         it += 1
-        res = _pass(df, features, [models[i] for i in active])
+        res = _pass(df, features, [models[i] for i in active], weight=weight)
         by = {}
         for mi, j, n, _, s in res:
             by.setdefault(active[mi], {})[j] = (n, np.array(s))
@@ -139,7 +145,7 @@ def fit_many(df: DataFrame, specs: Sequence[tuple[int, int]], features: str = "f
             if shift > threshold:
                 still.append(m)
         active = still
-    final = _pass(df, features, models, with_sums=False)
+    final = _pass(df, features, models, with_sums=False, weight=weight)
     costs = np.zeros(len(models))
     sizes = [np.zeros(len(m)) for m in models]
     for mi, j, n, cost, _ in final:

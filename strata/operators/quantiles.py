@@ -12,7 +12,6 @@ count says the maps stay small, the sort-based path otherwise.
 """
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -78,4 +77,3 @@ def exact_quantile_array(df: DataFrame, value: str, probs: Sequence[float], keys
     return eq.groupBy(*keys).agg(arr.alias("q"))
 
 
-__all__ = ["auto_quantile_method", "exact_quantiles", "exact_quantile_array", "math"]

@@ -105,7 +105,9 @@ def validate_table(df: DataFrame) -> None:
 def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationResult:
     cfg = config or SegmentConfig()
     spark = df.sparkSession
-    sel = select_columns(df, cfg.columns)
+    # rules and preparation make several passes over the selected columns: cache that
+    # projection once (only the candidate feature columns, not the whole table)
+    sel = select_columns(df, cfg.columns).cache()
     _, report = apply_rules(sel, cfg.extract_datetime)
     if not report.kept:
         raise ValueError("every column was filtered out; choose other columns")
@@ -114,7 +116,11 @@ def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationR
     base = df.select("*", *years)
     feature_cols = report.kept
     strategy = derive_strategy(base.select(*feature_cols), cfg.ordinal_mappings)
-    prep = prepare(base, strategy, columns=feature_cols, keep=base.columns)
+    from ..operators.prepare import fit_features
+
+    sel_years = sel.select("*", *[year_of(sel, o).alias(n) for o, n in report.datetime_extracted])
+    plan = fit_features(sel_years, strategy, columns=feature_cols)
+    prep = prepare(base, strategy, columns=feature_cols, keep=base.columns, plan=plan)
     if not prep.feature_names:
         raise ValueError("no usable feature after preparation")
     n = prep.df.count()
@@ -167,6 +173,7 @@ def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationR
         "cluster", F.concat(F.lit("Segment "), F.col("cluster").cast("string")).alias("label"),
         F.col("n").alias("size"), F.col("pct").alias("prevalence"),
         F.lit(metrics["caution"]).alias("caution"))
+    sel.unpersist()
     return SegmentationResult(labelled, search.to_df(spark), metrics, sizes, nprof, cprof, nev, cev, segments,
                               report, {"prepare": prep.metadata, "feature_names": prep.feature_names,
                                        "k_search": search.curve, "n_rows": n}, seg_model)

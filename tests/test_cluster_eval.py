@@ -130,3 +130,21 @@ def test_batched_engine_matches_spark_ml(spark):
     lab = df.withColumn("p", nearest("features", bt.centers)).collect()
     C_ = bt.centers
     assert all(r["p"] == int(np.argmin(((C_ - np.array(r["features"])) ** 2).sum(1))) for r in lab)
+
+
+def test_weighted_distinct_rows_keep_silhouette_and_cost(spark):
+    rng = np.random.default_rng(6)
+    base = np.vstack([rng.integers(1, 4, (6, 3)), rng.integers(4, 7, (6, 3))]).astype(float)
+    X = np.repeat(base, rng.integers(1, 9, len(base)), axis=0)        # heavy duplicates
+    lab = (X.sum(1) > 9).astype(int)
+    rows = make(spark, X, lab)
+    collapsed = rows.groupBy("features", "cluster").agg(F.count(F.lit(1)).alias("w"))
+    assert E.silhouette(collapsed, weight="w") == pytest.approx(brute_silhouette(X, lab), abs=1e-12)
+    df = spark.createDataFrame([(list(map(float, x)),) for x in X], "features array<double>")
+    wt, w = C.weighted_distinct(df)
+    assert w == "__w" and wt.count() <= len(base)
+    s = C.search_k(df, k_max=3, n_init=2)
+    direct = C.kmeans(df, 2, n_init=2)
+    assert dict((k, i) for k, i, _ in s.curve)[2] == pytest.approx(direct.cost, rel=1e-6)
+    b = C.search_k(df, k_max=3, n_init=2, engine="batched")
+    assert dict((k, i) for k, i, _ in b.curve)[2] == pytest.approx(direct.cost, rel=1e-6)
