@@ -51,6 +51,8 @@ FLAT_CURVE_SPREAD = 0.03
 FLAT_MAX_K = 4
 REFINE_THRESHOLD = 0.25
 MAX_REFINEMENT_ITERATIONS = 2
+SILHOUETTE_SAMPLE = 10_000          # sample size the reference plans for large tables
+EXACT_SILHOUETTE_ROWS = 50_000      # ours: above this, segment() scores on the sample
 
 # Quality and caution ladders.
 CAUTION_LEVELS = ("baja", "media", "alta")

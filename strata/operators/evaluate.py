@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rounding import round_half_even
-from .stats import quantiles, ranked, value_freq
+from .stats import quantiles, value_freq
 
 NOISE = -1
 BROADCAST_CLUSTERS = 10_000
@@ -248,5 +248,10 @@ def numeric_profile(df: DataFrame, columns: Sequence[str], label: str = "cluster
 
 def category_profile(df: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:
     """(cluster, column, value, n, is_mode) for non-numeric columns; mode = most frequent, ties → smallest."""
-    fr = ranked(value_freq(df, columns, by=[label]), [label, "column"])
-    return fr.select(label, "column", "value", "n", (F.col("rank") == 1).alias("is_mode"))
+    fr = value_freq(df, columns, by=[label])
+    # the mode per (cluster, column) is an algebraic aggregate (max count, smallest value),
+    # so no window has to hold a whole distribution; one row per (cluster, column) joins back
+    mode = fr.groupBy(label, "column").agg(
+        F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("v")))["v"].alias("__mode"))
+    return fr.join(mode, [label, "column"]).select(
+        label, "column", "value", "n", (F.col("value") == F.col("__mode")).alias("is_mode"))

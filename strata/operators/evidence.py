@@ -38,27 +38,43 @@ def numeric_evidence(df: DataFrame, columns: Sequence[str], label: str = "cluste
         .select(label, "rank", "column", "group_mean", "total_mean", "z")
 
 
+def _column_totals(df: DataFrame, columns: Sequence[str], cond: Column | None = None) -> Column:
+    """MAP<column, non-NULL count> from one aggregate, as a scalar subquery."""
+    def cnt(c):
+        x = F.col(f"`{c}`")
+        return F.count(x) if cond is None else F.count(F.when(cond, x))
+    one = df.agg(F.create_map(*[e for c in columns for e in (F.lit(c), cnt(c))]).alias("m"))
+    return one.select("m").scalar()
+
+
 def level_shares(df: DataFrame, columns: Sequence[str], in_group: Column, by: str | None = None) -> DataFrame:
     """(by?, column, value, n_group, group_share, total_share) over non-NULL values.
 
-    ``in_group`` marks the group's rows (for clusters: the label itself via ``by``).
-    Shares are within the column; total shares come from the same frequency pass.
+    ``in_group`` marks the group's rows (for clusters: the label itself via ``by``). Share
+    denominators are per-column (and per-cluster) counts from one-row / k-row aggregates,
+    never windows over a column's values, so a high-cardinality column is not gathered into
+    one task.
     """
+    total_map = _column_totals(df, columns)
     if by is None:
-        src = df.withColumn("__g", in_group.cast("boolean"))
+        g = in_group.cast("boolean")
+        src = df.withColumn("__g", F.coalesce(g, F.lit(False)))
         fr = value_freq(src, columns, by=["__g"])
         agg = fr.groupBy("column", "value").agg(
             F.sum(F.when(F.col("__g"), F.col("n")).otherwise(0)).alias("n_group"), F.sum("n").alias("n_total"))
-        wc = Window.partitionBy("column")
+        agg = agg.withColumn("__tg", _column_totals(src, columns, F.col("__g"))).withColumn("__tt", total_map)
         return agg.select("column", "value", "n_group",
-                          (F.col("n_group") / F.sum("n_group").over(wc)).alias("group_share"),
-                          (F.col("n_total") / F.sum("n_total").over(wc)).alias("total_share"))
+                          (F.col("n_group") / F.col("__tg")[F.col("column")]).alias("group_share"),
+                          (F.col("n_total") / F.col("__tt")[F.col("column")]).alias("total_share"))
     fr = value_freq(df, columns, by=[by])
-    tot = fr.groupBy("column", "value").agg(F.sum("n").alias("n_total"))
-    tot = tot.select("column", "value",
-                     (F.col("n_total") / F.sum("n_total").over(Window.partitionBy("column"))).alias("total_share"))
-    g = fr.select(by, "column", "value", F.col("n").alias("n_group"),
-                  (F.col("n") / F.sum("n").over(Window.partitionBy(by, "column"))).alias("group_share"))
+    tot = fr.groupBy("column", "value").agg(F.sum("n").alias("n_total")).withColumn("__tt", total_map)
+    tot = tot.select("column", "value", (F.col("n_total") / F.col("__tt")[F.col("column")]).alias("total_share"))
+    # per (cluster, column) non-NULL counts: k rows × width, broadcast after a size check
+    per = df.groupBy(by).agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in columns]) \
+        .unpivot([by], list(columns), "column", "__gt")
+    small = per.limit(100_001).count() <= 100_000
+    g = fr.join(F.broadcast(per) if small else per, [by, "column"]).select(
+        by, "column", "value", F.col("n").alias("n_group"), (F.col("n") / F.col("__gt")).alias("group_share"))
     return g.join(tot, ["column", "value"], "left").fillna(0.0, subset=["total_share"])
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -116,12 +116,22 @@ def total_pct(table: DataFrame, value_col: str = "n", out_col: str = "pct") -> D
         .withColumnRenamed(value_col, out_col)
 
 
+ROW_TOTALS_BROADCAST = 100_000
+
+
 def row_pct(table: DataFrame, primary: str, value_col: str = "n", out_col: str = "pct") -> DataFrame:
-    """Q12: share within the first key; NULL first key gives NULL."""
-    w = Window.partitionBy(primary)
+    """Q12: share within the first key; NULL first key gives NULL.
+
+    The per-key totals are an aggregate joined back (broadcast when their count is checked
+    small), not a window: a window over a hot first key would buffer all its rows in one task.
+    """
+    totals = table.where(F.col(primary).isNotNull()).groupBy(primary).agg(F.sum(value_col).alias("__tot"))
+    small = totals.limit(ROW_TOTALS_BROADCAST + 1).count() <= ROW_TOTALS_BROADCAST
+    j = table.join(F.broadcast(totals) if small else totals, primary, "left")
     pct = F.when(F.col(primary).isNull(), F.lit(None).cast("double")).otherwise(
-        round_half_even(F.col(value_col) / F.sum(value_col).over(w) * 100, 1))
-    return table.withColumn(value_col, pct).withColumnRenamed(value_col, out_col)
+        round_half_even(F.col(value_col) / F.col("__tot") * 100, 1))
+    return j.withColumn(value_col, pct).drop("__tot").withColumnRenamed(value_col, out_col) \
+        .select(*[c if c != value_col else out_col for c in table.columns])
 
 
 def normalize(table: DataFrame, mode: str, primary: str | None, value_col: str = "n") -> tuple[DataFrame, str]:

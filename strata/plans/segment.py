@@ -31,7 +31,8 @@ class SegmentConfig:
     k_max: int = K.K_MAX
     n_init: int = K.KMEANS_N_INIT
     refine_n_init: int = K.REFINE_N_INIT
-    silhouette_sample: int | None = None   # None = exact silhouette
+    silhouette_sample: int | None = None   # None = exact up to exact_silhouette_rows, then sampled
+    exact_silhouette_rows: int = K.EXACT_SILHOUETTE_ROWS
     ordinal_mappings: dict[str, list] = field(default_factory=dict)
     extract_datetime: bool = True
     algorithm: str = "kmeans"               # kmeans | hierarchical | bisecting
@@ -126,6 +127,10 @@ def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationR
     n = prep.df.count()
     feats = C.stable_layout(prep.df, partitions=cfg.partitions, n_rows=n).cache()
     feats.count()
+    # exact silhouette is O(n²) work: above the limit the reference's planned sample is used
+    sample = cfg.silhouette_sample if cfg.silhouette_sample is not None else (
+        None if n <= cfg.exact_silhouette_rows else K.SILHOUETTE_SAMPLE)
+    cfg = SegmentConfig(**{**cfg.__dict__, "silhouette_sample": sample})
     search = C.search_k(feats, k_min=cfg.k_min, k_max=cfg.k_max, n_init=cfg.n_init, seed=K.RANDOM_SEED,
                         silhouette_sample=cfg.silhouette_sample, n_rows=n, engine=cfg.engine)
     k = search.optimal_k
@@ -159,7 +164,8 @@ def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationR
     metrics = {"silhouette": sil, "calinski_harabasz": ch, "davies_bouldin": db, "n_clusters": n_clusters,
                "optimal_k": k, "grade": grade, "grade_label": grade_label,
                "caution": caution_from_silhouette(sil), "refinements": refinements,
-               "flat_k_curve": search.flat, "forced_k_min": search.forced_k_min, "elbow_k": search.elbow_k}
+               "flat_k_curve": search.flat, "forced_k_min": search.forced_k_min, "elbow_k": search.elbow_k,
+               "silhouette_mode": "exact" if sample is None else f"sampled:{sample}"}
     profile_cols = list(sel.columns) + [n for _, n in report.datetime_extracted]
     numeric = [c for c in profile_cols if is_numeric(dtype_of(base, c))]
     others = [c for c in profile_cols if c not in numeric]

@@ -1,5 +1,7 @@
 import tempfile
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from strata.plans.segment import SegmentConfig, segment
@@ -45,3 +47,13 @@ def test_segment_with_batched_engine(spark):
     again = {r["row_id"]: r["cluster"] for r in res.model.transform(gen).collect()}
     first = {r["row_id"]: r["cluster"] for r in res.labelled.collect()}
     assert again == first
+
+
+def test_large_tables_switch_to_sampled_silhouette(spark):
+    gen = planted_segments(spark, 300, seed=5)
+    cols = ["hours", "sessions", "wellbeing", "age"]
+    res = segment(gen, SegmentConfig(columns=cols, n_init=1, k_min=4, k_max=4, exact_silhouette_rows=100))
+    assert res.metrics["silhouette_mode"] == "sampled:10000"   # the sample covers all 300 rows here
+    exact = segment(gen, SegmentConfig(columns=cols, n_init=1, k_min=4, k_max=4))
+    assert exact.metrics["silhouette_mode"] == "exact"
+    assert res.metrics["silhouette"] == pytest.approx(exact.metrics["silhouette"], abs=1e-9)
