@@ -194,3 +194,24 @@ def summary_table(res: SegmentationResult) -> DataFrame:
         F.lit(None if sil is None else float(sil)).cast("double").alias("silhouette"),
         F.lit(m["grade"]).alias("grade"), F.lit(int(m["optimal_k"])).alias("k"),
     ).withColumn("silhouette", round_half_even(F.col("silhouette"), 4))
+
+
+def segment_map(res: SegmentationResult, keep: Sequence[str] = ()) -> DataFrame:
+    """G1 for a segmentation: PCA of the prepared features when they have ≥ 2 dimensions,
+    else of the standardised raw numeric columns (means fill NULLs); fewer than 2 → empty."""
+    from ..operators.charts import pca_map
+    from ..operators.prepare import scaler_params, scale_expr
+
+    lab = res.labelled
+    if len(res.metadata.get("feature_names", [])) >= 2:
+        return pca_map(lab, "features", "cluster", keep=keep)
+    numeric = [c for c in lab.columns if c not in ("cluster", "features") and is_numeric(dtype_of(lab, c))]
+    if len(numeric) < 2:
+        return pca_map(lab.withColumn("features", F.array()), "features", "cluster", keep=keep)
+    means = lab.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(c) for c in numeric]).first()
+    filled = lab.select(*keep, "cluster", *[F.coalesce(F.col(f"`{c}`").cast("double"),
+                                                       F.lit(means[c] if means[c] is not None else 0.0)).alias(c)
+                                            for c in numeric])
+    params = scaler_params(filled, numeric, "standard")
+    arr = filled.select(*keep, "cluster", F.array(*[scale_expr(c, params[c]) for c in numeric]).alias("features"))
+    return pca_map(arr, "features", "cluster", keep=keep)

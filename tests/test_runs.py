@@ -57,3 +57,7 @@ def test_large_tables_switch_to_sampled_silhouette(spark):
     exact = segment(gen, SegmentConfig(columns=cols, n_init=1, k_min=4, k_max=4))
     assert exact.metrics["silhouette_mode"] == "exact"
     assert res.metrics["silhouette"] == pytest.approx(exact.metrics["silhouette"], abs=1e-9)
+    from strata.plans.segment import segment_map
+
+    pts = segment_map(res, keep=["row_id"]).collect()
+    assert len(pts) == 300 and all(r["PC1"] is not None for r in pts)
