@@ -22,9 +22,13 @@ BROADCAST_TARGETS = 100_000      # target ranks broadcast to the pick step when
 
 
 def auto_quantile_method(df: DataFrame, columns: Sequence[str], limit: int = MAP_DISTINCT_LIMIT) -> dict[str, str]:
-    """'map' or 'sort' per column from one HyperLogLog pass (no shuffle)."""
+    """'map' or 'sort' per column. A table of at most ``limit`` rows cannot exceed the limit
+    in distinct values, so a bounded row probe settles small inputs; larger ones get one
+    HyperLogLog pass (no shuffle)."""
     if not columns:
         return {}
+    if df.limit(limit + 1).count() <= limit:
+        return {c: "map" for c in columns}
     row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(columns)]).first()
     return {c: ("sort" if row[f"d{i}"] > limit else "map") for i, c in enumerate(columns)}
 
