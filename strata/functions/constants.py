@@ -22,7 +22,7 @@ CSV_ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 
 # Numeric salvage.
 NUMERIC_SHARE_THRESHOLD = 0.9
-NUMERIC_MIN_DISTINCT = 2  # strictly more than this many distinct raw values
+NUMERIC_MIN_DISTINCT = 2  # strictly more than this many distinct raw values (tested as: a value besides min and max)
 
 # Column rules.
 ID_NAME_REGEX = r"^(id|uuid|.*_id|.*_uuid|.*id\d*)$"

@@ -98,9 +98,18 @@ def decide_types(df: DataFrame, threshold: float = K.NUMERIC_SHARE_THRESHOLD) ->
             F.count(x.try_cast("double")).alias(f"nd{i}"),
             F.count(F.when(x.isin(*BOOL_TRUE, *BOOL_FALSE), 1)).alias(f"nb{i}"),
             F.count(cleaned_number(x)).alias(f"ns{i}"),
-            F.count_distinct(x).alias(f"nu{i}"),
+            F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
         ]
     row = df.agg(*exprs).first()
+    # "more than 2 distinct values" ⟺ some value differs from both min and max: a second
+    # cheap scan, only for columns that pass the share test (no distinct-count shuffle)
+    cand = [i for i, c in enumerate(cols) if row[f"nn{i}"] and row[f"ns{i}"] / row[f"nn{i}"] >= threshold]
+    third = {}
+    if cand:
+        r2 = df.agg(*[F.max(F.when((F.col(f"`{cols[i]}`") != F.lit(row[f"mn{i}"])) &
+                                   (F.col(f"`{cols[i]}`") != F.lit(row[f"mx{i}"])), 1)).alias(f"t{i}")
+                      for i in cand]).first()
+        third = {i: r2[f"t{i}"] == 1 for i in cand}
     out = []
     for i, c in enumerate(cols):
         n, nn = row["__n"], row[f"nn{i}"]
@@ -112,7 +121,7 @@ def decide_types(df: DataFrame, threshold: float = K.NUMERIC_SHARE_THRESHOLD) ->
             out.append(TypeDecision(c, "double"))
         elif row[f"nb{i}"] == nn and nn == n:
             out.append(TypeDecision(c, "boolean"))
-        elif row[f"ns{i}"] / nn >= threshold and row[f"nu{i}"] > K.NUMERIC_MIN_DISTINCT:
+        elif row[f"ns{i}"] / nn >= threshold and third.get(i, False):
             out.append(TypeDecision(c, "salvaged"))
         else:
             out.append(TypeDecision(c, "string"))
