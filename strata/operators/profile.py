@@ -16,7 +16,7 @@ from .stats import column_stats, ranked, value_freq
 
 def column_profile(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """(column, dtype, n_missing, pct_missing, n_unique, is_numeric)."""
-    st = stats if stats is not None else column_stats(df)
+    st = stats if stats is not None else column_stats(df, with_quantiles=False)
     numeric = numeric_columns(df)
     return st.select(
         "column", "dtype", "n_missing",
@@ -56,7 +56,7 @@ def table_shape(df: DataFrame) -> DataFrame:
 
 def column_classes(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     """Per column class: numeric, categorical (incl. boolean), date, free_text (unique ratio > 0.5)."""
-    st = stats if stats is not None else column_stats(df)
+    st = stats if stats is not None else column_stats(df, with_quantiles=False)
     kinds = {}
     for f in df.schema.fields:
         if is_categorical(f.dataType) and not is_string(f.dataType):
@@ -81,10 +81,18 @@ def type_breakdown(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
 
 
 def cell_completeness(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
-    """Missing cells, missing % (1 dp) and a truthful has_missing flag."""
-    st = stats if stats is not None else column_stats(df)
+    """Missing cells, missing % (1 dp) and a truthful has_missing flag (one pass, no shuffle)."""
+    from .stats import is_missing
+
     ncols = len(df.columns)
-    agg = st.agg(F.max("n_rows").alias("n_rows"), F.sum("n_missing").alias("missing_cells"))
+    if stats is not None:
+        agg = stats.agg(F.max("n_rows").alias("n_rows"), F.sum("n_missing").alias("missing_cells"))
+    else:
+        missing = [F.sum(is_missing(df, c).cast("long")) for c in df.columns]
+        total = missing[0]
+        for m in missing[1:]:
+            total = total + m
+        agg = df.agg(F.count(F.lit(1)).alias("n_rows"), total.alias("missing_cells"))
     cells = F.col("n_rows") * F.lit(ncols)
     return agg.select(
         F.coalesce(F.col("n_rows"), F.lit(0)).alias("n_rows"), F.lit(ncols).cast("long").alias("n_cols"),
