@@ -137,16 +137,18 @@ def _chunk_distance_sums(points: DataFrame, chunk: np.ndarray, chunk_labels: np.
         ref, lab, wts = bc.value
         onehot = _np.zeros((len(lab), k))
         onehot[_np.arange(len(lab)), lab] = wts
+        rr = (ref * ref).sum(1)
         for pdf in batches:
             if pdf.empty:
                 continue
             X = _np.stack(pdf["__f"].to_numpy()).astype(_np.float64)
             out = _np.zeros((len(X), k))
-            step = max(1, int(4_000_000 // max(1, ref.shape[0] * ref.shape[1])))
+            xx = (X * X).sum(1)
+            # Gram form (one BLAS product per block, as scikit-learn computes it), clipped at 0
+            step = max(1, int(8_000_000 // max(1, ref.shape[0])))
             for s in range(0, len(X), step):
-                diff = X[s:s + step, None, :] - ref[None, :, :]
-                d = _np.sqrt(_np.einsum("ijk,ijk->ij", diff, diff))
-                out[s:s + step] = d @ onehot
+                d2 = xx[s:s + step, None] + rr[None, :] - 2.0 * (X[s:s + step] @ ref.T)
+                out[s:s + step] = _np.sqrt(_np.maximum(d2, 0.0)) @ onehot
             yield _pd.DataFrame({"__pid": pdf["__pid"].to_numpy(), "__li": pdf["__li"].to_numpy(),
                                  "__w": pdf["__w"].to_numpy(), "__sums": list(out)})
 
