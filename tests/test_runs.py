@@ -61,3 +61,12 @@ def test_large_tables_switch_to_sampled_silhouette(spark):
 
     pts = segment_map(res, keep=["row_id"]).collect()
     assert len(pts) == 300 and all(r["PC1"] is not None for r in pts)
+
+
+def test_segment_hierarchical_path(spark):
+    gen = planted_segments(spark, 300, seed=5)
+    cols = ["hours", "sessions", "wellbeing", "age", "slot", "device"]
+    res = segment(gen, SegmentConfig(columns=cols, n_init=1, k_min=4, k_max=4, algorithm="hierarchical"))
+    sizes = [r["n"] for r in res.sizes.orderBy("cluster").collect()]
+    assert len(sizes) == 4 and sum(sizes) == 300 and sizes == sorted(sizes, reverse=True)
+    assert res.metrics["silhouette"] > 0.5 and res.model is None
