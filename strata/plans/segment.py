@@ -146,7 +146,11 @@ def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationR
         fit = search.fits[k]
         sil = dict((kk, s) for kk, _, s in search.curve)[k]
         if C.should_refine(sil, 0):
-            refit = C.kmeans(feats, k, n_init=cfg.refine_n_init, seed=K.RANDOM_SEED, engine=cfg.engine)
+            # seeds seed..seed+n_init−1 were already fitted in the search (fits are deterministic
+            # per seed): only the remaining refinement seeds are new work
+            extra = max(0, cfg.refine_n_init - cfg.n_init)
+            refit = C.kmeans(feats, k, n_init=extra, seed=K.RANDOM_SEED + cfg.n_init, engine=cfg.engine) \
+                if extra else fit
             refinements = 1
             if refit.cost < fit.cost:
                 fit = refit
