@@ -1,9 +1,14 @@
 """Queries of the training-data operators: one per operator over its whole table."""
 from __future__ import annotations
 
-from strata.llm import toxicity
+from strata.llm import chunk_dedup, line_dedup, minhash_dedup, toxicity
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_chunk_dedup": chunk_dedup.op10_chunk_dedup,
+}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
 }
-ORACLES: dict[str, str] = {}

@@ -48,3 +48,31 @@ def labelled_ids(labels: DataFrame, label: str, keep: Column, per_class: int) ->
     totals = {int(r["y"]): int(r["n"]) for r in one.groupBy("y").agg(F.count("*").alias("n")).collect()}
     parts = [one.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     return parts[0].unionByName(parts[1]), totals
+
+
+#: Names of the internal columns that stand beside a caller's own ones.
+ROW_KEY, PLACES = "__strata_row", "__strata_places"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """Add a hash of id and text, so that rows that share an id but not a text stay apart."""
+    return docs.withColumn(ROW_KEY, F.xxhash64(F.col("doc_id"), F.col("text")))
+
+
+def later_occurrences(units: DataFrame, key: list[str], place: list[str]) -> DataFrame:
+    """The rows of ``units`` that repeat a key whose smallest place stands elsewhere.
+
+    The first place of each key comes from a map-side combined minimum, so a key that holds a
+    third of all rows costs one row per task; the join back is one row per key on one side,
+    which Spark can split where the other side is skewed.
+    """
+    first = (units.groupBy(*key).agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("times"))
+             .where(F.col("times") > 1).drop("times"))
+    return units.join(first, key).where(F.struct(*place) != F.col("first")).drop("first")
+
+
+def attach_places(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """Left join of keyed documents with (doc_id, row key, places)."""
+    d, p = docs.alias("d"), places.alias("p")
+    on = (F.col(f"d.{ROW_KEY}") == F.col(f"p.{ROW_KEY}")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))
+    return d.join(p, on, "left").select("d.*", F.col(f"p.{PLACES}"))

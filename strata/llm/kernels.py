@@ -22,7 +22,8 @@ IS_WORD_BYTE = np.ones(256, dtype=bool)
 IS_WORD_BYTE[[9, 10, 11, 12, 13, 32]] = False
 
 _BASE = 0x9E3779B97F4A7C13
-_TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TABLES = [np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+           for seed in (20240607, 20240608)]
 _POWERS: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -45,12 +46,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of every ``data[start:end]``; equal bytes hash equally wherever they stand."""
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, table: int = 0) -> np.ndarray:
+    """64-bit hash of every ``data[start:end]``; equal bytes hash equally wherever they stand.
+
+    The hashes of tables 0 and 1 are independent: both together make a 128-bit digest.
+    """
     if len(start) == 0:
         return np.zeros(0, np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * _powers("up", len(data)), dtype=np.uint64, out=sums[1:])
+    np.cumsum(_TABLES[table][data] * _powers("up", len(data)), dtype=np.uint64, out=sums[1:])
     length = (end - start).astype(np.uint64)
     return mix((sums[end] - sums[start]) * _powers("down", len(data) + 1)[start] + length * np.uint64(0xD6E8FEB86659FD93))
 
