@@ -1,11 +1,14 @@
 """Queries of the training-data operators: one per operator over its whole table."""
 from __future__ import annotations
 
-from strata.llm import chunk_dedup, line_dedup, minhash_dedup, toxicity
+from strata.llm import chunk_dedup, decontaminate, line_dedup, minhash_dedup, packing, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op3_quality": quality.op3_quality,
+    "op6_packing": packing.op6_packing,
     "op7_minhash_dedup": minhash_dedup.op7_minhash_dedup,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_chunk_dedup": chunk_dedup.op10_chunk_dedup,
 }

@@ -68,8 +68,8 @@ def _sets(texts: pa.Array, shingle: int):
 
 def _node(shingles: np.ndarray) -> int:
     """64-bit digest of a set."""
-    both = mix(shingles ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB) + mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))
-    return int(mix(np.array([both]))[0].view(np.int64))
+    sums = np.array([mix(shingles ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64), mix(shingles).sum(dtype=np.uint64)])
+    return int(mix(mix(sums[:1] + np.uint64(len(shingles))) + sums[1:])[0].view(np.int64))
 
 
 def _signatures(shingles: list[np.ndarray]) -> np.ndarray:
