@@ -4,8 +4,9 @@ Two dictionaries are trained, on blocks of labelled good and of labelled bad tex
 whole text is cut into blocks of ``BLOCK`` bytes, so that a long text cannot teach the
 compressor its own ways, and each block is compressed with either dictionary. The normalised
 difference (bad size - good size) / (bad size + good size) is positive where a block looks
-like good text; its mean over the text's bytes and its lowest and highest block become one
-calibrated score by a logistic fit on labelled texts that no dictionary has seen.
+like good text; its mean over the text's bytes and its lowest and highest block, with the mean
+and lowest compressed size per byte, become one calibrated score by a logistic fit on labelled
+texts that no dictionary has seen.
 
 Bounds (parameters): at most ``per_class`` labelled texts of each class, in hash order, half
 for the dictionaries (``TEXT_BLOCKS`` blocks of each, spread over the text) and half for the
@@ -37,6 +38,7 @@ DICT_BYTES = 64 << 10
 LEVEL = 3
 PER_CLASS = 4000
 THRESHOLD = 0.5
+FEATURES = 5
 HELD_OUT = (3, 1)
 
 
@@ -58,8 +60,12 @@ class Model:
         return self.__dict__ | {"_compressors": []}
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        """Mean, least and largest block difference of every text; one row of zeros where it is empty."""
-        out = np.zeros((len(texts), 3))
+        """Mean, least and largest block difference of every text, and the mean and least log size per byte.
+
+        The sizes themselves tell text that repeats itself, which either dictionary compresses
+        alike. Empty texts get a row of zeros.
+        """
+        out = np.zeros((len(texts), FEATURES))
         if not self._compressors:
             self._compressors += [_compressor(self.good).compress, _compressor(self.bad).compress]
         good, bad = self._compressors
@@ -73,11 +79,12 @@ class Model:
                         places[-2:] = [(places[-2][0], z)]
                     sizes = np.array([(len(good(view[p:q])), len(bad(view[p:q])), q - p) for p, q in places], float)
                     gap = (sizes[:, 1] - sizes[:, 0]) / (sizes[:, 0] + sizes[:, 1])
-                    out[first + i] = np.average(gap, weights=sizes[:, 2]), gap.min(), gap.max()
+                    rate = np.log(sizes[:, 0] / sizes[:, 2])
+                    out[first + i] = np.average(gap, weights=sizes[:, 2]), gap.min(), gap.max(), np.average(rate, weights=sizes[:, 2]), rate.min()
         return out
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        x = self.features(texts) if self.good else np.zeros((len(texts), 3))
+        x = self.features(texts) if self.good else np.zeros((len(texts), FEATURES))
         return 1 / (1 + np.exp(-(x @ self.weights + self.intercept)))
 
 
@@ -85,7 +92,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[np.ndarr
     """Weighted logistic regression by Newton steps on standardised features."""
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.hstack([(x - mean) / spread, np.ones((len(x), 1))])
-    w, ridge = np.zeros(z.shape[1]), np.diag([1e-3, 1e-3, 1e-3, 1e-6])
+    w, ridge = np.zeros(z.shape[1]), np.diag([1e-3] * x.shape[1] + [1e-6])
     cost = cost / cost.sum()
     for _ in range(30):
         p = 1 / (1 + np.exp(-z @ w))
@@ -111,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column
     ids, totals = common.labelled_ids(labels, label, F.lit(True) if keep is None else keep, per_class)
     if set(totals) != {0, 1}:
         share = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
-        return Model(b"", b"", np.zeros(3), float(np.log(share / (1 - share))))
+        return Model(b"", b"", np.zeros(FEATURES), float(np.log(share / (1 - share))))
     # ids: at most 2 * per_class rows of three numbers, so the broadcast is bounded by a parameter.
     ids = ids.withColumn("seen", F.pmod(F.xxhash64(F.lit("dictionary"), "doc_id"), F.lit(2)) == 0)
     texts = docs.select("doc_id", "text").where(F.octet_length("text") > 0).join(F.broadcast(ids), "doc_id").select("text", "y", "seen")
@@ -131,16 +138,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column
     # To the driver: at most per_class texts' TEXT_BLOCKS blocks of each class.
     blocks = sample.where("seen").mapInArrow(spread, "y int, block binary").orderBy(F.xxhash64("block"), "y").collect()
     good, bad = (_dictionary([bytes(r["block"]) for r in blocks if r["y"] == y]) for y in (1, 0))
-    model = Model(good, bad, np.zeros(3), 0.0)
+    model = Model(good, bad, np.zeros(FEATURES), 0.0)
 
     def measure(batches):
         for batch in batches:
             x = model.features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array(x[:, k]) for k in range(3))], ["y", "mean", "least", "most"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array(x[:, k]) for k in range(FEATURES))], ["y", *(f"x{k}" for k in range(FEATURES))])
 
-    measured = np.array([tuple(r) for r in sample.where("NOT seen").mapInArrow(measure, "y int, mean double, least double, most double").collect()])
+    measured = np.array([tuple(r) for r in sample.where("NOT seen").mapInArrow(measure, "y int, " + ", ".join(f"x{k} double" for k in range(FEATURES))).collect()])
     if len(measured) == 0 or len(set(measured[:, 0])) < 2:
-        return Model(b"", b"", np.zeros(3), float(np.log((totals[1] + 0.5) / (totals[0] + 0.5))))
+        return Model(b"", b"", np.zeros(FEATURES), float(np.log((totals[1] + 0.5) / (totals[0] + 0.5))))
     y = measured[:, 0]
     cost = np.where(y == 1, totals[1] / (y == 1).sum(), totals[0] / (y == 0).sum())
     model.weights, model.intercept = _calibrate(measured[:, 1:], y, cost)
