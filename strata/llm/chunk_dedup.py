@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 from strata.llm import common
 from strata.llm.kernels import slices, span_hashes
 
-REACH = 40
+REACH = 32
 LONGEST = 512
-SHORTEST = 41
+SHORTEST = 33
 _GEAR = np.random.Generator(np.random.PCG64(20240609)).integers(0, 2**32, 256, dtype=np.uint32)
 
 

@@ -45,8 +45,8 @@ from strata.llm.kernels import Words, mix, slices
 WORD_SHARE = 1e-6
 PAIR_SHARE = 1e-6
 GT_MAX = 5
-BUCKET_TOKENS = 8_000_000
-FLUSH_TOKENS = 1_500_000
+BUCKET_TOKENS = 4_000_000
+FLUSH_TOKENS = 800_000
 MIN_BUCKETS = 12
 HELD_OUT = (7, 2)
 START, END, RARE, FIRST_WORD = 0, 1, 2, 3
@@ -103,7 +103,7 @@ class Vocabulary:
 
     def slices_of(self) -> np.ndarray:
         """Number of slices of each history's successors."""
-        return np.maximum(1, -(-self.counts // (BUCKET_TOKENS // 8)))
+        return np.maximum(1, -(-self.counts // (BUCKET_TOKENS // 4)))
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
         """Class id of each word hash."""
@@ -349,7 +349,7 @@ def _occurrences(keyed: DataFrame, shared) -> DataFrame:
                 rare = classes == RARE
                 known = np.bincount(words.row[~rare], minlength=stop - first) + (v.counts[END] > 0)
                 n = words.count + 1
-                own = np.bincount(words.row[~rare], logs[classes[~rare]], stop - first) + logs[END] - n * np.log10(v.tokens + v.types + 1.0)
+                own = np.bincount(words.row[~rare], logs[classes[~rare]], stop - first).astype(float) + logs[END] - n * np.log10(v.tokens + v.types + 1.0)
                 held["rows"].append(batch.column(common.ROW_KEY).slice(first, stop - first).to_numpy())
                 held["pair"].append(keys)
                 held["pair_row"].append(row + base)
@@ -434,7 +434,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame, w
             keys, at = unpacked(r["word_keys"]), unpacked(r["word_rows"])
             hit, n = find(True, keys)
             own = np.log10(np.where(hit, n, 0) + 1.0)
-            total += np.bincount(at, own - rare_total, len(rows))
+            total = total + np.bincount(at, own - rare_total, len(rows))
             zero = np.zeros(len(rows))
             parts.append((rows, zero, zero, np.bincount(at[hit], minlength=len(rows)), np.bincount(at, own, len(rows)), total))
         columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64), *[np.zeros(0)] * 5]

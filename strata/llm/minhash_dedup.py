@@ -6,17 +6,20 @@ anything is paired, so exact copies cost one row per task and never meet each ot
 
 1. Each node gets 128 MinHash values, cut into 32 bands of 4. Two sets at the threshold 0.8
    share no band with probability 5e-8.
-2. Round one pairs every node of a bucket with the bucket's smallest node: linear in the
-   bucket. Candidates are compared 16 values at a time and dropped as soon as the posterior
+2. Round one pairs every node of a bucket with the bucket's leader, the node that shares its
+   buckets with most others (the text that the others are edits of): linear in the bucket.
+   Candidates are compared 16 values at a time and dropped as soon as the posterior
    probability (uniform prior) that their similarity reaches the threshold falls below
-   ``miss``; what survives is verified exactly on the full sets.
+   ``MISS``; what survives is verified exactly on the full sets.
 3. Round two takes the buckets whose nodes round one left in different components and tests
-   the remaining pairs across components, in blocks of bounded size with the same sequential
-   test, and verifies the survivors. After it every candidate pair is either tested or
-   inside one component, so no link between different texts is lost.
+   the remaining pairs across components in blocks of bounded size: the same sequential
+   test, then the full sets. A pair is tested in the first bucket that it shares, and a task
+   returns only links that join components it still sees apart, at most one per node. After
+   it every candidate pair is either tested or inside one component, so no link between
+   different texts is lost.
 4. Components by star contraction; a component's id is its smallest doc_id.
 
-Texts move only for documents of surviving pairs: a bit filter of fixed size (``FILTER_WORDS``
+Texts move only for one document of each node that shares a bucket: a bit filter of fixed size (``FILTER_WORDS``
 64-bit words, whatever the input) marks their ids, an exact join follows.
 
 Defined cases: null or empty texts have no set, size 0 and stay by themselves; so do rows
@@ -41,7 +44,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 STEP = 16
 MISS = 1e-7
-BLOCK = 256
+BLOCK = 512
 FILTER_WORDS = 1 << 20
 SHINGLE, PIPELINE_SHINGLE = 4, 5
 
@@ -149,19 +152,33 @@ def _sizes_fit(a: str, b: str):
     return F.least(a, b) * THRESHOLD[1] >= F.greatest(a, b) * THRESHOLD[0]
 
 
-def band_rows(nodes: DataFrame) -> DataFrame:
-    """(bucket, node): every band of every node."""
+def _band_keys(signatures: np.ndarray) -> np.ndarray:
+    """Bucket of every band of every signature."""
+    halves = np.ascontiguousarray(signatures).view(np.uint64).reshape(len(signatures), BANDS, ROWS // 2)
+    key = np.broadcast_to(mix(np.arange(1, BANDS + 1).astype(np.uint64)), halves.shape[:2])
+    for k in range(ROWS // 2):
+        key = mix(key * np.uint64(0x9FB21C651E98DF25) + halves[:, :, k])
+    return key.view(np.int64)
+
+
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, m) of every band whose bucket holds m > 1 nodes."""
     def run(batches):
-        salt = mix(np.arange(1, BANDS + 1).astype(np.uint64))
         for batch in batches:
             if batch.num_rows:
-                halves = _matrix(batch.column("signature")).view(np.uint64).reshape(batch.num_rows, BANDS, ROWS // 2)
-                key = np.broadcast_to(salt, halves.shape[:2])
-                for k in range(ROWS // 2):
-                    key = mix(key * np.uint64(0x9FB21C651E98DF25) + halves[:, :, k])
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], ["bucket", "node"])
+                keys = _band_keys(_matrix(batch.column("signature")))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(batch.column("node").to_numpy(), BANDS))], ["bucket", "node"])
+
+    bands = nodes.select("node", "signature").mapInArrow(run, "bucket long, node long")
+    sizes = bands.groupBy("bucket").agg(F.count("*").alias("m")).where(F.col("m") > 1)
+    return bands.join(sizes, "bucket")
 
-    return nodes.select("node", "signature").mapInArrow(run, "bucket long, node long")
+
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): every node of a bucket with the leader of the bucket."""
+    weights = shared.groupBy("node").agg(F.sum("m").alias("weight"))
+    leaders = shared.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("leader"))
+    return shared.join(leaders, "bucket").where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _tested(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -189,10 +206,9 @@ def _marked(wanted: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    pairs = common.staged(pairs.distinct(), "pairs")
-    wanted = common.staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id"), "node"), "wanted")
+def node_sets(wanted: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes, by the text of one document (wanted: node, doc_id)."""
+    wanted = common.staged(wanted, "wanted")
     marked = docs.sparkSession.sparkContext.broadcast(_marked(wanted))
 
     def pick(batches):
@@ -214,52 +230,66 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
                     sets_.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), pa.array(sets_, pa.binary())], ["node", "shingles"])
 
-    by_node = found.join(wanted.select("doc_id"), "doc_id", "left_semi").select("text").mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
-    by_node = common.staged(by_node, "shingles")
-    side = lambda x: by_node.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
+    texts = found.join(wanted.select("doc_id"), "doc_id", "left_semi").select("text")
+    return texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"])
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return THRESHOLD[1] * both >= THRESHOLD[0] * (len(a) + len(b) - both)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
 
     def confirm(batches):
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("s_a", "s_b"))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if THRESHOLD[1] * both >= THRESHOLD[0] * (len(a) + len(b) - both):
-                    keep.append(i)
-            keep = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], ["a", "b"])
+            keep = [i for i in range(batch.num_rows) if _linked(*(np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("s_a", "s_b")))]
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "s_a", "s_b")
     return joined.mapInArrow(confirm, "a long, b long")
 
 
-def _across(bands: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Untested pairs of one bucket and two components that pass the sequential test."""
-    placed = bands.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    open_ = (placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("leader"), F.count("*").alias("m"))
-             .where((F.col("lo") != F.col("hi")) & (F.col("m") > 2)).select("bucket", "leader", "m"))
+def links_across(shared: DataFrame, nodes: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): roots of components that some pair of a bucket still to be tested links."""
+    placed = shared.join(roots, "node", "left").select("bucket", "node", "m", F.coalesce("root", "node").alias("root"))
+    mixed = (placed.where(F.col("m") > 2).groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+             .where(F.col("lo") != F.col("hi")).select("bucket"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = (placed.join(open_, "bucket").where(F.col("node") != F.col("leader"))
-               .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    members = placed.join(mixed, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # Block pair (i, j), i <= j: a member of block k joins (min(k, x), max(k, x)) for every block x.
     dealt = (members.withColumn("x", F.explode(F.expr("sequence(0, blocks - 1)")))
              .select("bucket", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "block", "node", "root")
-             .join(nodes.select("node", "n_shingles", "signature"), "node"))
+             .join(nodes.select("node", "n_shingles", "signature").join(sets, "node"), "node"))
 
     def test(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        block, node, root, size = (table.column(c).to_numpy() for c in ("block", "node", "root", "n_shingles"))
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        block, root, size = (table.column(c).to_numpy() for c in ("block", "root", "n_shingles"))
+        bucket, i, j = (table.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+        shingles = table.column("shingles").chunk(0)
         signatures = _matrix(table.column("signature").chunk(0))
+        keys = _band_keys(signatures)
+        here = keys == bucket
+        group = root.copy()  # components as this task sees them, after the links it found
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out_a, out_b = [], []
         for x in left:
-            y = right[(node[right] > node[x]) | (i != j)]
-            y = y[(root[y] != root[x]) & (np.minimum(size[y], size[x]) * THRESHOLD[1] >= np.maximum(size[y], size[x]) * THRESHOLD[0])]
+            y = right[right > x] if i == j else right
+            y = y[(group[y] != group[x]) & (np.minimum(size[y], size[x]) * THRESHOLD[1] >= np.maximum(size[y], size[x]) * THRESHOLD[0])]
+            if len(y):
+                same = keys[y] == keys[x]
+                y = y[here[x][same.argmax(axis=1)]]  # the first band that the pair shares is this bucket's
             if len(y):
                 y = y[_sequential(np.broadcast_to(signatures[x], (len(y), HASHES)), signatures[y])]
-                out_a += np.minimum(node[x], node[y]).tolist()
-                out_b += np.maximum(node[x], node[y]).tolist()
+            mine = np.frombuffer(shingles[x].as_buffer(), np.uint64)
+            for z in y:
+                if group[z] != group[x] and _linked(mine, np.frombuffer(shingles[z].as_buffer(), np.uint64)):
+                    out_a.append(root[x])
+                    out_b.append(root[z])
+                    group[group == group[z]] = group[x]
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     return dealt.groupBy("bucket", "i", "j").applyInArrow(test, "a long, b long")
@@ -271,14 +301,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     rows = common.staged(document_sets(docs, shingle), "sets")
     nodes = common.staged(rows.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node")
                           .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "nodes")
-    bands = band_rows(nodes)
-    leaders = bands.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("m")).where(F.col("m") > 1).drop("m")
-    star = bands.join(leaders, "bucket").where(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = common.staged(_verified(_tested(star, nodes), nodes, docs, shingle), "links")
-    roots = common.staged(graph.components(first), "roots")
-    second = common.staged(_verified(_across(bands, nodes, roots), nodes, docs, shingle), "links")
-    if not second.isEmpty():
-        roots = common.staged(graph.components(first.unionByName(second)), "roots")
+    shared = common.staged(shared_buckets(nodes), "buckets")
+    sets = common.staged(node_sets(shared.select("node").distinct().join(nodes.select("node", "doc_id"), "node"), docs, shingle), "shingles")
+    roots = graph.components(_verified(_tested(star_pairs(shared), nodes), sets))
+    more = common.staged(links_across(shared, nodes, sets, roots), "links")
+    if not more.isEmpty():
+        joined = graph.components(more).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        # Nodes without a link in round one are their own roots.
+        alone = joined.join(roots.select("node"), F.col("root") == F.col("node"), "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
+        roots = roots.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root")).unionByName(alone)
     rooted = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
     ids = rooted.join(least, "root").select("node", "least")

@@ -34,6 +34,7 @@ CAPACITY = 2048
 END_ID = 0
 GROUP_ROWS = 50_000
 SWEEPS = 40
+SHARES = (1.0, 0.8, 0.5, 0.0)
 _BATCH_CHARS = 1 << 20
 
 
@@ -160,21 +161,31 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return [entry for group in open_ for entry in group]
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) pairs that hold exactly ``counts[l]`` pieces of every length l."""
-    left = counts.copy()
-    found = patterns(np.flatnonzero(left), capacity)
-    x, out = fit_counts(left, found), []
+def _rounded(counts: np.ndarray, found: list[tuple[int, ...]], x: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The fitted repeat counts rounded within what is there, largest first, and the rest packed best-fit."""
+    left, out = counts.copy(), []
     for k in np.argsort(-x, kind="stable"):
-        repeats = int(np.floor(x[k] + 0.5))
+        if x[k] < 0.5:
+            break
         lengths, times = np.unique(found[k], return_counts=True)
-        repeats = min(repeats, int((left[lengths] // times).min()))
+        repeats = min(int(np.floor(x[k] + 0.5)), int((left[lengths] // times).min()))
         if repeats > 0:
             left[lengths] -= times * repeats
             out.append((found[k], repeats))
     return out + best_fit(left, capacity)
 
 
+def plan(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) pairs that hold exactly ``counts[l]`` pieces of every length l.
+
+    Where few lengths occur, exact patterns can use up the short pieces that the long ones
+    need: the fit is rounded at several shares and the plan with the fewest sequences stays.
+    """
+    found = patterns(np.flatnonzero(counts), capacity)
+    x = fit_counts(counts, found)
+    return min((_rounded(counts, found, x * share, capacity) for share in SHARES), key=lambda p: sum(times for _, times in p))
+
+
 @dataclass
 class Slots:
     """The plan by length: entry k serves ranks from ``first[k]`` on of its length."""
