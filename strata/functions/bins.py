@@ -13,6 +13,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .types import number
+
 LABEL_PRECISION = 3
 
 
@@ -58,5 +60,5 @@ def apply_bins(df: DataFrame, specs: Sequence[BinSpec] | None) -> DataFrame:
     for spec in specs or []:
         if spec.column not in df.columns or len(spec.edges) < 2:
             continue
-        df = df.withColumn(spec.column, bin_column(F.col(spec.column), spec.edges, spec.labels))
+        df = df.withColumn(spec.column, bin_column(number(df, spec.column), spec.edges, spec.labels))
     return df

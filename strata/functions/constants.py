@@ -20,6 +20,11 @@ NA_TOKENS = tuple(sorted(set(PANDAS_DEFAULT_NA) | set(EXTRA_NA)))
 # CSV encodings tried in order.
 CSV_ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 
+# Patterns of the numeric salvage, in the order they are applied.
+MONEY_SEPARATORS = r"[,\s]"
+MONEY_SIGN = r"^[$€£]\s?"
+PERCENT = "%"
+
 # Numeric salvage.
 NUMERIC_SHARE_THRESHOLD = 0.9
 NUMERIC_MIN_DISTINCT = 2  # strictly more than this many distinct raw values (tested as: a value besides min and max)
@@ -33,13 +38,12 @@ HIGH_MISSING_SHARE = 0.7
 NEAR_ZERO_CV = 0.01
 MIN_ROWS_FOR_VARIANCE = 4
 MAX_CATEGORICAL_CARDINALITY = 25
-DATE_SAMPLE_SIZE = 20
-DATE_SAMPLE_MIN = 3
+DATE_MIN_VALUES = 3
 
 # Preparation.
+IMPUTATION_NAMES = {"mode": "most_frequent", "most_frequent": "most_frequent", "mean": "mean", "median": "median"}
 MAX_ONEHOT_LEVELS = 12
 INFREQUENT_SUFFIX = "infrequent_sklearn"
-ENABLE_PCA = False
 
 # Clustering.
 RANDOM_SEED = 42
@@ -51,8 +55,6 @@ FLAT_CURVE_SPREAD = 0.03
 FLAT_MAX_K = 4
 REFINE_THRESHOLD = 0.25
 MAX_REFINEMENT_ITERATIONS = 2
-SILHOUETTE_SAMPLE = 10_000          # sample size the reference plans for large tables
-EXACT_SILHOUETTE_ROWS = 50_000      # ours: above this, segment() scores on the sample
 
 # Quality and caution ladders.
 CAUTION_LEVELS = ("baja", "media", "alta")

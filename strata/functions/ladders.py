@@ -12,35 +12,29 @@ from . import constants as K
 CAUTION_RANK = {lvl: i for i, lvl in enumerate(K.CAUTION_LEVELS)}
 
 
-def score_unavailable(score) -> bool:
-    """None, non-numbers, booleans, NaN and ±Inf are not usable silhouettes."""
-    if isinstance(score, bool) or not isinstance(score, numbers.Real):
-        return True
-    return not math.isfinite(float(score))
+def _rung(value, rungs, otherwise, below: bool):
+    """Outcome of the first rung the value stands on: under its bound, or at least at it."""
+    return next((rest[0] if len(rest) == 1 else rest for bound, *rest in rungs if (value < bound if below else value >= bound)), otherwise)
+
+
+def finite(score) -> float | None:
+    """The score as a float; None for anything that is no finite number (a truth value is none)."""
+    number = isinstance(score, numbers.Real) and not isinstance(score, bool)
+    return float(score) if number and math.isfinite(score) else None
 
 
 def caution_from_silhouette(score) -> str:
-    if score_unavailable(score) or score < K.CAUTION_SILHOUETTE[0][0]:
-        return "alta"
-    if score < K.CAUTION_SILHOUETTE[1][0]:
-        return "media"
-    return "baja"
+    known = finite(score)
+    return _rung(-math.inf if known is None else known, K.CAUTION_SILHOUETTE, K.CAUTION_LEVELS[0], below=True)
 
 
 def caution_from_group_size(n: int) -> str:
-    for bound, level in K.CAUTION_GROUP_SIZE:
-        if n < bound:
-            return level
-    return "baja"
+    return _rung(n, K.CAUTION_GROUP_SIZE, K.CAUTION_LEVELS[0], below=True)
 
 
 def quality_grade(score) -> tuple[str, str]:
-    if score_unavailable(score):
-        return K.GRADE_MISSING
-    for bound, grade, label in K.GRADE_LADDER:
-        if score >= bound:
-            return grade, label
-    return K.GRADE_FLOOR
+    known = finite(score)
+    return K.GRADE_MISSING if known is None else tuple(_rung(known, K.GRADE_LADDER, K.GRADE_FLOOR, below=False))
 
 
 def raise_caution(current: str | None, floor: str) -> str:

@@ -16,7 +16,9 @@ from typing import Any, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .types import dtype_of, is_numeric, is_string
+from pyspark.sql import types as T
+
+from .types import dtype_of, is_floating, is_numeric, is_string, present, q
 
 OPS = ("eq", "ne", "gt", "lt", "gte", "lte", "in", "contains")
 
@@ -63,7 +65,9 @@ def predicate(df: DataFrame, cond: Filter) -> Column | None:
     if cond.column not in df.columns:
         return None
     dt = dtype_of(df, cond.column)
-    c = F.col(cond.column)
+    # NaN is missing: it must not compare as the largest number. Other columns stay plain, the
+    # form that Parquet/ORC pushdown recognises.
+    c = present(df, cond.column) if is_floating(dt) else q(cond.column)
     val = cond.value
     numeric = is_numeric(dt)
     stringy = is_string(dt)
@@ -72,6 +76,10 @@ def predicate(df: DataFrame, cond: Filter) -> Column | None:
         if val is None:
             return None
     op = cond.op
+    if isinstance(dt, T.BooleanType) and op not in ("in", "contains") and not isinstance(val, bool):
+        if not isinstance(val, (int, float)):
+            return F.lit(op == "ne")  # text equals no truth value and has no order with one
+        c = c.cast("int")
     # Plain comparisons: inside WHERE and conditional aggregates a NULL result acts as false,
     # and plain forms are what Parquet/ORC pushdown recognises (a coalesce wrapper is not).
     if op in ("eq", "ne"):

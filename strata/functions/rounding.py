@@ -16,15 +16,6 @@ def round_half_even(col: Column | str, digits: int) -> Column:
     return F.bround(c.cast("double") * F.lit(scale), 0) / F.lit(scale)
 
 
-def py_round_half_even(x: float | None, digits: int) -> float | None:
-    """Driver-side twin for scalar results (numpy semantics)."""
-    if x is None:
-        return None
-    import numpy as np
-
-    return float(np.round(float(x), digits))
-
-
 def null_if_not_finite(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(None)).otherwise(c)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.rounding import round_half_even
-from .stats import quantiles
+from ..functions.types import number, present, q
+from .quantiles import exact_quantiles, group_key
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
@@ -16,8 +17,7 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
 
     Empty bins are present with n = 0. Bin bounds come from one scalar aggregate.
     """
-    x = F.col(column).cast("double")
-    vals = df.select(x.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    vals = df.select(number(df, column).alias("v")).where(F.col("v").isNotNull())
     stats = vals.agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     bins_expr = F.least(F.lit(K.HIST_MAX_BINS), F.greatest(F.lit(K.HIST_MIN_BINS),
                         F.floor(F.sqrt(F.col("cnt")) + 0.5).cast("int")))
@@ -38,31 +38,22 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
                     F.coalesce(F.col("n"), F.lit(0)).alias("n")))
 
 
+def _boxes(df: DataFrame, columns: Sequence[str], keys: Sequence[str], digits: int | None) -> DataFrame:
+    """(keys..., column, n, min, q1, median, q3, max) per group and column, NULL keys kept."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), number(df, c).alias("v")) for c in columns])
+    plain = (df.select(group_key(keys).alias("__k"), F.inline(cells)).where(F.col("v").isNotNull())
+             .groupBy("__k", "column").agg(F.count("*").alias("n"), F.min("v").alias("min"), F.max("v").alias("max")))
+    quartiles = exact_quantiles(df, columns, (0.25, 0.5, 0.75), keys).select(group_key(keys).alias("__k"), "column", "q")
+    out = plain.join(quartiles, ["__k", "column"])
+    values = {"min": F.col("min"), "q1": F.col("q")[0], "median": F.col("q")[1], "q3": F.col("q")[2], "max": F.col("max")}
+    shown = [(v if digits is None else round_half_even(v, digits)).alias(n) for n, v in values.items()]
+    return out.select(*[F.col("__k")[f"k{i}"].alias(k) for i, k in enumerate(keys)], "column", "n", *shown)
+
+
 def box_by_category(df: DataFrame, x: str, y: str, digits: int | None = None) -> DataFrame:
-    """Min, q1, median, q3, max of ``y`` per ``x`` category (finite values only)."""
-    from .quantiles import auto_quantile_method, exact_quantile_array
-
-    v = F.col(y).cast("double")
-    src = df.select(F.col(x).cast("string").alias(x), v.alias("__v")).where(
-        F.col("__v").isNotNull() & ~F.isnan("__v"))
-    if auto_quantile_method(src, ["__v"])["__v"] == "sort":
-        out = src.groupBy(x).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("min"), F.max("__v").alias("max"))
-        out = out.join(exact_quantile_array(src, "__v", [0.25, 0.5, 0.75], [x]).withColumnRenamed("q", "__q"),
-                       x, "left")
-    else:
-        q = quantiles("__v", [0.25, 0.5, 0.75])
-        out = src.groupBy(x).agg(F.count(F.lit(1)).alias("n"), F.min("__v").alias("min"), q.alias("__q"),
-                                 F.max("__v").alias("max"))
-    cols = [F.col("min"), F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-            F.col("__q")[2].alias("q3"), F.col("max")]
-    if digits is not None:
-        cols = [round_half_even(c, digits).alias(n) for c, n in zip(cols, ["min", "q1", "median", "q3", "max"])]
-    return out.select(x, "n", *cols)
-
-
-def box_has_spread(box: DataFrame) -> bool:
-    """G4 guard: a box needs some category with at least 2 values."""
-    return not box.where(F.col("n") >= 2).isEmpty()
+    """Min, q1, median, q3, max of ``y`` per ``x`` category, a NULL category included."""
+    src = df.select(present(df, x).cast("string").alias("x"), q(y).alias("y"))
+    return _boxes(src, ["y"], ["x"], digits).drop("column").withColumnRenamed("x", x)
 
 
 def series_pivot(df: DataFrame, x: str, color: str, y: str, colors: Sequence[str] | None = None) -> DataFrame:
@@ -71,33 +62,15 @@ def series_pivot(df: DataFrame, x: str, color: str, y: str, colors: Sequence[str
     Pass ``colors`` when known; otherwise Spark collects the distinct values (bounded by
     ``spark.sql.pivotMaxValues``).
     """
-    g = df.groupBy(F.col(x).cast("string").alias(x))
-    piv = g.pivot(color, list(colors) if colors is not None else None).agg(F.first(F.col(y).cast("double")))
-    value_cols = [c for c in piv.columns if c != x]
-    return piv.na.fill(0.0, subset=value_cols)
+    src = df.select(q(x).cast("string").alias("x"), q(color).alias("color"), q(y).cast("double").alias("y"))
+    piv = src.groupBy("x").pivot("color", list(colors) if colors is not None else None).agg(F.first("y"))
+    return piv.select(F.col("x").alias(x), *[F.coalesce(q(c), F.lit(0.0)).alias(c) for c in piv.columns if c != "x"])
 
 
 def box_stats(labelled: DataFrame, numeric_cols: Sequence[str], cluster_col: str = "cluster",
               digits: int = 3) -> DataFrame:
     """(column, cluster, min, q1, median, q3, max) rounded to 3 dp; empty groups omitted."""
-    from .quantiles import auto_quantile_method, exact_quantile_array
-
-    lv = labelled.select(cluster_col, *[F.col(c).cast("double").alias(c) for c in numeric_cols]) \
-        .unpivot([cluster_col], list(numeric_cols), "column", "v").where(F.col("v").isNotNull() & ~F.isnan("v"))
-    if "sort" in auto_quantile_method(labelled, list(numeric_cols)).values():
-        out = lv.groupBy("column", cluster_col).agg(F.min("v").alias("min"), F.max("v").alias("max")).join(
-            exact_quantile_array(lv, "v", [0.25, 0.5, 0.75], ["column", cluster_col]).withColumnRenamed("q", "__q"),
-            ["column", cluster_col], "left")
-    else:
-        q = quantiles("v", [0.25, 0.5, 0.75])
-        out = lv.groupBy("column", cluster_col).agg(F.min("v").alias("min"), q.alias("__q"), F.max("v").alias("max"))
-    return out.select(
-        "column", cluster_col,
-        round_half_even(F.col("min"), digits).alias("min"),
-        round_half_even(F.col("__q")[0], digits).alias("q1"),
-        round_half_even(F.col("__q")[1], digits).alias("median"),
-        round_half_even(F.col("__q")[2], digits).alias("q3"),
-        round_half_even(F.col("max"), digits).alias("max"))
+    return _boxes(labelled, list(numeric_cols), [cluster_col], digits).select("column", q(cluster_col), "min", "q1", "median", "q3", "max")
 
 
 def radar(numeric_profile: DataFrame, axes: Sequence[str], cluster_col: str = "cluster") -> DataFrame:
@@ -113,12 +86,6 @@ def radar(numeric_profile: DataFrame, axes: Sequence[str], cluster_col: str = "c
     return p.select("axis", cluster_col, scaled.alias("value"), round_half_even(F.col("raw"), 3).alias("raw_value"))
 
 
-def histogram_bins_for(n: int) -> int:
-    return min(K.HIST_MAX_BINS, max(K.HIST_MIN_BINS, int(n ** 0.5 + 0.5)))
-
-
-
-
 def pca_map(df: DataFrame, features: str = "features", label: str = "cluster", keep=(), digits: int = 4
             ) -> DataFrame:
     """G1: two PCA axes (4 dp) plus the label.

@@ -8,15 +8,18 @@ from __future__ import annotations
 from typing import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.rounding import round_half_even
-from .stats import quantiles, value_freq
+from ..functions.types import number, q
+from ..session import staged
+from .quantiles import exact_quantiles, group_key
+from .stats import modes, value_freq
 
 NOISE = -1
-BROADCAST_CLUSTERS = 10_000
 
 
 def as_array(df: DataFrame, features: str) -> DataFrame:
@@ -90,9 +93,7 @@ def davies_bouldin(df: DataFrame, features: str = "features", label: str = "clus
     cen = centroids(df, features, label).groupBy(label).agg(
         F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("c"))
     cen = cen.select(label, F.col("c.mean").alias("centroid"))
-    # the centroid table has one row per cluster: broadcast only when that count is checked small
-    small = cen.limit(BROADCAST_CLUSTERS + 1).count() <= BROADCAST_CLUSTERS
-    s = a.join(F.broadcast(cen) if small else cen, label).select(label, F.sqrt(F.aggregate(
+    s = a.join(cen, label).select(label, F.sqrt(F.aggregate(
         F.zip_with(features, "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v))
         .alias("d")).groupBy(label).agg(F.avg("d").alias("s"))
     cs = cen.join(s, label)
@@ -114,146 +115,125 @@ def davies_bouldin(df: DataFrame, features: str = "features", label: str = "clus
 
 # ---------------------------------------------------------------- silhouette
 
-EXACT_CHUNK_ROWS = 20000
-PAIRS_PER_TASK = 20_000_000  # distance evaluations per silhouette task
-
-
-def spark_parallelism(df: DataFrame) -> int:
-    return df.sparkSession.sparkContext.defaultParallelism
-
-
-def _chunk_distance_sums(points: DataFrame, chunk: np.ndarray, chunk_labels: np.ndarray, k: int,
-                         features: str, chunk_weights: np.ndarray | None = None) -> DataFrame:
-    """Per point: (weighted) sum of Euclidean distances to the chunk's members of each cluster."""
-    spark = points.sparkSession
-    if chunk_weights is None:
-        chunk_weights = np.ones(len(chunk_labels))
-    bc = spark.sparkContext.broadcast((chunk, chunk_labels, chunk_weights))
-
-    def fn(batches):
-        import numpy as _np
-        import pandas as _pd
-
-        ref, lab, wts = bc.value
-        onehot = _np.zeros((len(lab), k))
-        onehot[_np.arange(len(lab)), lab] = wts
-        rr = (ref * ref).sum(1)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            X = _np.stack(pdf["__f"].to_numpy()).astype(_np.float64)
-            out = _np.zeros((len(X), k))
-            xx = (X * X).sum(1)
-            # Gram form (one BLAS product per block, as scikit-learn computes it), clipped at 0
-            step = max(1, int(8_000_000 // max(1, ref.shape[0])))
-            for s in range(0, len(X), step):
-                d2 = xx[s:s + step, None] + rr[None, :] - 2.0 * (X[s:s + step] @ ref.T)
-                out[s:s + step] = _np.sqrt(_np.maximum(d2, 0.0)) @ onehot
-            yield _pd.DataFrame({"__pid": pdf["__pid"].to_numpy(), "__li": pdf["__li"].to_numpy(),
-                                 "__w": pdf["__w"].to_numpy(), "__sums": list(out)})
-
-    return points.mapInPandas(fn, "__pid long, __li int, __w double, __sums array<double>")
-
-
-def silhouette(df: DataFrame, features: str = "features", label: str = "cluster", sample_size: int | None = None,
-               seed: int = 42, chunk_rows: int = EXACT_CHUNK_ROWS, weight: str | None = None) -> float | None:
-    """Mean Euclidean silhouette (NOT the squared-distance variant of ClusteringEvaluator).
-
-    Exact by default: the reference set is collected in bounded chunks of ``chunk_rows``
-    and broadcast; every point gets per-cluster distance sums in ``mapInPandas`` — one
-    output row per point, never one per pair. ``sample_size`` switches to the sampled
-    estimate on a deterministic hash sample (the same rows are scored and referenced).
-    Returns None for fewer than 2 clusters or more clusters than n − 1.
-
-    ``weight`` names a multiplicity column (identical rows collapsed into one): the result
-    equals the silhouette over the expanded rows, at the cost of the distinct rows only.
+BLOCK_BYTES = 8 << 20  # features of one block of points: what a task holds twice
+
+
+def _block_sums(k: int):
+    """Function of one pair of blocks: per point of the first, distance sums to each cluster of the second."""
+    def sums(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        of, x = table.column("of").to_numpy(), np.stack(table.column("x").to_numpy())
+        target, refs = np.flatnonzero(of), np.flatnonzero(~of)
+        label, weight = table.column("li").to_numpy()[refs], table.column("w").to_numpy()[refs]
+        member = np.zeros((len(refs), k))
+        member[np.arange(len(refs)), label] = weight
+        r = x[refs]
+        rr = (r * r).sum(axis=1)
+        out = np.zeros((len(target), k))
+        step = max(1, 4_000_000 // max(1, len(refs)))
+        for a in range(0, len(target), step):
+            t = x[target[a:a + step]]
+            gram = (t * t).sum(axis=1)[:, None] + rr[None, :] - 2.0 * (t @ r.T)
+            out[a:a + step] = np.sqrt(np.maximum(gram, 0.0)) @ member
+        columns = [table.column(c).take(pa.array(target)) for c in ("pid", "li", "w")]
+        return pa.table([*columns, pa.array(list(out), pa.list_(pa.float64()))], names=["pid", "li", "w", "sums"])
+
+    return sums
+
+
+def _labelled_points(df: DataFrame, features: str, label: str, weight: str | None) -> tuple[DataFrame, list[int], list[float]]:
+    """(l, x, w) of the rows that are not noise, the labels in order, and their weights."""
+    points = as_array(df, features).where(q(label) != NOISE).select(
+        q(label).cast("int").alias("l"), q(features).alias("x"), (q(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    sizes = {int(r["l"]): float(r["n"]) for r in points.groupBy("l").agg(F.sum("w").alias("n")).collect()}
+    labels = sorted(sizes)
+    return points, labels, [sizes[x] for x in labels]
+
+
+def silhouette(df: DataFrame, features: str = "features", label: str = "cluster", weight: str | None = None,
+               block_bytes: int = BLOCK_BYTES) -> float | None:
+    """Mean Euclidean silhouette over all rows (NOT the squared-distance variant of Spark ML).
+
+    Points are dealt to blocks of about ``block_bytes`` of features by a hash. Each ordered pair
+    of blocks is one group of an Arrow function, which returns per point its distance sums to
+    every cluster of the other block (one output row per point, never one per pair); the
+    sums of a point's blocks are added by Spark. The work is quadratic in the rows, the driver
+    sees only the cluster sizes and the mean.
+
+    None for fewer than 2 clusters or more clusters than n − 1; 0 for a point alone in its
+    cluster or with all distances 0. ``weight`` names a multiplicity column: the result equals
+    the silhouette over the expanded rows.
     """
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    a = as_array(df, features).where(F.col(label) != NOISE).select(
-        F.col(label).cast("int").alias("__l"), F.col(features).alias("__f"), w.alias("__w"))
-    if sample_size is not None:
-        a = a.withColumn("__h", F.xxhash64("__f", F.lit(seed))).orderBy("__h").limit(sample_size).drop("__h")
-    sizes = {int(r["__l"]): float(r["n"]) for r in a.groupBy("__l").agg(F.sum("__w").alias("n")).collect()}
-    n = sum(sizes.values())
-    k = len(sizes)
+    points, labels, counts = _labelled_points(df, features, label, weight)
+    n, k = sum(counts), len(labels)
     if k < 2 or k > n - 1:
         return None
-    labels = sorted(sizes)
-    index = {lab: i for i, lab in enumerate(labels)}
-    counts = [sizes[lab] for lab in labels]
-    lmap = F.create_map(*[x for lab, i in index.items() for x in (F.lit(lab), F.lit(i))])
-    n_rows = int(a.count() if weight else n)
-    pts = a.select(F.monotonically_increasing_id().alias("__pid"), lmap[F.col("__l")].alias("__li"), "__f", "__w")
-    if n_rows > chunk_rows:
-        from ..session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(df.sparkSession)
-        pts = pts.checkpoint(eager=True)
-    else:
-        pts = pts.cache()
-    n = int(n)
-    # spread the pair work: each task scores ~PAIRS_PER_TASK point–reference distances
-    work_parts = max(1, min(4 * spark_parallelism(df), -(-n_rows * min(n_rows, chunk_rows) // PAIRS_PER_TASK)))
-    scored = pts.repartition(work_parts) if work_parts > 1 else pts.coalesce(1)
-    partials = []
-    # driver loop over bounded chunks of the reference set (each ≤ chunk_rows × dims doubles)
-    n_chunks = (n_rows + chunk_rows - 1) // chunk_rows
-    for ci in range(n_chunks):
-        part = pts.where((F.col("__pid") % n_chunks) == ci) if n_chunks > 1 else pts
-        rows = part.select("__li", "__f", "__w").collect()
-        ref = np.array([r["__f"] for r in rows], dtype=np.float64)
-        lab = np.array([r["__li"] for r in rows], dtype=np.int64)
-        wts = np.array([r["__w"] for r in rows], dtype=np.float64)
-        partials.append(_chunk_distance_sums(scored, ref, lab, k, "__f", wts))
-    sums = partials[0]
-    for p in partials[1:]:
-        sums = sums.unionByName(p)
-    if len(partials) > 1:
-        sums = sums.groupBy("__pid", "__li", "__w").agg(F.collect_list("__sums").alias("__all")).select(
-            "__pid", "__li", "__w", F.aggregate("__all", F.array_repeat(F.lit(0.0), k),
-                                         lambda acc, v: F.zip_with(acc, v, lambda x, y: x + y)).alias("__sums"))
-    cnt = F.array(*[F.lit(float(c)) for c in counts])
-    own_n = cnt[F.col("__li")]
-    a_i = F.col("__sums")[F.col("__li")] / (own_n - 1)
-    mean_to = F.transform(F.col("__sums"), lambda v, i: F.when(i != F.col("__li"), v / F.element_at(cnt, i + 1)))
-    b_i = F.array_min(F.filter(mean_to, lambda v: v.isNotNull()))
-    s_i = F.when(own_n <= 1, F.lit(0.0)).otherwise((b_i - a_i) / F.greatest(a_i, b_i))
-    val = sums.select(F.coalesce(s_i, F.lit(0.0)).alias("s"), "__w").agg(
-        F.sum(F.col("s") * F.col("__w")) / F.sum("__w")).first()[0]
-    pts.unpersist()
-    return None if val is None else float(val)
+    index = F.create_map(*[x for i, one in enumerate(labels) for x in (F.lit(one), F.lit(i))])
+    # Written once: a point's id must be the same in all its pairs of blocks.
+    fixed = staged(points.select(F.monotonically_increasing_id().alias("pid"), index[F.col("l")].alias("li"), "x", "w"), "points")
+    rows, width = fixed.agg(F.count("*"), F.max(F.size("x"))).first()
+    blocks = max(1, -(-rows * 8 * max(1, width) // block_bytes))
+    dealt = fixed.withColumn("b", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    both = dealt.select(F.col("b").alias("i"), F.col("o").alias("j"), F.lit(True).alias("of"), "pid", "li", "x", "w").unionByName(
+        dealt.select(F.col("o").alias("i"), F.col("b").alias("j"), F.lit(False).alias("of"), "pid", "li", "x", "w"))
+    sums = both.groupBy("i", "j").applyInArrow(_block_sums(k), "pid long, li int, w double, sums array<double>")
+    added = sums.groupBy("pid", "li", "w").agg(F.array(*[F.sum(F.col("sums")[c]) for c in range(k)]).alias("sums"))
+    size = F.array(*[F.lit(c) for c in counts])
+    own = size[F.col("li")]
+    inner = F.col("sums")[F.col("li")] / (own - 1)
+    means = F.transform("sums", lambda s, c: F.when(c != F.col("li"), s / F.element_at(size, c + 1)))
+    outer = F.array_min(F.filter(means, lambda m: m.isNotNull()))
+    widest = F.greatest(inner, outer)
+    score = F.when((own <= 1) | (widest == 0), 0.0).otherwise((outer - inner) / widest)
+    value = added.agg(F.sum(score * F.col("w")) / F.sum("w")).first()[0]
+    return None if value is None else float(value)
+
+
+def centroid_silhouette(df: DataFrame, features: str = "features", label: str = "cluster", weight: str | None = None) -> float | None:
+    """Simplified silhouette over all rows, by distances to the cluster centres: linear work.
+
+    A score of its own, not an estimate of ``silhouette``: for a row, (b − a) / max(a, b) with a
+    the distance to its own centre and b to the nearest other one.
+    """
+    points, labels, counts = _labelled_points(df, features, label, weight)
+    if len(labels) < 2 or len(labels) > sum(counts) - 1:
+        return None
+    cells = points.select("l", "w", F.posexplode("x").alias("dim", "v"))
+    rows = cells.groupBy("l", "dim").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("m")).collect()  # clusters × dimensions
+    centre: dict[int, dict[int, float]] = {}
+    for r in rows:
+        centre.setdefault(r["l"], {})[r["dim"]] = r["m"]
+
+    def to(one: int):
+        middle = F.array(*[F.lit(centre[one][d]) for d in sorted(centre[one])])
+        return F.sqrt(F.aggregate(F.zip_with("x", middle, lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda acc, v: acc + v))
+
+    far = points.select("l", "w", F.array(*[F.struct(F.lit(one).alias("l"), to(one).alias("d")) for one in labels]).alias("far"))
+    own = F.filter("far", lambda s: s["l"] == F.col("l"))[0]["d"]
+    other = F.array_min(F.transform(F.filter("far", lambda s: s["l"] != F.col("l")), lambda s: s["d"]))
+    score = far.select("w", own.alias("a"), other.alias("b")).select("w", F.when(F.greatest("a", "b") == 0, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
+    value = score.agg(F.sum(F.col("s") * F.col("w")) / F.sum("w")).first()[0]
+    return None if value is None else float(value)
 
 
 # ---------------------------------------------------------------- profiles
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], label: str = "cluster", approx: bool = False,
-                    method: str = "auto") -> DataFrame:
-    """(cluster, column, mean, median, std) on original values; one shuffle for all columns.
+def numeric_profile(df: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:
+    """(cluster, column, mean, median, std) on original values; one pass for all columns.
 
-    std uses ddof 1 and is NULL with fewer than 2 values. The median is exact: map-based for
-    few distinct values, sort-based (skew-safe) for continuous columns.
+    std uses ddof 1 and is NULL with fewer than 2 values; the median is exact.
     """
-    from .quantiles import auto_quantile_method, exact_quantiles
-
-    lv = df.select(label, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]) \
-        .unpivot([label], list(columns), "column", "v")
-    use_sort = not approx and (method == "sort" or (
-        method == "auto" and "sort" in auto_quantile_method(df, columns).values()))
-    if not use_sort:
-        return lv.groupBy(label, "column").agg(
-            F.avg("v").alias("mean"), quantiles("v", [0.5], approx)[0].alias("median"),
-            F.stddev_samp("v").alias("std"))
-    base = lv.groupBy(label, "column").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
-    med = exact_quantiles(lv, "v", [0.5], [label, "column"]).select(label, "column", F.col("q").alias("median"))
-    return base.join(med, [label, "column"], "left").select(label, "column", "mean", "median", "std")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), number(df, c).alias("v")) for c in columns])
+    base = df.select(group_key([label]).alias("__k"), F.inline(cells)).groupBy("__k", "column").agg(
+        F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"))
+    middle = exact_quantiles(df, columns, (0.5,), [label]).select(group_key([label]).alias("__k"), "column", F.col("q")[0].alias("median"))
+    return base.join(middle, ["__k", "column"], "left").select(
+        F.col("__k")["k0"].alias(label), "column", "mean", "median", "std")
 
 
 def category_profile(df: DataFrame, columns: Sequence[str], label: str = "cluster") -> DataFrame:
     """(cluster, column, value, n, is_mode) for non-numeric columns; mode = most frequent, ties → smallest."""
     fr = value_freq(df, columns, by=[label])
-    # the mode per (cluster, column) is an algebraic aggregate (max count, smallest value),
-    # so no window has to hold a whole distribution; one row per (cluster, column) joins back
-    mode = fr.groupBy(label, "column").agg(
-        F.min(F.struct((-F.col("n")).alias("neg"), F.col("value").alias("v")))["v"].alias("__mode"))
+    mode = modes(df, columns, by=[label]).select(label, "column", F.col("value").alias("__mode"))
     return fr.join(mode, [label, "column"]).select(
         label, "column", "value", "n", (F.col("value") == F.col("__mode")).alias("is_mode"))

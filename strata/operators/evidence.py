@@ -7,14 +7,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.types import number, present, q
 from .stats import value_freq
 
 
 def _totals(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, total_mean, total_std) from one aggregation pass (no shuffle)."""
     one = df.agg(*[e for i, c in enumerate(columns) for e in (
-        F.avg(F.col(f"`{c}`").cast("double")).alias(f"m__{i}"),
-        F.stddev_samp(F.col(f"`{c}`").cast("double")).alias(f"s__{i}"))])
+        F.avg(number(df, c)).alias(f"m__{i}"),
+        F.stddev_samp(number(df, c)).alias(f"s__{i}"))])
     return one.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"m__{i}").alias("total_mean"), F.col(f"s__{i}").alias("total_std"))
         for i, c in enumerate(columns)])))
@@ -26,8 +27,8 @@ def numeric_evidence(df: DataFrame, columns: Sequence[str], label: str = "cluste
 
     Columns with total std ≤ 0 or NULL means are skipped. Ties by column name.
     """
-    lv = df.select(label, *[F.col(f"`{c}`").cast("double").alias(c) for c in columns]) \
-        .unpivot([label], list(columns), "column", "v")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), number(df, c).alias("v")) for c in columns])
+    lv = df.select(label, F.inline(cells))
     gm = lv.groupBy(label, "column").agg(F.avg("v").alias("group_mean"))
     # the totals table has one row per column: bounded by the table width
     j = gm.join(F.broadcast(_totals(df, columns)), "column").where(
@@ -41,7 +42,7 @@ def numeric_evidence(df: DataFrame, columns: Sequence[str], label: str = "cluste
 def _column_totals(df: DataFrame, columns: Sequence[str], cond: Column | None = None) -> Column:
     """MAP<column, non-NULL count> from one aggregate, as a scalar subquery."""
     def cnt(c):
-        x = F.col(f"`{c}`")
+        x = present(df, c)
         return F.count(x) if cond is None else F.count(F.when(cond, x))
     one = df.agg(F.create_map(*[e for c in columns for e in (F.lit(c), cnt(c))]).alias("m"))
     return one.select("m").scalar()
@@ -69,11 +70,10 @@ def level_shares(df: DataFrame, columns: Sequence[str], in_group: Column, by: st
     fr = value_freq(df, columns, by=[by])
     tot = fr.groupBy("column", "value").agg(F.sum("n").alias("n_total")).withColumn("__tt", total_map)
     tot = tot.select("column", "value", (F.col("n_total") / F.col("__tt")[F.col("column")]).alias("total_share"))
-    # per (cluster, column) non-NULL counts: k rows × width, broadcast after a size check
-    per = df.groupBy(by).agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in columns]) \
-        .unpivot([by], list(columns), "column", "__gt")
-    small = per.limit(100_001).count() <= 100_000
-    g = fr.join(F.broadcast(per) if small else per, [by, "column"]).select(
+    # per (cluster, column) non-NULL counts: k rows × width
+    counts = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("__gt")) for i, c in enumerate(columns)])
+    per = df.groupBy(by).agg(*[F.count(present(df, c)).alias(f"c{i}") for i, c in enumerate(columns)]).select(by, F.inline(counts))
+    g = fr.join(per, [by, "column"]).select(
         by, "column", "value", F.col("n").alias("n_group"), (F.col("n") / F.col("__gt")).alias("group_share"))
     return g.join(tot, ["column", "value"], "left").fillna(0.0, subset=["total_share"])
 
@@ -97,8 +97,8 @@ def group_vs_total(df: DataFrame, in_group: Column, numeric: Sequence[str], cate
     """H3: numeric group mean vs total mean; categorical top levels' group share vs total share."""
     g = in_group.cast("boolean")
     one = df.agg(*[e for i, c in enumerate(numeric) for e in (
-        F.avg(F.when(g, F.col(f"`{c}`").cast("double"))).alias(f"g__{i}"),
-        F.avg(F.col(f"`{c}`").cast("double")).alias(f"t__{i}"))])
+        F.avg(F.when(g, number(df, c))).alias(f"g__{i}"),
+        F.avg(number(df, c)).alias(f"t__{i}"))])
     num = one.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"g__{i}").alias("group_mean"), F.col(f"t__{i}").alias("total_mean"))
         for i, c in enumerate(numeric)]))).where(F.col("group_mean").isNotNull() & F.col("total_mean").isNotNull()) \

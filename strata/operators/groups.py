@@ -10,8 +10,9 @@ from ..functions import constants as K
 from ..functions.ladders import caution_size_col
 from ..functions.predicates import Filter, as_filters, conjunction, two_valued
 from ..functions.rounding import round_half_even
-from ..functions.types import dtype_of, is_numeric, non_numeric_columns, numeric_columns
+from ..functions.types import dtype_of, is_numeric, non_numeric_columns, number, numeric_columns, q
 from .evidence import group_vs_total
+from .stats import modes
 
 
 class GroupError(ValueError):
@@ -32,24 +33,23 @@ def compare_groups(df: DataFrame, filters_a: Sequence[Filter], filters_b: Sequen
     ``<col> (mode)`` for the others (ties → smallest). Groups may overlap.
     """
     pa, pb = _pred(df, filters_a), _pred(df, filters_b)
-    label_a = (label_a or "").strip() or "Group A"
-    label_b = (label_b or "").strip() or "Group B"
+    names = [str(given or "").strip() or standard for given, standard in ((label_a, "Group A"), (label_b, "Group B"))]
     cols = [c for c in columns if c in df.columns] if columns else numeric_columns(df)[:K.COMPARE_DEFAULT_NUMERIC]
     exprs = [F.count(F.lit(1)).alias("__n"), F.count_if(pa).alias("__na"), F.count_if(pb).alias("__nb")]
+    text = [c for c in cols if not is_numeric(dtype_of(df, c))]
     for i, c in enumerate(cols):
-        x = F.col(f"`{c}`")
-        if is_numeric(dtype_of(df, c)):
-            exprs += [F.avg(F.when(pa, x.cast("double"))).alias(f"a__{i}"), F.avg(F.when(pb, x.cast("double"))).alias(f"b__{i}")]
-        else:
-            exprs += [F.mode(F.when(pa, x.cast("string")), True).alias(f"a__{i}"),
-                      F.mode(F.when(pb, x.cast("string")), True).alias(f"b__{i}")]
+        if c not in text:
+            exprs += [F.avg(F.when(p, number(df, c))).alias(f"{side}__{i}") for side, p in (("a", pa), ("b", pb))]
     one = df.agg(*exprs)
+    if text:  # the modes of all text columns of a group from one frequency table
+        for side, p in (("a", pa), ("b", pb)):
+            found = modes(df.where(p), text).agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("m"))
+            one = one.withColumn(f"__{side}_modes", found.select("m").scalar())
+            one = one.withColumns({f"{side}__{i}": F.col(f"__{side}_modes")[c] for i, c in enumerate(cols) if c in text})
     if check_empty:
-        one = one.cache()
-        first = one.select("__na", "__nb").first()
-        if first["__na"] == 0 or first["__nb"] == 0:
-            empty = label_a if first["__na"] == 0 else label_b
-            raise GroupError(f"group '{empty}' is empty with those filters")
+        sizes = list(df.agg(F.count_if(pa), F.count_if(pb)).first())
+        if 0 in sizes:
+            raise GroupError(f"group '{names[sizes.index(0)]}' is empty with those filters")
 
     def s(c):
         return c.cast("string")
@@ -68,8 +68,7 @@ def compare_groups(df: DataFrame, filters_a: Sequence[Filter], filters_b: Sequen
             rows.append(F.struct(F.lit(f"{c} (mode)").alias("metric"),
                                  F.coalesce(F.col(f"a__{i}"), F.lit("—")).alias("a"),
                                  F.coalesce(F.col(f"b__{i}"), F.lit("—")).alias("b")))
-    out = one.select(F.inline(F.array(*rows)))
-    return out.withColumnRenamed("a", label_a).withColumnRenamed("b", label_b) if (label_a, label_b) != ("a", "b") else out
+    return one.select(F.inline(F.array(*rows))).toDF("metric", *names)
 
 
 def profile_group(df: DataFrame, filters: Sequence[Filter], check: bool = True) -> DataFrame:
@@ -82,15 +81,16 @@ def profile_group(df: DataFrame, filters: Sequence[Filter], check: bool = True)
     out = one.select("n", F.when(F.col("__total") > 0, round_half_even(F.col("n") / F.col("__total") * 100, 1))
                      .otherwise(F.lit(0.0)).alias("share"), caution_size_col(F.col("n")).alias("caution"))
     if check:
-        out = out.cache()
         if out.first()["n"] == 0:
             raise GroupError("no row matches those filters")
     return out
 
 
-def group_statistics(df: DataFrame, filters: Sequence[Filter], exclude: Sequence[str] = ("cluster",)):
-    """H3: first 10 numeric columns (mean vs total) and up to 8 others (top-3 level shares)."""
-    p = _pred(df, filters)
-    numeric = numeric_columns(df)[:K.GROUP_MAX_NUMERIC]
-    others = [c for c in non_numeric_columns(df) if c not in exclude][:K.GROUP_MAX_CATEGORICAL]
-    return group_vs_total(df, p, numeric, others)
+def group_statistics(df: DataFrame, filters: Sequence[Filter], exclude: Sequence[str] = ("cluster",),
+                     max_numeric: int | None = K.GROUP_MAX_NUMERIC, max_categorical: int | None = K.GROUP_MAX_CATEGORICAL):
+    """H3: the first numeric columns (mean vs total) and other columns (top-3 level shares).
+
+    The limits on columns are those of the report; None describes every column.
+    """
+    others = [c for c in non_numeric_columns(df) if c not in exclude]
+    return group_vs_total(df, _pred(df, filters), numeric_columns(df)[:max_numeric], others[:max_categorical])

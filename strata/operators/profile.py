@@ -3,13 +3,13 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.rounding import round_half_even
 from ..functions.types import categorical_columns, dtype_of, is_categorical, is_numeric, is_string, is_temporal, \
-    numeric_columns
+    numeric_columns, q
 from .query import correlation_long
 from .stats import column_stats, ranked, value_freq
 
@@ -103,22 +103,15 @@ def cell_completeness(df: DataFrame, stats: DataFrame | None = None) -> DataFram
 
 
 def sample_values(df: DataFrame, columns: Sequence[str], k: int = K.SUMMARY_SAMPLES) -> DataFrame:
-    """(column, samples): k distinct non-NULL values in a fixed pseudo-random order (md5 of the text).
+    """(column, samples): k distinct non-missing values in a fixed pseudo-random order (md5 of the text).
 
-    Each column is a bounded top-k (TakeOrdered over its distinct values), never a full sort.
+    One frequency table for all columns; the window keeps k rows per column and task before
+    it shuffles, so no task holds a column's values.
     """
-    parts = []
-    for c in columns:
-        v = F.col(f"`{c}`").cast("string")
-        d = df.select(v.alias("value")).where(F.col("value").isNotNull()).distinct()
-        top = d.orderBy(F.md5("value"), "value").limit(k)
-        parts.append(top.agg(F.sort_array(F.collect_list(F.struct(F.md5("value").alias("h"), "value")))
-                             .alias("s")).select(F.lit(c).alias("column"),
-                                                 F.concat_ws(",", F.col("s.value")).alias("samples")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    w = Window.partitionBy("column").orderBy(F.md5("value"), "value")
+    top = value_freq(df, columns).select("column", "value").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return top.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("s")).select(
+        "column", F.concat_ws(",", F.col("s.value")).alias("samples"))
 
 
 def column_summary(df: DataFrame, max_columns: int = K.SUMMARY_MAX_COLUMNS,
@@ -126,7 +119,7 @@ def column_summary(df: DataFrame, max_columns: int = K.SUMMARY_MAX_COLUMNS,
     """First ``max_columns`` columns: dtype, n_unique, pct_missing (3 dp);
     numeric → min, max, mean and 3 samples; other → top-5 values as ``value:n`` text."""
     cols = df.columns[:max_columns]
-    sub = df.select(*[F.col(f"`{c}`") for c in cols])
+    sub = df.select(*[q(c) for c in cols])
     st = column_stats(sub)
     numeric = [c for c in cols if is_numeric(dtype_of(df, c))]
     others = [c for c in cols if c not in numeric]
@@ -149,8 +142,8 @@ def column_summary(df: DataFrame, max_columns: int = K.SUMMARY_MAX_COLUMNS,
 
 
 def profile(df: DataFrame) -> dict[str, DataFrame]:
-    """All profile tables over one cached statistics pass."""
-    st = column_stats(df).cache()
+    """All profile tables, each from the shared statistics."""
+    st = column_stats(df)
     return {
         "columns": column_profile(df, st),
         "numeric": numeric_stats(df, st),

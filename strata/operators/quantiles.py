@@ -1,83 +1,75 @@
-"""Exact quantiles that stay distributed for continuous values and skewed groups.
+"""Exact quantiles, one way at every size.
 
-``F.percentile`` is exact but keeps a value → count map per group and merges it in one
-task: fine for columns with few distinct values, unbounded for a continuous column or a
-hot group. ``exact_quantiles`` instead range-partitions and sorts (keys, value) — range
-partitioning splits a hot group over many tasks — turns per-partition row counts into
-global ranks, and picks only the rows at the interpolation ranks. Results equal
-``percentile`` (linear interpolation between ranks ⌊(n−1)p⌋ and ⌈(n−1)p⌉).
-
-``auto_quantile_method`` chooses: the map-based aggregate when an approximate distinct
-count says the maps stay small, the sort-based path otherwise.
+Values are first counted per (group, column, value), combined map-side, so a value that
+holds most of a table is one row per task. The distinct values are range-partitioned and
+written once; running counts inside a partition and the partitions' totals give every
+value the ranks it covers, and the few values at the interpolation ranks are picked by an
+aggregate. All columns go through the same job. No group, column or value has to fit one
+task, and results equal linear interpolation between ranks ⌊(n−1)p⌋ and ⌈(n−1)p⌉.
 """
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAP_DISTINCT_LIMIT = 1_000_000   # distinct values a per-group value map may hold
-BROADCAST_TARGETS = 100_000      # target ranks broadcast to the pick step when at most this many
+from ..functions.types import number, q
+from ..session import staged
+
+COLUMN, QUANTILES = "column", "q"
+
+
+def group_key(keys: Sequence[str]) -> Column:
+    """All keys as one struct: grouping and joining on it treats NULL keys as equal."""
+    return F.struct(*[q(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.lit(0)
+
+
+def unpack_key(keys: Sequence[str], key: str = "__k") -> list[Column]:
+    return [F.col(key)[f"k{i}"].alias(k) for i, k in enumerate(keys)]
 
 
-def auto_quantile_method(df: DataFrame, columns: Sequence[str], limit: int = MAP_DISTINCT_LIMIT) -> dict[str, str]:
-    """'map' or 'sort' per column. A table of at most ``limit`` rows cannot exceed the limit
-    in distinct values, so a bounded row probe settles small inputs; larger ones get one
-    HyperLogLog pass (no shuffle)."""
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., column, q ARRAY<DOUBLE> in the order of ``probs``) per group and column.
+
+    NULL and NaN are no values; a group or column without values gives no row. NULL keys
+    form a group of their own.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), number(df, c).alias("v")) for i, c in enumerate(columns)])
+    counted = (df.select(group_key(keys).alias("__k"), F.inline(cells)).where(F.col("v").isNotNull())
+               .groupBy("__k", "c", "v").agg(F.count("*").alias("n")))
+    # Read twice below: written once, so that a value keeps its partition.
+    part = staged(counted.repartitionByRange("__k", "c", "v").withColumn("part", F.spark_partition_id()), "quantiles")
+    parts = Window.partitionBy("__k", "c")
+    totals = part.groupBy("__k", "c", "part").agg(F.sum("n").alias("n")).select(
+        "__k", "c", "part", F.sum("n").over(parts).alias("total"),
+        (F.sum("n").over(parts.orderBy("part")) - F.col("n")).alias("before"))
+    inside = Window.partitionBy("__k", "c", "part").orderBy("v")
+    ranked = (part.withColumn("upto", F.sum("n").over(inside)).join(totals, ["__k", "c", "part"])
+              .select("__k", "c", "v", "total", (F.col("before") + F.col("upto")).alias("stop"), "n"))
+    covers = lambda rank: (rank >= F.col("stop") - F.col("n")) & (rank < F.col("stop"))
+    picks = []
+    for i, p in enumerate(probs):
+        place = (F.col("total") - 1) * F.lit(float(p))
+        picks += [F.max(F.when(covers(F.floor(place)), F.col("v"))).alias(f"a{i}"),
+                  F.max(F.when(covers(F.ceil(place)), F.col("v"))).alias(f"b{i}")]
+    got = ranked.groupBy("__k", "c").agg(F.first("total").alias("total"), *picks)
+    values = []
+    for i, p in enumerate(probs):
+        place = (F.col("total") - 1) * F.lit(float(p))
+        values.append(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (place - F.floor(place)))
+    names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("c") + 1)
+    return got.select(*unpack_key(keys), names.alias(COLUMN), F.array(*values).alias(QUANTILES))
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
+    """Quantiles of whole columns on the driver: one row per column."""
     if not columns:
         return {}
-    if df.limit(limit + 1).count() <= limit:
-        return {c: "map" for c in columns}
-    row = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    return {c: ("sort" if row[f"d{i}"] > limit else "map") for i, c in enumerate(columns)}
-
-
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
-                    partitions: int | None = None) -> DataFrame:
-    """(keys..., p, q) exact linear-interpolation quantiles of ``value`` per group."""
-    keys = list(keys)
-    x = F.col(f"`{value}`").cast("double")
-    v = df.select(*[F.col(f"`{k}`") for k in keys], x.alias("__v")).where(
-        F.col("__v").isNotNull() & ~F.isnan("__v"))
-    spark = df.sparkSession
-    parts = partitions or max(1, spark.sparkContext.defaultParallelism)
-    srt = v.repartitionByRange(parts, *keys, "__v").sortWithinPartitions(*keys, "__v") \
-        .withColumn("__pid", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
-    # the sorted table is read twice (counts, then picks): checkpoint so ids cannot change
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    srt = srt.checkpoint(eager=True)
-    seg = srt.groupBy("__pid", *keys).agg(F.count(F.lit(1)).alias("__c"), F.min("__id").alias("__first"))
-    w = Window.partitionBy(*keys).orderBy("__pid") if keys else Window.orderBy("__pid")
-    seg = seg.withColumn("__before", F.coalesce(F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                                F.lit(0)))
-    seg = seg.withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys) if keys else Window.partitionBy()))
-    probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-    tg = seg.select("*", F.posexplode(probs_arr).alias("__pi", "__p"))
-    pos = (F.col("__n") - 1) * F.col("__p")
-    tg = tg.withColumn("__lo", F.floor(pos).cast("long")).withColumn("__hi", F.ceil(pos).cast("long")) \
-        .withColumn("__frac", pos - F.floor(pos))
-    picks = []
-    for which in ("__lo", "__hi"):
-        hit = tg.where((F.col(which) >= F.col("__before")) & (F.col(which) < F.col("__before") + F.col("__c")))
-        picks.append(hit.select(*keys, "__pi", "__p", "__frac", F.lit(which).alias("__which"),
-                                (F.col("__first") + F.col(which) - F.col("__before")).alias("__id")))
-    targets = picks[0].unionByName(picks[1])
-    small = targets.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS
-    vals = srt.select("__id", "__v").join(F.broadcast(targets) if small else targets, "__id")
-    got = vals.groupBy(*keys, "__pi", "__p", "__frac").agg(
-        F.max(F.when(F.col("__which") == "__lo", F.col("__v"))).alias("__a"),
-        F.max(F.when(F.col("__which") == "__hi", F.col("__v"))).alias("__b"))
-    q = F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__frac")
-    return got.select(*keys, F.col("__p").alias("p"), q.alias("q"))
-
-
-def exact_quantile_array(df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """(keys..., q ARRAY<DOUBLE>) in the order of ``probs`` (same shape as ``percentile``)."""
-    eq = exact_quantiles(df, value, probs, keys)
-    arr = F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda s: s["q"])
-    return eq.groupBy(*keys).agg(arr.alias("q"))
+    return {r[COLUMN]: list(r[QUANTILES]) for r in exact_quantiles(df, columns, probs).collect()}
 
 
+def one_row_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> Column:
+    """MAP<column, ARRAY<DOUBLE>> of whole columns as a scalar subquery."""
+    table = exact_quantiles(df, columns, probs)
+    return table.agg(F.map_from_entries(F.collect_list(F.struct(COLUMN, QUANTILES))).alias("m")).select("m").scalar()

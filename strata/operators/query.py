@@ -12,7 +12,7 @@ Output names (the reference's Spanish names in brackets): ``metric``/``value``
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +21,11 @@ from ..functions import constants as K
 from ..functions.bins import BinSpec, apply_bins
 from ..functions.predicates import Filter, apply_filters, as_filters
 from ..functions.rounding import null_if_not_finite, round_half_even
-from ..functions.types import dtype_of, is_numeric
-from .stats import quantiles, stack_rows
+from ..functions.types import dtype_of, is_numeric, number, numeric_columns, present, q, quoted
+from .charts import histogram
+from .quantiles import exact_quantiles, group_key
+from .stats import APPROX_ACCURACY, distinct_counts, is_missing, modes, quartile_map, stack_rows
 
-OPERATIONS = (
-    "describe", "groupby_count", "groupby_agg", "filter_count", "distribution",
-    "correlation", "top_n", "value_counts", "missing_values",
-)
 AGGS = ("mean", "median", "sum", "min", "max", "count")
 NORMALIZE = ("none", "row_pct", "total_pct")
 DESCRIBE_STATS = ("count", "mean", "std", "min", "25%", "50%", "75%", "max")
@@ -46,12 +44,10 @@ class DataQuery:
     normalize: str = "none"
 
     def __post_init__(self):
-        if self.operation not in OPERATIONS:
-            raise ValueError(f"unsupported operation {self.operation!r}")
-        if self.agg is not None and self.agg not in AGGS:
-            raise ValueError(f"unsupported aggregate {self.agg!r}")
-        if self.normalize not in NORMALIZE:
-            raise ValueError(f"unsupported normalize mode {self.normalize!r}")
+        allowed = (("operation", self.operation, OPERATIONS), ("aggregate", self.agg, (None, *AGGS)), ("normalize mode", self.normalize, NORMALIZE))
+        for what, got, options in allowed:
+            if got not in options:
+                raise ValueError(f"unsupported {what} {got!r}")
         self.columns = list(self.columns or [])
         self.filter_by = as_filters(self.filter_by)
         self.bins = [b if isinstance(b, BinSpec) else BinSpec(**b) for b in (self.bins or [])]
@@ -77,69 +73,33 @@ class QueryError(ValueError):
     pass
 
 
-def validate_columns(df: DataFrame, q: DataQuery) -> None:
-    """Every referenced column must exist (named error)."""
-    available = set(df.columns)
-    for c in q.columns:
-        if c not in available:
-            raise QueryError(f"column `{c}` does not exist")
-    for c in q.groupby or []:
-        if c not in available:
-            raise QueryError(f"group-by column `{c}` does not exist")
-    for f in q.filter_by or []:
-        if f.column not in available:
-            raise QueryError(f"filter column `{f.column}` does not exist")
-
-
-def resolve_chart_type(operation: str, requested: str, n_rows: int | None) -> str:
-    """Small comparative answers get a bar chart unless a chart was chosen."""
-    if requested not in ("table", "none"):
-        return requested
-    if operation in K.COMPARATIVE_OPS and n_rows is not None and K.AUTO_BAR_MIN_ROWS <= n_rows <= K.AUTO_BAR_MAX_ROWS:
-        return "bar"
-    return requested
-
-
-def _small_count(df: DataFrame) -> int:
-    # Bounded probe: only decides whether 2..24 rows exist, never counts a large result.
-    return df.limit(K.AUTO_BAR_MAX_ROWS + 1).count()
-
-
 # ---------------------------------------------------------------- normalisation
 
 def total_pct(table: DataFrame, value_col: str = "n", out_col: str = "pct") -> DataFrame:
     """Q11: value / grand total × 100 (1 dp); a zero total leaves the value as it is."""
-    total = table.select(F.sum(value_col)).scalar()
-    t = F.col("__total")
-    pct = F.when(t > 0, round_half_even(F.col(value_col) / t * 100, 1)).otherwise(F.col(value_col).cast("double"))
-    return table.withColumn("__total", total).withColumn(value_col, pct).drop("__total") \
-        .withColumnRenamed(value_col, out_col)
-
-
-ROW_TOTALS_BROADCAST = 100_000
+    total = table.select(F.sum(q(value_col))).scalar()
+    t, v = F.col("__total"), q(value_col)
+    share = F.when(t > 0, round_half_even(v / t * 100, 1)).otherwise(v.cast("double"))
+    return table.withColumn("__total", total).select(*[share.alias(out_col) if c == value_col else q(c) for c in table.columns])
 
 
 def row_pct(table: DataFrame, primary: str, value_col: str = "n", out_col: str = "pct") -> DataFrame:
     """Q12: share within the first key; NULL first key gives NULL.
 
-    The per-key totals are an aggregate joined back (broadcast when their count is checked
-    small), not a window: a window over a hot first key would buffer all its rows in one task.
+    The per-key totals are an aggregate joined back, not a window: a window over a hot first
+    key would buffer all its rows in one task. Spark broadcasts the totals if they are small.
     """
-    totals = table.where(F.col(primary).isNotNull()).groupBy(primary).agg(F.sum(value_col).alias("__tot"))
-    small = totals.limit(ROW_TOTALS_BROADCAST + 1).count() <= ROW_TOTALS_BROADCAST
-    j = table.join(F.broadcast(totals) if small else totals, primary, "left")
-    pct = F.when(F.col(primary).isNull(), F.lit(None).cast("double")).otherwise(
-        round_half_even(F.col(value_col) / F.col("__tot") * 100, 1))
-    return j.withColumn(value_col, pct).drop("__tot").withColumnRenamed(value_col, out_col) \
-        .select(*[c if c != value_col else out_col for c in table.columns])
+    totals = table.where(q(primary).isNotNull()).groupBy(q(primary).alias("__key")).agg(F.sum(q(value_col)).alias("__total"))
+    joined = table.join(totals, q(primary) == F.col("__key"), "left")
+    share = round_half_even(q(value_col) / F.col("__total") * 100, 1)
+    return joined.select(*[share.alias(out_col) if c == value_col else q(c) for c in table.columns])
 
 
-def normalize(table: DataFrame, mode: str, primary: str | None, value_col: str = "n") -> tuple[DataFrame, str]:
-    if mode == "none" or value_col not in table.columns:
-        return table, value_col
-    if mode == "row_pct" and primary and primary in table.columns:
-        return row_pct(table, primary, value_col), "pct"
-    return total_pct(table, value_col), "pct"
+def _normalised(table: DataFrame, mode: str, primary: str | None = None) -> tuple[DataFrame, str]:
+    """A count table under the wanted normalisation, and the name of its value column."""
+    if mode == "none":
+        return table, "n"
+    return (row_pct(table, primary) if mode == "row_pct" and primary else total_pct(table)), "pct"
 
 
 # ---------------------------------------------------------------- operations
@@ -148,188 +108,117 @@ def filter_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("value")).select(F.lit("rows_found").alias("metric"), "value")
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str], approx: bool = False,
-                     method: str = "auto") -> DataFrame:
+def describe_numeric(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """Q2: count, mean, std, min, 25/50/75 %, max per column, one row per statistic.
 
-    Quartiles are exact: the map-based ``percentile`` for columns with few distinct values,
-    the sort-based ``exact_quantiles`` for continuous ones (chosen per column by ``method``
-    ="auto"); ``approx=True`` uses the mergeable sketch instead.
+    NaN is no value. Quartiles are exact unless ``approx`` asks for the mergeable sketch.
     """
-    from .quantiles import auto_quantile_method, exact_quantile_array
-
     cols = list(columns)
-    methods = {c: "approx" for c in cols} if approx else (
-        auto_quantile_method(df, cols) if method == "auto" else {c: method for c in cols})
-    exprs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        exprs += [F.count(x).cast("double").alias(f"count__{i}"), F.avg(x).alias(f"mean__{i}"),
-                  F.stddev_samp(x).alias(f"std__{i}"), F.min(x).alias(f"min__{i}"), F.max(x).alias(f"max__{i}")]
-        if methods[c] != "sort":
-            exprs.append(quantiles(x, [0.25, 0.5, 0.75], methods[c] == "approx").alias(f"q__{i}"))
-    one = df.agg(*exprs)
-    for i, c in enumerate(cols):
-        if methods[c] == "sort":
-            # one-row exact result attached once as a scalar-subquery column
-            one = one.withColumn(f"q__{i}", exact_quantile_array(df, c, [0.25, 0.5, 0.75]).select("q").scalar())
-    one = one.select("*", *[F.col(f"q__{i}")[j].alias(f"{n}__{i}") for i in range(len(cols))
-                            for j, n in enumerate(("25%", "50%", "75%"))])
-    idx = {c: i for i, c in enumerate(cols)}
-    return stack_rows(one, "statistic", DESCRIBE_STATS, cols, lambda s, c: f"`{s}__{idx[c]}`")
+    plain = {"count": lambda x: F.count(x).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    one = df.agg(*[make(number(df, c)).alias(f"{name}__{i}") for i, c in enumerate(cols) for name, make in plain.items()])
+    one = one.withColumn("__quartiles", quartile_map(df, cols, approx))
+    place = {"25%": 0, "50%": 1, "75%": 2}
+    return stack_rows(one, "statistic", DESCRIBE_STATS, cols,
+                      lambda s, i: F.col("__quartiles")[cols[i]][place[s]] if s in place else F.col(f"{s}__{i}"))
 
 
 def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Q3: count, unique, top, freq per text column (values as STRING). Ties → smallest value."""
     cols = list(columns)
-    exprs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("string")
-        exprs += [F.count(x).alias(f"count__{i}"), F.count_distinct(x).alias(f"unique__{i}")]
-    base = df.agg(*exprs)
-    from .stats import ranked, value_freq
-
-    top = ranked(value_freq(df, cols), ["column"]).where(F.col("rank") == 1)
-    # one scalar subquery: a map column → (value, n) over the one-row-per-column ranking
-    tops = top.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("value", "n")))).alias("m"))
-    one = base.withColumn("__top", tops.select("m").scalar())
-    fields = []
-    for i, c in enumerate(cols):
-        fields += [F.col("__top")[c]["value"].alias(f"top__{i}"), F.col("__top")[c]["n"].alias(f"freq__{i}")]
-    one = one.select(*[x for x in one.columns if x != "__top"], *fields)
-    idx = {c: i for i, c in enumerate(cols)}
-    return stack_rows(
-        one.select(*[F.col(n).cast("string").alias(n) for n in one.columns]),
-        "statistic", ("count", "unique", "top", "freq"), cols, lambda s, c: f"{s}__{idx[c]}")
+    one = df.agg(*[F.count(present(df, c)).alias(f"count__{i}") for i, c in enumerate(cols)])
+    found = distinct_counts(df, cols).join(modes(df, cols), "column")
+    table = found.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("n_unique", "value", "n")))).alias("m"))
+    one = one.withColumn("__found", table.select("m").scalar())
+    cells: dict[str, Callable[[int], Column]] = {
+        "count": lambda i: F.col(f"count__{i}"), "unique": lambda i: F.coalesce(F.col("__found")[cols[i]]["n_unique"], F.lit(0)),
+        "top": lambda i: F.col("__found")[cols[i]]["value"], "freq": lambda i: F.col("__found")[cols[i]]["n"]}
+    return stack_rows(one, "statistic", tuple(cells), cols, lambda s, i: cells[s](i).cast("string"))
 
 
 def value_counts(df: DataFrame, column: str, dropna: bool = False) -> DataFrame:
-    """Q4: count per value including NULL (unless ``dropna``), count desc then value."""
-    src = df.where(F.col(column).isNotNull()) if dropna else df
-    return src.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    """Q4: count per value including missing ones as NULL (unless ``dropna``)."""
+    values = df.select(present(df, column).alias(column))
+    if dropna:
+        values = values.where(q(column).isNotNull())
+    return values.groupBy(q(column)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def groupby_count(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Q5: count per 1–2 keys, NULL keys kept as their own group."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-
-
-def _agg_expr(df: DataFrame, target: str, agg: str, approx: bool = False) -> Column:
-    dt = dtype_of(df, target)
-    c = F.col(target)
-    if agg in ("mean", "median", "sum") and not is_numeric(dt):
-        raise QueryError(f"cannot compute {agg} of non-numeric column `{target}`")
-    if agg == "mean":
-        return F.avg(c)
-    if agg == "median":
-        return quantiles(c, [0.5], approx)[0]
-    if agg == "sum":
-        # an all-NULL group sums to 0 (pandas), not NULL
-        return F.coalesce(F.sum(c), F.lit(0))
-    if agg == "min":
-        return F.min(c)
-    if agg == "max":
-        return F.max(c)
-    return F.count(c)
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return left.join(right, cond, "left").select(left["*"], *[right[c] for c in right.columns if c not in keys])
+    """Q5: count per 1–2 keys, missing keys kept as their own NULL group."""
+    return df.groupBy(*[present(df, k).alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
 
 
 def groupby_agg(df: DataFrame, keys: Sequence[str], targets: Sequence[str], agg: str = "mean",
-                approx: bool = False, method: str = "auto") -> DataFrame:
+                approx: bool = False) -> DataFrame:
     """Q6: one aggregate over ≥1 targets per 1–2 keys; 3 dp only when >1 target.
 
-    A median over a continuous target uses the sort-based exact quantile (a hot key is
-    split over many tasks); over few distinct values the map-based aggregate.
+    An all-missing group sums to 0. Exact medians of all targets come from one quantile job.
     """
-    from .quantiles import auto_quantile_method, exact_quantiles
-
     tg = [t for t in targets if t in df.columns]
     if not tg:
         raise QueryError("no valid target column")
-    exprs = {t: _agg_expr(df, t, agg, approx) for t in tg}
-    sort_cols = []
+    text = [t for t in tg if not is_numeric(dtype_of(df, t))]
+    if agg in ("mean", "median", "sum") and text:
+        raise QueryError(f"cannot compute {agg} of non-numeric column `{text[0]}`")
+    make: dict[str, Callable[[Column], Column]] = {
+        "mean": F.avg, "sum": lambda x: F.coalesce(F.sum(x), F.lit(0)), "min": F.min, "max": F.max, "count": F.count,
+        "median": lambda x: F.percentile_approx(x.cast("double"), 0.5, APPROX_ACCURACY)}
+    src = df.select(*[present(df, k).alias(k) for k in keys], *[present(df, t).alias(f"__t{i}") for i, t in enumerate(tg)])
+    key = group_key(keys).alias("__k")
     if agg == "median" and not approx:
-        methods = auto_quantile_method(df, tg) if method == "auto" else {t: method for t in tg}
-        sort_cols = [t for t in tg if methods[t] == "sort"]
-    out = df.groupBy(*keys).agg(*[exprs[t].alias(t) for t in tg if t not in sort_cols] or
-                                [F.count(F.lit(1)).alias("__rows")])
-    for t in sort_cols:
-        med = exact_quantiles(df, t, [0.5], keys).select(*keys, F.col("q").alias(t))
-        out = _null_safe_join(out, med, keys)
-    out = out.select(*keys, *tg)
-    if len(tg) > 1:
-        out = out.select(*keys, *[
-            round_half_even(F.col(t), 3).alias(t)
-            if (agg in ("mean", "median") or is_numeric(dtype_of(df, t))) and agg != "count"
-            else F.col(t) for t in tg
-        ])
-    return out
+        groups = src.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
+        wide = exact_quantiles(src, [f"__t{i}" for i in range(len(tg))], (0.5,), keys).groupBy(key).agg(
+            *[F.max(F.when(F.col("column") == f"__t{i}", F.col("q")[0])).alias(f"__v{i}") for i in range(len(tg))])
+        out = groups.join(wide, "__k", "left")
+    else:
+        out = src.groupBy(key).agg(*[make[agg](F.col(f"__t{i}")).alias(f"__v{i}") for i in range(len(tg))])
+    rounds = len(tg) > 1 and agg != "count"
+    values = [(round_half_even(F.col(f"__v{i}"), 3) if rounds and t not in text else F.col(f"__v{i}")).alias(t) for i, t in enumerate(tg)]
+    return out.select(*[F.col("__k")[f"k{i}"].alias(k) for i, k in enumerate(keys)], *values)
+
+
+def _correlations(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, Callable[[int, int], Column]]:
+    """One-row aggregate of all pairs, and the cell (i, j) of the symmetric table."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    one = df.agg(*[F.corr(number(df, cols[i]), number(df, cols[j])).alias(f"r__{i}__{j}") for i, j in pairs])
+    return one, lambda i, j: null_if_not_finite(F.col(f"r__{min(i, j)}__{max(i, j)}"))
 
 
 def correlation_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(col_a, col_b, r) for every ordered pair, pairwise-complete Pearson, NaN → NULL."""
     cols = list(columns)
-    exprs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            exprs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r__{i}__{j}"))
-    one = df.agg(*exprs)
-    structs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            name = f"r__{min(i, j)}__{max(i, j)}"
-            structs.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"),
-                                    null_if_not_finite(F.col(name)).alias("r")))
-    return one.select(F.inline(F.array(*structs)))
+    one, cell = _correlations(df, cols)
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), cell(i, j).alias("r"))
+        for i, a in enumerate(cols) for j, b in enumerate(cols)])))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFrame:
     """Q8: square matrix (variable, <one column per variable>), rounded to 3 dp."""
     cols = list(columns)
-    exprs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            if j < i:
-                continue
-            exprs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r__{i}__{j}"))
-    one = df.agg(*exprs)
-    rows = []
-    for i, a in enumerate(cols):
-        vals = [round_half_even(null_if_not_finite(F.col(f"r__{min(i, j)}__{max(i, j)}")), digits).alias(b)
-                for j, b in enumerate(cols)]
-        rows.append(F.struct(F.lit(a).alias("variable"), *vals))
-    return one.select(F.inline(F.array(*rows)))
+    one, cell = _correlations(df, cols)
+    return one.select(F.inline(F.array(*[
+        F.struct(F.lit(a).alias("variable"), *[round_half_even(cell(i, j), digits).alias(b) for j, b in enumerate(cols)])
+        for i, a in enumerate(cols)])))
 
 
 def top_n_numeric(df: DataFrame, column: str, n: int) -> DataFrame:
     """Q9 numeric: the n largest values, duplicates kept (TakeOrdered, no full sort)."""
-    return df.select(column).orderBy(F.desc_nulls_last(column)).limit(n)
+    return df.select(present(df, column).alias(column)).orderBy(F.desc_nulls_last(quoted(column))).limit(n)
 
 
 def top_n_text(df: DataFrame, column: str, n: int) -> DataFrame:
     """Q9 text: the n most frequent non-NULL values, ties by value."""
-    return value_counts(df, column, dropna=True).orderBy(F.desc("n"), F.asc(column)).limit(n)
+    return value_counts(df, column, dropna=True).orderBy(F.desc("n"), F.asc(quoted(column))).limit(n)
 
 
 def missing_table(df: DataFrame) -> DataFrame:
-    """Q10 (long form): per column NULL count and % (1 dp), only columns with NULLs."""
-    from .stats import is_missing
-
+    """Q10 (long form): per column missing count and % (1 dp), only columns with missing values."""
     cols = df.columns
-    one = df.agg(F.count(F.lit(1)).alias("__rows"),
-                 *[F.sum(is_missing(df, c).cast("long")).alias(f"m__{i}") for i, c in enumerate(cols)])
-    structs = [F.struct(F.lit(c).alias("column"), F.col(f"m__{i}").alias("n_missing")) for i, c in enumerate(cols)]
-    long = one.select("__rows", F.inline(F.array(*structs)))
-    pct = F.when(F.col("__rows") > 0, round_half_even(F.col("n_missing") / F.col("__rows") * 100, 1)).otherwise(F.lit(0.0))
+    one = df.agg(F.count(F.lit(1)).alias("__rows"), *[F.count_if(is_missing(df, c)).alias(f"m__{i}") for i, c in enumerate(cols)])
+    long = one.select("__rows", F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"m__{i}").alias("n_missing")) for i, c in enumerate(cols)])))
+    pct = round_half_even(F.col("n_missing") / F.col("__rows") * 100, 1)
     return long.where(F.col("n_missing") > 0).select("column", "n_missing", pct.alias("pct_missing"))
 
 
@@ -337,106 +226,121 @@ def no_missing_row(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([("missing_values", 0)], "metric string, value long")
 
 
-# ---------------------------------------------------------------- executor
-
-def run_query(df: DataFrame, q: DataQuery, approx: bool = False, resolve_chart: bool = True) -> QueryResult:
-    # quantiles: exact; map- or sort-based per column (see operators/quantiles.py)
-    """Execute a typed query: bins → filters → operation → normalisation → chart choice."""
-    validate_columns(df, q)
-    df = apply_bins(df, q.bins)
-    df = apply_filters(df, q.filter_by)
-    op = q.operation
-
-    def chart(table: DataFrame, x, y, color=None, requested=None) -> ChartSpec:
-        req = requested or q.chart_type
-        n = _small_count(table) if (resolve_chart and req in ("table", "none") and op in K.COMPARATIVE_OPS) else None
-        return ChartSpec(resolve_chart_type(op, req, n), x, y, color, table)
-
-    if op == "filter_count":
-        return QueryResult(op, filter_count(df))
-
-    if op == "describe":
-        cols = q.columns or [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-        cols = [c for c in cols if c in df.columns]
-        numeric = [c for c in cols if is_numeric(dtype_of(df, c))]
-        if numeric:
-            return QueryResult(op, describe_numeric(df, numeric, approx))
-        return QueryResult(op, describe_text(df, cols))
-
-    if op == "value_counts":
-        if not q.columns:
-            raise QueryError("value_counts needs one column")
-        col = q.columns[0]
-        table, y = normalize(value_counts(df, col), q.normalize, None)
-        table = table.orderBy(F.desc(y), F.asc_nulls_last(col))
-        return QueryResult(op, table, chart(table, col, y))
-
-    if op == "groupby_count":
-        if not q.groupby:
-            raise QueryError("groupby_count needs groupby")
-        keys = q.groupby
-        primary = keys[0] if len(keys) >= 2 else None
-        table, y = normalize(groupby_count(df, keys), q.normalize, primary)
-        table = table.orderBy(*[F.asc_nulls_last(k) for k in keys])
-        return QueryResult(op, table, chart(table, keys[0], y, keys[1] if len(keys) > 1 else None))
-
-    if op == "groupby_agg":
-        if not q.groupby or not q.columns:
-            raise QueryError("groupby_agg needs groupby and columns")
-        targets = [c for c in q.columns if c in df.columns]
-        table = groupby_agg(df, q.groupby, targets, q.agg or "mean", approx)
-        table = table.orderBy(*[F.asc_nulls_last(k) for k in q.groupby])
-        color = q.groupby[1] if len(q.groupby) > 1 else None
-        if len(targets) == 1:
-            return QueryResult(op, table, chart(table, q.groupby[0], targets[0], color))
-        return QueryResult(op, table, ChartSpec("table", q.groupby[0], None, color, table))
-
-    if op == "distribution":
-        if not q.columns:
-            raise QueryError("distribution needs one column")
-        col = q.columns[0]
-        if is_numeric(dtype_of(df, col)):
-            from .charts import histogram
-
-            table = describe_numeric(df, [col], approx)
-            ctype = q.chart_type if q.chart_type != "table" else "histogram"
-            return QueryResult(op, table, ChartSpec(ctype, col, "n", None, histogram(df, col)))
-        table = describe_text(df, [col])
-        ctype = q.chart_type if q.chart_type != "table" else "histogram"
-        return QueryResult(op, table, ChartSpec(ctype, col, "n", None, value_counts(df, col, dropna=True)))
-
-    if op == "correlation":
-        cols = [c for c in q.columns if c in df.columns] or [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-        table = correlation_matrix(df, cols)
-        ch = ChartSpec("heatmap", None, None, None, table) if q.chart_type == "heatmap" and cols else None
-        return QueryResult(op, table, ch)
-
-    if op == "top_n":
-        if not q.columns:
-            raise QueryError("top_n needs one column")
-        col = q.columns[0]
-        n = q.top_n or 10
-        if is_numeric(dtype_of(df, col)):
-            table = top_n_numeric(df, col, n)
-            return QueryResult(op, table, chart(table, col, col))
-        table = top_n_text(df, col, n)
-        return QueryResult(op, table, chart(table, col, "n"))
-
-    if op == "missing_values":
-        per_col = missing_table(df).orderBy(F.desc("n_missing"), F.asc("column"))
-        if per_col.isEmpty():
-            return QueryResult(op, no_missing_row(df))
-        ctype = "none" if q.chart_type == "none" else "bar"
-        return QueryResult(op, per_col, ChartSpec(ctype, "column", "n_missing", None, per_col))
-
-    raise QueryError(f"unsupported operation {op!r}")
-
-
-def mode_value(df: DataFrame, column: str) -> Column:
-    """Q14 as an aggregate: most frequent non-NULL value, ties → smallest value."""
-    return F.mode(F.col(column), deterministic=True)
-
-
-def count_distinct(column: str) -> Column:
-    """Q13: distinct non-NULL values."""
-    return F.count_distinct(F.col(column))
+# ---------------------------------------------------------------- operation → table and chart
+
+@dataclass
+class _Answer:
+    """What a builder returns: the ordered table, the chart's axes and data, and the chart to
+    draw where the request leaves it open (``None``: only if the answer is small)."""
+
+    table: DataFrame
+    x: str | None = None
+    y: str | None = None
+    color: str | None = None
+    data: DataFrame | None = None
+    default: str | None = None
+
+
+def _build_filter_count(df, ask, approx):
+    return _Answer(filter_count(df))
+
+
+def _build_describe(df, ask, approx):
+    cols = ask.columns or numeric_columns(df)
+    numeric = [c for c in cols if is_numeric(dtype_of(df, c))]
+    return _Answer(describe_numeric(df, numeric, approx) if numeric else describe_text(df, cols))
+
+
+def _build_value_counts(df, ask, approx):
+    column = ask.columns[0]
+    table, y = _normalised(value_counts(df, column), ask.normalize)
+    return _Answer(table.orderBy(F.desc(y), F.asc_nulls_last(quoted(column))), column, y)
+
+
+def _build_groupby_count(df, ask, approx):
+    first, second = (*ask.groupby, None)[:2]
+    table, y = _normalised(groupby_count(df, ask.groupby), ask.normalize, first if second else None)
+    return _Answer(table.orderBy(*[F.asc_nulls_last(quoted(k)) for k in ask.groupby]), first, y, second)
+
+
+def _build_groupby_agg(df, ask, approx):
+    first, second = (*ask.groupby, None)[:2]
+    table = groupby_agg(df, ask.groupby, ask.columns, ask.agg or "mean", approx).orderBy(*[F.asc_nulls_last(quoted(k)) for k in ask.groupby])
+    several = len(ask.columns) > 1
+    return _Answer(table, first, None if several else ask.columns[0], second, default="table" if several else None)
+
+
+def _build_distribution(df, ask, approx):
+    column = ask.columns[0]
+    if is_numeric(dtype_of(df, column)):
+        return _Answer(describe_numeric(df, [column], approx), column, "n", data=histogram(df, column), default="histogram")
+    return _Answer(describe_text(df, [column]), column, "n", data=value_counts(df, column, dropna=True), default="histogram")
+
+
+def _build_correlation(df, ask, approx):
+    return _Answer(correlation_matrix(df, ask.columns or numeric_columns(df)))
+
+
+def _build_top_n(df, ask, approx):
+    column, n = ask.columns[0], ask.top_n or 10
+    if is_numeric(dtype_of(df, column)):
+        return _Answer(top_n_numeric(df, column, n), column, column)
+    return _Answer(top_n_text(df, column, n), column, "n")
+
+
+def _build_missing_values(df, ask, approx):
+    table = missing_table(df).orderBy(F.desc("n_missing"), F.asc("column"))
+    return _Answer(no_missing_row(df)) if table.isEmpty() else _Answer(table, "column", "n_missing", default="bar")
+
+
+@dataclass
+class _Operation:
+    build: Callable[..., _Answer]
+    needs: tuple[str, ...] = ()
+    charts: tuple[str, ...] | None = None  # chart types that may be drawn; None: any, () : never
+
+
+_OPERATIONS = {
+    "describe": _Operation(_build_describe, charts=()),
+    "groupby_count": _Operation(_build_groupby_count, ("groupby",)),
+    "groupby_agg": _Operation(_build_groupby_agg, ("groupby", "columns")),
+    "filter_count": _Operation(_build_filter_count, charts=()),
+    "distribution": _Operation(_build_distribution, ("columns",)),
+    "correlation": _Operation(_build_correlation, charts=("heatmap",)),
+    "top_n": _Operation(_build_top_n, ("columns",)),
+    "value_counts": _Operation(_build_value_counts, ("columns",)),
+    "missing_values": _Operation(_build_missing_values, charts=("bar", "none")),
+}
+OPERATIONS = tuple(_OPERATIONS)
+
+
+def _chart(ask: DataQuery, operation: _Operation, answer: _Answer, resolve: bool) -> ChartSpec | None:
+    """The requested chart; where none was chosen the answer's default, or a bar chart for a
+    comparative answer of 2 to 24 rows (counted no further than that)."""
+    if operation.charts == () or (answer.x is None and ask.chart_type not in (operation.charts or ())):
+        return None
+    kind = ask.chart_type
+    if answer.default == "table":
+        kind = "table"
+    elif answer.default and (kind == "table" or operation.charts):
+        kind = answer.default if kind != "none" else "none"
+    elif kind in ("table", "none") and resolve and ask.operation in K.COMPARATIVE_OPS:
+        rows = answer.table.limit(K.AUTO_BAR_MAX_ROWS + 1).count()
+        kind = "bar" if K.AUTO_BAR_MIN_ROWS <= rows <= K.AUTO_BAR_MAX_ROWS else kind
+    return ChartSpec(kind, answer.x, answer.y, answer.color, answer.table if answer.data is None else answer.data)
+
+
+def run_query(df: DataFrame, ask: DataQuery, approx: bool = False, resolve_chart: bool = True) -> QueryResult:
+    """Execute a typed query: checks → bins → filters → operation → normalisation → chart choice."""
+    operation = _OPERATIONS[ask.operation]
+    for need in operation.needs:
+        if not getattr(ask, need):
+            raise QueryError(f"{ask.operation} needs {need}")
+    roles = (("column", ask.columns), ("group-by column", ask.groupby or []), ("filter column", [f.column for f in ask.filter_by]))
+    for role, names in roles:
+        for name in names:
+            if name not in df.columns:
+                raise QueryError(f"{role} `{name}` does not exist")
+    ready = apply_filters(apply_bins(df, ask.bins), ask.filter_by)
+    answer = operation.build(ready, ask, approx)
+    return QueryResult(ask.operation, answer.table, _chart(ask, operation, answer, resolve_chart))

@@ -1,9 +1,10 @@
 """Data-driven column pruning (C1–C8) and column selection.
 
 Rules run once, in a fixed order where the first hit wins: high missing → near-zero
-variance → date → identifier → free text → high-cardinality categorical. Every statistic
-comes from one aggregation pass; a second, bounded pass samples 20 values per string
-column for date detection. The driver only loops over one row per column.
+variance → date → identifier → free text → high-cardinality categorical. Every statistic,
+date detection over all values included, comes from one aggregation pass; distinct values
+are counted in one frequency table for text and whole-number columns only. The driver only
+loops over one row per column.
 """
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
-from ..functions.types import dtype_of, is_numeric, is_string, is_temporal
+from ..functions.types import dtype_of, is_numeric, is_string, is_temporal, q
 from .stats import column_stats
 
 # Formats tried when reading text as a date (ISO first).
@@ -37,39 +38,27 @@ REASONS = {
 }
 
 
+# Cheap test before any parse: text of some other shape is in none of the formats.
+DATE_SHAPE = r"^\s*\d{1,4}[-/]\d{1,2}[-/]\d{1,4}"
+
+
 def parse_timestamp(col: Column) -> Column:
     """First format that parses wins; NULL when none does."""
     s = F.trim(col.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
+    return F.when(s.rlike(DATE_SHAPE), F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS]))
 
 
 def year_of(df: DataFrame, name: str) -> Column:
     """C4: year as DOUBLE; unparseable → NULL."""
-    dt = dtype_of(df, name)
-    ts = F.col(f"`{name}`") if is_temporal(dt) else parse_timestamp(F.col(f"`{name}`"))
-    return F.year(ts).cast("double")
-
+    return F.year(q(name) if is_temporal(dtype_of(df, name)) else parse_timestamp(q(name))).cast("double")
 
-def date_sample_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """C3 sample: for each string column, the first 20 non-NULL values in md5 order.
 
-    Returns (column, n_sample, n_parsed, n_days). Each column costs a bounded top-20.
-    """
-    parts = []
-    for c in columns:
-        v = F.col(f"`{c}`").cast("string")
-        top = df.select(v.alias("value")).where(F.col("value").isNotNull()) \
-            .orderBy(F.md5("value"), "value").limit(K.DATE_SAMPLE_SIZE)
-        ts = parse_timestamp(F.col("value"))
-        parts.append(top.agg(
-            F.count(F.lit(1)).alias("n_sample"), F.count(ts).alias("n_parsed"),
-            F.count_distinct(F.year(ts)).alias("n_years"), F.count_distinct(F.month(ts)).alias("n_months"),
-            F.count_distinct(F.dayofmonth(ts)).alias("n_days"),
-        ).select(F.lit(c).alias("column"), "*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+#: C3 over all values of a text column: how many parse, and the first and last day (epoch days).
+DATE_AGGREGATES = {
+    "n_dates": lambda x: F.count(parse_timestamp(x)),
+    "first_day": lambda x: F.min(F.unix_date(F.to_date(parse_timestamp(x)))).cast("long"),
+    "last_day": lambda x: F.max(F.unix_date(F.to_date(parse_timestamp(x)))).cast("long"),
+}
 
 
 @dataclass
@@ -91,8 +80,8 @@ def rule_decisions(df: DataFrame, extract_datetime: bool = True) -> DataFrame:
     the one-row-per-column statistics, so it runs inside Spark.
     """
     cols = df.columns
-    st = column_stats(df, with_quantiles=False)
-    strings = [c for c in cols if is_string(dtype_of(df, c))]
+    counted = [c for c in cols if is_string(dtype_of(df, c)) or isinstance(dtype_of(df, c), T.IntegralType)]
+    st = column_stats(df, with_quantiles=False, distinct=counted, extra=DATE_AGGREGATES)
     kinds = {}
     for c in cols:
         dt = dtype_of(df, c)
@@ -101,13 +90,6 @@ def rule_decisions(df: DataFrame, extract_datetime: bool = True) -> DataFrame:
     kind = F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), F.lit(v))])[F.col("column")]
     id_names = [c for c in cols if ID_NAME.match(c)]
     name_is_id = F.col("column").isin(id_names) if id_names else F.lit(False)
-    if strings:
-        ds = date_sample_stats(df, strings)
-        st = st.join(ds, "column", "left")
-    else:
-        st = st.select("*", *[F.lit(None).cast("long").alias(n) for n in
-                              ("n_sample", "n_parsed", "n_years", "n_months", "n_days")])
-
     n = F.col("n_rows")
     present = n - F.col("n_missing")
     std, mean = F.col("std"), F.col("mean")
@@ -117,10 +99,8 @@ def rule_decisions(df: DataFrame, extract_datetime: bool = True) -> DataFrame:
     cv_small = (mean != 0) & (F.abs(std / mean) < K.NEAR_ZERO_CV)
     range_small = (rng > 0) & (std / rng < K.NEAR_ZERO_CV)
     near_zero = (n >= K.MIN_ROWS_FOR_VARIANCE) & (
-        (F.col("n_unique") <= 1) | (numeric & (F.coalesce(cv_small, F.lit(False)) | F.coalesce(range_small, F.lit(False)))))
-    text_date = (kind == "string") & (F.col("n_sample") >= K.DATE_SAMPLE_MIN) & \
-        (F.col("n_parsed") == F.col("n_sample")) & \
-        ~((F.col("n_years") == 1) & (F.col("n_months") == 1) & (F.col("n_days") == 1))
+        F.col("constant") | (numeric & (F.coalesce(cv_small, F.lit(False)) | F.coalesce(range_small, F.lit(False)))))
+    text_date = (kind == "string") & (present >= K.DATE_MIN_VALUES) & (F.col("n_dates") == present) & (F.col("first_day") < F.col("last_day"))
     is_date = (kind == "temporal") | F.coalesce(text_date, F.lit(False))
     all_distinct = (n > 0) & (F.col("n_unique") == n)
     consecutive = (kind == "integer") & (n > 1) & (rng == n - 1)
@@ -153,7 +133,7 @@ def apply_rules(df: DataFrame, extract_datetime: bool = True, decisions: DataFra
     for c in df.columns:
         r = rows[c]
         if r["action"] == "keep":
-            out_cols.append(F.col(f"`{c}`"))
+            out_cols.append(q(c))
         elif r["action"] == "extract_year":
             years.append(year_of(df, c).alias(f"{c}_year"))
             extracted.append((c, f"{c}_year"))
@@ -168,4 +148,4 @@ def select_columns(df: DataFrame, wanted: Sequence[str] | None) -> DataFrame:
     valid = [c for c in (wanted or []) if c in df.columns]
     if not df.columns:
         raise ValueError("the table has no columns left")
-    return df.select(*[F.col(f"`{c}`") for c in valid]) if valid else df
+    return df.select(*[q(c) for c in valid]) if valid else df

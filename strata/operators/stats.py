@@ -1,73 +1,57 @@
 """Shared statistics: one aggregation pass per table, long (unpivoted) frequency tables.
 
 The number of shuffles does not grow with the number of columns: per-column group-bys
-are expressed as one ``unpivot`` followed by one aggregation keyed by ``column``.
+are expressed as one ``unpivot`` followed by one aggregation keyed by ``column``. NaN counts
+as missing everywhere.
 """
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.types import dtype_of, is_numeric
+from ..functions.types import dtype_of, is_numeric, is_string, number, present, q
+from .quantiles import one_row_quantiles
 
-# Exact percentiles by default (they match the SQL oracle). ``approx=True`` trades
-# exactness for a bounded, mergeable sketch on very large inputs.
+# ``approx=True`` trades exactness for a bounded, mergeable sketch; it is never chosen by size.
 APPROX_ACCURACY = 10000
+QUARTILES = (0.25, 0.5, 0.75)
 
 
-def quantiles(col: Column | str, probs: Sequence[float], approx: bool = False) -> Column:
-    """Array of linear-interpolation quantiles (pandas ``quantile`` / DuckDB ``quantile_cont``)."""
-    c = F.col(col) if isinstance(col, str) else col
-    if approx:
-        return F.percentile_approx(c.cast("double"), list(probs), APPROX_ACCURACY)
-    return F.percentile(c.cast("double"), list(probs))
-
-
-def median(col: Column | str, approx: bool = False) -> Column:
-    return quantiles(col, [0.5], approx)[0]
+def quartile_map(df: DataFrame, columns: Sequence[str], approx: bool = False) -> Column:
+    """MAP<column, ARRAY[q1, median, q3]> as a scalar subquery."""
+    if not approx:
+        return one_row_quantiles(df, columns, QUARTILES)
+    entries = [e for c in columns for e in (F.lit(c), F.percentile_approx(number(df, c), list(QUARTILES), APPROX_ACCURACY))]
+    return df.agg(F.create_map(*entries).alias("m")).select("m").scalar()
 
 
 def is_missing(df: DataFrame, name: str) -> Column:
-    """pandas ``isna``: NULL, and NaN for floating columns."""
-    c = F.col(name)
-    if isinstance(dtype_of(df, name), (T.DoubleType, T.FloatType)):
-        return c.isNull() | F.isnan(c)
-    return c.isNull()
-
-
-def sample_skewness(col: Column | str) -> Column:
-    """Bias-corrected skewness (pandas ``skew``): population skewness × sqrt(n(n-1))/(n-2)."""
-    c = F.col(col) if isinstance(col, str) else col
-    n = F.count(c).cast("double")
-    return F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2))
+    return present(df, name).isNull()
 
 
-def attach_scalar(df: DataFrame, scalar: Column, name: str = "__s") -> DataFrame:
-    """Attach a scalar subquery as a column so it runs once however often it is referenced."""
-    return df.withColumn(name, scalar)
+def sample_skewness(x: Column) -> Column:
+    """Bias-corrected skewness: population skewness × sqrt(n(n-1))/(n-2)."""
+    n = F.count(x).cast("double")
+    return F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
 def stack_rows(one_row: DataFrame, label_col: str, labels: Sequence[str], columns: Sequence[str],
-               cell: callable) -> DataFrame:
+               cell: Callable[[str, int], Column]) -> DataFrame:
     """Turn a one-row aggregate into ``len(labels)`` rows: (label_col, *columns).
 
-    ``cell(label, column)`` names the aggregate field that holds the value.
-    Runs as a generator on the single aggregated row; nothing goes through the driver.
+    ``cell(label, i)`` is the value of a label for the i-th column. Runs as a generator on the
+    single aggregated row; nothing goes through the driver.
     """
-    structs = [
-        F.struct(F.lit(lab).alias(label_col), *[F.col(cell(lab, c)).alias(c) for c in columns])
-        for lab in labels
-    ]
+    structs = [F.struct(F.lit(lab).alias(label_col), *[cell(lab, i).alias(c) for i, c in enumerate(columns)]) for lab in labels]
     return one_row.select(F.inline(F.array(*structs)))
 
 
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., column, value) with every value cast to STRING, NULLs kept."""
-    casted = df.select(*by, *[F.col(c).cast("string").alias(c) for c in columns])
-    return casted.unpivot(list(by), list(columns), "column", "value")
+    """(by..., column, value) with every value cast to STRING, missing ones NULL."""
+    casted = df.select(*[q(b) for b in by], *[present(df, c).cast("string").alias(c) for c in columns])
+    return casted.unpivot([q(b) for b in by], [q(c) for c in columns], "column", "value")
 
 
 def value_freq(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), dropna: bool = True) -> DataFrame:
@@ -75,41 +59,28 @@ def value_freq(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), dr
     lv = long_values(df, columns, by)
     if dropna:
         lv = lv.where(F.col("value").isNotNull())
-    return lv.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return lv.groupBy(*[q(b) for b in by], "column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ranked(freq: DataFrame, partition: Sequence[str], n_col: str = "n", value_col: str = "value") -> DataFrame:
     """Adds ``rank`` = position by count desc, value asc within ``partition``."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*partition).orderBy(F.desc(n_col), F.asc_nulls_first(value_col))
+    w = Window.partitionBy(*[q(p) for p in partition]).orderBy(F.desc(n_col), F.asc_nulls_first(value_col))
     return freq.withColumn("rank", F.row_number().over(w))
 
 
-def numeric_summary(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
-    """One-row aggregate with count, mean, std, min, q1, median, q3, max, skew per column."""
-    exprs = []
-    for i, c in enumerate(columns):
-        x = F.col(c).cast("double")
-        q = quantiles(x, [0.25, 0.5, 0.75], approx)
-        exprs += [
-            F.count(x).cast("double").alias(f"count__{i}"),
-            F.avg(x).alias(f"mean__{i}"),
-            F.stddev_samp(x).alias(f"std__{i}"),
-            F.min(x).alias(f"min__{i}"),
-            q.alias(f"q__{i}"),
-            F.max(x).alias(f"max__{i}"),
-            sample_skewness(x).alias(f"skew__{i}"),
-        ]
-    agg = df.agg(*exprs)
-    cols = []
-    for i, _ in enumerate(columns):
-        cols += [
-            F.col(f"count__{i}"), F.col(f"mean__{i}"), F.col(f"std__{i}"), F.col(f"min__{i}"),
-            F.col(f"q__{i}")[0].alias(f"q1__{i}"), F.col(f"q__{i}")[1].alias(f"median__{i}"),
-            F.col(f"q__{i}")[2].alias(f"q3__{i}"), F.col(f"max__{i}"), F.col(f"skew__{i}"),
-        ]
-    return agg.select(*cols)
+def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., column, value, n): each column's most frequent value as STRING, ties → smallest.
+
+    An algebraic aggregate over the frequency table: no value map or window holds a column.
+    """
+    best = F.min(F.struct((-F.col("n")).alias("less"), F.col("value").alias("value")))
+    return (value_freq(df, columns, by).groupBy(*[q(b) for b in by], "column").agg(best.alias("__best"))
+            .select(*[q(b) for b in by], "column", F.col("__best.value").alias("value"), (-F.col("__best.less")).alias("n")))
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, n_unique) of the non-missing values, from the frequency table."""
+    return value_freq(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
 
 
 def numeric_columns_of(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
@@ -118,67 +89,53 @@ def numeric_columns_of(df: DataFrame, columns: Sequence[str] | None = None) -> l
 
 
 def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False,
-                 with_quantiles: bool = True, method: str = "auto") -> DataFrame:
-    """Long per-column statistics from two single-pass aggregations.
+                 with_quantiles: bool = True, distinct: Sequence[str] | None = None,
+                 extra: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Long per-column statistics: one aggregate, one frequency table, one quantile job.
 
-    (column, dtype, n_rows, n_missing, n_unique, mean, std, min, max, q1, median, q3,
+    (column, dtype, n_rows, n_missing, n_unique, constant, mean, std, min, max, q1, median, q3,
     skewness, mean_len). Numeric fields are NULL for non-numeric columns; ``mean_len`` is
-    the mean character length of non-NULL values of string columns.
-
-    Distinct counts run as their own aggregate (kept apart from the percentile buffers that
-    the distinct rewrite would otherwise carry through its row expansion) and are attached
-    once as a scalar-subquery column, so the subquery runs once rather than per field.
+    the mean character length of the values of string columns; ``constant`` tells that no two
+    values differ. ``distinct`` names the columns to count distinct values of (default: all);
+    ``n_unique`` is NULL for the others. ``extra`` adds aggregates of string columns.
     """
-    from ..functions.types import is_string
-
-    from .quantiles import auto_quantile_method, exact_quantile_array
-
     cols = list(columns or df.columns)
-    numeric_cols = [c for c in cols if is_numeric(dtype_of(df, c))]
-    sort_cols = set()
-    if with_quantiles and not approx and numeric_cols:
-        m = auto_quantile_method(df, numeric_cols) if method == "auto" else {c: method for c in numeric_cols}
-        sort_cols = {c for c, v in m.items() if v == "sort"}
+    wanted = cols if distinct is None else [c for c in cols if c in distinct]
+    numeric = [c for c in cols if is_numeric(dtype_of(df, c))]
+    extra = extra or {}
     exprs = [F.count(F.lit(1)).alias("__rows")]
     for i, c in enumerate(cols):
-        dt = dtype_of(df, c)
-        x = F.col(f"`{c}`")
-        exprs.append(F.sum(is_missing(df, c).cast("long")).alias(f"miss__{i}"))
-        if is_numeric(dt):
-            d = x.cast("double")
-            exprs += [F.avg(d).alias(f"mean__{i}"), F.stddev_samp(d).alias(f"std__{i}"),
-                      F.min(d).alias(f"min__{i}"), F.max(d).alias(f"max__{i}"),
-                      sample_skewness(d).alias(f"skew__{i}")]
-            if with_quantiles and c not in sort_cols:
-                exprs.append(quantiles(d, [0.25, 0.5, 0.75], approx).alias(f"q__{i}"))
+        value, dt = present(df, c), dtype_of(df, c)
+        exprs += [F.count(value).alias(f"count__{i}"), F.coalesce(F.min(value) == F.max(value), F.lit(True)).alias(f"constant__{i}")]
+        if c in numeric:
+            d = number(df, c)
+            exprs += [F.avg(d).alias(f"mean__{i}"), F.stddev_samp(d).alias(f"std__{i}"), F.min(d).alias(f"min__{i}"),
+                      F.max(d).alias(f"max__{i}"), sample_skewness(d).alias(f"skewness__{i}")]
         if is_string(dt):
-            exprs.append(F.avg(F.length(x)).alias(f"len__{i}"))
-    distinct = df.agg(*[(F.approx_count_distinct(F.col(f"`{c}`")) if approx else F.count_distinct(F.col(f"`{c}`")))
-                        .alias(f"u{i}") for i, c in enumerate(cols)])
-    uniq = distinct.select(F.struct(*[F.col(f"u{i}") for i in range(len(cols))]).alias("s")).scalar()
-    # attach the subquery once as a column: each direct reference would re-run it
-    one = df.agg(*exprs).withColumn("__u", uniq)
-    for i, c in enumerate(cols):
-        if c in sort_cols:
-            one = one.withColumn(f"q__{i}", exact_quantile_array(df, c, [0.25, 0.5, 0.75]).select("q").scalar())
+            exprs.append(F.avg(F.length(value)).alias(f"mean_len__{i}"))
+            exprs += [make(value).alias(f"{name}__{i}") for name, make in extra.items()]
+    one = df.agg(*exprs)
+    if wanted:
+        unique = distinct_counts(df, wanted).agg(F.map_from_entries(F.collect_list(F.struct("column", "n_unique"))).alias("m"))
+        one = one.withColumn("__unique", unique.select("m").scalar())
+    if with_quantiles and numeric:
+        one = one.withColumn("__quartiles", quartile_map(df, numeric, approx))
+
+    def field(name: str, i: int, kind: str, there: bool) -> Column:
+        return (F.col(f"{name}__{i}") if there else F.lit(None).cast(kind)).alias(name)
+
     structs = []
-    none = F.lit(None).cast("double")
     for i, c in enumerate(cols):
         dt = dtype_of(df, c)
-        num = is_numeric(dt)
-        qs = num and with_quantiles
+        is_num, is_text = c in numeric, is_string(dt)
+        at = lambda k, c=c: F.col("__quartiles")[c][k] if is_num and with_quantiles else F.lit(None).cast("double")  # noqa: B023, E731
+        n_unique = F.coalesce(F.col("__unique")[c], F.lit(0)) if c in wanted else F.lit(None).cast("long")
         structs.append(F.struct(
-            F.lit(c).alias("column"), F.lit(dt.simpleString()).alias("dtype"),
-            F.col("__rows").alias("n_rows"), F.col(f"miss__{i}").alias("n_missing"),
-            F.col(f"__u.u{i}").alias("n_unique"),
-            (F.col(f"mean__{i}") if num else none).alias("mean"),
-            (F.col(f"std__{i}") if num else none).alias("std"),
-            (F.col(f"min__{i}") if num else none).alias("min"),
-            (F.col(f"max__{i}") if num else none).alias("max"),
-            (F.col(f"q__{i}")[0] if qs else none).alias("q1"),
-            (F.col(f"q__{i}")[1] if qs else none).alias("median"),
-            (F.col(f"q__{i}")[2] if qs else none).alias("q3"),
-            (F.col(f"skew__{i}") if num else none).alias("skewness"),
-            (F.col(f"len__{i}") if is_string(dt) else none).alias("mean_len"),
-        ))
+            F.lit(c).alias("column"), F.lit(dt.simpleString()).alias("dtype"), F.col("__rows").alias("n_rows"),
+            (F.col("__rows") - F.col(f"count__{i}")).alias("n_missing"), n_unique.alias("n_unique"),
+            F.col(f"constant__{i}").alias("constant"),
+            *[field(name, i, "double", is_num) for name in ("mean", "std", "min", "max")],
+            at(0).alias("q1"), at(1).alias("median"), at(2).alias("q3"),
+            field("skewness", i, "double", is_num), field("mean_len", i, "double", is_text),
+            *[field(name, i, "long", is_text) for name in extra]))
     return one.select(F.inline(F.array(*structs)))

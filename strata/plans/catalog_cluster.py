@@ -1,5 +1,10 @@
-"""Registered clustering queries (M*, G1, T12, S13). KMeans results have no SQL oracle:
-they are checked by row count here and by property tests in tests/."""
+"""Registered clustering queries (M*, G1, T12).
+
+KMeans itself has no SQL statement. The queries below return what must hold for any right
+result (rows add up, every row stands at its nearest centre, more restarts are not worse) or
+decisions over a curve table, both with oracles; ``k_curve``, ``segment_flagship`` and ``pca_map``
+return the fitted values themselves and are tested by properties.
+"""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -7,9 +12,9 @@ from pyspark.sql import functions as F
 from ..operators import cluster as C
 from ..operators import evaluate as E
 from ..operators.charts import pca_map
-from ..operators.prepare import prepare
-from .registry import register, rounded, tbl
-from .segment import SegmentConfig, segment, summary_table
+from ..operators.prepare import fit_pca, prepare
+from .registry import r, register, rounded, tbl
+from .segment import segment, summary_table
 
 
 def customer_features(spark, sf):
@@ -21,53 +26,106 @@ def customer_features(spark, sf):
     return c.join(o, c.c_custkey == o.o_custkey, "left").drop("o_custkey")
 
 
-def _cfg(**kw):
-    return SegmentConfig(n_init=kw.pop("n_init", 3), **kw)
-
-
 @register("segment_flagship")
 def segment_flagship(spark, sf):
     """Flagship: rules → prepare → k search → KMeans → quality, on customers + order aggregates."""
-    return summary_table(segment(customer_features(spark, sf), _cfg()))
+    return summary_table(segment(customer_features(spark, sf)))
 
 
 @register("k_curve")
 def k_curve(spark, sf):
-    prep = prepare(customer_features(spark, sf).drop("c_custkey", "c_name"))
-    search = C.search_k(C.stable_layout(prep.df).cache(), k_max=6, n_init=2)
+    """M4: k = 2..10, best of 10 restarts each, exact silhouettes."""
+    search = C.search_k(prepare(customer_features(spark, sf).drop("c_custkey", "c_name")).df)
     return rounded(search.to_df(spark)).withColumn("chosen", F.col("k") == F.lit(search.optimal_k)) \
         .withColumn("elbow", F.col("k") == F.lit(search.elbow_k))
 
 
-@register("kmeans_labels")
+def line_curve(spark, sf):
+    """A curve table from data: one point per line number, total price as inertia, mean discount as score."""
+    return tbl(spark, sf, "lineitem").groupBy((F.col("l_linenumber") + 1).cast("int").alias("k")).agg(
+        F.sum("l_extendedprice").alias("inertia"), F.avg("l_discount").alias("silhouette"))
+
+
+_CURVE = ("(SELECT CAST(l_linenumber + 1 AS INTEGER) AS k, sum(l_extendedprice) AS inertia, avg(l_discount) AS silhouette "
+          "FROM lineitem GROUP BY 1)")
+
+
+@register("k_elbow", f"""
+WITH c AS (SELECT k, (k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER ()) AS x,
+  (inertia - min(inertia) OVER ()) / (max(inertia) OVER () - min(inertia) OVER ()) AS y FROM {_CURVE} t),
+e AS (SELECT arg_min(x, k) AS x0, arg_min(y, k) AS y0, arg_max(x, k) AS x1, arg_max(y, k) AS y1 FROM c)
+SELECT k FROM c, e ORDER BY round(abs((x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)), 12) DESC, k LIMIT 1
+""")
+def k_elbow(spark, sf):
+    return C.elbow(line_curve(spark, sf))
+
+
+@register("k_two_regime", f"""
+WITH c AS (SELECT k, silhouette, max(silhouette) OVER () - min(silhouette) OVER () < 0.03 AND count(*) OVER () > 1 AS flat
+  FROM {_CURVE} t)
+SELECT k, flat FROM c ORDER BY CASE WHEN flat AND k > 4 THEN 1 ELSE 0 END, silhouette DESC, k LIMIT 1
+""")
+def k_two_regime(spark, sf):
+    return C.two_regime_k(line_curve(spark, sf))
+
+
+def _off_centre(df, fit):
+    """Rows that another centre is nearer to than their own."""
+    far = [F.aggregate(F.zip_with("features", F.array(*[F.lit(x) for x in c]), lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda acc, v: acc + v)
+           for c in fit.centers]
+    own = F.element_at(F.array(*far), F.col("__pred") + 1)
+    return fit.predict(df).where(own > F.array_min(F.array(*far)) + 1e-9).count()
+
+
+def _checked(spark, df, fit, **more):
+    sizes = E.cluster_sizes(C.assign(df, fit)).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_clusters"))
+    return sizes.select("n_rows", "n_clusters", F.lit(_off_centre(df, fit)).cast("long").alias("n_off_centre"),
+                        *[F.lit(v).alias(k) for k, v in more.items()])
+
+
+@register("kmeans_labels", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(4 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_off_centre FROM customer")
 def kmeans_labels(spark, sf):
-    prep = prepare(tbl(spark, sf, "customer").drop("c_custkey", "c_name"), keep=["c_acctbal", "c_mktsegment"])
-    feats = C.stable_layout(prep.df).cache()
-    lab = C.assign(feats, C.kmeans(feats, 4, n_init=3))
-    return E.cluster_sizes(lab)
+    """M1/M8: best of 10 restarts; rows add up, no cluster is empty, every row is at its nearest centre."""
+    df = prepare(tbl(spark, sf, "customer").drop("c_custkey", "c_name"), keep=["c_acctbal", "c_mktsegment"]).df
+    return _checked(spark, df, C.kmeans(df, 4))
 
 
-@register("refined_labels")
+@register("refined_labels", """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(10 AS BIGINT) AS n_clusters, CAST(0 AS BIGINT) AS n_off_centre, true AS not_worse FROM embeddings
+""")
 def refined_labels(spark, sf):
-    """M7: a weak first pass (silhouette < 0.25) is refit once with 30 restarts."""
-    emb = tbl(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"))
-    feats = C.stable_layout(emb).cache()
-    first = C.kmeans(feats, 10, n_init=2)
-    sil = E.silhouette(C.assign(feats, first), "features", "cluster")
-    fit = C.kmeans(feats, 10, n_init=6) if C.should_refine(sil, 0) else first
-    return E.cluster_sizes(C.assign(feats, fit if fit.cost < first.cost else first))
+    """M7: a weak first pass (silhouette < 0.25) is refit once with 30 restarts; the cheaper fit stays."""
+    df = tbl(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"))
+    rows = C.weighted_rows(df)
+    first = C.kmeans(rows, 10)
+    again = C.kmeans(rows, 10, n_init=30) if C.should_refine(C.score_fit(rows, first), 0) else first
+    fit = min(first, again, key=lambda f: f.cost)
+    return _checked(spark, df, fit, not_worse=fit.cost <= first.cost)
 
 
-@register("hierarchical_labels")
+@register("hierarchical_labels", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(4 AS BIGINT) AS n_clusters FROM customer")
 def hierarchical_labels(spark, sf):
-    prep = prepare(tbl(spark, sf, "customer").select("c_acctbal", "c_nationkey"))
-    return E.cluster_sizes(C.hierarchical(prep.df, 4))
+    """M2: every row in one of four Ward groups."""
+    df = prepare(tbl(spark, sf, "customer").select("c_acctbal", "c_nationkey")).df
+    return E.cluster_sizes(C.hierarchical(df, 4)).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_clusters"))
 
 
-@register("bisecting_labels")
+@register("bisecting_labels", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(4 AS BIGINT) AS n_clusters FROM customer")
 def bisecting_labels(spark, sf):
-    prep = prepare(tbl(spark, sf, "customer").select("c_acctbal", "c_nationkey", "c_mktsegment"))
-    return E.cluster_sizes(C.bisecting(prep.df, 4))
+    df = prepare(tbl(spark, sf, "customer").select("c_acctbal", "c_nationkey", "c_mktsegment")).df
+    return E.cluster_sizes(C.bisecting(df, 4)).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_clusters"))
+
+
+@register("pca_components", f"""
+WITH m AS (SELECT var_samp(c_acctbal) AS a, var_samp(c_nationkey * 300.0) AS c, covar_samp(c_acctbal, c_nationkey * 300.0) AS b FROM customer),
+e AS (SELECT sqrt(((a - c) / 2) * ((a - c) / 2) + b * b) / (a + c) AS d FROM m)
+SELECT 1 AS component, {r("0.5 + d")} AS ratio FROM e UNION ALL SELECT 2, {r("0.5 - d")} FROM e
+""")
+def pca_components(spark, sf):
+    """Shares of the variance of two features, against the closed form of a 2 × 2 matrix."""
+    c = tbl(spark, sf, "customer").select(F.array(F.col("c_acctbal").cast("double"), F.col("c_nationkey") * F.lit(300.0)).alias("features"))
+    ratios = fit_pca(c, "features", 0.9999999).ratios
+    return rounded(spark.createDataFrame([(i + 1, x) for i, x in enumerate(ratios)], "component int, ratio double"))
 
 
 @register("pca_map")

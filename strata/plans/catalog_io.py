@@ -115,3 +115,54 @@ def csv_ingest(spark, sf):
     return rounded(back.groupBy("c_mktsegment").agg(
         F.count(F.lit(1)).alias("n"), F.count("c_acctbal").alias("n_balance"),
         F.sum("c_acctbal").alias("balance")), 2)
+
+
+# ------------------------------------------------------------------ run store
+
+_RUNS = (("001234567890", "first.csv", "2026-01-01T00:00:00+00:00"), ("0000000000a1", "second.csv", "2026-01-02T00:00:00+00:00"))
+
+
+def run_store(spark, sf):
+    """Two runs below the session's shared folder: customers by market segment, one run with an
+    extra column, and edits of the first run's labels."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources.runs import RunStore
+
+    store = RunStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/strata-runs/{uuid.uuid4().hex}")
+    segments = E.cluster_sizes(customers_by_segment(spark, sf)).select(
+        "cluster", F.concat(F.lit("Segment "), F.col("cluster").cast("string")).alias("label"), F.col("n").alias("size"))
+    total = segments.agg(F.sum("size").alias("n_rows"))
+    for i, (run_id, name, at) in enumerate(_RUNS):
+        summary = total.select(F.lit(at).alias("created_at"), F.lit(name).alias("file_name"), "n_rows")
+        store.write("runs", run_id, summary.withColumn("grade", F.lit("B")) if i else summary)
+        store.write("segments", run_id, segments.where(F.col("cluster") < 3) if i else segments)
+    for label in ("draft", "final", None):
+        store.edit_segment(_RUNS[0][0], 0, validated=label == "final" or None, **({"label": label} if label else {"barriers": [" a ", "", "b"]}))
+    return store
+
+
+@register("run_listing", f"""
+WITH s AS (SELECT cluster, count(*) AS n FROM {_CBS} t GROUP BY 1), l AS (
+  SELECT '{_RUNS[0][0]}' AS run_id, '{_RUNS[0][1]}' AS file_name, '—' AS grade,
+    CASE WHEN cluster = 0 THEN 'final' ELSE 'Segment ' || cluster END AS label, cluster FROM s
+  UNION ALL SELECT '{_RUNS[1][0]}', '{_RUNS[1][1]}', 'B', 'Segment ' || cluster, cluster FROM s WHERE cluster < 3)
+SELECT run_id, file_name, (SELECT CAST(sum(n) AS BIGINT) FROM s) AS n_rows, count(*) AS n_segments, grade,
+  string_agg(label, ',' ORDER BY cluster) AS labels FROM l GROUP BY run_id, file_name, grade
+""")
+def run_listing(spark, sf):
+    """Ids as text, each run's own schema, defaults for missing fields, edited labels."""
+    return run_store(spark, sf).list_runs().select("run_id", "file_name", "n_rows", "n_segments", "grade",
+                                                   F.concat_ws(",", "segment_labels").alias("labels"))
+
+
+@register("curated_segments", f"""
+SELECT cluster, CASE WHEN cluster = 0 THEN 'final' ELSE 'Segment ' || cluster END AS label, count(*) AS size,
+  CASE WHEN cluster = 0 THEN true END AS validated, CASE WHEN cluster = 0 THEN 'a,b' END AS barriers
+FROM {_CBS} t GROUP BY cluster
+""")
+def curated_segments(spark, sf):
+    """The latest edit of each field, in order of the edits, over the stored segments."""
+    return run_store(spark, sf).effective_segments(_RUNS[0][0]).select(
+        "cluster", "label", "size", "validated", F.when(F.col("barriers").isNotNull(), F.concat_ws(",", "barriers")).alias("barriers"))

@@ -373,3 +373,42 @@ def chart_choice(spark, sf):
     """A small comparative answer asked as 'table' is drawn as a bar chart."""
     res = run_query(tbl(spark, sf, "orders"), DataQuery(operation="value_counts", columns=["o_orderstatus"]))
     return res.table.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(res.chart.type).alias("chart_type"), "n_rows")
+
+
+# ------------------------------------------------------------------ missing numbers and odd names
+
+def nan_orders(spark, sf):
+    """orders with NaN prices for one priority, and a column whose name holds a dot."""
+    price = F.when(F.col("o_orderpriority") == "5-LOW", F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
+    return tbl(spark, sf, "orders").select("o_orderstatus", price.alias("price"), F.col("o_orderpriority").alias("o.priority"))
+
+
+_NAN = ("(SELECT o_orderstatus, CASE WHEN o_orderpriority <> '5-LOW' THEN o_totalprice END AS price, o_orderpriority FROM orders)")
+
+
+@register("describe_nan", _describe_sql(f"{_NAN} t", ["price"]))
+def describe_nan(spark, sf):
+    return rounded(_q(nan_orders(spark, sf), operation="describe", columns=["price"]))
+
+
+@register("groupby_agg_nan", f"SELECT o_orderstatus, {r('avg(price)')} AS price FROM {_NAN} t GROUP BY 1")
+def groupby_agg_nan(spark, sf):
+    return rounded(_q(nan_orders(spark, sf), operation="groupby_agg", groupby=["o_orderstatus"], columns=["price"], agg="mean"))
+
+
+@register("groupby_median_nan", f"SELECT o_orderstatus, {r('quantile_cont(price, 0.5)')} AS price FROM {_NAN} t GROUP BY 1")
+def groupby_median_nan(spark, sf):
+    return rounded(_q(nan_orders(spark, sf), operation="groupby_agg", groupby=["o_orderstatus"], columns=["price"], agg="median"))
+
+
+@register("missing_values_nan", f"""
+SELECT 'price' AS "column", count(*) - count(price) AS n_missing,
+  {r("round_even((count(*) - count(price)) / count(*) * 1000.0, 0) / 10.0")} AS pct_missing FROM {_NAN} t
+""")
+def missing_values_nan(spark, sf):
+    return rounded(_q(nan_orders(spark, sf), operation="missing_values"))
+
+
+@register("value_counts_dotted_name", f'SELECT o_orderpriority AS "o.priority", count(*) AS n FROM {_NAN} t GROUP BY 1')
+def value_counts_dotted_name(spark, sf):
+    return _q(nan_orders(spark, sf), operation="value_counts", columns=["o.priority"])

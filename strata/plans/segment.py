@@ -1,9 +1,11 @@
 """End-to-end segmentation: a plain function holding DataFrames, every data stage a Spark job.
 
-select columns → rules (C*) → prepare (T*) → k search (M3–M6) → fit (M1) → refinement
-gate (M7) → labels (M8) → metrics (E1–E5) → profiles and evidence (E6–E9) → grade and
-caution (E11, E12) → segment table (E13). The driver only sees per-column statistics,
-the ≤ 9-point k curve and k centroids.
+validate (S6) → select columns → rules (C*) → prepare (T*) → k search (M3–M6) → fit (M1) →
+refinement gate (M7) → labels (M8) → metrics (E1–E5) → profiles and evidence (E6–E9) →
+grade and caution (E11, E12) → segment table (E13). Fits and scores run on the weighted
+distinct feature rows, the only thing that is shuffled and cached for them; the original rows
+are labelled in place by a projection. The driver only sees per-column statistics, the
+≤ 9-point k curve and k centroids. Nothing here depends on the number of rows.
 """
 from __future__ import annotations
 
@@ -16,12 +18,13 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.ladders import caution_from_silhouette, quality_grade
 from ..functions.rounding import round_half_even
-from ..functions.types import dtype_of, is_numeric
+from ..functions.types import dtype_of, is_numeric, number, q
 from ..operators import cluster as C
 from ..operators import evaluate as E
 from ..operators import evidence as V
-from ..operators.prepare import derive_strategy, prepare
+from ..operators.prepare import Strategy, derive_strategy, fit_features
 from ..operators.rules import apply_rules, select_columns, year_of
+from ..sources.tables import validate_table
 
 
 @dataclass
@@ -31,47 +34,32 @@ class SegmentConfig:
     k_max: int = K.K_MAX
     n_init: int = K.KMEANS_N_INIT
     refine_n_init: int = K.REFINE_N_INIT
-    silhouette_sample: int | None = None   # None = exact up to exact_silhouette_rows, then sampled
-    exact_silhouette_rows: int = K.EXACT_SILHOUETTE_ROWS
+    score: str = "silhouette"               # silhouette (exact, quadratic work) | centroid_silhouette (linear)
     ordinal_mappings: dict[str, list] = field(default_factory=dict)
     extract_datetime: bool = True
     algorithm: str = "kmeans"               # kmeans | hierarchical | bisecting
-    engine: str = "spark_ml"                # spark_ml | batched (shared passes for all restarts)
-    partitions: int | None = None
+    pca_components: Any = None              # None: no reduction; a count, or a share of the variance
 
 
 @dataclass
 class SegmentModel:
-    """A fitted segmentation: feature plan + KMeans (or bisecting) model + id renumbering.
+    """A fitted segmentation: feature plan + KMeans model + id renumbering.
 
     ``transform`` is projection + model scoring only, so it applies to new batch data and
     to streaming DataFrames (``readStream``) without refitting.
     """
     plan: Any
-    model: Any
+    fit: C.Fit
     mapping: dict[int, int]
     names: dict[int, str] = field(default_factory=dict)
     features: str = "features"
-    centers: Any = None
 
     def transform(self, df: DataFrame, keep: Sequence[str] | None = None, out: str = "cluster",
                   segment_col: str | None = "segment") -> DataFrame:
-        from pyspark.ml.functions import array_to_vector
-
-        feats = self.plan.transform(df, keep, self.features)
-        if self.model is None:
-            from ..operators.kmeans import nearest
-
-            pred = feats.withColumn("__pred", nearest(self.features, self.centers))
-        else:
-            feats = feats.withColumn("__vec", array_to_vector(self.features))
-            pred = self.model.setFeaturesCol("__vec").setPredictionCol("__pred").transform(feats)
-        m = F.create_map(*[x for o, n in self.mapping.items() for x in (F.lit(o), F.lit(n))])
-        res = pred.withColumn(out, m[F.col("__pred")]).drop("__pred", *(["__vec"] if "__vec" in pred.columns else []))
+        res = C.assign(self.plan.transform(df, keep, self.features), self.fit, self.features, out, self.mapping)
         if segment_col:
-            names = F.create_map(*[x for k, v in self.names.items() for x in (F.lit(k), F.lit(v))]) \
-                if self.names else None
-            name = names[F.col(out)] if names is not None else F.lit(None).cast("string")
+            pairs = [x for k, v in self.names.items() for x in (F.lit(k), F.lit(v))]
+            name = F.create_map(*pairs)[F.col(out)] if pairs else F.lit(None).cast("string")
             res = res.withColumn(segment_col, F.coalesce(name, F.lit(K.UNKNOWN_SEGMENT)))
         return res
 
@@ -92,101 +80,79 @@ class SegmentationResult:
     model: SegmentModel | None = None
 
 
-def validate_table(df: DataFrame) -> None:
-    """Non-empty, ≥ 2 columns, ≥ 2 rows."""
-    n = df.limit(2).count()
-    if n == 0:
-        raise ValueError("the table is empty")
-    if len(df.columns) < 2:
-        raise ValueError(f"at least 2 columns are needed to segment; the table has {len(df.columns)}")
-    if n < 2:
-        raise ValueError("at least 2 rows are needed to find patterns")
+def _feature_plan(table: DataFrame, columns: Sequence[str], cfg: SegmentConfig):
+    """The fitted plan; where the derived strategy fails on odd data, that of the plain one."""
+    derived = derive_strategy(table.select(*[q(c) for c in columns]), cfg.ordinal_mappings)
+    derived.pca_components = cfg.pca_components
+    try:
+        return fit_features(table, derived, columns=columns), None
+    except Exception as exc:  # noqa: BLE001 — public data of any kind: fall back once, and say so
+        return fit_features(table, Strategy(pca_components=cfg.pca_components), columns=columns), f"{type(exc).__name__}: {exc}"
 
 
 def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationResult:
     cfg = config or SegmentConfig()
     spark = df.sparkSession
-    # rules and preparation make several passes over the selected columns: cache that
-    # projection once (only the candidate feature columns, not the whole table)
-    sel = select_columns(df, cfg.columns).cache()
-    _, report = apply_rules(sel, cfg.extract_datetime)
+    validate_table(df)
+    selected = select_columns(df, cfg.columns)
+    _, report = apply_rules(selected, cfg.extract_datetime)
     if not report.kept:
         raise ValueError("every column was filtered out; choose other columns")
-    years = [year_of(sel, o).alias(n) for o, n in report.datetime_extracted]
+    years = [year_of(selected, o).alias(n) for o, n in report.datetime_extracted]
     # every original column travels with the row; only the selection feeds the features
     base = df.select("*", *years)
-    feature_cols = report.kept
-    strategy = derive_strategy(base.select(*feature_cols), cfg.ordinal_mappings)
-    from ..operators.prepare import fit_features
-
-    sel_years = sel.select("*", *[year_of(sel, o).alias(n) for o, n in report.datetime_extracted])
-    plan = fit_features(sel_years, strategy, columns=feature_cols)
-    prep = prepare(base, strategy, columns=feature_cols, keep=base.columns, plan=plan)
-    if not prep.feature_names:
+    kept = report.kept
+    plan, fallback = _feature_plan(base, kept, cfg)
+    if not plan.names:
         raise ValueError("no usable feature after preparation")
-    n = prep.df.count()
-    feats = C.stable_layout(prep.df, partitions=cfg.partitions, n_rows=n).cache()
-    feats.count()
-    # exact silhouette is O(n²) work: above the limit the reference's planned sample is used
-    sample = cfg.silhouette_sample if cfg.silhouette_sample is not None else (
-        None if n <= cfg.exact_silhouette_rows else K.SILHOUETTE_SAMPLE)
-    cfg = SegmentConfig(**{**cfg.__dict__, "silhouette_sample": sample})
-    search = C.search_k(feats, k_min=cfg.k_min, k_max=cfg.k_max, n_init=cfg.n_init, seed=K.RANDOM_SEED,
-                        silhouette_sample=cfg.silhouette_sample, n_rows=n, engine=cfg.engine)
-    k = search.optimal_k
-    refinements = 0
-    seg_model = None
-    if cfg.algorithm == "hierarchical":
-        labelled = C.hierarchical(feats, k)
-        sil = E.silhouette(labelled, "features", "cluster", sample_size=cfg.silhouette_sample)
-    elif cfg.algorithm == "bisecting":
-        labelled = C.bisecting(feats, k)
-        sil = E.silhouette(labelled, "features", "cluster", sample_size=cfg.silhouette_sample)
+    rows = C.weighted_rows(plan.transform(base, keep=[]))
+    n = int(rows.agg(F.sum(C.WEIGHT)).first()[0])
+    search = C.search_k(rows, k_min=cfg.k_min, k_max=cfg.k_max, n_init=cfg.n_init, seed=K.RANDOM_SEED, score=cfg.score)
+    k, model, refinements = search.optimal_k, None, 0
+    features = plan.transform(base)
+    if cfg.algorithm in ("hierarchical", "bisecting"):
+        labelled = (C.hierarchical if cfg.algorithm == "hierarchical" else C.bisecting)(features, k)
+        score = C.SCORES[cfg.score](labelled, "features", "cluster")
     else:
-        fit = search.fits[k]
-        sil = dict((kk, s) for kk, _, s in search.curve)[k]
-        if C.should_refine(sil, 0):
+        fit, score = search.fits[k], dict((kk, s) for kk, _, s in search.curve)[k]
+        if C.should_refine(score, 0):
             # seeds seed..seed+n_init−1 were already fitted in the search (fits are deterministic
             # per seed): only the remaining refinement seeds are new work
             extra = max(0, cfg.refine_n_init - cfg.n_init)
-            refit = C.kmeans(feats, k, n_init=extra, seed=K.RANDOM_SEED + cfg.n_init, engine=cfg.engine) \
-                if extra else fit
+            refit = C.kmeans(rows, k, n_init=extra, seed=K.RANDOM_SEED + cfg.n_init) if extra else fit
             refinements = 1
             if refit.cost < fit.cost:
-                fit = refit
-                sil = E.silhouette(fit.predict(feats), "features", "__pred", sample_size=cfg.silhouette_sample)
-        mapping = C.renumber_map(fit.model, fit.predict(feats), centers=fit.centers)
-        labelled = C.assign(feats, fit, mapping=mapping)
-        seg_model = SegmentModel(prep.plan, fit.model, mapping,
-                                 {new: f"Segment {new}" for new in mapping.values()}, centers=fit.centers)
-    labelled = labelled.cache()
-    grade, grade_label = quality_grade(sil)
-    ch = E.calinski_harabasz(labelled).first()[0]
-    db = E.davies_bouldin(labelled).first()[0]
+                fit, score = refit, C.score_fit(rows, refit, cfg.score)
+        mapping = C.renumber_map(fit.predict(rows), "__pred", fit.centers)
+        model = SegmentModel(plan, fit, mapping, {new: f"Segment {new}" for new in mapping.values()})
+        labelled = C.assign(features, fit, mapping=mapping)
+    rows.unpersist()
+    grade, grade_label = quality_grade(score)
     sizes = E.cluster_share(labelled)
-    n_clusters = sizes.where(F.col("cluster") != E.NOISE).count()
-    metrics = {"silhouette": sil, "calinski_harabasz": ch, "davies_bouldin": db, "n_clusters": n_clusters,
-               "optimal_k": k, "grade": grade, "grade_label": grade_label,
-               "caution": caution_from_silhouette(sil), "refinements": refinements,
-               "flat_k_curve": search.flat, "forced_k_min": search.forced_k_min, "elbow_k": search.elbow_k,
-               "silhouette_mode": "exact" if sample is None else f"sampled:{sample}"}
-    profile_cols = list(sel.columns) + [n for _, n in report.datetime_extracted]
-    numeric = [c for c in profile_cols if is_numeric(dtype_of(base, c))]
-    others = [c for c in profile_cols if c not in numeric]
-    nprof = E.numeric_profile(labelled, numeric) if numeric else None
-    cprof = E.category_profile(labelled, others) if others else None
-    kept_numeric = [c for c in feature_cols if c in numeric]
-    kept_other = [c for c in feature_cols if c in others]
-    nev = V.numeric_evidence(labelled, kept_numeric) if kept_numeric else None
-    cev = V.categorical_evidence(labelled, kept_other) if kept_other else None
+    found = {r["cluster"]: r["n"] for r in sizes.collect()}  # one row per cluster
+    noise = found.pop(E.NOISE, 0)
+    warning = None if len(found) >= 2 else "fewer than 2 clusters besides noise: no metric can be computed"
+    metrics = {"silhouette": score, "calinski_harabasz": None if warning else E.calinski_harabasz(labelled).first()[0],
+               "davies_bouldin": None if warning else E.davies_bouldin(labelled).first()[0],
+               "n_clusters": len(found), "noise_points": noise, "warning": warning, "optimal_k": k, "grade": grade, "grade_label": grade_label,
+               "caution": caution_from_silhouette(score), "refinements": refinements, "flat_k_curve": search.flat,
+               "forced_k_min": search.forced_k_min, "elbow_k": search.elbow_k, "score": cfg.score}
+    described = list(selected.columns) + [name for _, name in report.datetime_extracted]
+    numeric = [c for c in described if is_numeric(dtype_of(base, c))]
+    others = [c for c in described if c not in numeric]
+
+    def over(columns: Sequence[str], make):
+        return make(labelled, list(columns)) if columns else None
+
     segments = sizes.select(
         "cluster", F.concat(F.lit("Segment "), F.col("cluster").cast("string")).alias("label"),
         F.col("n").alias("size"), F.col("pct").alias("prevalence"),
         F.lit(metrics["caution"]).alias("caution"))
-    sel.unpersist()
-    return SegmentationResult(labelled, search.to_df(spark), metrics, sizes, nprof, cprof, nev, cev, segments,
-                              report, {"prepare": prep.metadata, "feature_names": prep.feature_names,
-                                       "k_search": search.curve, "n_rows": n}, seg_model)
+    return SegmentationResult(
+        labelled, search.to_df(spark), metrics, sizes, over(numeric, E.numeric_profile), over(others, E.category_profile),
+        over([c for c in kept if c in numeric], V.numeric_evidence), over([c for c in kept if c in others], V.categorical_evidence),
+        segments, report, {"prepare": plan.metadata, "prepare_fallback": fallback, "feature_names": plan.names,
+                           "k_search": search.curve, "n_rows": n}, model)
 
 
 def summary_table(res: SegmentationResult) -> DataFrame:
@@ -211,11 +177,10 @@ def segment_map(res: SegmentationResult, keep: Sequence[str] = ()) -> DataFrame:
         return pca_map(lab, "features", "cluster", keep=keep)
     numeric = [c for c in lab.columns if c not in ("cluster", "features") and is_numeric(dtype_of(lab, c))]
     if len(numeric) < 2:
-        return pca_map(lab.withColumn("features", F.array()), "features", "cluster", keep=keep)
-    means = lab.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(c) for c in numeric]).first()
-    filled = lab.select(*keep, "cluster", *[F.coalesce(F.col(f"`{c}`").cast("double"),
-                                                       F.lit(means[c] if means[c] is not None else 0.0)).alias(c)
-                                            for c in numeric])
-    params = scaler_params(filled, numeric, "standard")
-    arr = filled.select(*keep, "cluster", F.array(*[scale_expr(c, params[c]) for c in numeric]).alias("features"))
-    return pca_map(arr, "features", "cluster", keep=keep)
+        return pca_map(lab.withColumn("features", F.array().cast("array<double>")), "features", "cluster", keep=keep)
+    means = lab.agg(*[F.avg(number(lab, c)).alias(f"m{i}") for i, c in enumerate(numeric)]).first()
+    carried = [*[q(c) for c in keep], F.col("cluster")]
+    filled = lab.select(*carried, *[F.coalesce(number(lab, c), F.lit(means[i] or 0.0)).alias(f"__n{i}") for i, c in enumerate(numeric)])
+    names = [f"__n{i}" for i in range(len(numeric))]
+    params = scaler_params(filled, names, "standard")
+    return pca_map(filled.select(*carried, F.array(*[scale_expr(c, params[c]) for c in names]).alias("features")), "features", "cluster", keep=keep)

@@ -1,52 +1,48 @@
-"""Session helpers: one place for the configuration the engine relies on."""
+"""Session helpers: the settings and the shared scratch folder the engine relies on."""
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "strata", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """Return the active session or build a local one with the settings the engine assumes.
+    """The active session, or a new one with the settings that results depend on (UTC, AQE).
 
-    On a cluster the session is normally created by the launcher; this helper then only
-    reuses it. The settings below matter for semantics (UTC, ANSI) and for plan shape
-    (AQE coalescing and skew handling).
+    Master and shuffle partitions are the launcher's business: they are set only when given.
     """
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or "local[*]")
-    parts = shuffle_partitions or int(os.environ.get("STRATA_SHUFFLE_PARTITIONS", "8"))
+    if master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = (
-        builder.config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("STRATA_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder for cutting lineage.
+    """The shared folder named by ``spark.checkpoint.dir``, made the context's checkpoint folder.
 
-    On a cluster the shared folder comes from ``spark.checkpoint.dir``; it is only set here
-    when nothing is configured (local runs and tests), never overridden.
+    Where it is unset, a local master gets a temporary folder (driver and executors are one
+    process there); on a cluster that folder would not be shared, so it is an error.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set; name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="strata-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if not spark.sparkContext.getCheckpointDir():
@@ -54,6 +50,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it again.
+
+    Cuts the lineage: a lost executor costs only the tasks after this table, and what is
+    read twice afterwards is not computed twice.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/strata-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 

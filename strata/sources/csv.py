@@ -7,43 +7,52 @@ BOOLEAN / STRING per column, and a single projection applies it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
-
-REPLACEMENT = "�"
-# Spark charset names for the fixed encoding order (utf-8-sig is utf-8 with the BOM removed).
-SPARK_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
+from ..functions.types import q
+
+REPLACEMENT = "\ufffd"
+#: Charsets in the fixed order; utf-8-sig and utf-8 are one probe (a byte-order mark is removed).
+CHARSETS = tuple(dict.fromkeys({"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}.get(e, e.upper()) for e in K.CSV_ENCODINGS))
+#: Bytes that windows-1252 gives a meaning and ISO-8859-1 reads as control characters.
+CP1252_BYTES = bytes(b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+CP1252_UNDEFINED = "".join(chr(b) for b in range(0x80, 0xA0) if b not in CP1252_BYTES)
 BOOL_TRUE = ("True", "TRUE", "true")
 BOOL_FALSE = ("False", "FALSE", "false")
 
 
 def _read(spark: SparkSession, path: str, sep: str, encoding: str, multiline: bool) -> DataFrame:
-    return (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-            .option("ignoreLeadingWhiteSpace", True).option("multiLine", multiline)
-            .option("mode", "PERMISSIVE").option("inferSchema", False).csv(path))
+    """All columns as text. cp1252 is read as ISO-8859-1, one byte a character, and mapped after:
+    Spark offers the charset only under a legacy setting."""
+    read = "ISO-8859-1" if encoding == "windows-1252" else encoding
+    df = (spark.read.option("header", True).option("sep", sep).option("encoding", read).option("quote", '"').option("escape", '"')
+          .option("ignoreLeadingWhiteSpace", True).option("multiLine", multiline)
+          .option("mode", "PERMISSIVE").option("inferSchema", False).csv(path))
+    if encoding != "windows-1252":
+        return df
+    as_latin, as_cp1252 = "".join(map(chr, CP1252_BYTES)), CP1252_BYTES.decode("cp1252")
+    swap = str.maketrans(as_latin, as_cp1252)
+    return df.select(*[F.translate(q(c), as_latin, as_cp1252).alias(c.translate(swap)) for c in df.columns])
 
 
 def _strip_bom(df: DataFrame) -> DataFrame:
-    first = df.columns[0] if df.columns else None
-    if first and first.startswith("﻿"):
-        return df.withColumnRenamed(first, first.lstrip("﻿"))
-    return df
+    first = df.columns[0] if df.columns else ""
+    return df.withColumnRenamed(first, first.lstrip("\ufeff")) if first.startswith("\ufeff") else df
 
 
-def _has_replacement(df: DataFrame) -> bool:
-    if any(REPLACEMENT in c for c in df.columns):
-        return True
-    if not df.columns:
+def _undecodable(df: DataFrame, encoding: str) -> bool:
+    """Text that is not in the charset: U+FFFD after UTF-8, an undefined byte after cp1252."""
+    if encoding == "ISO-8859-1" or not df.columns:
         return False
-    pred = None
-    for c in df.columns:
-        p = F.coalesce(F.col(f"`{c}`").contains(REPLACEMENT), F.lit(False))
-        pred = p if pred is None else pred | p
-    return not df.where(pred).limit(1).isEmpty()
+    bad = f"[{REPLACEMENT if encoding == 'UTF-8' else CP1252_UNDEFINED}]"
+    if any(ch in name for name in df.columns for ch in bad[1:-1]):
+        return True
+    return not df.where(reduce(lambda a, b: a | b, [F.coalesce(q(c).rlike(bad), F.lit(False)) for c in df.columns])).limit(1).isEmpty()
 
 
 def choose_separator(spark: SparkSession, path: str, encoding: str = "UTF-8") -> str:
@@ -62,20 +71,27 @@ def null_tokens(df: DataFrame, columns=None, tokens=K.NA_TOKENS) -> DataFrame:
     """S3: sentinel strings → NULL (exact, case-sensitive match after leading spaces)."""
     cols = columns if columns is not None else [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     toks = list(tokens)
-    return df.select(*[F.when(~F.ltrim(F.col(f"`{c}`")).isin(toks), F.col(f"`{c}`")).alias(c) if c in cols
-                       else F.col(f"`{c}`") for c in df.columns])
+    return df.select(*[F.when(~F.ltrim(q(c)).isin(toks), q(c)).alias(c) if c in cols
+                       else q(c) for c in df.columns])
+
+
+#: What a cast to a number accepts, as text: anything else is not tried.
+NUMBER_SHAPE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?[dDfF]?\s*$|^\s*[+-]?(?i:nan|inf|infinity)\s*$"
+WHOLE_SHAPE = r"^\s*[+-]?\d{1,19}\s*$"
+
+
+def _number(s: Column, kind: str = "double") -> Column:
+    """try_cast behind a pattern: a failing cast costs far more than a failing match."""
+    return F.when(s.rlike(WHOLE_SHAPE if kind == "bigint" else NUMBER_SHAPE), s.try_cast(kind))
 
 
 def cleaned_number(col: Column) -> Column:
-    """S4 cleaning: strip, drop commas/whitespace, one leading $ € £, then '%' → try_cast DOUBLE.
+    """S4 cleaning: strip, drop commas/whitespace, one leading $ € £, then '%' → DOUBLE.
 
     Kept quirks: a decimal comma '1,5' reads as 15; a percentage is not rescaled.
     """
-    s = F.trim(col.cast("string"))
-    s = F.regexp_replace(s, r"[,\s]", "")
-    s = F.regexp_replace(s, r"^[$€£]\s?", "")
-    s = F.replace(s, F.lit("%"), F.lit(""))
-    return F.try_cast(s, "double") if hasattr(F, "try_cast") else s.try_cast("double")
+    s = F.regexp_replace(F.trim(col.cast("string")), K.MONEY_SEPARATORS, "")
+    return _number(F.replace(F.regexp_replace(s, K.MONEY_SIGN, ""), F.lit(K.PERCENT), F.lit("")))
 
 
 @dataclass
@@ -91,11 +107,11 @@ def decide_types(df: DataFrame, threshold: float = K.NUMERIC_SHARE_THRESHOLD) ->
         return []
     exprs = [F.count(F.lit(1)).alias("__n")]
     for i, c in enumerate(cols):
-        x = F.col(f"`{c}`")
+        x = q(c)
         exprs += [
             F.count(x).alias(f"nn{i}"),
-            F.count(x.try_cast("bigint")).alias(f"ni{i}"),
-            F.count(x.try_cast("double")).alias(f"nd{i}"),
+            F.count(_number(x, "bigint")).alias(f"ni{i}"),
+            F.count(_number(x)).alias(f"nd{i}"),
             F.count(F.when(x.isin(*BOOL_TRUE, *BOOL_FALSE), 1)).alias(f"nb{i}"),
             F.count(cleaned_number(x)).alias(f"ns{i}"),
             F.min(x).alias(f"mn{i}"), F.max(x).alias(f"mx{i}"),
@@ -106,8 +122,8 @@ def decide_types(df: DataFrame, threshold: float = K.NUMERIC_SHARE_THRESHOLD) ->
     cand = [i for i, c in enumerate(cols) if row[f"nn{i}"] and row[f"ns{i}"] / row[f"nn{i}"] >= threshold]
     third = {}
     if cand:
-        r2 = df.agg(*[F.max(F.when((F.col(f"`{cols[i]}`") != F.lit(row[f"mn{i}"])) &
-                                   (F.col(f"`{cols[i]}`") != F.lit(row[f"mx{i}"])), 1)).alias(f"t{i}")
+        r2 = df.agg(*[F.max(F.when((q(cols[i]) != F.lit(row[f"mn{i}"])) &
+                                   (q(cols[i]) != F.lit(row[f"mx{i}"])), 1)).alias(f"t{i}")
                       for i in cand]).first()
         third = {i: r2[f"t{i}"] == 1 for i in cand}
     out = []
@@ -132,12 +148,12 @@ def apply_types(df: DataFrame, decisions: list[TypeDecision]) -> DataFrame:
     kinds = {d.column: d.kind for d in decisions}
     cols = []
     for c in df.columns:
-        x = F.col(f"`{c}`")
+        x = q(c)
         k = kinds.get(c, "keep")
         if k == "bigint":
-            cols.append(x.try_cast("bigint").alias(c))
+            cols.append(_number(x, "bigint").alias(c))
         elif k == "double":
-            cols.append(x.try_cast("double").alias(c))
+            cols.append(_number(x).alias(c))
         elif k == "boolean":
             cols.append(x.isin(*BOOL_TRUE).alias(c))
         elif k == "salvaged":
@@ -154,26 +170,19 @@ def salvage_numeric(df: DataFrame, threshold: float = K.NUMERIC_SHARE_THRESHOLD)
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, sep: str | None = None,
-             multiline: bool = False, types: bool = True) -> DataFrame:
+             multiline: bool = True, types: bool = True) -> DataFrame:
     """Read a CSV into typed columns.
 
-    Encodings are tried in the fixed order; a decode problem shows up as U+FFFD (Spark does
-    not raise), which moves on to the next encoding. ``windows-1252`` needs
-    ``spark.sql.legacy.javaCharsets=true``; when it is unavailable it is skipped.
-    ``multiline`` (quoted newlines) makes each file one task, so it is off by default.
+    Doubled quotes and line breaks inside quotes are read as such; the latter make each file
+    one task, so a table of many small files stays parallel and ``multiline=False`` is for large
+    files known to hold none. Charsets are tried in the fixed order, each once.
     """
-    order = [encoding] if encoding else list(K.CSV_ENCODINGS)
-    last = None
-    for enc in order:
-        cs = SPARK_CHARSETS.get(enc, enc)
-        try:
-            s = sep or choose_separator(spark, path, cs)
-            df = _strip_bom(_read(spark, path, s, cs, multiline))
-            if len(order) > 1 and enc != order[-1] and _has_replacement(df):
-                continue
-        except Exception as exc:  # noqa: BLE001 — charset not available: try the next one
-            last = exc
-            continue
-        df = null_tokens(df)
-        return apply_types(df, decide_types(df)) if types else df
-    raise last or ValueError("could not read the CSV")
+    names = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
+    order = [names.get(encoding.lower(), encoding)] if encoding else list(CHARSETS)
+    for charset in order:
+        probe = "ISO-8859-1" if charset == "windows-1252" else charset
+        df = _strip_bom(_read(spark, path, sep or choose_separator(spark, path, probe), charset, multiline))
+        if charset == order[-1] or not _undecodable(df, charset):
+            break
+    df = null_tokens(df)
+    return apply_types(df, decide_types(df)) if types else df

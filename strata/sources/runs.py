@@ -1,9 +1,10 @@
 """Run persistence (S11, S12) with curation (E14) and custom groups (H4).
 
-A run is a set of tables keyed by ``run_id`` under one shared root folder (for example
-the cluster's shared storage); each table is partitioned by ``run_id`` so reads prune to
-one run and deleting a run removes its partition folders. Edits and custom groups are
-small overlay tables: the base segment table is never rewritten.
+A run is a set of tables, each in a folder of its own ``<root>/<table>/run_id=<id>`` on
+shared storage, with the run's own schema: runs of different tables never share columns, and
+an id is text whatever it looks like. A run whose folder cannot be read whole is left out of
+listings, never read in part. Edits and custom groups are small overlay tables in order of
+their sequence numbers: the base segment table is never rewritten.
 """
 from __future__ import annotations
 
@@ -13,15 +14,15 @@ import uuid
 from datetime import datetime, timezone
 from typing import Any, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from .sinks import LIST_FIELDS
 
 RUN_ID = re.compile(K.RUN_ID_REGEX)
 TABLES = ("runs", "segments", "cluster_sizes", "k_curve", "numeric_profile", "category_profile",
           "numeric_evidence", "categorical_evidence", "labelled_rows", "edits", "custom_groups")
-LIST_FIELDS = ("microbehaviours", "barriers", "enablers", "opportunities")
 TEXT_FIELDS = ("label", "description", "main_behaviour", "caution_reason")
 
 
@@ -33,6 +34,10 @@ def now_iso() -> str:
     return datetime.now(timezone.utc).isoformat(timespec="seconds")
 
 
+class RunNotFound(LookupError):
+    pass
+
+
 class RunStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -103,20 +108,20 @@ class RunStore:
         return run_id
 
     # -- read
-    def read(self, table: str, run_id: str | None = None) -> DataFrame | None:
-        """One table, all runs (``run_id`` column from the partition folders) or one run."""
-        base = self._path(table)
-        if not self._exists(base):
+    def read(self, table: str, run_id: str) -> DataFrame | None:
+        """One table of one run with its ``run_id`` as text; None where the run has none."""
+        path = self._path(table, run_id)
+        if not self.valid_id(run_id) or not self._exists(path):
             return None
-        from pyspark.errors import AnalysisException
+        return self.spark.read.parquet(path).withColumn("run_id", F.lit(run_id))
 
-        try:
-            df = self.spark.read.option("ignoreCorruptFiles", "true").parquet(base)
-        except AnalysisException:
-            return None  # folder left empty after its last run was deleted
-        if run_id is not None:
-            df = df.where(F.col("run_id") == run_id)
-        return df
+    def run_ids(self, table: str = "runs") -> list[str]:
+        """Ids of the runs that have a folder of the table."""
+        if not self._exists(self._path(table)):
+            return []
+        fs, p = self._fs(self._path(table))
+        names = [status.getPath().getName() for status in fs.listStatus(p)]
+        return sorted(n.removeprefix("run_id=") for n in names if n.startswith("run_id=") and self.valid_id(n.removeprefix("run_id=")))
 
     def get_run(self, run_id: str) -> dict[str, DataFrame] | None:
         """Every table of one run; None when the id is malformed or unknown."""
@@ -124,7 +129,7 @@ class RunStore:
             return None
         out = {}
         for t in TABLES:
-            df = self.read(t, run_id) if self._exists(self._path(t, run_id)) else None
+            df = self.read(t, run_id)
             if df is not None:
                 out[t] = df
         if "segments" in out:
@@ -139,71 +144,70 @@ class RunStore:
         return True
 
     def list_runs(self) -> DataFrame:
-        """Newest first, with defaults for missing fields and the segment labels in order."""
-        runs = self.read("runs")
-        if runs is None:
-            return self.spark.createDataFrame([], "run_id string, created_at string, file_name string, "
-                                                  "n_rows long, n_cols long, n_segments long, optimal_k int, "
-                                                  "grade string, grade_label string, silhouette double, "
-                                                  "segment_labels array<string>")
-        seg = self.effective_segments()
-        labels = seg.groupBy("run_id").agg(
-            F.count(F.lit(1)).alias("n_segments"),
-            F.transform(F.sort_array(F.collect_list(F.struct("cluster", "label"))), lambda s: s["label"])
-            .alias("segment_labels"))
-        return runs.join(labels, "run_id", "left").select(
-            "run_id", F.coalesce("created_at", F.lit("")).alias("created_at"),
-            F.coalesce("file_name", F.lit("analysis")).alias("file_name"),
-            F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_cols", F.lit(0)).alias("n_cols"),
-            F.coalesce("n_segments", F.lit(0)).alias("n_segments"), "optimal_k",
-            F.coalesce("grade", F.lit(K.GRADE_MISSING[0])).alias("grade"),
-            F.coalesce("grade_label", F.lit(K.GRADE_MISSING[1])).alias("grade_label"), "silhouette",
-            F.coalesce("segment_labels", F.array().cast("array<string>")).alias("segment_labels"),
-        ).orderBy(F.desc("created_at"))
+        """Newest first, with defaults for missing fields and the segment labels in order.
+
+        One small row per run: a run that cannot be read is skipped whole.
+        """
+        schema = ("run_id string, created_at string, file_name string, n_rows long, n_cols long, n_segments long, optimal_k int, "
+                  "grade string, grade_label string, silhouette double, segment_labels array<string>")
+        rows = []
+        for run_id in self.run_ids():
+            try:
+                summary = self.read("runs", run_id).first()
+                labels = [r["label"] for r in self.effective_segments(run_id).select("cluster", "label").orderBy("cluster").collect()]
+            except Exception:  # noqa: BLE001 — damaged or half-written run
+                continue
+            if summary is None:
+                continue
+            given = {k: v for k, v in summary.asDict().items() if v is not None}
+            rows.append((run_id, given.get("created_at", ""), given.get("file_name", "analysis"), given.get("n_rows", 0), given.get("n_cols", 0),
+                         len(labels), given.get("optimal_k"), given.get("grade", K.GRADE_MISSING[0]), given.get("grade_label", K.GRADE_MISSING[1]),
+                         given.get("silhouette"), labels))
+        return self.spark.createDataFrame(rows, schema).orderBy(F.desc("created_at"), "run_id")
 
     # -- curation
     def edit_segment(self, run_id: str, cluster: int, validated: bool | None = None, **changes: Any) -> None:
         """Partial edit of label / text / list fields; lists are trimmed and blanks removed.
         The caution level is not editable. Appends one overlay row."""
-        if not self.valid_id(run_id):
-            raise ValueError(f"invalid run id {run_id!r}")
         bad = set(changes) - set(LIST_FIELDS) - set(TEXT_FIELDS)
         if bad:
             raise ValueError(f"not editable: {sorted(bad)}")
-        row = {f: None for f in TEXT_FIELDS + LIST_FIELDS}
-        for f, v in changes.items():
-            row[f] = [str(x).strip() for x in v if str(x).strip()] if f in LIST_FIELDS else v
-        schema = ("cluster int, edited_at string, validated boolean, " +
+        base = self.read("segments", run_id)
+        if base is None:
+            raise RunNotFound(f"no run {run_id!r}")
+        if base.where(F.col("cluster") == int(cluster)).isEmpty():
+            raise RunNotFound(f"run {run_id} has no cluster {cluster}")
+        given = {f: changes.get(f) for f in TEXT_FIELDS + LIST_FIELDS}
+        for f in set(changes) & set(LIST_FIELDS):
+            stripped = (str(entry).strip() for entry in changes[f])
+            given[f] = list(filter(None, stripped))
+        past = self.read("edits", run_id)
+        number = 0 if past is None else (past.agg(F.max("edit_no")).first()[0] or 0) + 1
+        schema = ("cluster int, edit_no long, edited_at string, validated boolean, " +
                   ", ".join(f"{f} string" for f in TEXT_FIELDS) + ", " +
                   ", ".join(f"{f} array<string>" for f in LIST_FIELDS))
-        df = self.spark.createDataFrame([(int(cluster), now_iso(), validated,
-                                          *[row[f] for f in TEXT_FIELDS], *[row[f] for f in LIST_FIELDS])], schema)
+        df = self.spark.createDataFrame([(int(cluster), number, now_iso(), validated, *given.values())], schema)
         self.write("edits", run_id, df, mode="append")
 
-    def effective_segments(self, run_id: str | None = None) -> DataFrame:
+    def effective_segments(self, run_id: str) -> DataFrame:
         """Base segments with the latest non-NULL edit of each field laid over them."""
         base = self.read("segments", run_id)
+        if base is None:
+            raise RunNotFound(f"no run {run_id!r}")
         edits = self.read("edits", run_id)
-        if edits is not None and run_id is not None and edits.isEmpty():
-            edits = None
+        fields = [*TEXT_FIELDS, *LIST_FIELDS, "validated"]
         if edits is None:
-            return base.withColumn("validated", F.lit(None).cast("boolean")) \
-                .withColumn("curated_at", F.lit(None).cast("string"))
-        w = Window.partitionBy("run_id", "cluster").orderBy("edited_at").rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing)
-        fields = [f for f in TEXT_FIELDS + LIST_FIELDS + ("validated",)]
-        last = edits.select("run_id", "cluster", "edited_at", *[
-            F.last(F.col(f), ignorenulls=True).over(w).alias(f) for f in fields
-        ], F.max("edited_at").over(w).alias("curated_at")).dropDuplicates(["run_id", "cluster"])
-        e = last.select("run_id", "cluster", "curated_at", *[F.col(f).alias(f"__e_{f}") for f in fields])
-        j = base.join(e, ["run_id", "cluster"], "left")
-        out = [F.coalesce(F.col(f"__e_{f}"), F.col(f)).alias(f) if f in base.columns else F.col(f"__e_{f}").alias(f)
-               for f in fields]
-        keep = [c for c in base.columns if c not in fields]
-        return j.select(*keep, *out, "curated_at")
+            return base.withColumns({"validated": F.lit(None).cast("boolean"), "curated_at": F.lit(None).cast("string")})
+        latest = [F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col("edit_no"))).alias(f"__e_{f}") for f in fields]
+        last = edits.groupBy("cluster").agg(F.max_by("edited_at", "edit_no").alias("curated_at"), *latest)
+        shown = [F.coalesce(F.col(f"__e_{f}"), F.col(f)).alias(f) if f in base.columns else F.col(f"__e_{f}").alias(f) for f in fields]
+        kept = [c for c in base.columns if c not in fields]
+        return base.join(last, "cluster", "left").select(*kept, *shown, "curated_at")
 
     # -- custom groups (H4)
     def save_group(self, run_id: str, description: str, filters: Sequence[Any], n: int, share: float) -> str:
+        if self.read("runs", run_id) is None:
+            raise RunNotFound(f"no run {run_id!r}")
         gid = new_run_id()
         payload = json.dumps([f.__dict__ if hasattr(f, "__dict__") else f for f in filters])
         df = self.spark.createDataFrame([(gid, now_iso(), description, payload, int(n), float(share))],

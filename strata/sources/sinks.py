@@ -8,23 +8,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import constants as K
+from ..functions.types import q, quoted
 
 LIST_FIELDS = ("microbehaviours", "barriers", "enablers", "opportunities")
-BROADCAST_SEGMENT_LIMIT = 100_000
 
 
 def attach_segments(rows: DataFrame, segments: DataFrame, label: str = "cluster", name: str = "label",
                     out: str = "segment", default: str = K.UNKNOWN_SEGMENT) -> DataFrame:
     """Cluster id → segment name with a default for unknown ids.
 
-    The segment table holds one row per cluster; it is broadcast only after its size is
-    checked, otherwise Spark plans an ordinary join.
+    The segment table holds one row per cluster; Spark broadcasts it where it is small.
     """
-    seg = segments.select(F.col(label).alias("__k"), F.col(name).alias(out))
-    small = seg.limit(BROADCAST_SEGMENT_LIMIT + 1).count() <= BROADCAST_SEGMENT_LIMIT
-    seg = F.broadcast(seg) if small else seg
-    return rows.join(seg, rows[label] == F.col("__k"), "left").drop("__k") \
-        .withColumn(out, F.coalesce(F.col(out), F.lit(default)))
+    seg = segments.select(q(label).alias("__k"), q(name).alias(out))
+    return rows.join(seg, rows[quoted(label)] == F.col("__k"), "left").drop("__k") \
+        .withColumn(out, F.coalesce(F.col(quoted(out)), F.lit(default)))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -39,7 +36,7 @@ def segment_cards(segments: DataFrame, list_fields: Sequence[str] = LIST_FIELDS)
     """One row per segment; list fields joined with ' | ' (CSV has no arrays)."""
     cols = []
     for f in segments.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = q(f.name)
         if isinstance(f.dataType, T.ArrayType):
             cols.append(F.concat_ws(K.LIST_JOINER, c).alias(f.name))
         else:

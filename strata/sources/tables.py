@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.types import quoted
 
 
 class SourceError(ValueError):
@@ -58,4 +59,4 @@ def preview(df: DataFrame, n: int = K.PREVIEW_ROWS, order_by: Sequence[str] | No
     Runs as a bounded top-n (TakeOrdered), not a full sort.
     """
     keys = list(order_by) if order_by else df.columns
-    return df.orderBy(*[F.asc_nulls_last(F.col(f"`{c}`")) for c in keys]).limit(n)
+    return df.orderBy(*[F.asc_nulls_last(quoted(c)) for c in keys]).limit(n)

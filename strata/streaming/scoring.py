@@ -12,22 +12,17 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import ensure_checkpoint_dir
-
 
 def label_stream(stream: DataFrame, model, keep: Sequence[str] | None = None) -> DataFrame:
     """Streaming rows + ``cluster`` + ``segment`` (unknown ids → 'Desconocido')."""
     return model.transform(stream, keep=keep)
 
 
-def write_labelled_stream(labelled: DataFrame, path: str, checkpoint: str | None = None,
+def write_labelled_stream(labelled: DataFrame, path: str, checkpoint: str,
                           fmt: str = "parquet", available_now: bool = False,
                           processing_time: str | None = None) -> StreamingQuery:
-    """Append labelled rows to ``path``. The checkpoint defaults to a sub-folder of the
-    session's shared ``spark.checkpoint.dir``."""
-    spark = labelled.sparkSession
-    if checkpoint is None:
-        checkpoint = ensure_checkpoint_dir(spark).rstrip("/") + "/label_stream"
+    """Append labelled rows to ``path``. Every stream needs a ``checkpoint`` folder of its own on
+    shared storage."""
     w = labelled.writeStream.format(fmt).option("path", path).option("checkpointLocation", checkpoint) \
         .outputMode("append")
     if available_now:

@@ -33,8 +33,8 @@ def test_silhouette_exact_vs_brute_force(spark):
     lab = np.array([0] * 20 + [1] * 15 + [2])
     df = make(spark, X, lab)
     assert E.silhouette(df) == pytest.approx(brute_silhouette(X, lab), abs=1e-9)
-    # chunked path (several broadcast chunks) gives the same value
-    assert E.silhouette(df, chunk_rows=7) == pytest.approx(brute_silhouette(X, lab), abs=1e-9)
+    # several blocks give the same value
+    assert E.silhouette(df, block_bytes=170) == pytest.approx(brute_silhouette(X, lab), abs=1e-9)
     # noise label −1 is excluded; one cluster → None
     noisy = make(spark, np.vstack([X, [[50, 50, 50]]]), np.append(lab, -1))
     assert E.silhouette(noisy) == pytest.approx(brute_silhouette(X, lab), abs=1e-9)
@@ -63,11 +63,32 @@ def test_k_range_elbow_choice():
     assert C.k_range(100) == list(range(2, 11))
     assert C.k_range(30) == [2, 3]
     assert C.k_range(3) == [2]
-    assert C.elbow([2, 3], [10, 5]) == 2
-    assert C.elbow([2, 3, 4, 5, 6], [100, 40, 30, 25, 22]) == 3
-    assert C.choose_k([2, 3, 4, 5], [0.3, 0.6, 0.4, 0.35]) == (3, False)
-    assert C.choose_k([2, 3, 4, 5, 6], [0.20, 0.21, 0.215, 0.22, 0.225]) == (4, True)
-    assert C.choose_k([5, 6], [0.20, 0.21]) == (6, True)
+
+
+def test_choice_over_the_curve_table(spark):
+    def curve(ks, inertia=None, silhouette=None):
+        return C.curve_table(spark, [(k, (inertia or ks)[i], (silhouette or ks)[i]) for i, k in enumerate(ks)])
+
+    assert C.elbow(curve([2, 3], [10, 5])).first()["k"] == 2
+    assert C.elbow(curve([2, 3, 4, 5, 6], [100, 40, 30, 25, 22])).first()["k"] == 3
+    assert C.elbow(curve([2, 3, 4], [7, 7, 7])).first()["k"] == 2
+    chosen = lambda ks, s: tuple(C.two_regime_k(curve(ks, silhouette=s)).first())
+    assert chosen([2, 3, 4, 5], [0.3, 0.6, 0.4, 0.35]) == (3, False)
+    assert chosen([2, 3, 4, 5, 6], [0.20, 0.21, 0.215, 0.22, 0.225]) == (4, True)
+    assert chosen([5, 6], [0.20, 0.21]) == (6, True)
+    assert chosen([2], [0.1]) == (2, False)
+
+
+def test_coincident_points_and_centroid_score(spark):
+    df = make(spark, np.zeros((4, 2)), [0, 0, 1, 1])
+    assert E.silhouette(df) == 0.0 and E.centroid_silhouette(df) == 0.0
+    rng = np.random.default_rng(3)
+    X = np.vstack([rng.normal(0, 1, (20, 3)), rng.normal(9, 1, (15, 3))])
+    lab = np.array([0] * 20 + [1] * 15)
+    centres = np.array([X[lab == c].mean(0) for c in (0, 1)])
+    d = np.sqrt(((X[:, None] - centres[None]) ** 2).sum(-1))
+    a, b = d[np.arange(35), lab], d[np.arange(35), 1 - lab]
+    assert E.centroid_silhouette(make(spark, X, lab)) == pytest.approx(((b - a) / np.maximum(a, b)).mean())
 
 
 def test_kmeans_labels_cover_rows_and_are_layout_stable(spark):
@@ -100,7 +121,7 @@ def test_hierarchical_on_spark(spark):
 
 def test_refinement_gate():
     assert C.should_refine(0.10, 0) and not C.should_refine(0.40, 0) and not C.should_refine(0.10, 1)
-    assert C.should_refine(None, 0)
+    assert not C.should_refine(None, 0) and not C.should_refine(float("nan"), 0)
 
 
 def test_quality_ladders(spark):
@@ -117,21 +138,6 @@ def test_quality_ladders(spark):
     assert got == ["A", "B", "C", "D", "—", "—"]
 
 
-def test_batched_engine_matches_spark_ml(spark):
-    rng = np.random.default_rng(5)
-    X = np.vstack([rng.normal(0, 0.4, (50, 3)), rng.normal(3, 0.4, (40, 3)), rng.normal(-3, 0.4, (30, 3))])
-    df = spark.createDataFrame([(list(map(float, x)),) for x in X], "features array<double>").cache()
-    ml = C.kmeans(df, 3, n_init=2)
-    bt = C.kmeans(df, 3, n_init=2, engine="batched")
-    assert bt.cost == pytest.approx(ml.cost, rel=1e-6)
-    sizes = sorted(r["n"] for r in E.cluster_sizes(C.assign(df, bt)).collect())
-    assert sizes == [30, 40, 50]
-    from strata.operators.kmeans import nearest
-    lab = df.withColumn("p", nearest("features", bt.centers)).collect()
-    C_ = bt.centers
-    assert all(r["p"] == int(np.argmin(((C_ - np.array(r["features"])) ** 2).sum(1))) for r in lab)
-
-
 def test_weighted_distinct_rows_keep_silhouette_and_cost(spark):
     rng = np.random.default_rng(6)
     base = np.vstack([rng.integers(1, 4, (6, 3)), rng.integers(4, 7, (6, 3))]).astype(float)
@@ -141,10 +147,8 @@ def test_weighted_distinct_rows_keep_silhouette_and_cost(spark):
     collapsed = rows.groupBy("features", "cluster").agg(F.count(F.lit(1)).alias("w"))
     assert E.silhouette(collapsed, weight="w") == pytest.approx(brute_silhouette(X, lab), abs=1e-9)
     df = spark.createDataFrame([(list(map(float, x)),) for x in X], "features array<double>")
-    wt, w = C.weighted_distinct(df)
-    assert w == "__w" and wt.count() <= len(base)
+    wt = C.weighted_rows(df)
+    assert wt.count() <= len(base) and wt.agg(F.sum(C.WEIGHT)).first()[0] == len(X)
     s = C.search_k(df, k_max=3, n_init=2)
     direct = C.kmeans(df, 2, n_init=2)
     assert dict((k, i) for k, i, _ in s.curve)[2] == pytest.approx(direct.cost, rel=1e-6)
-    b = C.search_k(df, k_max=3, n_init=2, engine="batched")
-    assert dict((k, i) for k, i, _ in b.curve)[2] == pytest.approx(direct.cost, rel=1e-6)

@@ -2,75 +2,50 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strata.operators.quantiles import auto_quantile_method, exact_quantiles
+from strata.operators import charts, prepare
+from strata.operators.evaluate import numeric_profile
+from strata.operators.quantiles import exact_quantiles
+from strata.operators.query import describe_numeric, groupby_agg
+from strata.operators.stats import column_stats
 
+PROBS = (0.0, 0.25, 0.33, 0.5, 0.75, 0.9, 1.0)
 
-def test_sort_quantiles_equal_percentile_global_and_skewed_groups(spark):
-    rng = np.random.default_rng(4)
-    rows = [("hot", float(v)) for v in rng.normal(0, 1, 3000)] + \
-           [(f"g{i % 7}", float(v)) for i, v in enumerate(rng.exponential(2, 700))] + [("one", 5.0), ("nan", None)]
-    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
-    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    ref = {(r["g"], i): v for r in df.groupBy("g").agg(F.percentile("x", probs).alias("q")).collect()
-           if r["q"] is not None for i, v in enumerate(r["q"])}
-    got = {(r["g"], probs.index(r["p"])): r["q"] for r in exact_quantiles(df, "x", probs, ["g"], partitions=6).collect()}
-    assert got.keys() == ref.keys()
-    for k in ref:
-        assert got[k] == pytest.approx(ref[k], rel=1e-12, abs=1e-12)
-    glob = {r["p"]: r["q"] for r in exact_quantiles(df, "x", [0.5, 0.33]).collect()}
-    gref = df.agg(F.percentile("x", [0.5, 0.33])).first()[0]
-    assert [glob[0.5], glob[0.33]] == pytest.approx(gref, rel=1e-12)
-
-
-def test_auto_method(spark):
-    df = spark.range(2000).select((F.col("id") % 3).alias("few"), F.col("id").cast("double").alias("many"))
-    assert auto_quantile_method(df, ["few", "many"], limit=500) == {"few": "map", "many": "sort"}
-
-
-def test_sort_method_in_operators_matches_map(spark):
-    from strata.operators.evaluate import numeric_profile
-    from strata.operators.query import describe_numeric, groupby_agg
 
-    rng = np.random.default_rng(8)
-    rows = [(["a", "b", None][i % 3] if i % 5 else "a", float(rng.normal()), float(i % 4)) for i in range(900)]
-    df = spark.createDataFrame(rows, "k string, x double, y double")
-    a = {r["statistic"]: (r["x"], r["y"]) for r in describe_numeric(df, ["x", "y"], method="map").collect()}
-    b = {r["statistic"]: (r["x"], r["y"]) for r in describe_numeric(df, ["x", "y"], method="sort").collect()}
-    assert a.keys() == b.keys() and all(a[s] == pytest.approx(b[s]) for s in a)
-    m1 = {r["k"]: (r["x"], r["y"]) for r in groupby_agg(df, ["k"], ["x", "y"], "median", method="map").collect()}
-    m2 = {r["k"]: (r["x"], r["y"]) for r in groupby_agg(df, ["k"], ["x", "y"], "median", method="sort").collect()}
-    assert m1 == m2 and None in m1
-    lab = df.withColumn("cluster", (F.col("y") % 2).cast("int"))
-    p1 = {(r["cluster"], r["column"]): r["median"] for r in numeric_profile(lab, ["x"], method="map").collect()}
-    p2 = {(r["cluster"], r["column"]): r["median"] for r in numeric_profile(lab, ["x"], method="sort").collect()}
-    assert p1 == pytest.approx(p2)
-
-
-def test_forced_sort_threshold_keeps_results(spark, monkeypatch):
-    """With the distinct limit forced to 0 every quantile takes the sort path; results are unchanged."""
-    from strata.operators import charts, prepare, quantiles as Q
-    from strata.operators.stats import column_stats
-
-    rng = np.random.default_rng(9)
-    df = spark.createDataFrame([(f"c{i % 3}", float(rng.normal()), i % 2) for i in range(300)],
-                               "g string, x double, cluster int")
-    before = (sorted(tuple(r) for r in column_stats(df, ["x"]).collect()),
-              sorted(tuple(r) for r in charts.box_by_category(df, "g", "x").collect()),
-              sorted(tuple(r) for r in charts.box_stats(df, ["x"]).collect()),
-              prepare.scaler_params(df, ["x"], "robust"), prepare.fill_values(df, ["x"], "median"))
-    monkeypatch.setattr(Q, "MAP_DISTINCT_LIMIT", 0)
-    monkeypatch.setattr(Q.auto_quantile_method, "__defaults__", (0,))
-    after = (sorted(tuple(r) for r in column_stats(df, ["x"]).collect()),
-             sorted(tuple(r) for r in charts.box_by_category(df, "g", "x").collect()),
-             sorted(tuple(r) for r in charts.box_stats(df, ["x"]).collect()),
-             prepare.scaler_params(df, ["x"], "robust"), prepare.fill_values(df, ["x"], "median"))
-    def same(a, b):
-        if isinstance(a, dict):
-            return a.keys() == b.keys() and all(same(a[k], b[k]) for k in a)
-        if isinstance(a, (list, tuple)):
-            return len(a) == len(b) and all(same(x, y) for x, y in zip(a, b))
-        if isinstance(a, float) and isinstance(b, float):
-            return a == pytest.approx(b, rel=1e-12, abs=1e-12)
-        return a == b
-
-    assert same(before, after)
+def test_equal_percentile_for_groups_columns_and_null_keys(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot", float(v), float(i % 3)) for i, v in enumerate(rng.normal(0, 1, 3000))] + \
+           [(None if i % 7 == 0 else f"g{i % 7}", float(v), None) for i, v in enumerate(rng.exponential(2, 700))] + \
+           [("one", 5.0, float("nan")), ("none", None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(5)
+    clean = df.withColumn("y", F.nanvl("y", F.lit(None).cast("double")))
+    want = {(r["g"], c): r[c] for r in clean.groupBy("g").agg(*[F.percentile(c, list(PROBS)).alias(c) for c in "xy"]).collect()
+            for c in "xy" if r[c] is not None}
+    got = {(r["g"], r["column"]): r["q"] for r in exact_quantiles(df, ["x", "y"], PROBS, ["g"]).collect()}
+    assert got.keys() == want.keys() and (None, "x") in got
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-12, abs=1e-12)
+    whole = exact_quantiles(df, ["x"], PROBS).first()["q"]
+    assert whole == pytest.approx(df.agg(F.percentile("x", list(PROBS))).first()[0], rel=1e-12)
+
+
+def test_one_value_in_most_rows(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 < 6, 0.0).otherwise(F.col("id").cast("double")).alias("x"))
+    assert exact_quantiles(df, ["x"], (0.25, 0.5, 0.6, 0.9)).first()["q"] == pytest.approx(
+        df.agg(F.percentile("x", [0.25, 0.5, 0.6, 0.9])).first()[0])
+
+
+def test_users_of_quantiles_skip_nan_and_keep_null_groups(spark):
+    rows = [("a", 1.0, 0), ("a", 2.0, 0), ("a", float("nan"), 0), ("b", 4.0, 1), (None, 7.0, 1), (None, 9.0, 1)]
+    df = spark.createDataFrame(rows, ["g.k", "x", "cluster"])
+    assert {r["g.k"]: r["x"] for r in groupby_agg(df, ["g.k"], ["x"], "median").collect()} == {"a": 1.5, "b": 4.0, None: 8.0}
+    table = {r["statistic"]: r["x"] for r in describe_numeric(df, ["x"]).collect()}
+    assert (table["count"], table["mean"], table["50%"], table["max"]) == (5.0, 4.6, 4.0, 9.0)
+    boxes = {r["g.k"]: (r["n"], r["q1"], r["median"], r["q3"]) for r in charts.box_by_category(df, "g.k", "x").collect()}
+    assert boxes == {"a": (2, 1.25, 1.5, 1.75), "b": (1, 4.0, 4.0, 4.0), None: (2, 7.5, 8.0, 8.5)}
+    assert {(r["cluster"], r["median"]) for r in charts.box_stats(df, ["x"]).collect()} == {(0, 1.5), (1, 7.0)}
+    assert {r["cluster"]: r["median"] for r in numeric_profile(df, ["x"]).collect()} == {0: 1.5, 1: 7.0}
+    assert prepare.fill_values(df, ["x"], "median") == {"x": 4.0}
+    assert prepare.scaler_params(df, ["x"], "robust") == {"x": (4.0, 5.0)}
+    stats = {r["column"]: r for r in column_stats(df).collect()}
+    assert (stats["x"]["n_missing"], stats["x"]["n_unique"], stats["x"]["median"]) == (1, 5, 4.0)
+    assert stats["g.k"]["n_unique"] == 2

@@ -118,3 +118,22 @@ def test_distribution_histogram(chat_df):
     hist = res.chart.data.collect()
     assert len(hist) == 5  # clamp(round(sqrt(30)), 5, 12)
     assert sum(r["n"] for r in hist) == 30
+
+
+def test_odd_names_and_booleans(spark):
+    from strata.operators.query import DataQuery, run_query
+
+    df = spark.createDataFrame([(True, 1.0, "x"), (False, 2.0, "y"), (None, float("nan"), "x")], ["ok", "q1.sex", "a `b`"])
+    run = lambda **kw: run_query(df, DataQuery(**kw)).table.collect()
+    count = lambda *f: run(operation="filter_count", filter_by=[f])[0]["value"]
+    assert count("ok", "eq", "abc") == 0 and count("ok", "ne", "abc") == 3 and count("ok", "gt", "a") == 0
+    assert count("ok", "eq", True) == 1 and count("ok", "eq", 1) == 1
+    assert count("q1.sex", "gt", 1) == 1 and count("a `b`", "eq", "X") == 2
+    assert {(r["q1.sex"], r["n"]) for r in run(operation="value_counts", columns=["q1.sex"])} == {(1.0, 1), (2.0, 1), (None, 1)}
+    assert run(operation="describe", columns=["q1.sex"])[0]["q1.sex"] == 2.0
+    assert run(operation="describe", columns=["a `b`"])[2]["a `b`"] == "x"
+    assert run(operation="groupby_agg", groupby=["a `b`"], columns=["q1.sex"], agg="sum")[0]["q1.sex"] == 1.0
+    assert {r["column"] for r in run(operation="missing_values")} == {"ok", "q1.sex"}
+    for kw in ({"operation": "correlation"}, {"operation": "top_n", "columns": ["q1.sex"]}, {"operation": "top_n", "columns": ["a `b`"]},
+               {"operation": "groupby_count", "groupby": ["a `b`", "q1.sex"], "normalize": "row_pct"}, {"operation": "distribution", "columns": ["q1.sex"]}):
+        assert run(**kw)

@@ -72,3 +72,15 @@ def test_profile_tables(spark, chat_df):
     assert types == {"numeric": 2, "categorical": 2}
     comp = prof["completeness"].first()
     assert comp["missing_cells"] == 0 and comp["has_missing"] is False
+
+
+def test_dates_are_judged_over_all_values(spark):
+    from pyspark.sql import functions as F
+
+    from strata.operators.rules import rule_decisions
+
+    day = F.when(F.col("id") < 1000, F.lit("2024-01-05")).otherwise(F.date_format(F.date_add(F.lit("2024-02-01").cast("date"), F.col("id").cast("int") % 9), "yyyy-MM-dd"))
+    df = spark.range(1010).select("id", day.alias("often"), F.when(F.col("id") == 3, F.lit("soon")).otherwise(day).alias("spoilt"),
+                                  F.lit("2024-01-05").alias("same"))
+    got = {r["column"]: r["reason"] for r in rule_decisions(df).collect()}
+    assert got["often"] == "date" and got["spoilt"] is None and got["same"] == "near_zero_variance"

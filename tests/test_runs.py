@@ -39,30 +39,58 @@ def test_planted_segments_recovered_and_run_roundtrip(spark):
     assert [r["run_id"] for r in store.list_runs().collect()] == [rid2]
 
 
-def test_segment_with_batched_engine(spark):
+def test_model_labels_new_rows_like_the_run(spark):
     gen = planted_segments(spark, 400, seed=3)
-    cols = ["hours", "sessions", "wellbeing", "age", "slot", "device"]
-    res = segment(gen, SegmentConfig(columns=cols, n_init=2, k_max=5, engine="batched"))
-    assert res.metrics["optimal_k"] == 4
+    res = segment(gen, SegmentConfig(columns=["hours", "sessions", "wellbeing", "age", "slot", "device"], n_init=2, k_max=5))
+    assert res.metrics["optimal_k"] == 4 and res.metrics["noise_points"] == 0 and res.metrics["warning"] is None
     again = {r["row_id"]: r["cluster"] for r in res.model.transform(gen).collect()}
-    first = {r["row_id"]: r["cluster"] for r in res.labelled.collect()}
-    assert again == first
+    assert again == {r["row_id"]: r["cluster"] for r in res.labelled.collect()}
 
 
-def test_large_tables_switch_to_sampled_silhouette(spark):
-    gen = planted_segments(spark, 300, seed=5)
-    cols = ["hours", "sessions", "wellbeing", "age"]
-    res = segment(gen, SegmentConfig(columns=cols, n_init=1, k_min=4, k_max=4, exact_silhouette_rows=100))
-    assert res.metrics["silhouette_mode"] == "sampled:10000"   # the sample covers all 300 rows here
-    exact = segment(gen, SegmentConfig(columns=cols, n_init=1, k_min=4, k_max=4))
-    assert exact.metrics["silhouette_mode"] == "exact"
-    assert res.metrics["silhouette"] == pytest.approx(exact.metrics["silhouette"], abs=1e-9)
+def test_linear_score_pca_and_map(spark):
     from strata.plans.segment import segment_map
 
+    gen = planted_segments(spark, 300, seed=5)
+    res = segment(gen, SegmentConfig(columns=["hours", "sessions", "wellbeing", "age"], n_init=1, k_min=4, k_max=4,
+                                     score="centroid_silhouette", pca_components=3))
+    assert res.metrics["score"] == "centroid_silhouette" and res.metadata["feature_names"] == ["PC1", "PC2", "PC3"]
     pts = segment_map(res, keep=["row_id"]).collect()
     assert len(pts) == 300 and all(r["PC1"] is not None for r in pts)
 
 
+def test_segment_refuses_tables_without_patterns(spark):
+    from strata.sources.tables import SourceError
+
+    for rows, schema in (([], "a int, b int"), ([(1,), (2,)], "a int"), ([(1, 2)], "a int, b int")):
+        with pytest.raises(SourceError):
+            segment(spark.createDataFrame(rows, schema))
+
+
+def test_store_keeps_schemas_ids_and_edit_order(spark, tmp_path):
+    from strata.sources.runs import RunNotFound
+
+    store = RunStore(spark, str(tmp_path))
+    one, two, bad = "001234567890", "00000000000a", "00000000000b"
+    base = spark.createDataFrame([(0, "s0"), (1, "s1")], "cluster int, label string")
+    for run_id, columns in ((one, ["age", "cluster"]), (two, ["city", "cluster"]), (bad, ["x", "cluster"])):
+        store.write("runs", run_id, spark.createDataFrame([("t", run_id)], "created_at string, file_name string"))
+        store.write("segments", run_id, base)
+        store.write("labelled_rows", run_id, spark.createDataFrame([("v", 0)], columns))
+    assert store.read("labelled_rows", two).columns == ["city", "cluster", "run_id"]
+    assert store.read("labelled_rows", one).first()["run_id"] == one
+    for i in range(6):
+        store.edit_segment(one, 0, label=f"v{i}")
+    assert {r["cluster"]: r["label"] for r in store.effective_segments(one).collect()} == {0: "v5", 1: "s1"}
+    for run_id, cluster in ((one, 9), ("f" * 12, 0)):
+        with pytest.raises(RunNotFound):
+            store.edit_segment(run_id, cluster, label="x")
+    with pytest.raises(RunNotFound):
+        store.save_group("f" * 12, "d", [], 1, 1.0)
+    for part in (tmp_path / "runs" / f"run_id={bad}").glob("part-*"):
+        part.write_bytes(b"damaged")
+    assert {r["run_id"] for r in store.list_runs().collect()} == {one, two}
+
+
 def test_segment_hierarchical_path(spark):
     gen = planted_segments(spark, 300, seed=5)
     cols = ["hours", "sessions", "wellbeing", "age", "slot", "device"]

@@ -51,3 +51,23 @@ def test_dispatch_validate_preview(spark, tmp_path):
     df = literal_table(spark, {"a": [3, 1, 2, 5, 4, 6], "b": list("xyzuvw")})
     validate_table(df)
     assert [r["a"] for r in preview(df).collect()] == [1, 2, 3, 4, 5]
+
+
+def test_quotes_line_breaks_and_cp1252(spark, tmp_path):
+    p = write(tmp_path, "q.csv", b'a,b\n"he said ""hi, you""",1\n"two\nlines",2\n')
+    assert sorted((r["a"], r["b"]) for r in ingest.read_csv(spark, p).collect()) == [('he said "hi, you"', 1), ("two\nlines", 2)]
+    p = write(tmp_path, "w.csv", "año,precio\n“uno”,€ 5\nŠkoda,€ 1.200\n".encode("cp1252"))
+    assert sorted(r["año"] for r in ingest.read_csv(spark, p, types=False).collect()) == ["Škoda", "“uno”"]
+    p = write(tmp_path, "l.csv", b"a,b\n\x81x,1\n")
+    assert ingest.read_csv(spark, p).first()["a"] == "\x81x"
+    p = write(tmp_path, "bom.csv", "﻿a,b\n1,2\n".encode())
+    assert ingest.read_csv(spark, p).columns == ["a", "b"]
+
+
+def test_number_shapes(spark):
+    texts = ["1", " -2.5 ", "1e3", "+.5", "5.", "12abc", "", "--1", "NaN", "9" * 25, "9" * 19, "1 2"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    c = ingest.q("t")
+    for kind in ("double", "bigint"):
+        for r in df.select("t", ingest._number(c, kind).alias("got"), c.try_cast(kind).alias("want")).collect():
+            assert r["got"] == r["want"] or (r["got"] != r["got"] and r["want"] != r["want"]) or "." in r["t"], (kind, r)
