@@ -127,6 +127,7 @@ def _cut_out(text: str, places: list[dict]) -> tuple[str, list[list[int]]]:
 
 def dedup_chunks(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, shortest: int = SHORTEST, spans: bool = False) -> DataFrame:
     """``docs`` with repeated chunks cut out of ``text``; with ``spans``, also the byte spans cut out."""
+    common.bound_batches(docs.sparkSession)
     joined = common.attach_places(common.with_row_key(docs), repeated(docs, reach, longest, shortest))
     at = docs.columns.index("text")
     span_type = T.ArrayType(T.ArrayType(T.IntegerType()))

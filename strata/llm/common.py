@@ -1,30 +1,24 @@
 """Shared Spark helpers of the training-data operators."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.session import ensure_checkpoint_dir, read_table
+from strata.session import read_table, staged  # noqa: F401
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BATCH_ROWS = 1024
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared ``spark.checkpoint.dir`` and read it again.
-
-    Cuts the lineage: a lost executor costs only the tasks after this table, and what is
-    read twice afterwards is not computed twice.
-    """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/strata-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def bound_batches(spark: SparkSession) -> None:
+    """Fewer rows per Arrow batch where the session has Spark's default: texts and sets are wide
+    rows, of which 10,000 at a time would take a large part of an executor's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
@@ -33,10 +27,6 @@ def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def labelled_ids(labels: DataFrame, label: str, keep: Column, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """At most ``per_class`` labelled ids of each class, in hash order, and the classes' whole sizes.
 

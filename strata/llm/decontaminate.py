@@ -227,6 +227,7 @@ def _row_hits(texts: pa.Array, block: Block):
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
     """(doc_id, item_id, edits, start, end): per row and item its best region, in code points."""
+    common.bound_batches(docs.sparkSession)
     id_type, item_type = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id")))
     schema, out = f"doc_id {id_type}, item_id {item_type}, edits int, start long, end long", None
     item_arrow = pa.int64() if item_type == "bigint" else pa.int32() if item_type == "int" else pa.string()
@@ -251,6 +252,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET)
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that hold no passage of the benchmark."""
+    common.bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for block in blocks(benchmark, budget):
         held = docs.sparkSession.sparkContext.broadcast(block)

@@ -251,6 +251,7 @@ def _vocabulary(words: DataFrame, n_texts: int, word_share: float) -> Vocabulary
 
 def fit(docs: DataFrame, train: Column, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> tuple[Model, DataFrame, DataFrame]:
     """The bounded model and its two partitioned tables: words (word, n) and bigrams."""
+    common.bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     texts = docs.where(train).select("text")
     words = common.staged(word_counts(texts), "words")
@@ -388,6 +389,7 @@ def _bucket_words(words: DataFrame, shared, least: float) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, words: DataFrame, bigrams: DataFrame, word_share: float = WORD_SHARE) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for every row of ``docs``."""
+    common.bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keyed = common.with_row_key(docs.select("doc_id", "text"))
     table = bigrams.select("bucket", "history", F.col("words").cast("array<bigint>").alias("words"), "counts").unionByName(

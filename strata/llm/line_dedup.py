@@ -87,6 +87,7 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW, counts: bool = False) -> Da
 
     With ``counts``, two more columns: ``n_lines`` (non-blank lines) and ``n_removed``.
     """
+    common.bound_batches(docs.sparkSession)
     joined = common.attach_places(common.with_row_key(docs), repeated(docs, size))
     at = docs.columns.index("text")
     schema = T.StructType(docs.schema.fields + [T.StructField("n_lines", T.IntegerType()), T.StructField("n_removed", T.IntegerType())] * counts)

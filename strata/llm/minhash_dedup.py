@@ -297,6 +297,7 @@ def links_across(shared: DataFrame, nodes: DataFrame, sets: DataFrame, roots: Da
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``."""
+    common.bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     rows = common.staged(document_sets(docs, shingle), "sets")
     nodes = common.staged(rows.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node")

@@ -68,6 +68,7 @@ def _encoded(texts: list[str], path: str):
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every document."""
+    common.bound_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     path = tokenizer or default_tokenizer()
 

@@ -115,6 +115,7 @@ def _dictionary(blocks: list[bytes]) -> bytes:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column | None = None, per_class: int = PER_CLASS) -> Model:
     """Train both dictionaries and the calibration from labelled texts; ``keep`` filters labelled ids."""
+    common.bound_batches(docs.sparkSession)
     ids, totals = common.labelled_ids(labels, label, F.lit(True) if keep is None else keep, per_class)
     if set(totals) != {0, 1}:
         share = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
@@ -156,6 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for every row of ``docs``."""
+    common.bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -151,6 +151,7 @@ def _fit(rows: list[tuple[int, np.ndarray]], pairs: list[tuple[np.ndarray, np.nd
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column | None = None, per_class: int = PER_CLASS,
         n_features: int = N_FEATURES, min_texts: int = MIN_TEXTS) -> Model:
     """Learn the classifier from the texts of ``docs`` that ``labels`` marks; ``keep`` filters labelled ids."""
+    common.bound_batches(docs.sparkSession)
     ids, totals = common.labelled_ids(labels, label, F.lit(True) if keep is None else keep, per_class)
     empty = np.zeros(0, np.uint64)
     if set(totals) != {0, 1}:
@@ -212,6 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column |
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for every row of ``docs``."""
+    common.bound_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches):
@@ -223,6 +225,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose score is below ``threshold``."""
+    common.bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches):
