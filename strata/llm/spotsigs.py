@@ -47,27 +47,50 @@ ROWS_PER_RANGE = 4000
 MAX_RANGES = 10_000
 
 
-def _pattern(anchors=ANCHORS, chain: int = CHAIN) -> str:
-    """Zero-width at a word; group 1 is an anchor, the anchors skipped and ``chain`` content words,
-    or a word with no anchor among the ``GAP`` words from it on."""
-    anchor = f"(?:{'|'.join(anchors)}) "
+def _anchor_pattern(anchors=ANCHORS) -> str:
+    """An anchor as a whole word, by first letters: few alternatives are tried at a word."""
+    by_letter: dict[str, list[str]] = {}
+    for word in anchors:
+        by_letter.setdefault(word[0], []).append(word[1:])
+    return rf"(?<![^ ])({'|'.join(f'{c}(?:{'|'.join(rest)})' for c, rest in by_letter.items())})(?= )"
+
+
+#: Stands before every anchor once anchors are marked; normalised text holds no such character.
+_MARK = "\x01"
+
+
+def _pattern(chain: int = CHAIN) -> str:
+    """Zero-width at a word of marked text; group 1 is an anchor, the anchors skipped and ``chain``
+    content words, or a word with no anchor among the ``GAP`` words from it on."""
+    anchor, content = f"{_MARK}[^ ]+ ", f"[^{_MARK} ][^ ]* "
     spot = anchor + rf"(?:{anchor}){{0,8}}+[^ ]+ " * chain
-    return rf"(?<![^ ])(?=({spot}|(?!(?:[^ ]+ ){{0,{GAP - 1}}}?{anchor})[^ ]+ ))"
+    return rf"(?<![^ ])(?=({spot}|(?!(?:{content}){{0,{GAP - 1}}}+{_MARK}){content}))"
 
 
 def normalised(text: Column) -> Column:
     return F.concat(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
-def signatures(text: Column, anchors=ANCHORS, chain: int = CHAIN) -> Column:
-    """Sorted distinct 48-bit signatures of a text."""
-    plain = normalised(text)
-    chains = F.array_join(F.regexp_extract_all(plain, F.lit(_pattern(anchors, chain)), F.lit(1)), "\n")
+def with_signatures(df: DataFrame, text: str, out: str, anchors=ANCHORS, chain: int = CHAIN) -> DataFrame:
+    """``df`` with the sorted distinct 48-bit signatures of a text column.
+
+    In steps, so that each of the costly pattern passes over a text runs once.
+    """
+    plain, found, parts = (f"__strata_{x}" for x in ("plain", "found", "parts"))
+    marked = F.regexp_replace(F.col(plain), _anchor_pattern(anchors), f"{_MARK}$1")
     # Anchors inside a chain were skipped; only the one that starts it belongs to the signature.
-    bare = F.regexp_replace(chains, rf"(?<= )(?:{'|'.join(anchors)}) (?!\n|$)", "")
-    parts = F.split(F.when(chains != "", bare).otherwise(F.replace(F.rtrim(plain), F.lit(" "), F.lit("\n"))), "\n")
-    kept = F.when(plain == " ", F.array().cast("array<string>")).otherwise(parts)
-    return F.sort_array(F.array_distinct(F.transform(kept, lambda s: F.xxhash64(s).bitwiseAND(F.lit((1 << 48) - 1)))))
+    bare = F.regexp_replace(F.col(found), rf"(?<= ){_MARK}[^ ]+ (?!\n|$)", "")
+    words = F.replace(F.rtrim(F.col(plain)), F.lit(" "), F.lit("\n"))
+    none = F.array().cast("array<string>")
+    steps = (
+        (plain, normalised(F.col(text))),
+        (found, F.array_join(F.regexp_extract_all(marked, F.lit(_pattern(chain)), F.lit(1)), "\n")),
+        (parts, F.when(F.col(plain) == " ", none).otherwise(F.split(F.when(F.col(found) != "", bare).otherwise(words), "\n"))),
+        (out, F.sort_array(F.array_distinct(F.transform(parts, lambda s: F.xxhash64(s).bitwiseAND(F.lit((1 << 48) - 1)))))),
+    )
+    for name, column in steps:
+        df = df.withColumn(name, column)
+    return df.drop(plain, found, parts)
 
 
 def fingerprint(signature_set: Column) -> Column:
@@ -117,11 +140,11 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
 
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs.withColumn("set", signatures(F.col("text"))), "set")
+    rows = with_next(with_signatures(docs, "text", "set"), "set")
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "set", "next_set", edited.alias("edited"))
-    rows = rows.withColumn("edited_set", signatures(F.col("edited")))
+    rows = with_signatures(rows, "edited", "edited_set")
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("set")).alias("fingerprint"), fingerprint(F.col("edited_set")).alias("edited_fingerprint"),
@@ -133,7 +156,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A class holds the rows of equal fingerprints; its id is the smallest doc_id.
     """
-    rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", signatures(F.col("text")).alias("set")).where(F.size("set") > 0)
+    rows = with_signatures(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), "text", "set").where(F.size("set") > 0)
     rows = rows.withColumn("key", F.sha2(fingerprint(F.col("set")).cast("binary"), 256))
     named = rows.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("set").alias("set"))
     return rows.select("doc_id", "key").join(named.select("key", "class_id"), "key").select("doc_id", "class_id"), named.select("class_id", "set")

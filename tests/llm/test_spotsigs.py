@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helpers import prose
 from strata.llm import spotsigs as s
-from strata.llm.spotsigs import classes, likeness, normalised, signatures, similar_pairs, with_next
+from strata.llm.spotsigs import classes, likeness, similar_pairs, with_next, with_signatures
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -42,7 +42,7 @@ def rows():
 
 
 def test_signatures_follow_the_definition(make_docs, rows):
-    got = {r["doc_id"]: r["n"] for r in make_docs(rows).select("doc_id", F.size(signatures(F.col("text"))).alias("n")).collect()}
+    got = {r["doc_id"]: r["n"] for r in with_signatures(make_docs(rows), "text", "set").select("doc_id", F.size("set").alias("n")).collect()}
     assert got == {i: len(chains(t)) for i, t in rows}
 
 
@@ -101,4 +101,5 @@ def test_odd_rows_and_tables(make_docs, odd_rows):
     assert with_next(make_docs([]).select("doc_id", "text")).collect() == []
     one = with_next(make_docs([(9, "only")]).select("doc_id", "text")).collect()
     assert [r["next_text"] for r in one] == ["only"]
-    assert make_docs([(1, None)]).select(likeness(signatures(F.col("text")), signatures(F.lit(""))).alias("x")).first()["x"] == 1.0
+    empty = with_signatures(make_docs([(1, None)]), "text", "a")
+    assert empty.select(likeness(F.col("a"), F.col("a")).alias("x")).first()["x"] == 1.0
