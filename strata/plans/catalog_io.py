@@ -89,13 +89,14 @@ def segment_cards_q(spark, sf):
 
 
 @register("csv_ingest", f"""
-SELECT c_mktsegment, count(*) AS n, count(c_acctbal) AS n_balance, {r("sum(c_acctbal)", 2)} AS balance
+SELECT c_mktsegment, count(*) AS n, count(c_acctbal) AS n_balance, {r("sum(c_acctbal)", 2)} AS balance, count(*) AS n_notes
 FROM (SELECT c_mktsegment, CASE WHEN c_nationkey = 3 THEN NULL ELSE floor(c_acctbal) END AS c_acctbal FROM customer)
 GROUP BY c_mktsegment
 """)
 def csv_ingest(spark, sf):
-    """S1–S4 end to end: customer written as a ';' CSV with '$1,234' / '$-12' money text and
-    'sin dato' sentinels into the session's shared scratch folder, read back through the salvaging reader."""
+    """S1–S4 end to end: customer written as a ';' CSV in cp1252 bytes, with '$1,234' / '$-12' money text,
+    'sin dato' sentinels and notes that hold quotes, a line break, a separator and the euro sign, into the
+    session's shared scratch folder, read back through the salvaging reader."""
     import uuid
 
     from ..session import ensure_checkpoint_dir
@@ -107,14 +108,19 @@ def csv_ingest(spark, sf):
     money = F.when(a >= 1000, F.concat(F.lit("$"), sign, F.expr("CAST(abs(floor(c_acctbal)) AS BIGINT) div 1000")
                                        .cast("string"), F.lit(","), F.lpad((a % 1000).cast("string"), 3, "0"))) \
         .otherwise(F.concat(F.lit("$"), sign, a.cast("string")))
-    text = c.select("c_custkey", "c_name", "c_mktsegment",
+
+    def note(euro: str):
+        return F.concat(F.lit('he said "'), F.col("c_mktsegment"), F.lit(f'; {euro}"\ncafé '), F.col("c_custkey").cast("string"))
+
+    # the byte 0x80 is the euro sign in cp1252 and a control character in ISO-8859-1, in which Spark writes
+    text = c.select("c_custkey", "c_name", "c_mktsegment", note("\x80").alias("note"),
                     F.when(F.col("c_nationkey") == 3, F.lit("sin dato")).otherwise(money).alias("c_acctbal"))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/strata-csv/{uuid.uuid4().hex}"
-    text.write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
+    text.write.option("header", True).option("sep", ";").option("escape", '"').option("encoding", "ISO-8859-1").csv(path)
     back = ingest.read_csv(spark, path)
     return rounded(back.groupBy("c_mktsegment").agg(
         F.count(F.lit(1)).alias("n"), F.count("c_acctbal").alias("n_balance"),
-        F.sum("c_acctbal").alias("balance")), 2)
+        F.sum("c_acctbal").alias("balance"), F.count_if(F.col("note") == note("€")).alias("n_notes")), 2)
 
 
 # ------------------------------------------------------------------ run store
