@@ -5,8 +5,8 @@ neither letters nor digits made one space. An item is looked for whole where it
 ``SEGMENT`` normalised bytes, else in overlapping segments of that many, so that a long part
 of an item is found too. A segment of m bytes is held to stand in a text where some region is
 within k = floor(``budget`` * m) byte edits of it. Such a region keeps at least
-m + 1 - q (k + 1) of the segment's q-grams, all on diagonals at most k apart (q = 8: a gram is
-one 64-bit word, compared exactly).
+m + 1 - q (k + 1) of the segment's q-grams, all on diagonals at most k apart. Grams are
+compared by 64-bit hashes; a chance match could only let one more region on to the alignment.
 
 Per text, in one pass with no shuffle: (1) a bit table tells which positions start a gram of
 any segment, and windows with fewer of them than the weakest segment's bound drop out;
@@ -37,8 +37,8 @@ from strata.llm import common
 from strata.llm.kernels import LOWER, slices
 from strata.session import read_table
 
-Q = 8
-BUDGET = 0.10
+Q = 12
+BUDGET = 0.06
 SEGMENT, STRIDE = 200, 100
 SHORTEST = 40
 BLOCK_BYTES = 8 << 20
@@ -60,10 +60,12 @@ def normalise(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def grams(data: np.ndarray) -> np.ndarray:
-    """The Q bytes from each position on, as one 64-bit word."""
+    """64-bit hash of the Q bytes from each position on (8 < Q < 17: two overlapping words)."""
     if len(data) < Q:
         return np.zeros(0, np.uint64)
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, Q)).view(np.uint64).ravel()
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(np.uint64).ravel()
+    head, tail = words[: len(data) - Q + 1], words[Q - 8:]
+    return (head * np.uint64(0x9E3779B97F4A7C15)) ^ ((tail ^ (tail >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
 
 
 def _cell(words: np.ndarray) -> np.ndarray:
