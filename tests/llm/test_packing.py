@@ -49,6 +49,19 @@ def test_odd_rows(make_docs, odd_rows):
     assert pack(make_docs([])).collect() == []
 
 
+def test_both_encoders_agree():
+    encoder = packing._encoder(default_tokenizer())
+    rng = random.Random(19)
+    texts = [prose(rng, 200), "", " ", "a  b\n\n c\t", "it's we'll I'm 'd", "naïve Straße 東京 😀 e\u0301", "x" * 3000, " " * 500 + "y", "1234 56,78%$", "<|endoftext|>",
+             "\x00\x7f\u200b\ufeff", "Ωmega ٣٤ ½ ²", "".join(chr(rng.randrange(32, 0x2000)) for _ in range(2000))]
+    assert encoder.ranked is not None
+    for text in texts:
+        assert encoder._fast(text).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    encoder = packing.Encoder(default_tokenizer())
+    encoder._fast = lambda text: np.zeros(1, "<u4")
+    assert encoder.encode(texts)[1:3] is not None and [e.tolist() for e in encoder.encode(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_holds_every_piece_once(seed):
     rng = np.random.default_rng(seed)
