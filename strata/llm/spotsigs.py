@@ -11,7 +11,7 @@ fingerprinted by its single words.
 Two fingerprints are compared by Jaccard similarity. ``similar_pairs`` finds all pairs at a
 threshold: texts of equal fingerprints are one class; classes are partitioned by set length so
 that partners stand in the same or the next partition; within it only sets that share one of
-their few first signatures meet (a pair at the threshold must), their lengths must be within
+their few rarest signatures meet (a pair at the threshold must), their lengths must be within
 the threshold of each other, and what is left is compared exactly.
 
 Neighbours in id order come from one shuffle of the texts into ranges of ids (boundaries from
@@ -164,11 +164,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity) of all classes a < b whose sets reach the Jaccard ``threshold``."""
-    size = F.size("set")
+    # Rare signatures first: the few that partners must share are seldom common ones.
+    cells = sets.select("class_id", F.size("set").alias("n"), F.explode("set").alias("signature"))
+    times = cells.groupBy("signature").agg(F.count("*").alias("times"))
+    ranked = cells.join(times, "signature").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("times", "signature"))).alias("ranked"))
     # Lengths within the threshold of each other fall into the same or neighbouring partitions.
-    part = F.floor(F.log(size.cast("double")) / F.lit(-math.log(threshold))).cast("int")
-    first = F.slice("set", F.lit(1), (size - F.ceil(size * threshold - 1e-9) + 1).cast("int"))
-    entries = sets.select("class_id", size.alias("n"), part.alias("part"), F.explode(first).alias("signature"))
+    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold))).cast("int")
+    first = F.slice(F.col("ranked.signature"), F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    entries = ranked.select("class_id", "n", part.alias("part"), F.explode(first).alias("signature"))
     left = entries.withColumn("part", F.explode(F.array("part", F.col("part") + 1)))
     pairs = (left.alias("l").join(entries.alias("r"), ["part", "signature"])
              .where((F.col("l.class_id") != F.col("r.class_id")) & (F.col("l.n") <= F.col("r.n")) & (F.col("l.n") >= F.col("r.n") * F.lit(threshold) - 1e-9))
