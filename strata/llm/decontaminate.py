@@ -37,8 +37,8 @@ from strata.llm import common
 from strata.llm.kernels import LOWER, slices
 from strata.session import read_table
 
-Q = 12
-BUDGET = 0.06
+Q = 10
+BUDGET = 0.08
 SEGMENT, STRIDE = 200, 100
 SHORTEST = 40
 BLOCK_BYTES = 8 << 20
@@ -73,8 +73,9 @@ def _cell(words: np.ndarray) -> np.ndarray:
 
 
 def edits_allowed(m: int, budget: float) -> int:
-    """Byte edits for a segment of m bytes: its budget, or fewer where the lemma would say nothing."""
-    return min(int(budget * m), m // Q - 1)
+    """Byte edits for a segment of m bytes: its budget, or fewer where the lemma would ask for
+    hardly more than Q shared grams."""
+    return max(0, min(int(budget * m), m // Q - 2))
 
 
 def banded_distance(pattern: np.ndarray, region: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int]:

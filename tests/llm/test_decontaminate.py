@@ -52,7 +52,7 @@ def rows(items):
         parts = [prose(rng, rng.randint(5, 60)), prose(rng, rng.randint(5, 60))]
         if i % 2 == 0:
             text = rng.choice(items)[1]
-            parts.insert(1, mutate(rng, text, int(len(text) * rng.choice([0, 0.02, 0.04, 0.055, 0.07, 0.2]))))
+            parts.insert(1, mutate(rng, text, int(len(text) * rng.choice([0, 0.03, 0.05, 0.07, 0.09, 0.2]))))
         rows.append((i, rng.choice([" ", "\n\n", " -- "]).join(parts)))
     return rows
 
