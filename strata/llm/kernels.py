@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -31,7 +31,7 @@ def _powers(kind: str, n: int) -> np.ndarray:
     """The first ``n`` powers (mod 2**64) of the hash base, or of its inverse."""
     if len(_POWERS[kind]) < n:
         base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        steps = np.full(max(n, 1 << 21), base, np.uint64)
+        steps = np.full(max(n, SLICE_BYTES + 2), base, np.uint64)
         steps[0] = 1
         _POWERS[kind] = np.cumprod(steps, dtype=np.uint64)
     return _POWERS[kind][:n]
