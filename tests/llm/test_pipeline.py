@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from helpers import prose
+from helpers import CLASHING, prose
 from strata.llm import catalog
 
 
@@ -49,3 +49,19 @@ def test_stages_take_effect(spark, sf_dir):
     assert left["decontaminate"].keys() == left["minhash_dedup"].keys() - {202}
     rows = corpus_pipeline.run(spark, sf_dir).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r["doc_id"] for r in rows} == left["decontaminate"].keys()
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, make_docs, odd_rows, sf_dir, tmp_path):
+    for rows, extra in ((odd_rows, CLASHING), ([], ())):
+        docs = make_docs(rows, extra)
+        names = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.common.staged(stage(spark, docs, sf_dir), "odd")
+            assert docs.columns == names, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+        assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+        assert bool(rows) == (docs.count() > 0)
+    # without any label, benchmark or document
+    for table, schema in (("documents", docs.schema), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
