@@ -133,3 +133,27 @@ def test_packing_round_trips():
     rng = np.random.default_rng(3)
     for x in (rng.integers(-2**62, 2**62, 1000), np.sort(rng.integers(0, 10**9, 500)), np.zeros(0, np.int64)):
         assert (unpacked(packed(x)) == x).all()
+
+
+@pytest.mark.parametrize("common_share,flush", [(0.02, 300), (1.0, 40), (0.004, 10**6)])
+def test_every_training_word_keeps_its_bigrams(make_docs, rows, monkeypatch, common_share, flush):
+    """The dense ids of common words are an accelerator only: no word is merged with another."""
+    monkeypatch.setattr(katz, "COMMON_SHARE", common_share, raising=False)
+    monkeypatch.setattr(katz, "FLUSH_TOKENS", flush)
+    docs = make_docs(rows)
+    model, words, bigrams = fit(docs, F.col("doc_id") % 3 != 1, pair_share=0.01)
+    want = Brute([t for i, t in rows if i % 3 != 1], 0.0)
+    assert len(model.vocabulary.hashes) < want.v - 1
+    got = {(r["doc_id"], r["n_tokens"]): r for r in score(docs, model, words, bigrams).collect()}
+    for i, t in rows:
+        r = got[i, len(tokens(t))]
+        assert r["n_known"] == sum(want.c[w] > 0 for w in tokens(t))
+        assert r["score"] == pytest.approx(want.score(t))
+
+
+def test_words_far_below_the_common_share_are_told_apart(make_docs):
+    """One word in a million and a half tokens: by its share it fell into the class of all rare ones."""
+    docs = make_docs([(i, "a b c d e " * 2_500) for i in range(120)] + [(200, "zebra quagga"), (201, "okapi tapir"), (202, "zebra tapir")])
+    train = F.col("doc_id") != 202
+    got = {r["doc_id"]: r["score"] for r in score(docs, *fit(docs, train)).collect()}
+    assert got[200] > got[202] + 1
