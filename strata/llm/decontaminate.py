@@ -6,13 +6,16 @@ neither letters nor digits made one space. An item is looked for whole where it
 of an item is found too. A segment of m bytes is held to stand in a text where some region is
 within k = floor(``budget`` * m) byte edits of it. Such a region keeps at least
 m + 1 - q (k + 1) of the segment's q-grams, all on diagonals at most k apart. Grams are
-compared by 64-bit hashes; a chance match could only let one more region on to the alignment.
+compared as 64-bit words, so exactly.
 
 Per text, in one pass with no shuffle: (1) a bit table tells which positions start a gram of
-any segment, and windows with fewer of them than the weakest segment's bound drop out;
-(2) the rest are matched with the segments' grams and counted per segment in diagonal bands of
+any item, and windows with fewer of them than the weakest segment's bound drop out; (2) the
+rest are matched with the items' grams and counted per item in hashed cells of diagonals, so
+that matches by chance, alone on their diagonals, drop out before any of them is sorted (a
+collision only lets more on); (3) what is left is counted per segment in diagonal bands of
 width 2 (k + 1) that overlap by half, so that one band holds all grams of a true region;
-(3) bands that meet their bound are aligned with the segment by banded dynamic programming.
+(4) bands that meet their bound are compared with the segment by a bit-parallel edit distance,
+and the best of a row and item aligned by banded dynamic programming.
 
 The benchmark is the stated query set: it is read in blocks of at most ``BLOCK_BYTES`` of text
 (each checked), and every text is run against every block, so a block is what a task holds,
@@ -37,12 +40,14 @@ from strata.llm import common
 from strata.llm.kernels import LOWER, slices
 from strata.session import read_table
 
-Q = 10
-BUDGET = 0.08
+Q = 8
+BUDGET = 0.1
 SEGMENT, STRIDE = 200, 100
 SHORTEST = 40
 BLOCK_BYTES = 8 << 20
 _TABLE_BITS = 22
+_CHUNK = 1 << 20
+_SPAN = 1 << 40  # more than the bytes of any item
 
 _PLAIN = LOWER.copy()
 _PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
@@ -60,12 +65,10 @@ def normalise(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def grams(data: np.ndarray) -> np.ndarray:
-    """64-bit hash of the Q bytes from each position on (8 < Q < 17: two overlapping words)."""
+    """The Q = 8 bytes from each position on, as one word: equal words are equal grams."""
     if len(data) < Q:
         return np.zeros(0, np.uint64)
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view(np.uint64).ravel()
-    head, tail = words[: len(data) - Q + 1], words[Q - 8:]
-    return (head * np.uint64(0x9E3779B97F4A7C15)) ^ ((tail ^ (tail >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, Q)).view(np.uint64).ravel()
 
 
 def _cell(words: np.ndarray) -> np.ndarray:
@@ -74,8 +77,31 @@ def _cell(words: np.ndarray) -> np.ndarray:
 
 def edits_allowed(m: int, budget: float) -> int:
     """Byte edits for a segment of m bytes: its budget, or fewer where the lemma would ask for
-    hardly more than Q shared grams."""
-    return max(0, min(int(budget * m), m // Q - 2))
+    no shared gram (at no length from ``SHORTEST`` on with the budget as set)."""
+    return max(0, min(int(budget * m), m // Q - 1))
+
+
+def least_edits(pattern: bytes, region: bytes) -> int:
+    """Least edits between ``pattern`` and any part of ``region`` (Myers' bit vectors)."""
+    full = (1 << len(pattern)) - 1
+    top = 1 << (len(pattern) - 1)
+    places: dict[int, int] = {}
+    for i, byte in enumerate(pattern):
+        places[byte] = places.get(byte, 0) | 1 << i
+    up, down, edits = full, 0, len(pattern)
+    best = edits
+    for byte in region:
+        equal = places.get(byte, 0)
+        across = ((equal & up) + up) ^ up | equal
+        more, fewer = down | full & ~(across | up), up & across
+        if more & top:
+            edits += 1
+        elif fewer & top:
+            edits -= 1
+            best = min(best, edits)
+        vertical, more = equal | down, more << 1
+        up, down = (fewer << 1 | ~(vertical | more)) & full, more & vertical
+    return best
 
 
 def banded_distance(pattern: np.ndarray, region: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int]:
@@ -114,14 +140,24 @@ def banded_distance(pattern: np.ndarray, region: np.ndarray, low: int, high: int
     return int(cost[best]), int(start[best]), int(len(pattern) + d[best])
 
 
+def grids() -> tuple[tuple[int, int], ...]:
+    """(bytes, stride) of the segments that are looked for."""
+    return ((SEGMENT, STRIDE),)
+
+
 @dataclass
 class Block:
-    """Segments of one block of the benchmark and the postings of their grams."""
+    """Items of one block of the benchmark, the postings of their grams, and their segments."""
 
-    item: list
+    item: list  # per segment, its item's id
     segments: list[np.ndarray]
+    source: np.ndarray  # per segment, its item's number
+    start: np.ndarray  # per segment, its place in the item
     edits: np.ndarray
     bound: np.ndarray
+    parts: list[tuple[int, np.ndarray, np.ndarray]]  # per grid: first segment, item and start as one key, bytes per item
+    half: np.ndarray  # per item: most edits + 1, and the weakest bound
+    need: np.ndarray
     words: np.ndarray
     first: np.ndarray
     owner: np.ndarray
@@ -130,44 +166,59 @@ class Block:
 
     @classmethod
     def of(cls, items: list[tuple], budget: float) -> Block:
-        item, segments = [], []
+        ids, texts = [], []
         for item_id, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             data = normalise(raw, np.array([0, len(raw)]))[0]
             data = np.frombuffer(data.tobytes().strip(), np.uint8)
-            if len(data) < SHORTEST:
-                continue
-            starts = [0] if len(data) <= SEGMENT else [*range(0, len(data) - SEGMENT, STRIDE), len(data) - SEGMENT]
-            item += [item_id] * len(starts)
-            segments += [data[s:s + SEGMENT] for s in starts]
+            if len(data) >= SHORTEST:
+                ids.append(item_id)
+                texts.append(data)
+        source, start, segments, parts = [], [], [], []
+        for g, (size, stride) in enumerate(grids()):
+            begin = len(segments)
+            for i, data in enumerate(texts):
+                if g and len(data) <= grids()[0][0]:
+                    continue  # whole in the first grid
+                starts = [0] if len(data) <= size else [*range(0, len(data) - size, stride), len(data) - size]
+                source += [i] * len(starts)
+                start += starts
+                segments += [data[s:s + size] for s in starts]
+            keys = np.array(source[begin:], np.int64) * _SPAN + np.array(start[begin:], np.int64)
+            parts.append((begin, keys, np.array([min(len(data), size) for data in texts], np.int64)))
+        source, start = np.array(source, np.int64), np.array(start, np.int64)
         edits = np.array([edits_allowed(len(s), budget) for s in segments], np.int64)
         bound = np.array([len(s) + 1 - Q * (k + 1) for s, k in zip(segments, edits)], np.int64)
-        parts = [grams(s) for s in segments]
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else owner
+        half, need = np.ones(len(texts), np.int64), np.full(len(texts), _SPAN)
+        np.maximum.at(half, source, edits + 1)
+        np.minimum.at(need, source, bound)
+        found = [grams(data) for data in texts]
+        flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(found)), [len(p) for p in found])
+        place = np.concatenate([np.arange(len(p)) for p in found]) if found else owner
         order = np.argsort(flat, kind="stable")
         words, first = np.unique(flat[order], return_index=True)
         table = np.zeros(1 << _TABLE_BITS, bool)
         table[_cell(words)] = True
-        return cls(item, segments, edits, bound, words, np.append(first, len(flat)), owner[order], place[order], table)
+        return cls([ids[i] for i in source], segments, source, start, edits, bound, parts, half, need,
+                   words, np.append(first, len(flat)), owner[order], place[order], table)
 
-    def candidates(self, data: np.ndarray, offsets: np.ndarray):
-        """(row, segment, lowest diagonal) of every band that meets its segment's bound."""
+    def matches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, place in the row, item, place in the item) of the shared grams that may belong to a region."""
+        none = (np.zeros(0, np.int64),) * 4
         words = grams(data)
         if not len(self.segments) or not len(words):
-            return
-        member = self.table[_cell(words)]
-        at = np.flatnonzero(member)
+            return none
+        at = np.flatnonzero(self.table[_cell(words)])
         if not len(at):
-            return
-        # A region spans at most SEGMENT + k positions; keep those with enough members around them.
-        reach, need = SEGMENT + int(self.edits.max()), int(self.bound.min())
+            return none
+        # A region spans at most its segment + k positions; keep those with enough members around them.
+        reach, need = max(map(len, self.segments)) + int(self.edits.max()), int(self.bound.min())
         around = np.searchsorted(at, at + reach, "right") - np.arange(len(at))
         rich = np.zeros(len(at) + 1, np.int64)
-        start = np.flatnonzero(around >= need)
-        np.add.at(rich, start, 1)
-        np.add.at(rich, start + around[start], -1)
+        begin = np.flatnonzero(around >= need)
+        np.add.at(rich, begin, 1)
+        np.add.at(rich, begin + around[begin], -1)
         at = at[np.cumsum(rich[:-1]) > 0]
         spot = np.minimum(np.searchsorted(self.words, words[at]), len(self.words) - 1)
         real = self.words[spot] == words[at]
@@ -175,14 +226,43 @@ class Block:
         row = np.searchsorted(offsets, at, "right") - 1
         inside = at + Q <= offsets[row + 1]
         at, spot, row = at[inside], spot[inside], row[inside]
+        at = at - offsets[row]
         times = self.first[spot + 1] - self.first[spot]
-        entry = np.repeat(self.first[spot] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        segment = self.owner[entry]
-        row = np.repeat(row, times)
-        diagonal = np.repeat(at, times) - offsets[row] - self.place[entry]
-        half = self.edits[segment] + 1
-        band = np.floor_divide(diagonal, half)  # bands cover halves (b, b + 1): overlapping by one half
-        keys = np.concatenate([np.stack([row, segment, band], 1), np.stack([row, segment, band - 1], 1)])
+        # Postings are made in chunks, once to count the cells and once to keep those of full ones.
+        cuts = np.unique(np.searchsorted(np.cumsum(times), np.arange(0, times.sum() + _CHUNK, _CHUNK)))
+        chunks = [slice(a, z) for a, z in zip([0, *cuts], [*cuts, len(at)]) if z > a]
+
+        def postings(part):
+            n = times[part]
+            entry = np.repeat(self.first[spot[part]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            which, item = np.repeat(np.arange(part.start, part.stop), n), self.owner[entry]
+            band = np.floor_divide(at[which] - self.place[entry], self.half[item])
+            cell = ((row[which] * len(self.need) + item) * 0x1E3779B97F4A7C15 >> 21) + band & (1 << _TABLE_BITS) - 1
+            return which, entry, item, cell
+
+        count = np.zeros((1 << _TABLE_BITS) + 2, np.int32)  # cell c at c + 1; the ends wrap
+        for part in chunks:
+            count[1:-1] += np.bincount(postings(part)[3], minlength=1 << _TABLE_BITS).astype(np.int32)
+        count[0], count[-1] = count[-2], count[1]
+        out = []
+        for part in chunks:
+            which, entry, item, cell = postings(part)
+            full = count[cell + 1] + np.maximum(count[cell], count[cell + 2]) >= self.need[item]
+            out.append((row[which[full]], at[which[full]], item[full], self.place[entry[full]]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else none
+
+    def candidates(self, data: np.ndarray, offsets: np.ndarray):
+        """(row, segment, lowest diagonal) of every band that meets its segment's bound."""
+        row, at, item, place = self.matches(data, offsets)
+        found = []
+        for begin, keys, size in self.parts:
+            low = np.searchsorted(keys, item * _SPAN + np.maximum(place - size[item] + Q, 0))
+            n = np.searchsorted(keys, item * _SPAN + place, "right") - low
+            segment = begin + np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+            diagonal = np.repeat(at - place, n) + self.start[segment]
+            band = np.floor_divide(diagonal, self.edits[segment] + 1)  # bands cover halves (b, b + 1): overlapping by one half
+            found += [np.stack([np.repeat(row, n), segment, b], 1) for b in (band, band - 1)]
+        keys = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
         if not len(keys):
             return
         order = np.lexsort(keys.T[::-1])
@@ -193,16 +273,28 @@ class Block:
             yield r, s, b * (int(self.edits[s]) + 1)
 
     def hits(self, data: np.ndarray, offsets: np.ndarray):
-        """(row, segment, edits, start, end) of every verified region, in normalised bytes of the row."""
+        """(row, segment, edits, start, end) of the best region of each row and item, in normalised bytes of the row."""
+        near: dict[tuple[int, int], list[tuple]] = {}
         for row, s, low in self.candidates(data, offsets):
             pattern, k = self.segments[s], int(self.edits[s])
             high = low + 2 * (k + 1)
             a, z = max(0, low - k), min(int(offsets[row + 1] - offsets[row]), high + len(pattern) + k)
             region = data[offsets[row] + a:offsets[row] + z]
             exact = region.tobytes().find(pattern.tobytes())
-            edits, start, end = (0, exact, exact + len(pattern)) if exact >= 0 else banded_distance(pattern, region, low - k - a, high + k - a, k)
+            edits = 0 if exact >= 0 else least_edits(pattern.tobytes(), region.tobytes())
             if edits <= k:
-                yield row, s, edits, a + start, a + end
+                near.setdefault((row, int(self.source[s])), []).append((edits, s, low, high, a, region, exact))
+        for (row, _), regions in near.items():
+            best = None
+            for least, s, low, high, a, region, exact in sorted(regions, key=lambda r: r[:3]):
+                if best and best[1] <= least:
+                    break
+                pattern, k = self.segments[s], int(self.edits[s])
+                edits, start, end = (0, exact, exact + len(pattern)) if exact >= 0 else banded_distance(pattern, region, low - k - a, high + k - a, k)
+                if edits <= k and (best is None or edits < best[1]):
+                    best = s, edits, a + start, a + end
+            if best:
+                yield row, *best
 
 
 def blocks(benchmark: DataFrame, budget: float = BUDGET):

@@ -117,3 +117,17 @@ def test_drop_keeps_clean_rows_as_they_are(spark, make_docs, rows, items, odd_ro
     assert find_passages(make_docs([(1, None), (None, items[1][1])]), odd).collect()[0]["item_id"] == 1
     assert find_passages(make_docs(rows), bench(spark, items).limit(0)).collect() == []
     assert drop_contaminated(make_docs([]), odd).collect() == []
+
+
+def test_ten_percent_of_edits_are_found(spark, make_docs, items):
+    """The edit budget is 10 % at every length from the shortest on."""
+    assert [m for m in range(d.SHORTEST, 400) if d.edits_allowed(m, d.BUDGET) < m // 10] == []
+    rng = random.Random(21)
+    items = [*items, (50, "ten short words that make up forty-nine bytes only")]
+    rows = []
+    for i in range(60):
+        text = rng.choice(items)[1]
+        rows.append((i, f"{prose(rng, 20)} {mutate(rng, text, int(len(text) * rng.choice([0, 0.03, 0.06, 0.09, 0.12])))} {prose(rng, 20)}"))
+    want = brute(rows, items)
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in find_passages(make_docs(rows), bench(spark, items)).collect()} == want
+    assert sum(edits > 0.08 * min(len(plain(dict(items)[j])), d.SEGMENT) for (_, j), edits in want.items()) > 5
