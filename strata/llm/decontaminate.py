@@ -2,8 +2,9 @@
 
 Texts and items are normalised alike: A-Z lower-cased, every run of ASCII characters that are
 neither letters nor digits made one space. An item is looked for whole where it has at most
-``SEGMENT`` normalised bytes, else in overlapping segments of that many, so that a long part
-of an item is found too. A segment of m bytes is held to stand in a text where some region is
+``SEGMENT`` normalised bytes, else in segments of that many every ``STRIDE`` bytes, so that any
+copied run of ``SEGMENT`` + ``STRIDE`` - 1 bytes contains one; and in longer ones (whole up to
+``LONG`` bytes, then every ``LONG_STRIDE``), which allow for edits that crowd in one place. A segment of m bytes is held to stand in a text where some region is
 within k = floor(``budget`` * m) byte edits of it. Such a region keeps at least
 m + 1 - q (k + 1) of the segment's q-grams, all on diagonals at most k apart. Grams are
 compared as 64-bit words, so exactly.
@@ -21,8 +22,9 @@ The benchmark is the stated query set: it is read in blocks of at most ``BLOCK_B
 (each checked), and every text is run against every block, so a block is what a task holds,
 whatever the benchmark's size. No text, position or hit is capped.
 
-Defined cases: null and empty texts hold no passage; null items and those of fewer than
-``SHORTEST`` normalised bytes are too short to tell from chance and are not looked for; rows
+Defined cases: null and empty texts hold no passage; items of
+fewer than ``SHORTEST`` normalised bytes are looked for without edits; null ones and those of
+fewer than ``EXACT``, hardly three words, are too short to tell from chance and are left out; rows
 with equal or null ids are judged one by one; equal items are each reported; an empty
 benchmark or table gives no hit. ``find_passages`` reads ``doc_id`` and ``text`` only;
 ``drop_contaminated`` carries all columns along unchanged.
@@ -42,8 +44,9 @@ from strata.session import read_table
 
 Q = 8
 BUDGET = 0.1
-SEGMENT, STRIDE = 200, 100
-SHORTEST = 40
+SEGMENT, STRIDE = 100, 25
+LONG, LONG_STRIDE = 200, 100
+SHORTEST, EXACT = 40, 16
 BLOCK_BYTES = 8 << 20
 _TABLE_BITS = 22
 _CHUNK = 1 << 20
@@ -77,8 +80,8 @@ def _cell(words: np.ndarray) -> np.ndarray:
 
 def edits_allowed(m: int, budget: float) -> int:
     """Byte edits for a segment of m bytes: its budget, or fewer where the lemma would ask for
-    no shared gram (at no length from ``SHORTEST`` on with the budget as set)."""
-    return max(0, min(int(budget * m), m // Q - 1))
+    no shared gram (at no length with the budget as set). Below ``SHORTEST`` bytes, none."""
+    return max(0, min(int(budget * m), m // Q - 1)) if m >= SHORTEST else 0
 
 
 def least_edits(pattern: bytes, region: bytes) -> int:
@@ -142,7 +145,7 @@ def banded_distance(pattern: np.ndarray, region: np.ndarray, low: int, high: int
 
 def grids() -> tuple[tuple[int, int], ...]:
     """(bytes, stride) of the segments that are looked for."""
-    return ((SEGMENT, STRIDE),)
+    return (SEGMENT, STRIDE), (LONG, LONG_STRIDE)
 
 
 @dataclass
@@ -171,7 +174,7 @@ class Block:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             data = normalise(raw, np.array([0, len(raw)]))[0]
             data = np.frombuffer(data.tobytes().strip(), np.uint8)
-            if len(data) >= SHORTEST:
+            if len(data) >= EXACT:
                 ids.append(item_id)
                 texts.append(data)
         source, start, segments, parts = [], [], [], []
@@ -252,7 +255,7 @@ class Block:
         return tuple(np.concatenate(x) for x in zip(*out)) if out else none
 
     def candidates(self, data: np.ndarray, offsets: np.ndarray):
-        """(row, segment, lowest diagonal) of every band that meets its segment's bound."""
+        """(row, segment, lowest diagonal, highest) of every run of bands that meet their segment's bound."""
         row, at, item, place = self.matches(data, offsets)
         found = []
         for begin, keys, size in self.parts:
@@ -261,32 +264,33 @@ class Block:
             segment = begin + np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
             diagonal = np.repeat(at - place, n) + self.start[segment]
             band = np.floor_divide(diagonal, self.edits[segment] + 1)  # bands cover halves (b, b + 1): overlapping by one half
-            found += [np.stack([np.repeat(row, n), segment, b], 1) for b in (band, band - 1)]
-        keys = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+            found += [np.stack([np.repeat(row, n), segment, b, np.repeat(place, n)], 1) for b in (band, band - 1)]
+        keys = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
         if not len(keys):
             return
-        order = np.lexsort(keys.T[::-1])
-        keys = keys[order]
+        # The grams a region keeps stand at different places of the segment: each place counts once.
+        keys = keys[np.lexsort(keys.T[::-1])]
+        keys = keys[np.append(True, (keys[1:] != keys[:-1]).any(axis=1)), :3]
         new = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
         counts = np.diff(np.append(new, len(keys)))
-        for r, s, b in keys[new[counts >= self.bound[keys[new, 1]]]].tolist():
-            yield r, s, b * (int(self.edits[s]) + 1)
+        bands = keys[new[counts >= self.bound[keys[new, 1]]]]
+        begin = np.flatnonzero(np.append(True, (bands[1:] != bands[:-1] + [0, 0, 1]).any(axis=1))[:len(bands)])
+        for (r, s, b), last in zip(bands[begin].tolist(), bands[np.append(begin[1:], len(bands)) - 1, 2].tolist() if len(bands) else ()):
+            yield r, s, b * (int(self.edits[s]) + 1), (last + 2) * (int(self.edits[s]) + 1)
 
     def hits(self, data: np.ndarray, offsets: np.ndarray):
         """(row, segment, edits, start, end) of the best region of each row and item, in normalised bytes of the row."""
         near: dict[tuple[int, int], list[tuple]] = {}
-        for row, s, low in self.candidates(data, offsets):
+        for row, s, low, high in self.candidates(data, offsets):
             pattern, k = self.segments[s], int(self.edits[s])
-            high = low + 2 * (k + 1)
             a, z = max(0, low - k), min(int(offsets[row + 1] - offsets[row]), high + len(pattern) + k)
             region = data[offsets[row] + a:offsets[row] + z]
-            exact = region.tobytes().find(pattern.tobytes())
-            edits = 0 if exact >= 0 else least_edits(pattern.tobytes(), region.tobytes())
-            if edits <= k:
-                near.setdefault((row, int(self.source[s])), []).append((edits, s, low, high, a, region, exact))
+            near.setdefault((row, int(self.source[s])), []).append((s, low, high, a, region, region.tobytes().find(pattern.tobytes())))
         for (row, _), regions in near.items():
+            exact = [(0, *r) for r in regions if r[-1] >= 0]
+            measured = exact or [(least_edits(self.segments[r[0]].tobytes(), r[4].tobytes()), *r) for r in regions]
             best = None
-            for least, s, low, high, a, region, exact in sorted(regions, key=lambda r: r[:3]):
+            for least, s, low, high, a, region, exact in sorted(measured, key=lambda r: r[:3]):
                 if best and best[1] <= least:
                     break
                 pattern, k = self.segments[s], int(self.edits[s])

@@ -125,9 +125,49 @@ def test_ten_percent_of_edits_are_found(spark, make_docs, items):
     rng = random.Random(21)
     items = [*items, (50, "ten short words that make up forty-nine bytes only")]
     rows = []
-    for i in range(60):
+    for i in range(120):
         text = rng.choice(items)[1]
         rows.append((i, f"{prose(rng, 20)} {mutate(rng, text, int(len(text) * rng.choice([0, 0.03, 0.06, 0.09, 0.12])))} {prose(rng, 20)}"))
     want = brute(rows, items)
     assert {(r["doc_id"], r["item_id"]): r["edits"] for r in find_passages(make_docs(rows), bench(spark, items)).collect()} == want
     assert sum(edits > 0.08 * min(len(plain(dict(items)[j])), d.SEGMENT) for (_, j), edits in want.items()) > 5
+
+
+def test_copied_parts_of_items_are_found(spark, make_docs):
+    """Every run of SEGMENT + STRIDE - 1 bytes of an item, edited or not, and nothing else."""
+    rng = random.Random(31)
+    items = [(i, prose(rng, n)) for i, n in enumerate([24, 26, 28, 30, 60, 90])]
+    rows = [(0, prose(rng, 80))]
+    for i, text in items:
+        p = plain(text).decode()
+        run = d.SEGMENT + d.STRIDE - 1
+        for at in rng.sample(range(len(p) - run + 1), 6):
+            rows += [(100 + i, f"{prose(rng, 12)} {p[at:at + run]} {prose(rng, 12)}")]
+        rows += [(200 + i, f"{prose(rng, 12)} {p[:150]}"), (300 + i, f"{prose(rng, 12)} {mutate(rng, p[:150], 9)} {prose(rng, 5)}")]
+    got = find_passages(make_docs(rows), bench(spark, items)).collect()
+    for i, _ in items:
+        assert sum((r["doc_id"], r["item_id"], r["edits"]) == (100 + i, i, 0) for r in got) == 6
+    assert {(200 + i, i) for i, _ in items} | {(300 + i, i) for i, _ in items} <= {(r["doc_id"], r["item_id"]) for r in got}
+    # Against the alignment of every part of every item.
+    for doc, text in rows:
+        t = plain(text)
+        for i, item in items:
+            p = plain(item)
+            near = any(distance_within(p[s:s + d.SEGMENT], t) <= 10 for s in range(0, len(p) - d.SEGMENT + 1, d.STRIDE))
+            assert not near or any((r["doc_id"], r["item_id"]) == (doc, i) for r in got)
+    assert not any(r["doc_id"] == 0 for r in got)
+
+
+def test_edits_that_crowd_in_one_place_stay_within_the_whole_item(spark, make_docs):
+    rng = random.Random(32)
+    p = plain(prose(rng, 40)).decode()[:150]
+    crowded = p[:68] + "7" * 14 + p[82:]
+    assert all(distance_within(p[s:s + 100].encode(), crowded.encode()) > 10 for s in (0, 25, 50))
+    got = find_passages(make_docs([(1, f"{prose(rng, 9)} {crowded} {prose(rng, 9)}")]), bench(spark, [(7, p)])).collect()
+    assert [r["item_id"] for r in got] == [7]
+
+
+def test_short_items_are_found_exactly(spark, make_docs):
+    items = [(1, "Rome, in the year 509."), (2, "four score and seven"), (3, "the and of")]
+    rows = [(1, "It began: rome in the year 509 (or so)."), (2, "It began: rome in a year 509."), (3, "Four SCORE and seven years"), (4, "the and of")]
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in find_passages(make_docs(rows), bench(spark, items)).collect()} == {(1, 1, 0), (3, 2, 0)}
