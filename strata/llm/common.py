@@ -40,6 +40,15 @@ def labelled_ids(labels: DataFrame, label: str, keep: Column, per_class: int) ->
     return parts[0].unionByName(parts[1]), totals
 
 
+def labelled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The columns of ``ids``, at most one row per id, with one text of ``docs`` each: the one of
+    smallest hash, null only where the id has no other. Combined per task before the shuffle, so
+    an id that many rows share costs one row per task."""
+    rank = F.struct(F.col("text").isNull(), F.xxhash64("text"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min_by("text", rank).alias("text"), *[F.first(c).alias(c) for c in ids.columns if c != "doc_id"])
+
+
 #: Names of the internal columns that stand beside a caller's own ones.
 ROW_KEY, PLACES = "__strata_row", "__strata_places"
 

@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: Column
         return Model(b"", b"", np.zeros(FEATURES), float(np.log(share / (1 - share))))
     # ids: at most 2 * per_class rows of three numbers, so the broadcast is bounded by a parameter.
     ids = ids.withColumn("seen", F.pmod(F.xxhash64(F.lit("dictionary"), "doc_id"), F.lit(2)) == 0)
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") > 0).join(F.broadcast(ids), "doc_id").select("text", "y", "seen")
+    texts = common.labelled_texts(docs.where(F.octet_length("text") > 0), ids).select("text", "y", "seen")
     sample = common.staged(texts, "quality-sample")
 
     def spread(batches):

@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column |
         share = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1) if totals else 0.0
         return Model(empty, np.zeros(0), float(np.log(share / (1 - share))) if share else -np.inf)
     # ids: at most 2 * per_class rows of two numbers, so the broadcast is bounded by a parameter.
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    texts = common.labelled_texts(docs, ids)
 
     def extract(batches):
         for batch in batches:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import prose
+from strata.llm import quality
 from strata.llm.quality import fit, score
 
 
@@ -50,3 +51,15 @@ def test_odd_rows_and_tables(corpus, make_docs, odd_rows, spark):
     assert {r["score"] for r in score(docs.limit(3), fit(docs, labels.where("false"))).collect()} == {0.5}
     assert all(r["score"] > 0.9 for r in score(docs.limit(3), fit(docs, labels.where("quality = 1"))).collect())
     assert all(0 < r["score"] < 1 for r in score(docs.limit(3), fit(docs, labels.where("doc_id < 6"))).collect())
+
+
+def test_an_id_that_many_rows_share_is_one_labelled_text(corpus, make_docs, monkeypatch):
+    docs, labels, _ = corpus
+    seen, calibrated = [], quality._calibrate
+    monkeypatch.setattr(quality, "_calibrate", lambda x, *rest: seen.append(len(x)) or calibrated(x, *rest))
+    fit(docs, labels)
+    many = docs
+    for k in (3, 4, 5, 6):
+        many = many.unionByName(make_docs([(k, f"copy {i % 40} of the same") for i in range(200)]))
+    fit(many, labels)
+    assert len(seen) == 2 and seen[0] == seen[1]

@@ -78,3 +78,11 @@ def test_odd_rows_and_tables(corpus, make_docs, odd_rows, spark):
     for part, low, high in ((labels.where("false"), 0.0, 0.0), (labels.where("toxic = 1"), 0.9, 1.0), (labels.where("doc_id < 0"), 0.0, 0.0)):
         assert all(low <= r["score"] <= high for r in score(docs.limit(3), fit(docs, part)).collect())
     assert len(score(docs.limit(3), fit(make_docs([]), labels)).collect()) == 3
+
+
+def test_an_id_that_many_rows_share_is_one_labelled_text(corpus, make_docs, monkeypatch):
+    docs, labels, _ = corpus
+    seen, fitted = [], toxicity._fit
+    monkeypatch.setattr(toxicity, "_fit", lambda rows, *rest: seen.append(len(rows)) or fitted(rows, *rest))
+    fit(docs.unionByName(make_docs([(3, f"copy {i % 40} of the same") for i in range(400)])), labels)
+    assert seen == [500]
