@@ -1,7 +1,7 @@
 """Queries of the training-data operators: one per operator over its whole table."""
 from __future__ import annotations
 
-from strata.llm import chunk_dedup, decontaminate, katz, line_dedup, minhash_dedup, packing, quality, simhash, spotsigs, toxicity, url_filter
+from strata.llm import chunk_dedup, conversations, decontaminate, katz, line_dedup, minhash_dedup, packing, quality, simhash, spotsigs, toxicity, url_filter, variants
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -14,6 +14,8 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_chunk_dedup": chunk_dedup.op10_chunk_dedup,
+    "op11_variants": variants.op11_variants,
+    "op12_conversations": conversations.op12_conversations,
     "op13_simhash": simhash.op13_simhash,
 }
 ORACLES: dict[str, str] = {
