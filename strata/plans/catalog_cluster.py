@@ -13,6 +13,7 @@ from ..operators import cluster as C
 from ..operators import evaluate as E
 from ..operators.charts import pca_map
 from ..operators.prepare import fit_pca, prepare
+from ..operators.ward import cut_tree, numbered_points, ward_merges
 from .registry import r, register, rounded, tbl
 from .segment import segment, summary_table
 
@@ -103,11 +104,55 @@ def refined_labels(spark, sf):
     return _checked(spark, df, fit, not_worse=fit.cost <= first.cost)
 
 
-@register("hierarchical_labels", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(4 AS BIGINT) AS n_clusters FROM customer")
+#: Ward by the cheapest pair again and again: the clusters of every step, with their members.
+_WARD_SQL = """
+WITH RECURSIVE p AS (SELECT row_number() OVER (ORDER BY x, y) AS id, pt, x, y FROM
+  (SELECT s_suppkey AS pt, s_acctbal / 1000.0::DOUBLE AS x, s_nationkey::DOUBLE AS y FROM supplier) t),
+w AS (
+  SELECT 0 AS step, id, 1.0::DOUBLE AS n, x, y, [pt] AS members, 0.0::DOUBLE AS cost FROM p
+  UNION ALL
+  SELECT w.step + 1, w.id, CASE WHEN w.id = m.s.a THEN m.s.n ELSE w.n END, CASE WHEN w.id = m.s.a THEN m.s.x ELSE w.x END,
+    CASE WHEN w.id = m.s.a THEN m.s.y ELSE w.y END, CASE WHEN w.id = m.s.a THEN m.s.members ELSE w.members END, m.cost
+  FROM w, (SELECT arg_min({'a': a.id, 'b': b.id, 'n': a.n + b.n, 'x': (a.x * a.n + b.x * b.n) / (a.n + b.n), 'y': (a.y * a.n + b.y * b.n) / (a.n + b.n),
+      'members': list_concat(a.members, b.members)}, a.n * b.n / (a.n + b.n) * ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS s,
+      min(a.n * b.n / (a.n + b.n) * ((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS cost FROM w a JOIN w b ON a.id < b.id) m
+  WHERE w.id <> m.s.b)
+"""
+
+
+def supplier_points(spark, sf):
+    return tbl(spark, sf, "supplier").select("s_suppkey", F.array(F.col("s_acctbal") / 1000.0, F.col("s_nationkey").cast("double")).alias("features"))
+
+
+@register("hierarchical_labels", _WARD_SQL + """, g AS (SELECT id, n, members FROM w WHERE step = (SELECT count(*) - 4 FROM p)),
+ranked AS (SELECT row_number() OVER (ORDER BY n DESC, id) - 1 AS cluster, members FROM g)
+SELECT unnest(members) AS s_suppkey, CAST(cluster AS INTEGER) AS cluster FROM ranked
+""")
 def hierarchical_labels(spark, sf):
-    """M2: every row in one of four Ward groups."""
-    df = prepare(tbl(spark, sf, "customer").select("c_acctbal", "c_nationkey")).df
-    return E.cluster_sizes(C.hierarchical(df, 4)).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_clusters"))
+    """M2: the Ward group of every supplier, cut at four groups."""
+    return C.hierarchical(supplier_points(spark, sf), 4).select("s_suppkey", "cluster")
+
+
+@register("ward_merge_costs", _WARD_SQL + f"""
+SELECT {r("cost")} AS cost FROM (SELECT DISTINCT step, cost FROM w WHERE step > 0) t
+""")
+def ward_merge_costs(spark, sf):
+    """M2: the costs of all merges of the tree over the suppliers."""
+    return rounded(ward_merges(numbered_points(supplier_points(spark, sf), "features")).select("cost"))
+
+
+@register("hierarchical_customers", f"""
+WITH p AS (SELECT c_acctbal / 1000.0::DOUBLE AS x, c_nationkey::DOUBLE AS y FROM customer)
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(4 AS BIGINT) AS n_clusters, {r("var_pop(x) * count(*) + var_pop(y) * count(*)", 3)} AS total_cost FROM p
+""")
+def hierarchical_customers(spark, sf):
+    """M2 over all customers: rows and groups add up, and the costs of all merges to the whole sum of squares."""
+    df = tbl(spark, sf, "customer").select(F.array(F.col("c_acctbal") / 1000.0, F.col("c_nationkey").cast("double")).alias("features"))
+    points = numbered_points(df, "features")
+    merges = ward_merges(points)
+    found = points.join(cut_tree(merges, 4), "id", "left").select("w", F.coalesce("root", "id").alias("root"))
+    groups = found.groupBy("root").agg(F.sum("w").alias("n")).agg(F.sum("n").cast("long").alias("n_rows"), F.count("*").alias("n_clusters"))
+    return rounded(groups.withColumn("total_cost", merges.select(F.sum("cost")).scalar()), 3)
 
 
 @register("bisecting_labels", "SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(4 AS BIGINT) AS n_clusters FROM customer")

@@ -106,12 +106,6 @@ def test_kmeans_labels_cover_rows_and_are_layout_stable(spark):
     assert sizes == [20, 30, 40]
 
 
-def test_ward_exact_matches_brute_force():
-    pts = np.array([[0.0], [0.1], [0.3], [5.0], [5.2], [9.0]])
-    grp = C.ward_merge(pts, np.ones(len(pts)), 3)
-    assert grp[0] == grp[1] == grp[2] and grp[3] == grp[4] and len({grp[0], grp[3], grp[5]}) == 3
-
-
 def test_hierarchical_on_spark(spark):
     rows = [([float(x), 0.0],) for x in (0, 0.1, 0.2, 5, 5.1, 9)]
     df = spark.createDataFrame(rows, "features array<double>")
