@@ -39,6 +39,7 @@ NEAR_ZERO_CV = 0.01
 MIN_ROWS_FOR_VARIANCE = 4
 MAX_CATEGORICAL_CARDINALITY = 25
 DATE_MIN_VALUES = 3
+DATE_SHARE = 0.95  # of a text column's values that its one date format must parse
 
 # Preparation.
 IMPUTATION_NAMES = {"mode": "most_frequent", "most_frequent": "most_frequent", "mean": "mean", "median": "median"}

@@ -115,32 +115,108 @@ def davies_bouldin(df: DataFrame, features: str = "features", label: str = "clus
 
 # ---------------------------------------------------------------- silhouette
 
-BLOCK_BYTES = 8 << 20  # features of one block of points: what a task holds twice
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 4096  # features and points of one block: a task holds two
 
 
-def _block_sums(k: int):
-    """Function of one pair of blocks: per point of the first, distance sums to each cluster of the second."""
+def _distances(t: np.ndarray, r: np.ndarray) -> np.ndarray:
+    gram = (t * t).sum(axis=1)[:, None] + (r * r).sum(axis=1)[None, :] - 2.0 * (t @ r.T)
+    return np.sqrt(np.maximum(gram, 0.0))
+
+
+def _pair_sums(offsets: list[int], width: int):
+    """Function of one pair of blocks: per point of either, its distance sums to every cluster of the other.
+
+    The clusters of all label columns stand side by side (``offsets``), so each distance is
+    taken once whatever the number of columns. A block paired with itself counts once.
+    """
+    def members(labels: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(labels), width))
+        for m, offset in enumerate(offsets):
+            there = np.flatnonzero(labels[:, m] >= 0)
+            out[there, offset + labels[there, m]] = weight[there]
+        return out
+
     def sums(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        of, x = table.column("of").to_numpy(), np.stack(table.column("x").to_numpy())
-        target, refs = np.flatnonzero(of), np.flatnonzero(~of)
-        label, weight = table.column("li").to_numpy()[refs], table.column("w").to_numpy()[refs]
-        member = np.zeros((len(refs), k))
-        member[np.arange(len(refs)), label] = weight
-        r = x[refs]
-        rr = (r * r).sum(axis=1)
-        out = np.zeros((len(target), k))
-        step = max(1, 4_000_000 // max(1, len(refs)))
-        for a in range(0, len(target), step):
-            t = x[target[a:a + step]]
-            gram = (t * t).sum(axis=1)[:, None] + rr[None, :] - 2.0 * (t @ r.T)
-            out[a:a + step] = np.sqrt(np.maximum(gram, 0.0)) @ member
-        columns = [table.column(c).take(pa.array(target)) for c in ("pid", "li", "w")]
-        return pa.table([*columns, pa.array(list(out), pa.list_(pa.float64()))], names=["pid", "li", "w", "sums"])
+        block, first, second = (table.column(c).to_numpy() for c in ("b", "i", "j"))
+        x, labels, weight = np.stack(table.column("x").to_numpy()), np.stack(table.column("li").to_numpy()), table.column("w").to_numpy()
+        member = members(labels, weight)
+        left, right = np.flatnonzero(block == first[0]), np.flatnonzero(block == second[0])
+        own = first[0] == second[0]
+        out = np.zeros((len(x), width))
+        step = max(1, 2_000_000 // max(1, len(right)))
+        for a in range(0, len(left), step):
+            part = left[a:a + step]
+            d = _distances(x[part], x[right])
+            if own:
+                d[np.arange(len(part)), np.arange(a, a + len(part))] = 0.0
+            out[part] += d @ member[right]
+            if not own:
+                out[right] += d.T @ member[part]
+        return pa.table([table.column("pid"), pa.array(list(out), pa.list_(pa.float64()))], names=["pid", "sums"])
 
     return sums
 
 
+def silhouettes(df: DataFrame, labels: Sequence[str], features: str = "features", weight: str | None = None,
+                block_bytes: int = BLOCK_BYTES) -> dict[str, float | None]:
+    """E1 of several label columns in one pass over the distances: {label column: mean silhouette}.
+
+    Points are dealt to blocks by a hash. Each unordered pair of blocks is one group of an Arrow
+    function, which takes the distances once and adds them up for the clusters of all label
+    columns; it returns one row per point, never one per pair, and Spark adds a point's rows. The
+    work is quadratic in the rows and hardly grows with the columns; the driver sees the cluster
+    sizes and one mean per column.
+
+    A column's score is None for fewer than 2 clusters or more clusters than n − 1; a point alone in its
+    cluster or with all distances 0 scores 0; label −1 leaves a point out. ``weight`` names a
+    multiplicity column: the result equals the silhouette over the expanded rows.
+    """
+    names = list(labels)
+    raw = as_array(df, features).select(q(features).alias("x"), F.array(*[q(c).cast("int") for c in names]).alias("l"),
+                                        (q(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    found = raw.select("w", F.posexplode("l").alias("m", "c")).where(F.col("c") != NOISE).groupBy("m", "c").agg(F.sum("w").alias("n"))
+    sizes: list[dict[int, float]] = [{} for _ in names]
+    for row in found.orderBy("m", "c").collect():  # one row per cluster
+        sizes[row["m"]][row["c"]] = float(row["n"])
+    scored = [m for m, of in enumerate(sizes) if 2 <= len(of) <= sum(of.values()) - 1]
+    out: dict[str, float | None] = dict.fromkeys(names)
+    if not scored:
+        return out
+    offsets = [sum(len(sizes[m]) for m in scored[:i]) for i in range(len(scored))]
+    width = sum(len(sizes[m]) for m in scored)
+    place = [F.create_map(*[x for i, c in enumerate(sizes[m]) for x in (F.lit(c), F.lit(i))])[F.col("l")[m]] for m in scored]
+    index = F.array(*[F.coalesce(p, F.lit(NOISE)) for p in place])
+    # Written once: a point's id must be the same in all its pairs of blocks.
+    fixed = staged(raw.select(F.monotonically_increasing_id().alias("pid"), index.alias("li"), "x", "w"), "points")
+    rows, dims = fixed.agg(F.count("*"), F.max(F.size("x"))).first()
+    blocks = max(1, -(-rows * 8 * max(1, dims) // block_bytes), -(-rows // BLOCK_ROWS))
+    dealt = (fixed.withColumn("b", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+             .select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "pid", "li", "x", "w"))
+    sums = dealt.groupBy("i", "j").applyInArrow(_pair_sums(offsets, width), "pid long, sums array<double>")
+    added = sums.groupBy("pid").agg(F.array(*[F.sum(F.col("sums")[c]) for c in range(width)]).alias("sums")).join(fixed.select("pid", "li", "w"), "pid")
+
+    def score(i: int):
+        size = F.array(*[F.lit(n) for n in sizes[scored[i]].values()])
+        mine, li = F.slice("sums", offsets[i] + 1, len(sizes[scored[i]])), F.col("li")[i]
+        own = size[li]
+        inner = mine[li] / (own - 1)
+        means = F.transform(mine, lambda s, c: F.when(c != li, s / F.element_at(size, c + 1)))
+        outer = F.array_min(F.filter(means, lambda m: m.isNotNull()))
+        widest = F.greatest(inner, outer)
+        return F.when((own <= 1) | (widest == 0), 0.0).otherwise((outer - inner) / widest)
+
+    there = [F.col("li")[i] != NOISE for i in range(len(scored))]
+    means = added.agg(*[F.sum(F.when(there[i], score(i) * F.col("w"))) / F.sum(F.when(there[i], F.col("w"))) for i in range(len(scored))]).first()
+    return out | {names[m]: float(v) for m, v in zip(scored, means) if v is not None}
+
+
+def silhouette(df: DataFrame, features: str = "features", label: str = "cluster", weight: str | None = None,
+               block_bytes: int = BLOCK_BYTES) -> float | None:
+    """Mean Euclidean silhouette over all rows (NOT the squared-distance variant of Spark ML); see ``silhouettes``."""
+    return silhouettes(df, [label], features, weight, block_bytes)[label]
+
+
 def _labelled_points(df: DataFrame, features: str, label: str, weight: str | None) -> tuple[DataFrame, list[int], list[float]]:
     """(l, x, w) of the rows that are not noise, the labels in order, and their weights."""
     points = as_array(df, features).where(q(label) != NOISE).select(
@@ -150,45 +226,6 @@ def _labelled_points(df: DataFrame, features: str, label: str, weight: str | Non
     return points, labels, [sizes[x] for x in labels]
 
 
-def silhouette(df: DataFrame, features: str = "features", label: str = "cluster", weight: str | None = None,
-               block_bytes: int = BLOCK_BYTES) -> float | None:
-    """Mean Euclidean silhouette over all rows (NOT the squared-distance variant of Spark ML).
-
-    Points are dealt to blocks of about ``block_bytes`` of features by a hash. Each ordered pair
-    of blocks is one group of an Arrow function, which returns per point its distance sums to
-    every cluster of the other block (one output row per point, never one per pair); the
-    sums of a point's blocks are added by Spark. The work is quadratic in the rows, the driver
-    sees only the cluster sizes and the mean.
-
-    None for fewer than 2 clusters or more clusters than n − 1; 0 for a point alone in its
-    cluster or with all distances 0. ``weight`` names a multiplicity column: the result equals
-    the silhouette over the expanded rows.
-    """
-    points, labels, counts = _labelled_points(df, features, label, weight)
-    n, k = sum(counts), len(labels)
-    if k < 2 or k > n - 1:
-        return None
-    index = F.create_map(*[x for i, one in enumerate(labels) for x in (F.lit(one), F.lit(i))])
-    # Written once: a point's id must be the same in all its pairs of blocks.
-    fixed = staged(points.select(F.monotonically_increasing_id().alias("pid"), index[F.col("l")].alias("li"), "x", "w"), "points")
-    rows, width = fixed.agg(F.count("*"), F.max(F.size("x"))).first()
-    blocks = max(1, -(-rows * 8 * max(1, width) // block_bytes))
-    dealt = fixed.withColumn("b", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    both = dealt.select(F.col("b").alias("i"), F.col("o").alias("j"), F.lit(True).alias("of"), "pid", "li", "x", "w").unionByName(
-        dealt.select(F.col("o").alias("i"), F.col("b").alias("j"), F.lit(False).alias("of"), "pid", "li", "x", "w"))
-    sums = both.groupBy("i", "j").applyInArrow(_block_sums(k), "pid long, li int, w double, sums array<double>")
-    added = sums.groupBy("pid", "li", "w").agg(F.array(*[F.sum(F.col("sums")[c]) for c in range(k)]).alias("sums"))
-    size = F.array(*[F.lit(c) for c in counts])
-    own = size[F.col("li")]
-    inner = F.col("sums")[F.col("li")] / (own - 1)
-    means = F.transform("sums", lambda s, c: F.when(c != F.col("li"), s / F.element_at(size, c + 1)))
-    outer = F.array_min(F.filter(means, lambda m: m.isNotNull()))
-    widest = F.greatest(inner, outer)
-    score = F.when((own <= 1) | (widest == 0), 0.0).otherwise((outer - inner) / widest)
-    value = added.agg(F.sum(score * F.col("w")) / F.sum("w")).first()[0]
-    return None if value is None else float(value)
-
-
 def centroid_silhouette(df: DataFrame, features: str = "features", label: str = "cluster", weight: str | None = None) -> float | None:
     """Simplified silhouette over all rows, by distances to the cluster centres: linear work.
 

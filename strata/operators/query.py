@@ -23,7 +23,7 @@ from ..functions.predicates import Filter, apply_filters, as_filters
 from ..functions.rounding import null_if_not_finite, round_half_even
 from ..functions.types import dtype_of, is_numeric, number, numeric_columns, present, q, quoted
 from .charts import histogram
-from .quantiles import exact_quantiles, group_key
+from .quantiles import exact_quantiles
 from .stats import APPROX_ACCURACY, distinct_counts, is_missing, modes, quartile_map, stack_rows
 
 AGGS = ("mean", "median", "sum", "min", "max", "count")
@@ -163,18 +163,19 @@ def groupby_agg(df: DataFrame, keys: Sequence[str], targets: Sequence[str], agg:
     make: dict[str, Callable[[Column], Column]] = {
         "mean": F.avg, "sum": lambda x: F.coalesce(F.sum(x), F.lit(0)), "min": F.min, "max": F.max, "count": F.count,
         "median": lambda x: F.percentile_approx(x.cast("double"), 0.5, APPROX_ACCURACY)}
-    src = df.select(*[present(df, k).alias(k) for k in keys], *[present(df, t).alias(f"__t{i}") for i, t in enumerate(tg)])
-    key = group_key(keys).alias("__k")
+    names = [f"__k{i}" for i in range(len(keys))]
+    src = df.select(*[present(df, k).alias(n) for k, n in zip(keys, names)], *[present(df, t).alias(f"__t{i}") for i, t in enumerate(tg)])
     if agg == "median" and not approx:
-        groups = src.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
-        wide = exact_quantiles(src, [f"__t{i}" for i in range(len(tg))], (0.5,), keys).groupBy(key).agg(
-            *[F.max(F.when(F.col("column") == f"__t{i}", F.col("q")[0])).alias(f"__v{i}") for i in range(len(tg))])
-        out = groups.join(wide, "__k", "left")
+        # groups without any value have a NULL median: they join in as rows of one union and grouping
+        found = exact_quantiles(src, [f"__t{i}" for i in range(len(tg))], (0.5,), names).select(
+            *names, *[F.when(F.col("column") == f"__t{i}", F.col("q")[0]).alias(f"__v{i}") for i in range(len(tg))])
+        groups = src.select(*names).distinct().select(*names, *[F.lit(None).cast("double").alias(f"__v{i}") for i in range(len(tg))])
+        out = groups.unionByName(found).groupBy(*names).agg(*[F.max(f"__v{i}").alias(f"__v{i}") for i in range(len(tg))])
     else:
-        out = src.groupBy(key).agg(*[make[agg](F.col(f"__t{i}")).alias(f"__v{i}") for i in range(len(tg))])
+        out = src.groupBy(*names).agg(*[make[agg](F.col(f"__t{i}")).alias(f"__v{i}") for i in range(len(tg))])
     rounds = len(tg) > 1 and agg != "count"
     values = [(round_half_even(F.col(f"__v{i}"), 3) if rounds and t not in text else F.col(f"__v{i}")).alias(t) for i, t in enumerate(tg)]
-    return out.select(*[F.col("__k")[f"k{i}"].alias(k) for i, k in enumerate(keys)], *values)
+    return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *values)
 
 
 def _correlations(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, Callable[[int, int], Column]]:

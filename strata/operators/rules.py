@@ -1,15 +1,21 @@
 """Data-driven column pruning (C1–C8) and column selection.
 
 Rules run once, in a fixed order where the first hit wins: high missing → near-zero
-variance → date → identifier → free text → high-cardinality categorical. Every statistic,
-date detection over all values included, comes from one aggregation pass; distinct values
-are counted in one frequency table for text and whole-number columns only. The driver only
-loops over one row per column.
+variance → date → identifier → free text → high-cardinality categorical.
+
+1. One scan gives every column's statistics, a histogram of the shapes of dates among its texts,
+   and a sketch of its distinct values.
+2. A text column whose shapes name one date format often enough is parsed with that format alone.
+3. Distinct values are counted exactly only where a rule still depends on them and the sketch is
+   within ``SKETCH_MARGIN`` of the rule's limit (six times its standard error): all values
+   differ, over half differ, more than 25 differ.
+
+The driver only loops over one row per column.
 """
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,13 +24,17 @@ from pyspark.sql import types as T
 
 from ..functions import constants as K
 from ..functions.types import dtype_of, is_numeric, is_string, is_temporal, q
-from .stats import column_stats
-
-# Formats tried when reading text as a date (ISO first).
-DATE_FORMATS = (
-    "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd",
-    "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy-MM-dd HH:mm",
-)
+from .stats import column_stats, distinct_counts
+
+_Y, _M, _D, _HM, _S = r"\d{4}", "(0[1-9]|1[0-2])", "(0[1-9]|[12][0-9]|3[01])", "([01][0-9]|2[0-3]):[0-5][0-9]", ":[0-5][0-9]"
+#: Formats that a text column may have (the first of equally frequent ones), and the shape of their texts.
+DATE_FORMATS = {
+    "yyyy-MM-dd": f"{_Y}-{_M}-{_D}", "yyyy-MM-dd HH:mm:ss": f"{_Y}-{_M}-{_D} {_HM}{_S}", "yyyy-MM-dd'T'HH:mm:ss": f"{_Y}-{_M}-{_D}T{_HM}{_S}",
+    "yyyy/MM/dd": f"{_Y}/{_M}/{_D}", "dd/MM/yyyy": f"{_D}/{_M}/{_Y}", "MM/dd/yyyy": f"{_M}/{_D}/{_Y}", "dd-MM-yyyy": f"{_D}-{_M}-{_Y}",
+    "yyyy-MM-dd HH:mm": f"{_Y}-{_M}-{_D} {_HM}",
+}
+LONGEST_DATE = 40  # characters of a text that may be a date, blanks around it included
+SKETCH_LG, SKETCH_MARGIN = 12, 6 * 1.04 / 2 ** 6
 
 ID_NAME = re.compile(K.ID_NAME_REGEX, re.IGNORECASE)
 
@@ -38,27 +48,44 @@ REASONS = {
 }
 
 
-# Cheap test before any parse: text of some other shape is in none of the formats.
-DATE_SHAPE = r"^\s*\d{1,4}[-/]\d{1,2}[-/]\d{1,4}"
+def shape_counts(text: Column) -> dict[str, Column]:
+    """Aggregates: how many texts have the shape of each format."""
+    short = F.when(F.length(text) <= LONGEST_DATE, F.trim(text))
+    return {f"shape{i}": F.count_if(short.rlike(f"^{shape}$")) for i, shape in enumerate(DATE_FORMATS.values())}
 
 
-def parse_timestamp(col: Column) -> Column:
-    """First format that parses wins; NULL when none does."""
-    s = F.trim(col.cast("string"))
-    return F.when(s.rlike(DATE_SHAPE), F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS]))
+def chosen_format(counts: Sequence[int], present: int) -> str | None:
+    """The most frequent format (ties: the first), if enough of the values have its shape."""
+    best = max(range(len(counts)), key=lambda i: (counts[i], -i))
+    enough = present >= K.DATE_MIN_VALUES and counts[best] >= max(K.DATE_MIN_VALUES, K.DATE_SHARE * present)
+    return list(DATE_FORMATS)[best] if enough else None
 
 
-def year_of(df: DataFrame, name: str) -> Column:
-    """C4: year as DOUBLE; unparseable → NULL."""
-    return F.year(q(name) if is_temporal(dtype_of(df, name)) else parse_timestamp(q(name))).cast("double")
+def date_formats(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """The one date format of each text column that has one (one scan)."""
+    texts = [c for c in columns if is_string(dtype_of(df, c))]
+    if not texts:
+        return {}
+    row = df.agg(*[F.count(q(c)).alias(f"n__{i}") for i, c in enumerate(texts)],
+                 *[n.alias(f"{name}__{i}") for i, c in enumerate(texts) for name, n in shape_counts(q(c)).items()]).first()
+    found = {c: chosen_format([row[f"shape{k}__{i}"] for k in range(len(DATE_FORMATS))], row[f"n__{i}"]) for i, c in enumerate(texts)}
+    return {c: fmt for c, fmt in found.items() if fmt}
 
 
-#: C3 over all values of a text column: how many parse, and the first and last day (epoch days).
-DATE_AGGREGATES = {
-    "n_dates": lambda x: F.count(parse_timestamp(x)),
-    "first_day": lambda x: F.min(F.unix_date(F.to_date(parse_timestamp(x)))).cast("long"),
-    "last_day": lambda x: F.max(F.unix_date(F.to_date(parse_timestamp(x)))).cast("long"),
-}
+def parse_timestamp(col: Column, fmt: str) -> Column:
+    """The text as a timestamp in one format; NULL where it has another."""
+    return F.try_to_timestamp(F.trim(col), F.lit(fmt))
+
+
+def year_of(df: DataFrame, name: str, fmt: str | None = None) -> Column:
+    """C4: year as DOUBLE; a text that is not in the column's format gives NULL.
+
+    ``fmt`` is the format of a text column; where it is not given the column's values are looked at.
+    """
+    if is_temporal(dtype_of(df, name)):
+        return F.year(q(name)).cast("double")
+    fmt = fmt or date_formats(df, [name]).get(name)
+    return F.year(parse_timestamp(q(name), fmt)).cast("double") if fmt else F.lit(None).cast("double")
 
 
 @dataclass
@@ -66,6 +93,7 @@ class RuleReport:
     kept: list[str]
     dropped: list[tuple[str, str]]
     datetime_extracted: list[tuple[str, str]]
+    date_formats: dict[str, str] = field(default_factory=dict)
 
     def to_df(self, spark) -> DataFrame:
         rows = [(c, "drop", REASONS[r], None) for c, r in self.dropped]
@@ -73,74 +101,128 @@ class RuleReport:
         return spark.createDataFrame(rows, "column string, action string, reason string, new_column string")
 
 
+def _kind(dt: T.DataType) -> str:
+    if is_numeric(dt):
+        return "integer" if isinstance(dt, T.IntegralType) else "numeric"
+    return "string" if is_string(dt) else "temporal" if is_temporal(dt) else "other"
+
+
+@dataclass
+class _Measured:
+    """What the rules look at in one column; a test that no rule needs is False."""
+
+    kind: str
+    high_missing: bool
+    near_zero: bool
+    text_date: bool = False
+    all_distinct: bool = False
+    over_half: bool = False
+    many: bool = False
+
+
+def _measure(df: DataFrame) -> tuple[dict[str, _Measured], dict[str, float], dict[str, str]]:
+    """Per column the tests of the rules, its mean length, and the date formats."""
+    kinds = {c: _kind(dtype_of(df, c)) for c in df.columns}
+    texts = [c for c in df.columns if kinds[c] == "string"]
+    extra = {**{name: (lambda x, name=name: shape_counts(x)[name]) for name in shape_counts(F.lit(""))},
+             "distinct": lambda x: F.hll_sketch_estimate(F.hll_sketch_agg(x, F.lit(SKETCH_LG)))}
+    stats = {r["column"]: r for r in column_stats(df, with_quantiles=False, distinct=[], extra=extra).collect()}
+
+    def near_zero(r) -> bool:
+        if r["n_rows"] < K.MIN_ROWS_FOR_VARIANCE:
+            return False
+        mean, std = r["mean"], r["std"]
+        spread = None if r["max"] is None else r["max"] - r["min"]
+        small = std is not None and ((mean != 0 and abs(std / mean) < K.NEAR_ZERO_CV) or (spread > 0 and std / spread < K.NEAR_ZERO_CV))
+        return bool(r["constant"] or small)
+
+    out, formats, asked = {}, {}, {}
+    for c, r in stats.items():
+        n, present = r["n_rows"], r["n_rows"] - r["n_missing"]
+        m = out[c] = _Measured(kinds[c], n > 0 and r["n_missing"] / n > K.HIGH_MISSING_SHARE, near_zero(r))
+        if m.high_missing or m.near_zero:
+            continue
+        if c in texts:
+            formats[c] = chosen_format([r[f"shape{i}"] for i in range(len(DATE_FORMATS))], present)
+        if ID_NAME.match(c) or not present:
+            continue
+        if kinds[c] == "integer":
+            if n > 1 and r["n_missing"] == 0 and r["max"] - r["min"] == n - 1:
+                asked[c] = ["all_distinct"]
+        elif c in texts:
+            limits = {"all_distinct": n if r["n_missing"] == 0 else None, "many": K.MAX_CATEGORICAL_CARDINALITY,
+                      "over_half": K.FREE_TEXT_UNIQUE_RATIO * present if r["mean_len"] > K.FREE_TEXT_MEDIUM_LEN else None}
+            for test, limit in limits.items():
+                if limit is None:
+                    continue
+                if test == "all_distinct":
+                    unsure = r["distinct"] >= limit * (1 - SKETCH_MARGIN)
+                else:
+                    unsure = abs(r["distinct"] - limit) <= SKETCH_MARGIN * limit + 1
+                    setattr(m, test, r["distinct"] > limit)
+                if unsure:
+                    asked.setdefault(c, []).append(test)
+    formats = {c: fmt for c, fmt in formats.items() if fmt}
+    if formats:
+        dated = df.select(*[F.unix_date(F.to_date(parse_timestamp(q(c), fmt))).alias(f"d{i}") for i, (c, fmt) in enumerate(formats.items())])
+        row = dated.agg(*[f(f"d{i}") for i in range(len(formats)) for f in (F.count, F.min, F.max)]).first()
+        for i, c in enumerate(list(formats)):
+            n, first, last = row[3 * i:3 * i + 3]
+            present = stats[c]["n_rows"] - stats[c]["n_missing"]
+            out[c].text_date = n >= max(K.DATE_MIN_VALUES, K.DATE_SHARE * present) and first < last
+            if out[c].text_date:
+                asked.pop(c, None)
+            else:
+                del formats[c]
+    if asked:
+        unique = {r["column"]: r["n_unique"] for r in distinct_counts(df, list(asked)).collect()}
+        for c, tests in asked.items():
+            r, n = stats[c], unique.get(c, 0)
+            found = {"all_distinct": n == r["n_rows"], "many": n > K.MAX_CATEGORICAL_CARDINALITY,
+                     "over_half": n > K.FREE_TEXT_UNIQUE_RATIO * (r["n_rows"] - r["n_missing"])}
+            for test in tests:
+                setattr(out[c], test, found[test])
+    return out, {c: r["mean_len"] or 0.0 for c, r in stats.items()}, formats
+
+
+def _reason(name: str, m: _Measured, mean_len: float) -> str | None:
+    """The first rule that a column breaks."""
+    text = m.kind == "string"
+    rules = {
+        "high_missing": m.high_missing, "near_zero_variance": m.near_zero, "date": m.kind == "temporal" or m.text_date,
+        "identifier": bool(ID_NAME.match(name)) or m.all_distinct,
+        "free_text": text and (mean_len > K.FREE_TEXT_MEAN_LEN or (m.over_half and mean_len > K.FREE_TEXT_MEDIUM_LEN)),
+        "high_cardinality": text and m.many}
+    return next((rule for rule, hit in rules.items() if hit), None)
+
+
+def _decided(df: DataFrame, extract_datetime: bool) -> tuple[list[tuple], dict[str, str]]:
+    measured, mean_len, formats = _measure(df)
+    rows = []
+    for c in df.columns:
+        reason = _reason(c, measured[c], mean_len[c])
+        action = "keep" if reason is None else "extract_year" if reason == "date" and extract_datetime else "drop"
+        rows.append((c, action, reason, f"{c}_year" if action == "extract_year" else None))
+    return rows, formats
+
+
 def rule_decisions(df: DataFrame, extract_datetime: bool = True) -> DataFrame:
     """C1–C8 as a DataFrame: (column, action, reason, new_column), one row per input column.
 
-    ``action`` is keep / drop / extract_year; the decision logic is a column expression over
-    the one-row-per-column statistics, so it runs inside Spark.
+    ``action`` is keep / drop / extract_year.
     """
-    cols = df.columns
-    counted = [c for c in cols if is_string(dtype_of(df, c)) or isinstance(dtype_of(df, c), T.IntegralType)]
-    st = column_stats(df, with_quantiles=False, distinct=counted, extra=DATE_AGGREGATES)
-    kinds = {}
-    for c in cols:
-        dt = dtype_of(df, c)
-        kinds[c] = ("integer" if isinstance(dt, T.IntegralType) else "numeric") if is_numeric(dt) else \
-            "string" if is_string(dt) else "temporal" if is_temporal(dt) else "other"
-    kind = F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), F.lit(v))])[F.col("column")]
-    id_names = [c for c in cols if ID_NAME.match(c)]
-    name_is_id = F.col("column").isin(id_names) if id_names else F.lit(False)
-    n = F.col("n_rows")
-    present = n - F.col("n_missing")
-    std, mean = F.col("std"), F.col("mean")
-    rng = F.col("max") - F.col("min")
-    numeric = kind.isin("integer", "numeric")
-    high_missing = (n > 0) & (F.col("n_missing") / n > K.HIGH_MISSING_SHARE)
-    cv_small = (mean != 0) & (F.abs(std / mean) < K.NEAR_ZERO_CV)
-    range_small = (rng > 0) & (std / rng < K.NEAR_ZERO_CV)
-    near_zero = (n >= K.MIN_ROWS_FOR_VARIANCE) & (
-        F.col("constant") | (numeric & (F.coalesce(cv_small, F.lit(False)) | F.coalesce(range_small, F.lit(False)))))
-    text_date = (kind == "string") & (present >= K.DATE_MIN_VALUES) & (F.col("n_dates") == present) & (F.col("first_day") < F.col("last_day"))
-    is_date = (kind == "temporal") | F.coalesce(text_date, F.lit(False))
-    all_distinct = (n > 0) & (F.col("n_unique") == n)
-    consecutive = (kind == "integer") & (n > 1) & (rng == n - 1)
-    identifier = name_is_id | (all_distinct & ((kind == "string") | consecutive))
-    mean_len = F.col("mean_len")
-    free_text = (kind == "string") & (present > 0) & (
-        (mean_len > K.FREE_TEXT_MEAN_LEN) |
-        ((F.col("n_unique") / present > K.FREE_TEXT_UNIQUE_RATIO) & (mean_len > K.FREE_TEXT_MEDIUM_LEN)))
-    high_card = (kind == "string") & (F.col("n_unique") > K.MAX_CATEGORICAL_CARDINALITY)
-
-    def c(x):
-        return F.coalesce(x, F.lit(False))
-
-    reason = (F.when(c(high_missing), "high_missing").when(c(near_zero), "near_zero_variance")
-              .when(c(is_date), "date").when(c(identifier), "identifier").when(c(free_text), "free_text")
-              .when(c(high_card), "high_cardinality"))
-    action = F.when(reason.isNull(), "keep").when((reason == "date") & F.lit(extract_datetime), "extract_year") \
-        .otherwise("drop")
-    return st.select("column", action.alias("action"), reason.alias("reason"),
-                     F.when(action == "extract_year", F.concat(F.col("column"), F.lit("_year"))).alias("new_column"))
-
-
-def apply_rules(df: DataFrame, extract_datetime: bool = True, decisions: DataFrame | None = None
-                ) -> tuple[DataFrame, RuleReport]:
-    """Reduced table + report. One small collect of one row per column."""
-    dec = decisions if decisions is not None else rule_decisions(df, extract_datetime)
-    rows = {r["column"]: r for r in dec.collect()}
-    out_cols, dropped, extracted = [], [], []
-    years = []
-    for c in df.columns:
-        r = rows[c]
-        if r["action"] == "keep":
-            out_cols.append(q(c))
-        elif r["action"] == "extract_year":
-            years.append(year_of(df, c).alias(f"{c}_year"))
-            extracted.append((c, f"{c}_year"))
-        else:
-            dropped.append((c, r["reason"]))
-    reduced = df.select(*out_cols, *years)
-    return reduced, RuleReport([c for c in reduced.columns], dropped, extracted)
+    return df.sparkSession.createDataFrame(_decided(df, extract_datetime)[0], "column string, action string, reason string, new_column string")
+
+
+def apply_rules(df: DataFrame, extract_datetime: bool = True) -> tuple[DataFrame, RuleReport]:
+    """Reduced table + report."""
+    rows, formats = _decided(df, extract_datetime)
+    kept = [c for c, action, _, _ in rows if action == "keep"]
+    extracted = [(c, new) for c, action, _, new in rows if action == "extract_year"]
+    years = [year_of(df, c, formats.get(c)).alias(new) for c, new in extracted]
+    reduced = df.select(*[q(c) for c in kept], *years)
+    dropped = [(c, reason) for c, action, reason, _ in rows if action == "drop"]
+    return reduced, RuleReport(list(reduced.columns), dropped, extracted, formats)
 
 
 def select_columns(df: DataFrame, wanted: Sequence[str] | None) -> DataFrame:

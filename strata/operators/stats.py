@@ -137,5 +137,5 @@ def column_stats(df: DataFrame, columns: Sequence[str] | None = None, approx: bo
             *[field(name, i, "double", is_num) for name in ("mean", "std", "min", "max")],
             at(0).alias("q1"), at(1).alias("median"), at(2).alias("q3"),
             field("skewness", i, "double", is_num), field("mean_len", i, "double", is_text),
-            *[field(name, i, "long", is_text) for name in extra]))
+            *[field(name, i, "long", is_text).cast("long").alias(name) for name in extra]))
     return one.select(F.inline(F.array(*structs)))

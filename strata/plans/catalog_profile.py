@@ -141,9 +141,9 @@ def _rules_sql(table: str, kinds) -> str:
     for c, kind in kinds:
         numeric = kind in ("integer", "numeric")
         x = f"CAST({c} AS DOUBLE)"
-        ts = "coalesce(" + ", ".join(f"try_strptime(trim(v), '{f}')" for f in SQL_DATE_FORMATS) + ")"
-        sample = (f"(SELECT count(*) AS ns, count({ts}) AS np, min(CAST({ts} AS DATE)) AS d0, max(CAST({ts} AS DATE)) AS d1 FROM ("
-                  f"SELECT CAST({c} AS VARCHAR) AS v FROM {table} t WHERE {c} IS NOT NULL))")
+        days = [f"CAST(try_strptime(trim(v), '{f}') AS DATE)" for f in SQL_DATE_FORMATS]
+        sample = ("(SELECT count(*) AS ns, " + ", ".join(f"count({d}) AS c{i}, min({d}) AS a{i}, max({d}) AS z{i}" for i, d in enumerate(days)) +
+                  f" FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {table} t WHERE {c} IS NOT NULL))")
         stats = (f"SELECT count(*) AS n, count(*) - count({c}) AS miss, count(DISTINCT {c}) AS nu, "
                  + (f"avg({x}) AS mean, stddev_samp({x}) AS std, max({x}) - min({x}) AS rng, "
                     if numeric else "NULL::DOUBLE AS mean, NULL::DOUBLE AS std, NULL::DOUBLE AS rng, ")
@@ -151,8 +151,10 @@ def _rules_sql(table: str, kinds) -> str:
                  + f"FROM {table} t")
         near_num = ("(coalesce(mean <> 0 AND abs(std / mean) < 0.01, false) OR "
                     "coalesce(rng > 0 AND std / rng < 0.01, false))") if numeric else "false"
-        text_date = ("(s.ns >= 3 AND s.np = s.ns AND s.d0 < s.d1)"
-                     if kind == "string" else "false")
+        # the most frequent format, ties to the first; it alone is read
+        best = "greatest(" + ", ".join(f"s.c{i}" for i in range(len(days))) + ")"
+        several = "CASE " + " ".join(f"WHEN s.c{i} = {best} THEN s.a{i} < s.z{i}" for i in range(len(days))) + " END"
+        text_date = f"({best} >= 3 AND {best} >= 0.95 * s.ns AND {several})" if kind == "string" else "false"
         is_date = "true" if kind == "temporal" else text_date
         name_id = f"regexp_full_match('{c}', '(?i)^(id|uuid|.*_id|.*_uuid|.*id\\d*)$')"
         consecutive = "(n > 1 AND rng = n - 1)" if kind == "integer" else "false"
@@ -192,6 +194,30 @@ def date_to_year(spark, sf):
                     rules.year_of(m, "day_text").alias("day_text_year"))
 
 
+def _years_of_days(spark, sf, day):
+    """Rows per year of a text column that the rules turn into a year."""
+    o = tbl(spark, sf, "orders")
+    reduced, _ = rules.apply_rules(o.select("o_totalprice", day(o).alias("day")))
+    return reduced.groupBy("day_year").agg(F.count("*").alias("n"))
+
+
+@register("dates_with_gaps", """
+SELECT CAST(CASE WHEN o_orderkey % 50 <> 0 THEN year(o_orderdate) END AS DOUBLE) AS day_year, count(*) AS n FROM orders GROUP BY 1
+""")
+def dates_with_gaps(spark, sf):
+    """ISO days of which one in fifty is unknown: still a date, its year NULL there."""
+    return _years_of_days(spark, sf, lambda o: F.when(F.col("o_orderkey") % 50 == 0, "n/k").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")))
+
+
+@register("dates_day_first", """
+SELECT CAST(CASE WHEN o_orderkey % 40 <> 0 OR day(o_orderdate) <= 12 THEN year(o_orderdate) END AS DOUBLE) AS day_year, count(*) AS n FROM orders GROUP BY 1
+""")
+def dates_day_first(spark, sf):
+    """C4: a day-first column in which one value in forty is month-first: one format reads all, or NULL."""
+    return _years_of_days(spark, sf, lambda o: F.when(F.col("o_orderkey") % 40 == 0, F.date_format("o_orderdate", "MM/dd/yyyy"))
+                          .otherwise(F.date_format("o_orderdate", "dd/MM/yyyy")))
+
+
 @register("rules_reduced_table", f"""
 SELECT (SELECT count(*) FROM customer) AS n_rows, string_agg("column", ',' ORDER BY "column") AS kept
 FROM ({_rules_sql("customer", CUSTOMER_KINDS)}) WHERE action = 'keep'

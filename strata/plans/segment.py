@@ -98,7 +98,7 @@ def segment(df: DataFrame, config: SegmentConfig | None = None) -> SegmentationR
     _, report = apply_rules(selected, cfg.extract_datetime)
     if not report.kept:
         raise ValueError("every column was filtered out; choose other columns")
-    years = [year_of(selected, o).alias(n) for o, n in report.datetime_extracted]
+    years = [year_of(selected, o, report.date_formats.get(o)).alias(n) for o, n in report.datetime_extracted]
     # every original column travels with the row; only the selection feeds the features
     base = df.select("*", *years)
     kept = report.kept

@@ -28,6 +28,43 @@ def test_equal_percentile_for_groups_columns_and_null_keys(spark):
     assert whole == pytest.approx(df.agg(F.percentile("x", list(PROBS))).first()[0], rel=1e-12)
 
 
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_odd_distributions(spark, monkeypatch, few):
+    """Narrow ranges far from zero, heavy tails, infinities, signs: with broadcast bins and with joined ones."""
+    from strata.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", few)
+    rng = np.random.default_rng(8)
+    columns = {"far": 1.7e9 + rng.normal(0, 1e-3, 2001), "heavy": np.exp(rng.normal(0, 40, 2001)) * rng.choice([-1, 1], 2001),
+               "signed": np.r_[-np.inf, np.inf, rng.integers(-3, 4, 1999)], "huge": rng.choice([-1.7e308, 1.7e308, 0.0, 5e-324, -0.0], 2001)}
+    rows = [(int(i % 5) or None, *map(float, v)) for i, v in enumerate(zip(*columns.values()))]
+    df = spark.createDataFrame(rows, "g int, " + ", ".join(f"{c} double" for c in columns)).repartition(7)
+    for keys in ((), ("g",)):
+        want = {}
+        for g in {r[0] for r in rows} if keys else {None}:
+            for i, c in enumerate(columns):
+                want[g, c] = np.sort([r[i + 1] for r in rows if not keys or r[0] == g])
+        for r in exact_quantiles(df, list(columns), (0.0, 0.5, 1.0), list(keys)).collect():
+            v = want.pop((r["g"] if keys else None, r["column"]))
+            middle = (len(v) - 1) / 2
+            low, high = v[int(np.floor(middle))], v[int(np.ceil(middle))]
+            assert r["q"] == [v[0], low if low == high else low + (high - low) * (middle - np.floor(middle)), v[-1]]
+        assert not want
+
+
+def test_whole_columns_are_lazy_and_values_stay(spark):
+    """No job runs while the plan is built, and no exchange carries plain values."""
+    df = spark.range(100_000).select(F.rand(3).alias("x"), F.randn(4).alias("y"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("quantiles-built", "")
+    out = exact_quantiles(df, ["x", "y"], (0.25, 0.5))
+    assert not tracker.getJobIdsForGroup("quantiles-built")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert out.count() == 2
+
+
 def test_one_value_in_most_rows(spark):
     df = spark.range(20_000).select(F.when(F.col("id") % 10 < 6, 0.0).otherwise(F.col("id").cast("double")).alias("x"))
     assert exact_quantiles(df, ["x"], (0.25, 0.5, 0.6, 0.9)).first()["q"] == pytest.approx(

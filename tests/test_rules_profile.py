@@ -81,6 +81,41 @@ def test_dates_are_judged_over_all_values(spark):
 
     day = F.when(F.col("id") < 1000, F.lit("2024-01-05")).otherwise(F.date_format(F.date_add(F.lit("2024-02-01").cast("date"), F.col("id").cast("int") % 9), "yyyy-MM-dd"))
     df = spark.range(1010).select("id", day.alias("often"), F.when(F.col("id") == 3, F.lit("soon")).otherwise(day).alias("spoilt"),
-                                  F.lit("2024-01-05").alias("same"))
+                                  F.when(F.col("id") % 10 == 3, F.lit("soon")).otherwise(day).alias("mixed"), F.lit("2024-01-05").alias("same"))
     got = {r["column"]: r["reason"] for r in rule_decisions(df).collect()}
-    assert got["often"] == "date" and got["spoilt"] is None and got["same"] == "near_zero_variance"
+    assert got["often"] == "date" and got["spoilt"] == "date" and got["mixed"] is None and got["same"] == "near_zero_variance"
+
+
+def test_one_format_per_column(spark):
+    """A stray value never loses a date column, and never brings in a second format."""
+    iso = [(f"{2000 + i % 20}-{1 + i % 12:02d}-{1 + i % 28:02d}", i % 7) for i in range(2000)]
+    df = spark.createDataFrame([*iso, ("n/k", 3)], "d string, v int")
+    reduced, report = rules.apply_rules(df)
+    assert report.datetime_extracted == [("d", "d_year")] and report.date_formats == {"d": "yyyy-MM-dd"}
+    assert reduced.where("d_year IS NULL").count() == 1 and reduced.agg({"d_year": "max"}).first()[0] == 2019.0
+    both = spark.createDataFrame([("03/04/2020",), ("04/25/2021",), ("05/26/2022",), ("13/01/2023",)] + [("01/02/2020",)] * 60, "d string")
+    assert rules.date_formats(both, ["d"]) == {"d": "MM/dd/yyyy"}
+    years = {r["d"]: r["y"] for r in both.select("d", rules.year_of(both, "d").alias("y")).collect()}
+    assert years == {"03/04/2020": 2020.0, "04/25/2021": 2021.0, "05/26/2022": 2022.0, "13/01/2023": None, "01/02/2020": 2020.0}
+    tie = spark.createDataFrame([("01/02/2020",), ("03/04/2021",), ("05/06/2022",)], "d string")
+    assert rules.date_formats(tie, ["d"]) == {"d": "dd/MM/yyyy"}
+    few = spark.createDataFrame([("2020-01-01",), ("2021-01-01",), ("x" * 500,), (None,)], "d string")
+    assert rules.date_formats(few, ["d"]) == {} and few.select(rules.year_of(few, "d")).distinct().collect() == [(None,)]
+
+
+def test_distinct_tests_at_their_limits(spark):
+    """Decisions at, just below and just above each limit are those of exact counts."""
+    from pyspark.sql import functions as F
+
+    n = 4000
+    i = F.col("id")
+    word = lambda x: F.concat(F.lit("w"), x.cast("string"))
+    long = lambda x: F.concat(F.lit("a longer text of "), x.cast("string"))
+    df = spark.range(n).select(
+        word(i % 25).alias("l25"), word(i % 26).alias("l26"), word(i % 24).alias("l24"), word(i).alias("unique"),
+        word(F.greatest(i, F.lit(1))).alias("one_twice"), F.when(i > 0, word(i)).alias("one_missing"),
+        long(i % (n // 2)).alias("half"), long(i % (n // 2 + 1)).alias("over"), i.alias("dense"), F.greatest(i, F.lit(1)).alias("gap"), (i * 2).alias("even"))
+    got = decisions(df)
+    assert {c: r for c, (_, r) in got.items()} == {
+        "l25": None, "l26": "high_cardinality", "l24": None, "unique": "identifier", "one_twice": "high_cardinality", "one_missing": "high_cardinality",
+        "half": "high_cardinality", "over": "free_text", "dense": "identifier", "gap": None, "even": None}
