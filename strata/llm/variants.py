@@ -298,11 +298,17 @@ def neighbours(lexicon: DataFrame, n_words: int) -> DataFrame:
 
 # ---------------------------------------------------------------- forms
 
-def followed(up: DataFrame) -> DataFrame:
+def _sized(df: DataFrame, n_words: int) -> DataFrame:
+    """As many partitions as the words need, where there would be more."""
+    return df.coalesce(max(1, n_words // RANGE_WORDS))
+
+
+def followed(up: DataFrame, n_words: int) -> DataFrame:
     """(rank, to) with ``to`` moved to the last one that can be reached."""
     while True:
         on = up.select(F.col("rank").alias("to"), F.col("to").alias("next"))
-        moved = common.staged(up.join(on, "to", "left").select("rank", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "forms")
+        moved = up.join(on, "to", "left").select("rank", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved"))
+        moved = common.staged(_sized(moved, n_words), "forms")
         up = moved.select("rank", "to")
         if moved.where("moved").isEmpty():
             return up
@@ -317,12 +323,13 @@ def variants(docs: DataFrame) -> DataFrame:
     found = common.staged(words(docs), "words")
     n_words = found.count()
     lexicon = common.staged(numbered(found.select(F.col("word").alias("key"), "n"), n_words), "lexicon")
-    near = common.staged(neighbours(lexicon, n_words), "near-words")
+    near = neighbours(lexicon, n_words)
     best = F.col("best")
     known = (lexicon.select("rank", "key", "n").join(near, "rank", "left")
              .select("rank", F.col("key").alias("word"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),
                      F.when(F.lit(_MOST) - best["best"] >= F.col("n") * 2, best["who"]).alias("form_rank")))
-    roots = followed(known.where(F.col("form_rank").isNotNull()).select("rank", F.col("form_rank").alias("to")))
+    known = common.staged(_sized(known, n_words), "near-words")
+    roots = followed(known.where(F.col("form_rank").isNotNull()).select("rank", F.col("form_rank").alias("to")), n_words)
     rooted = roots.join(_named(lexicon, "to", "root"), "to").select("rank", "root")
     return (known.join(_named(lexicon, "form_rank", "form", F.col("n").alias("form_n")), "form_rank", "left").join(rooted, "rank", "left")
             .select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"))
