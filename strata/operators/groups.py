@@ -1,9 +1,10 @@
 """User-defined groups (H1–H4): compare two filter sets, profile one group."""
 from __future__ import annotations
 
-from typing import Sequence
+from functools import reduce
+from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -94,3 +95,38 @@ def group_statistics(df: DataFrame, filters: Sequence[Filter], exclude: Sequence
     """
     others = [c for c in non_numeric_columns(df) if c not in exclude]
     return group_vs_total(df, _pred(df, filters), numeric_columns(df)[:max_numeric], others[:max_categorical])
+
+
+GROUP_BITS = 62  # groups told apart by one LONG
+
+
+def group_bitmap(df: DataFrame, groups: Mapping[str, Sequence[Filter]]) -> Column:
+    """ARRAY<BIGINT>: bit i of the words is set where a row matches the filters of group i."""
+    bits = [F.when(_pred(df, filters), F.lit(1 << i % GROUP_BITS)).otherwise(F.lit(0)).cast("long") for i, filters in enumerate(groups.values())]
+    words = [bits[a:a + GROUP_BITS] for a in range(0, len(bits), GROUP_BITS)]
+    return F.array(*[reduce(lambda x, y: x.bitwiseOR(y), word) for word in words])
+
+
+def group_overlaps(df: DataFrame, groups: Mapping[str, Sequence[Filter]]) -> DataFrame:
+    """H4: (group_a, group_b, n, share, share_of_a) for every group with itself and every pair that shares rows.
+
+    One scan: rows are counted per bitmap of groups, combined map-side; sizes, shares of the table
+    (%, 1 dp) and overlaps come from those counts. ``n`` of a pair (a, a) is the group's size.
+    """
+    names = list(groups)
+    if not names:
+        raise GroupError("no groups to compare")
+    counted = df.select(group_bitmap(df, groups).alias("bits")).groupBy("bits").agg(F.count("*").alias("n"))
+    total = counted.select(F.sum("n")).scalar()
+    label = lambda i: F.array(*[F.lit(x) for x in names])[i]
+    there = F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)),
+                     lambda i: F.get(F.col("bits"), F.floor(i / GROUP_BITS).cast("int")).bitwiseAND(F.element_at(F.array(*[F.lit(1 << b) for b in range(GROUP_BITS)]), (i % GROUP_BITS + 1).cast("int"))) != 0)
+    pairs = (counted.select("n", there.alias("there")).select("n", "there", F.explode("there").alias("a"))
+             .select("n", "a", F.explode("there").alias("b")).groupBy("a", "b").agg(F.sum("n").alias("n")))
+    every = df.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("a"), F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
+    found = pairs.unionByName(every).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    sizes = found.where(F.col("a") == F.col("b")).select("a", F.col("n").alias("size"))
+    share = lambda x, of: F.when(of > 0, round_half_even(x / of * 100, 1)).otherwise(F.lit(0.0))
+    return (found.join(sizes, "a").withColumn("total", total)
+            .select(label(F.col("a")).alias("group_a"), label(F.col("b")).alias("group_b"), "n", share(F.col("n"), F.col("total")).alias("share"),
+                    share(F.col("n"), F.col("size")).alias("share_of_a")))

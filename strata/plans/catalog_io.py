@@ -139,11 +139,10 @@ def run_store(spark, sf):
     store = RunStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/strata-runs/{uuid.uuid4().hex}")
     segments = E.cluster_sizes(customers_by_segment(spark, sf)).select(
         "cluster", F.concat(F.lit("Segment "), F.col("cluster").cast("string")).alias("label"), F.col("n").alias("size"))
-    total = segments.agg(F.sum("size").alias("n_rows"))
+    n_rows = segments.agg(F.sum("size")).first()[0]
     for i, (run_id, name, at) in enumerate(_RUNS):
-        summary = total.select(F.lit(at).alias("created_at"), F.lit(name).alias("file_name"), "n_rows")
-        store.write("runs", run_id, summary.withColumn("grade", F.lit("B")) if i else summary)
         store.write("segments", run_id, segments.where(F.col("cluster") < 3) if i else segments)
+        store.publish(run_id, ["segments"], created_at=at, file_name=name, n_rows=n_rows, **({"grade": "B"} if i else {}))
     for label in ("draft", "final", None):
         store.edit_segment(_RUNS[0][0], 0, validated=label == "final" or None, **({"label": label} if label else {"barriers": [" a ", "", "b"]}))
     return store
@@ -172,3 +171,29 @@ def curated_segments(spark, sf):
     """The latest edit of each field, in order of the edits, over the stored segments."""
     return run_store(spark, sf).effective_segments(_RUNS[0][0]).select(
         "cluster", "label", "size", "validated", F.when(F.col("barriers").isNotNull(), F.concat_ws(",", "barriers")).alias("barriers"))
+
+
+_GROUPS = {"rich": "c_acctbal > 5000", "building": "lower(c_mktsegment) = 'building'", "low_nation": "c_nationkey < 5", "nobody": "c_acctbal < -1000000"}
+
+
+@register("saved_groups", f"""
+WITH g AS ({" UNION ALL ".join(f"SELECT '{name}' AS name, c_custkey FROM customer WHERE {where}" for name, where in _GROUPS.items())}),
+names AS ({" UNION ALL ".join(f"SELECT '{name}' AS name" for name in _GROUPS)}),
+s AS (SELECT names.name, count(g.c_custkey) AS size FROM names LEFT JOIN g ON g.name = names.name GROUP BY 1),
+p AS (SELECT a.name AS a, b.name AS b, count(*) AS n FROM g a JOIN g b ON a.c_custkey = b.c_custkey GROUP BY 1, 2
+  UNION ALL SELECT name, name, 0 FROM s WHERE size = 0)
+SELECT p.a AS group_a, p.b AS group_b, p.n, {r("round_even(p.n / (SELECT count(*) FROM customer) * 1000.0, 0) / 10.0")} AS share,
+  CASE WHEN s.size > 0 THEN {r("round_even(p.n / s.size * 1000.0, 0) / 10.0")} ELSE 0.0 END AS share_of_a
+FROM p JOIN s ON s.name = p.a
+""")
+def saved_groups(spark, sf):
+    """H4: groups saved with a run, read back: sizes, shares and overlaps of all by one scan of the rows."""
+    from ..operators.groups import group_overlaps
+
+    store, run_id = run_store(spark, sf), _RUNS[0][0]
+    asked = {"rich": [("c_acctbal", "gt", "5000")], "building": [("c_mktsegment", "eq", "Building")], "low_nation": [("c_nationkey", "lt", 5)],
+             "nobody": [("c_acctbal", "lt", -1000000)], "dropped": [("c_nationkey", "eq", 1)]}
+    ids = {store.save_group(run_id, name, [{"column": c, "op": op, "value": v} for c, op, v in filters], 0, 0.0): name for name, filters in asked.items()}
+    store.delete_group(run_id, next(i for i, name in ids.items() if name == "dropped"))
+    found = group_overlaps(tbl(spark, sf, "customer"), {ids[i]: filters for i, filters in store.group_filters(run_id).items()})
+    return rounded(found)
