@@ -9,7 +9,9 @@ from typing import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +31,6 @@ def as_array(df: DataFrame, features: str) -> DataFrame:
         if isinstance(dt.elementType, T.DoubleType):
             return df
         return df.withColumn(features, F.col(features).cast("array<double>"))
-    from pyspark.ml.functions import vector_to_array
-
     return df.withColumn(features, vector_to_array(F.col(features)))
 
 
@@ -49,68 +49,64 @@ def cluster_share(df: DataFrame, label: str = "cluster") -> DataFrame:
         label, "n", F.when(t > 0, round_half_even(F.col("n") / t * 100, 1)).otherwise(F.lit(0.0)).alias("pct"))
 
 
-def _long_features(df: DataFrame, features: str, label: str) -> DataFrame:
-    a = as_array(df, features)
-    return a.where(F.col(label) != NOISE).select(label, F.posexplode(features).alias("dim", "x"))
+def moments(df: DataFrame, features: str = "features", label: str = "cluster") -> DataFrame:
+    """(cluster, n, mean, ss) per cluster, noise left out: sizes, centroids and centred sums of squares.
+
+    Vector moments are merged map-side, so a task gives one row per cluster whatever the number of
+    rows and dimensions; E2, E3 and E5 read nothing else but this table (E3 also the distances to it).
+    """
+    rows = as_array(df, features).where(F.col(label) != NOISE).select(label, array_to_vector(features).alias("v"))
+    got = rows.groupBy(label).agg(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s"))
+    n = F.col("s.count")
+    return got.select(label, n.alias("n"), vector_to_array("s.mean").alias("mean"),
+                      F.transform(vector_to_array("s.variance"), lambda x: x * (n - 1)).alias("ss"))
 
 
-def centroids(df: DataFrame, features: str = "features", label: str = "cluster") -> DataFrame:
-    """(cluster, dim, n, mean) per cluster and feature dimension."""
-    lf = _long_features(df, features, label)
-    return lf.groupBy(label, "dim").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
+def _sum(xs) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def inertia(df: DataFrame, features: str = "features", label: str = "cluster") -> DataFrame:
     """E5: sum of squared distances to the own-cluster centroid (one row)."""
-    lf = _long_features(df, features, label)
-    # centred sum of squares per (cluster, dim): n·var_pop, numerically stable
-    per = lf.groupBy(label, "dim").agg((F.var_pop("x") * F.count(F.lit(1))).alias("ss"))
-    return per.agg(F.coalesce(F.sum("ss"), F.lit(0.0)).alias("inertia"))
+    return moments(df, features, label).agg(F.coalesce(F.sum(_sum(F.col("ss"))), F.lit(0.0)).alias("inertia"))
 
 
 def calinski_harabasz(df: DataFrame, features: str = "features", label: str = "cluster") -> DataFrame:
     """(B/(k−1)) / (W/(n−k)); W = 0 gives 1.0; fewer than 2 clusters gives NULL."""
-    lf = _long_features(df, features, label)
-    per = lf.groupBy(label, "dim").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"),
-                                       (F.var_pop("x") * F.count(F.lit(1))).alias("ss"))
-    tot = lf.groupBy("dim").agg(F.avg("x").alias("gm"))
-    j = per.join(tot, "dim")
-    agg = j.agg(F.sum(F.col("n") * (F.col("m") - F.col("gm")) ** 2).alias("B"), F.sum("ss").alias("W"),
-                F.count_distinct(label).alias("k"))
-    n = df.where(F.col(label) != NOISE).select(F.count(F.lit(1))).scalar()
+    one = moments(df, features, label).agg(F.sort_array(F.collect_list(F.struct(label, "n", "mean", "ss"))).alias("c"))  # one row per cluster
+    total = _sum(F.transform("c", lambda c: c["n"].cast("double")))
+    dims = F.sequence(F.lit(0), F.size(F.col("c")[0]["mean"]) - 1)
+    sized = one.select("c", total.alias("n"), F.size("c").alias("k"))
+    centred = sized.withColumn("gm", F.transform(dims, lambda d: _sum(F.transform("c", lambda c: c["n"] * F.get(c["mean"], d))) / F.col("n")))
+    between = _sum(F.transform("c", lambda c: c["n"] * _sum(F.zip_with(c["mean"], F.col("gm"), lambda x, y: (x - y) * (x - y)))))
+    found = centred.select("n", "k", between.alias("B"), _sum(F.transform("c", lambda c: _sum(c["ss"]))).alias("W"))
     k = F.col("k")
-    return agg.select(F.when(k < 2, F.lit(None).cast("double"))
-                      .when(F.col("W") == 0, F.lit(1.0))
-                      .otherwise((F.col("B") / (k - 1)) / (F.col("W") / (n - k))).alias("calinski_harabasz"))
+    return found.select(F.when(k < 2, F.lit(None).cast("double"))
+                        .when(F.col("W") == 0, F.lit(1.0))
+                        .otherwise((F.col("B") / (k - 1)) / (F.col("W") / (F.col("n") - k))).alias("calinski_harabasz"))
 
 
 def davies_bouldin(df: DataFrame, features: str = "features", label: str = "cluster") -> DataFrame:
     """Mean over clusters of max_j (s_i + s_j) / d_ij, s = mean distance to the centroid.
 
-    Works on the k×dims centroid table and one pass for s; the k×k step runs on ≤ k² rows.
+    Works on the moments' centroids and one pass for s; the k×k step runs on one row of k centroids.
     """
     a = as_array(df, features).where(F.col(label) != NOISE)
-    cen = centroids(df, features, label).groupBy(label).agg(
-        F.sort_array(F.collect_list(F.struct("dim", "mean"))).alias("c"))
-    cen = cen.select(label, F.col("c.mean").alias("centroid"))
-    s = a.join(cen, label).select(label, F.sqrt(F.aggregate(
-        F.zip_with(features, "centroid", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v))
-        .alias("d")).groupBy(label).agg(F.avg("d").alias("s"))
+    cen = moments(df, features, label).select(label, F.col("mean").alias("centroid"))
+    s = a.join(cen, label).select(label, F.sqrt(_sum(F.zip_with(features, "centroid", lambda x, y: (x - y) * (x - y)))).alias("d")).groupBy(label).agg(F.avg("d").alias("s"))
     cs = cen.join(s, label)
     # the k centroids (one row each) are gathered into one array row; the k×k ratios are
     # array expressions on that row — no join between clusters
     allc = cs.agg(F.collect_list(F.struct(F.col(label).alias("id"), "centroid", "s")).alias("c"))
 
     def dist(a, b):
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
-                                  lambda acc, v: acc + v))
+        return F.sqrt(_sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
 
     per = F.transform("c", lambda ci: F.array_max(F.transform(
         F.filter("c", lambda cj: cj["id"] != ci["id"]),
         lambda cj: F.when(dist(ci["centroid"], cj["centroid"]) == 0, F.lit(0.0))
         .otherwise((ci["s"] + cj["s"]) / dist(ci["centroid"], cj["centroid"])))))
-    return allc.select(F.when(F.size("c") < 2, F.lit(None).cast("double")).otherwise(
-        F.aggregate(per, F.lit(0.0), lambda acc, v: acc + v) / F.size("c")).alias("davies_bouldin"))
+    return allc.select(F.when(F.size("c") < 2, F.lit(None).cast("double")).otherwise(_sum(per) / F.size("c")).alias("davies_bouldin"))
 
 
 # ---------------------------------------------------------------- silhouette

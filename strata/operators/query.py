@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.bins import BinSpec, apply_bins
 from ..functions.predicates import Filter, apply_filters, as_filters
-from ..functions.rounding import null_if_not_finite, round_half_even
+from ..functions.rounding import round_half_even
 from ..functions.types import dtype_of, is_numeric, number, numeric_columns, present, q, quoted
 from .charts import histogram
+from .correlation import correlation_pairs, named_pairs
 from .quantiles import exact_quantiles
 from .stats import APPROX_ACCURACY, distinct_counts, is_missing, modes, quartile_map, stack_rows
 
@@ -178,29 +179,17 @@ def groupby_agg(df: DataFrame, keys: Sequence[str], targets: Sequence[str], agg:
     return out.select(*[F.col(n).alias(k) for k, n in zip(keys, names)], *values)
 
 
-def _correlations(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, Callable[[int, int], Column]]:
-    """One-row aggregate of all pairs, and the cell (i, j) of the symmetric table."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    one = df.agg(*[F.corr(number(df, cols[i]), number(df, cols[j])).alias(f"r__{i}__{j}") for i, j in pairs])
-    return one, lambda i, j: null_if_not_finite(F.col(f"r__{min(i, j)}__{max(i, j)}"))
-
-
 def correlation_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(col_a, col_b, r) for every ordered pair, pairwise-complete Pearson, NaN → NULL."""
-    cols = list(columns)
-    one, cell = _correlations(df, cols)
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), cell(i, j).alias("r"))
-        for i, a in enumerate(cols) for j, b in enumerate(cols)])))
+    """(col_a, col_b, r) for every ordered pair, pairwise-complete Pearson, no spread → NULL."""
+    return named_pairs(df, list(columns))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 3) -> DataFrame:
     """Q8: square matrix (variable, <one column per variable>), rounded to 3 dp."""
     cols = list(columns)
-    one, cell = _correlations(df, cols)
-    return one.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("variable"), *[round_half_even(cell(i, j), digits).alias(b) for j, b in enumerate(cols)])
-        for i, a in enumerate(cols)])))
+    rows = correlation_pairs(df, cols).groupBy("a").agg(F.map_from_entries(F.collect_list(F.struct("b", round_half_even(F.col("r"), digits).alias("r")))).alias("m"))
+    name = F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("a") + 1)
+    return rows.select(name.alias("variable"), *[F.col("m")[j].alias(b) for j, b in enumerate(cols)])
 
 
 def top_n_numeric(df: DataFrame, column: str, n: int) -> DataFrame:
