@@ -169,14 +169,26 @@ def salvage_numeric(df: DataFrame, threshold: float = K.NUMERIC_SHARE_THRESHOLD)
     return apply_types(df, decisions)
 
 
+def breaks_in_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes: one parallel scan by lines that stops at the first.
+
+    A field that runs over a line break leaves its first line with an open quote, doubled quotes
+    count twice, and in all charsets tried the quote is the same byte.
+    """
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, sep: str | None = None,
-             multiline: bool = True, types: bool = True) -> DataFrame:
+             multiline: bool | None = None, types: bool = True) -> DataFrame:
     """Read a CSV into typed columns.
 
-    Doubled quotes and line breaks inside quotes are read as such; the latter make each file
-    one task, so a table of many small files stays parallel and ``multiline=False`` is for large
-    files known to hold none. Charsets are tried in the fixed order, each once.
+    Doubled quotes and line breaks inside quotes are read as such. Files are split by lines among
+    tasks unless a line break stands inside quotes (``breaks_in_quotes``), which makes each file one
+    task; ``multiline`` tells it where it is known. Charsets are tried in the fixed order, each once.
     """
+    multiline = breaks_in_quotes(spark, path) if multiline is None else multiline
     names = {"utf-8": "UTF-8", "utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}
     order = [names.get(encoding.lower(), encoding)] if encoding else list(CHARSETS)
     for charset in order:

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from strata.sources import csv as ingest
 from strata.sources.tables import SourceError, literal_table, load_table, preview, validate_table
@@ -71,3 +72,20 @@ def test_number_shapes(spark):
     for kind in ("double", "bigint"):
         for r in df.select("t", ingest._number(c, kind).alias("got"), c.try_cast(kind).alias("want")).collect():
             assert r["got"] == r["want"] or (r["got"] != r["got"] and r["want"] != r["want"]) or "." in r["t"], (kind, r)
+
+
+def test_large_plain_files_are_split_by_lines(spark, tmp_path):
+    rows = "".join(f'{i},"say ""{i}"", twice",x{i % 3}\n' for i in range(20_000))
+    plain = write(tmp_path, "plain.csv", ("i,note,g\n" + rows).encode())
+    broken = write(tmp_path, "broken.csv", ("i,note,g\n" + rows + '20000,"two\nlines",x\n').encode())
+    assert not ingest.breaks_in_quotes(spark, plain) and ingest.breaks_in_quotes(spark, broken)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        tasks = lambda df: df.select(F.spark_partition_id()).distinct().count()
+        one, two = ingest.read_csv(spark, plain), ingest.read_csv(spark, broken)
+        assert tasks(one) > 5 and tasks(two) == 1
+        assert one.count() == 20_000 and one.where(F.col("note") == F.concat(F.lit('say "'), F.col("i").cast("string"), F.lit('", twice'))).count() == 20_000
+        assert two.count() == 20_001 and two.where("note = 'two\\nlines'").count() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
