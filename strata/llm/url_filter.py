@@ -34,7 +34,7 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 #: Host words whose pages make up the query's list of known bad urls.
-LISTED_HOST_WORDS = ("spam-farm", "cheap-pills", "casino", "torrent")
+LISTED_HOST_WORDS = ("spam-farm", "cheap-pills", "casino", "torrent", "free-bets", "ads-track", "adult-x")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _REST = r"(?s)^.*?://(.*)$"
@@ -52,8 +52,9 @@ def path_of(url: Column) -> Column:
 
 def canonical(host: Column, path: Column) -> Column:
     """Canonical form, null where there is no host."""
-    plain = F.concat(F.regexp_replace(host, r"^(?:www|m)\.", ""), F.regexp_replace(path, r"(?:\.html)?/*$", ""))
-    return F.when(host != "", plain)
+    bare = F.rtrim(path, F.lit("/"))
+    bare = F.when(bare.endswith(".html"), F.left(bare, F.length(bare) - 5)).otherwise(bare)
+    return F.when(host != "", F.concat(F.regexp_replace(host, r"^(?:www|m)\.", ""), bare))
 
 
 def _fits(host: Column, path: Column, rule: tuple[str, str, str]) -> Column:
@@ -137,11 +138,13 @@ WITH rest AS (
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/'
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/'
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule,
-    CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html)?/*$', '') END AS canonical
+    CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') ||
+      CASE WHEN rtrim(path, '/') LIKE '%.html' THEN left(rtrim(path, '/'), -5) ELSE rtrim(path, '/') END END AS canonical
   FROM cut
 ), listed AS (
   SELECT DISTINCT canonical FROM ruled
   WHERE host LIKE '%spam-farm%' OR host LIKE '%cheap-pills%' OR host LIKE '%casino%' OR host LIKE '%torrent%'
+     OR host LIKE '%free-bets%' OR host LIKE '%ads-track%' OR host LIKE '%adult-x%'
 )
 SELECT r.page_id, r.host, r.path, r.rule,
        CASE WHEN r.rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN r.rule IS NOT NULL THEN 'block'

@@ -10,6 +10,8 @@ URLS = [
     "http://notexample.com/en/1", "http://a.net/es/1", "http://a.net/fr", "http://a.net/fr/", "http://x.org?u=http://b.net/es/", "http://spam-farm.example.org/a.html",
     "https://www.spam-farm.example.org/a/", "http://m.cheap-pills.x.org/", "http://x.org/ok", "http://x.org/ok", "http://com", "http://com/", "http://a.com#/en/", "x://y://z/p",
     "http://spam-farm.example.org/" + "p" * 50_000, "http://example.com/EN/1", "http://ÄX.com/é?x", "http://a.net/es/\nline",
+    "http://free-bets.example.net/de/1.html//", "http://m.free-bets.example.net/de/1", "http://blog.adult-x.example.net/a/.html", "http://blog.adult-x.example.net/a.html/x",
+    "http://ads-track.example.org/.html.html/", "http://ads-track.example.org/.html", "http://x.org/" + "/" * 1_000_000 + "x", "http://x.org/" + "/" * 1_000_000,
 ]
 
 
@@ -51,3 +53,17 @@ def test_empty_tables(spark):
     assert judge(none, some.select("url")).collect() == []
     assert judge(some, none.select("url")).collect()[0]["verdict"] == "allow"
     assert judge(some, spark.createDataFrame([(None,), ("",)], "url string")).collect()[0]["verdict"] == "allow"
+
+
+def test_the_list_decides_verdicts_of_its_own(spark):
+    """On whole pages of the test data: urls that no rule covers are blocked by the list alone, as the SQL has it."""
+    import os
+
+    import pytest
+
+    path = "/root/testdata/sf0.1"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    got = u.op5_url_filter(spark, path).where("rule IS NULL AND verdict = 'block'")
+    want = duckdb.sql(f"SELECT page_id, host FROM ({OP5_SQL.replace('FROM pages', f"FROM read_parquet('{path}/pages.parquet')")}) WHERE rule IS NULL AND verdict = 'block'").fetchall()
+    assert sorted((r["page_id"], r["host"]) for r in got.collect()) == sorted(want) and len(want) > 5
