@@ -10,8 +10,10 @@ bytes, as in periodic text, the run is cut every ``longest`` bytes. Cuts stand o
 first byte of a character.
 
 Each chunk is a 128-bit digest; its first occurrence is the smallest (doc_id, row key, offset)
-of the whole table, all other occurrences are cut out of their texts. Chunks of fewer than
-``shortest`` bytes (a text's ends) are too common to be copies and stay.
+of the whole table, all others are repeated. Chunks of fewer than ``shortest`` bytes (a text's ends)
+are too common to be copies and never count. Adjacent repeated chunks of a text make a run; runs
+of at least ``least`` bytes are cut out. A lone chunk of some dozen bytes is more often
+a common phrase than a copy, and cutting it would leave a hole in mid-sentence: it stays.
 
 Shuffles: the chunks twice (a combined minimum per digest, the join back), the texts once.
 
@@ -35,6 +37,7 @@ from strata.llm.kernels import slices, span_hashes
 REACH = 32
 LONGEST = 512
 SHORTEST = 33
+LEAST = 128
 _GEAR = np.random.Generator(np.random.PCG64(20240609)).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -110,14 +113,15 @@ def repeated(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, shorte
     return later.groupBy("doc_id", common.ROW_KEY).agg(F.collect_set(F.struct("start", "size")).alias(common.PLACES))
 
 
-def _cut_out(text: str, places: list[dict]) -> tuple[str, list[list[int]]]:
-    """Text without the places, and the places merged into (start, end) spans."""
+def _cut_out(text: str, places: list[dict], least: int) -> tuple[str, list[list[int]]]:
+    """Text without the runs of adjacent places of at least ``least`` bytes, and those (start, end) runs."""
     raw, spans = text.encode(), []
     for p in sorted(places, key=lambda p: p["start"]):
         if spans and spans[-1][1] >= p["start"]:
             spans[-1][1] = p["start"] + p["size"]
         else:
             spans.append([p["start"], p["start"] + p["size"]])
+    spans = [s for s in spans if s[1] - s[0] >= least]
     kept, at = [], 0
     for a, z in spans:
         kept.append(raw[at:a])
@@ -125,8 +129,9 @@ def _cut_out(text: str, places: list[dict]) -> tuple[str, list[list[int]]]:
     return b"".join([*kept, raw[at:]]).decode(), spans
 
 
-def dedup_chunks(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, shortest: int = SHORTEST, spans: bool = False) -> DataFrame:
-    """``docs`` with repeated chunks cut out of ``text``; with ``spans``, also the byte spans cut out."""
+def dedup_chunks(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, shortest: int = SHORTEST, spans: bool = False,
+                 least: int = LEAST) -> DataFrame:
+    """``docs`` with runs of repeated chunks cut out of ``text``; with ``spans``, also the byte spans cut out."""
     common.bound_batches(docs.sparkSession)
     joined = common.attach_places(common.with_row_key(docs), repeated(docs, reach, longest, shortest))
     at = docs.columns.index("text")
@@ -137,7 +142,7 @@ def dedup_chunks(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, sh
         for batch in batches:
             texts, places = batch.column(at), batch.column(batch.num_columns - 1)
             columns = [batch.column(i) for i in range(batch.num_columns - 2)]
-            cut = {i: _cut_out(texts[i].as_py(), places[i].as_py()) for i in np.flatnonzero(places.is_valid().to_numpy(False))}
+            cut = {i: _cut_out(texts[i].as_py(), places[i].as_py(), least) for i in np.flatnonzero(places.is_valid().to_numpy(False))}
             if cut:
                 columns[at] = pa.array([cut[i][0] if i in cut else texts[i].as_py() for i in range(len(texts))], texts.type)
             if spans:
@@ -149,5 +154,5 @@ def dedup_chunks(docs: DataFrame, reach: int = REACH, longest: int = LONGEST, sh
 
 
 def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its text without repeated chunks, and the byte spans that were cut out."""
+    """Per document: its text without runs of repeated chunks, and the byte spans that were cut out."""
     return dedup_chunks(common.documents(spark, sf_dir).select("doc_id", "text"), spans=True)

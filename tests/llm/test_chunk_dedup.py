@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from helpers import CLASHING, prose
-from strata.llm.chunk_dedup import REACH, SHORTEST, cuts, dedup_chunks, gear, _GEAR
+from strata.llm.chunk_dedup import LEAST, REACH, SHORTEST, cuts, dedup_chunks, gear, _GEAR
 
 
 def plain_cuts(raw: bytes) -> list[int]:
@@ -64,6 +64,40 @@ def test_shared_passages_go_from_all_but_the_first(make_docs):
     assert all(got[i]["n_removed_bytes"] > 0.3 * len(passages[k]) for k, h in holders.items() for i in h[1:])
 
 
+def brute(rows, least):
+    """{id: text} after removal, by one plain scan over the chunks of all texts in order of their ids."""
+    seen, out = set(), {}
+    for i, text in sorted(rows):
+        raw, kept, run, start = text.encode(), b"", b"", 0
+        for end in plain_cuts(raw):
+            chunk = raw[start:end]
+            if len(chunk) >= SHORTEST and chunk in seen:
+                run += chunk
+            else:
+                kept += (run if len(run) < least else b"") + chunk
+                run = b""
+                if len(chunk) >= SHORTEST:
+                    seen.add(chunk)
+            start = end
+        out[i] = (kept + (run if len(run) < least else b"")).decode()
+    return out
+
+
+def test_whole_removal_matches_a_plain_scan(make_docs):
+    """Shared passages of all lengths, within and across texts: short runs stay, long ones go."""
+    rng = random.Random(7)
+    passages = [prose(rng, n) for n in (3, 8, 15, 25, 40, 60, 90)]
+    rows = []
+    for i in range(50):
+        parts = [x for _ in range(3) for x in (prose(rng, rng.randint(5, 50)), rng.choice(passages))]
+        rows.append((i * 3, " ".join(parts) + ("é" if i % 2 else "")))
+    for least in (0, LEAST, 10_000):
+        got = {r["doc_id"]: r["text"] for r in dedup_chunks(make_docs(rows), least=least).collect()}
+        assert got == brute(rows, least)
+    texts = [brute(rows, least) for least in (0, LEAST, 10_000)]
+    assert texts[0] != texts[1] != texts[2] == dict(rows)
+
+
 def test_insertions_do_not_shift_the_other_chunks(make_docs):
     rng = random.Random(4)
     text = prose(rng, 600)
@@ -80,6 +114,6 @@ def test_odd_rows(make_docs, odd_rows):
     for r in out.collect():
         text.setdefault(r["doc_id"], []).append(r["text"])
     assert sum(map(len, text.values())) == len(odd_rows)
-    assert text[1] == [None] and text[2] == [""] and text[7] == ["one", "two words"] or sorted(text[7]) == ["one", "two words"]
+    assert text[1] == [None] and text[2] == [""] and text[3] == [" \n\t "] and sorted(text[7]) == ["one", "two words"]
     assert text[5][0] == text[5][1] != odd_rows[4][1] and odd_rows[4][1] in text[None]
     assert dedup_chunks(make_docs([])).collect() == []
