@@ -23,9 +23,12 @@ The benchmark is the stated query set: it is read in blocks of at most ``BLOCK_B
 whatever the benchmark's size. No text, position or hit is capped.
 
 Defined cases: null and empty texts hold no passage; items of
-fewer than ``SHORTEST`` normalised bytes are looked for without edits; null ones and those of
-fewer than ``EXACT``, hardly three words, are too short to tell from chance and are left out; rows
-with equal or null ids are judged one by one; equal items are each reported; an empty
+fewer than ``SHORTEST`` normalised bytes are looked for without edits; those of fewer than ``EXACT``,
+hardly three words, as whole words in order, between spaces or the text's ends, by one automaton over
+all of them; null ones and those without a letter or digit are in no text. ``drop_contaminated``
+leaves out items under ``EXACT`` bytes unless ``least`` says otherwise: a few common words
+are no reason to lose a document. Of equal regions of an item the one found first in the text counts;
+rows with equal or null ids are judged one by one; equal items are each reported; an empty
 benchmark or table gives no hit. ``find_passages`` reads ``doc_id`` and ``text`` only;
 ``drop_contaminated`` carries all columns along unchanged.
 """
@@ -33,6 +36,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -166,10 +170,11 @@ class Block:
     owner: np.ndarray
     place: np.ndarray
     table: np.ndarray
+    short: list[bytes]  # items matched as whole words; their ids follow those of the segments
 
     @classmethod
-    def of(cls, items: list[tuple], budget: float) -> Block:
-        ids, texts = [], []
+    def of(cls, items: list[tuple], budget: float, least: int = 1) -> Block:
+        ids, texts, short = [], [], []
         for item_id, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             data = normalise(raw, np.array([0, len(raw)]))[0]
@@ -177,6 +182,8 @@ class Block:
             if len(data) >= EXACT:
                 ids.append(item_id)
                 texts.append(data)
+            elif len(data) >= least:
+                short.append((item_id, data.tobytes()))
         source, start, segments, parts = [], [], [], []
         for g, (size, stride) in enumerate(grids()):
             begin = len(segments)
@@ -203,8 +210,29 @@ class Block:
         words, first = np.unique(flat[order], return_index=True)
         table = np.zeros(1 << _TABLE_BITS, bool)
         table[_cell(words)] = True
-        return cls([ids[i] for i in source], segments, source, start, edits, bound, parts, half, need,
-                   words, np.append(first, len(flat)), owner[order], place[order], table)
+        return cls([ids[i] for i in source] + [i for i, _ in short], segments, source, start, edits, bound, parts, half, need,
+                   words, np.append(first, len(flat)), owner[order], place[order], table, [x for _, x in short])
+
+    def short_hits(self, data: np.ndarray, offsets: np.ndarray):
+        """(row, number behind the segments, 0, start, end) of the first place of every short item in a row."""
+        if not hasattr(self, "_words"):
+            self._words = ahocorasick.Automaton()
+            numbers: dict[bytes, list[int]] = {}
+            for i, text in enumerate(self.short):
+                numbers.setdefault(text, []).append(len(self.segments) + i)
+            for text, of in numbers.items():
+                self._words.add_word(f" {text.decode('latin-1')} ", (len(text), of))
+            self._words.make_automaton()
+        for row in range(len(offsets) - 1):
+            found: dict[int, tuple[int, int]] = {}
+            for last, (size, of) in self._words.iter(f" {data[offsets[row]:offsets[row + 1]].tobytes().decode('latin-1')} "):
+                for number in of:  # the space before the text shifts its places by one, the one behind the item ends at ``last``
+                    found.setdefault(number, (last - size - 1, last - 1))
+            for number, (start, end) in found.items():
+                yield row, number, 0, start, end
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "_words"}
 
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """(row, place in the row, item, place in the item) of the shared grams that may belong to a region."""
@@ -299,9 +327,11 @@ class Block:
                     best = s, edits, a + start, a + end
             if best:
                 yield row, *best
+        if self.short:
+            yield from self.short_hits(data, offsets)
 
 
-def blocks(benchmark: DataFrame, budget: float = BUDGET):
+def blocks(benchmark: DataFrame, budget: float = BUDGET, least: int = 1):
     """The benchmark as blocks of bounded size, read one after the other."""
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -310,7 +340,7 @@ def blocks(benchmark: DataFrame, budget: float = BUDGET):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
         if n > 1 and part.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] > 4 * BLOCK_BYTES:
             raise ValueError("one benchmark item, or copies of it, exceed the block size; deduplicate or split the benchmark")
-        yield Block.of([tuple(r) for r in part.collect()], budget)
+        yield Block.of([tuple(r) for r in part.collect()], budget, least)
 
 
 def _row_hits(texts: pa.Array, block: Block):
@@ -349,11 +379,11 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET)
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that hold no passage of the benchmark."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, least: int = EXACT) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that hold no passage of an item of ``least`` bytes."""
     common.bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
-    for block in blocks(benchmark, budget):
+    for block in blocks(benchmark, budget, least):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, held=held):

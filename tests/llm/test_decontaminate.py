@@ -168,6 +168,14 @@ def test_edits_that_crowd_in_one_place_stay_within_the_whole_item(spark, make_do
 
 
 def test_short_items_are_found_exactly(spark, make_docs):
-    items = [(1, "Rome, in the year 509."), (2, "four score and seven"), (3, "the and of")]
-    rows = [(1, "It began: rome in the year 509 (or so)."), (2, "It began: rome in a year 509."), (3, "Four SCORE and seven years"), (4, "the and of")]
-    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in find_passages(make_docs(rows), bench(spark, items)).collect()} == {(1, 1, 0), (3, 2, 0)}
+    items = [(1, "Rome, in the year 509."), (2, "four score and seven"), (3, "the and of"), (4, "a b c d e f"), (5, "2+2=4 5x7=35"), (6, "é"), (7, "?!"), (8, "The and, of")]
+    rows = [(1, "It began: rome in the year 509 (or so)."), (2, "It began: rome in a year 509."), (3, "Four SCORE and seven years"), (4, "the and of"),
+            (5, "a b c d e f"), (6, "2+2=4 5x7=35"), (7, "xa b c d e f"), (8, "... THE and -- of; the and of"), (9, "bathe and of"), (10, "the and offer"), (11, "x É é"), (12, "")]
+    got = find_passages(make_docs(rows), bench(spark, items)).collect()
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in got} == {(1, 1, 0), (3, 2, 0), (4, 3, 0), (4, 8, 0), (5, 4, 0), (6, 5, 0), (8, 3, 0), (8, 8, 0), (11, 6, 0)}
+    text = dict(rows)
+    shown = {(r["doc_id"], r["item_id"]): text[r["doc_id"]][r["start"]:r["end"]] for r in got}
+    assert shown[8, 3] == "THE and -- of" and shown[6, 5] == "2+2=4 5x7=35" and shown[11, 6] == "é"
+    # Documents are dropped for items of sixteen bytes on, or of as few as asked for.
+    assert {r["doc_id"] for r in drop_contaminated(make_docs(rows), bench(spark, items)).collect()} == set(range(1, 13)) - {1, 3}
+    assert {r["doc_id"] for r in drop_contaminated(make_docs(rows), bench(spark, items), least=11).collect()} == set(range(1, 13)) - {1, 3, 5, 6}
