@@ -1,8 +1,10 @@
 """Session helpers: the settings and the shared scratch folder the engine relies on."""
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +31,33 @@ def get_spark(app: str = "strata", master: str | None = None, shuffle_partitions
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    if not _local(spark):
+        ship(spark)
     return spark
 
 
+def _local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def package_archive(folder: str) -> str:
+    """This package as a zip file in ``folder``, for Python workers that do not have it installed."""
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(folder, "strata.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for here, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    archive.write(os.path.join(here, name), os.path.relpath(os.path.join(here, name), os.path.dirname(top)))
+    return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers of a cluster (Spark copies the archive to each)."""
+    spark.sparkContext.addPyFile(package_archive(tempfile.mkdtemp(prefix="strata-ship-")))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``, made the context's checkpoint folder.
 
@@ -40,8 +66,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not current:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
+        if not _local(spark):
             raise RuntimeError("spark.checkpoint.dir is not set; name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="strata-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
