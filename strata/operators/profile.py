@@ -10,8 +10,9 @@ from ..functions import constants as K
 from ..functions.rounding import round_half_even
 from ..functions.types import categorical_columns, dtype_of, is_categorical, is_numeric, is_string, is_temporal, \
     numeric_columns, q
+from .heavy import top_levels
 from .query import correlation_long
-from .stats import column_stats, ranked, value_freq
+from .stats import column_stats, value_freq
 
 
 def column_profile(df: DataFrame, stats: DataFrame | None = None) -> DataFrame:
@@ -37,8 +38,7 @@ def top_categories(df: DataFrame, limit: int = K.PROFILE_TOP_CATEGORIES) -> Data
     cats = categorical_columns(df)
     if not cats:
         return df.sparkSession.createDataFrame([], "column string, value string, n long, rank int")
-    return ranked(value_freq(df, cats), ["column"]).where(F.col("rank") <= limit) \
-        .select("column", "value", "n", F.col("rank").cast("int").alias("rank"))
+    return top_levels(df, cats, limit).select("column", "value", "n", F.col("rank").cast("int").alias("rank"))
 
 
 def correlation(df: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def column_summary(df: DataFrame, max_columns: int = K.SUMMARY_MAX_COLUMNS,
     else:
         base = base.withColumn("samples", F.lit(None).cast("string"))
     if others:
-        tv = ranked(value_freq(sub, others), ["column"]).where(F.col("rank") <= top_k)
+        tv = top_levels(sub, others, top_k)
         tv = tv.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("t"))
         tv = tv.select("column", F.concat_ws(",", F.transform(
             "t", lambda s: F.concat(s["value"], F.lit(":"), s["n"].cast("string")))).alias("top_values"))

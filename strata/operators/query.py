@@ -24,6 +24,7 @@ from ..functions.rounding import round_half_even
 from ..functions.types import dtype_of, is_numeric, number, numeric_columns, present, q, quoted
 from .charts import histogram
 from .correlation import correlation_pairs, named_pairs
+from .heavy import top_levels
 from .quantiles import exact_quantiles
 from .stats import APPROX_ACCURACY, distinct_counts, is_missing, modes, quartile_map, stack_rows
 
@@ -199,7 +200,8 @@ def top_n_numeric(df: DataFrame, column: str, n: int) -> DataFrame:
 
 def top_n_text(df: DataFrame, column: str, n: int) -> DataFrame:
     """Q9 text: the n most frequent non-NULL values, ties by value."""
-    return value_counts(df, column, dropna=True).orderBy(F.desc("n"), F.asc(quoted(column))).limit(n)
+    top = top_levels(df, [column], n).select(F.col("value").cast(dtype_of(df, column)).alias(column), "n")
+    return top.orderBy(F.desc("n"), F.asc(quoted(column)))
 
 
 def missing_table(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,7 +87,7 @@ def _feature_plan(table: DataFrame, columns: Sequence[str], cfg: SegmentConfig):
     derived.pca_components = cfg.pca_components
     try:
         return fit_features(table, derived, columns=columns), None
-    except Exception as exc:  # noqa: BLE001 — public data of any kind: fall back once, and say so
+    except (ValueError, ArithmeticError, PySparkException) as exc:  # what odd data raise: fall back once, and say so
         return fit_features(table, Strategy(pca_components=cfg.pca_components), columns=columns), f"{type(exc).__name__}: {exc}"
 
 
