@@ -32,7 +32,7 @@ def test_stages_are_as_dealt():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "minhash_dedup", "decontaminate", "packing"]
     assert all(list(inspect.signature(f).parameters) == ["spark", "docs", "sf_dir"] for _, f in corpus_pipeline.STAGES)
     assert corpus_pipeline.ORACLE_SQL is None
-    assert {q.split("_")[0] for q in catalog.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in catalog.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
 
 def test_stages_take_effect(spark, sf_dir):
