@@ -3,8 +3,8 @@
 Rules run once, in a fixed order where the first hit wins: high missing → near-zero
 variance → date → identifier → free text → high-cardinality categorical.
 
-1. One scan gives every column's statistics, a histogram of the shapes of dates among its texts,
-   and a sketch of its distinct values.
+1. One scan gives every column's statistics; for the text columns that they do not decide, one gives
+   a histogram of the shapes of dates and one a sketch of the distinct values.
 2. A text column whose shapes name one date format often enough is parsed with that format alone.
 3. Distinct values are counted exactly only where a rule still depends on them and the sketch is
    within ``SKETCH_MARGIN`` of the rule's limit (six times its standard error): all values
@@ -33,7 +33,7 @@ DATE_FORMATS = {
     "yyyy/MM/dd": f"{_Y}/{_M}/{_D}", "dd/MM/yyyy": f"{_D}/{_M}/{_Y}", "MM/dd/yyyy": f"{_M}/{_D}/{_Y}", "dd-MM-yyyy": f"{_D}-{_M}-{_Y}",
     "yyyy-MM-dd HH:mm": f"{_Y}-{_M}-{_D} {_HM}",
 }
-LONGEST_DATE = 40  # characters of a text that may be a date, blanks around it included
+SHORTEST_DATE, LONGEST_DATE = 10, 40  # characters of a text that may be a date, blanks around it included
 SKETCH_LG, SKETCH_MARGIN = 12, 6 * 1.04 / 2 ** 6
 
 ID_NAME = re.compile(K.ID_NAME_REGEX, re.IGNORECASE)
@@ -48,12 +48,6 @@ REASONS = {
 }
 
 
-def shape_counts(text: Column) -> dict[str, Column]:
-    """Aggregates: how many texts have the shape of each format."""
-    short = F.when(F.length(text) <= LONGEST_DATE, F.trim(text))
-    return {f"shape{i}": F.count_if(short.rlike(f"^{shape}$")) for i, shape in enumerate(DATE_FORMATS.values())}
-
-
 def chosen_format(counts: Sequence[int], present: int) -> str | None:
     """The most frequent format (ties: the first), if enough of the values have its shape."""
     best = max(range(len(counts)), key=lambda i: (counts[i], -i))
@@ -62,13 +56,21 @@ def chosen_format(counts: Sequence[int], present: int) -> str | None:
 
 
 def date_formats(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    """The one date format of each text column that has one (one scan)."""
+    """The one date format of each text column that has one: one scan for a histogram of shapes.
+
+    Digits are made alike first, so that only texts of a format's outline meet its pattern.
+    """
     texts = [c for c in columns if is_string(dtype_of(df, c))]
     if not texts:
         return {}
-    row = df.agg(*[F.count(q(c)).alias(f"n__{i}") for i, c in enumerate(texts)],
-                 *[n.alias(f"{name}__{i}") for i, c in enumerate(texts) for name, n in shape_counts(q(c)).items()]).first()
-    found = {c: chosen_format([row[f"shape{k}__{i}"] for k in range(len(DATE_FORMATS))], row[f"n__{i}"]) for i, c in enumerate(texts)}
+    short = {c: F.when(F.length(q(c)) <= LONGEST_DATE, F.trim(q(c))) for c in texts}
+    cells = df.select(*[x.alias(f"{name}{i}") for i, c in enumerate(texts)
+                        for name, x in (("v", q(c)), ("t", short[c]), ("o", F.translate(short[c], "012345678", "9" * 9)))])
+    outline = lambda fmt: re.sub("[yMdHms]", "9", fmt.replace("'", ""))
+    row = cells.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in range(len(texts))],
+                    *[F.count_if((F.col(f"o{i}") == outline(fmt)) & F.col(f"t{i}").rlike(f"^{shape}$")).alias(f"s{i}_{k}")
+                      for i in range(len(texts)) for k, (fmt, shape) in enumerate(DATE_FORMATS.items())]).first()
+    found = {c: chosen_format([row[f"s{i}_{k}"] for k in range(len(DATE_FORMATS))], row[f"n{i}"]) for i, c in enumerate(texts)}
     return {c: fmt for c, fmt in found.items() if fmt}
 
 
@@ -124,9 +126,7 @@ def _measure(df: DataFrame) -> tuple[dict[str, _Measured], dict[str, float], dic
     """Per column the tests of the rules, its mean length, and the date formats."""
     kinds = {c: _kind(dtype_of(df, c)) for c in df.columns}
     texts = [c for c in df.columns if kinds[c] == "string"]
-    extra = {**{name: (lambda x, name=name: shape_counts(x)[name]) for name in shape_counts(F.lit(""))},
-             "distinct": lambda x: F.hll_sketch_estimate(F.hll_sketch_agg(x, F.lit(SKETCH_LG)))}
-    stats = {r["column"]: r for r in column_stats(df, with_quantiles=False, distinct=[], extra=extra).collect()}
+    stats = {r["column"]: r for r in column_stats(df, with_quantiles=False, distinct=[]).collect()}
 
     def near_zero(r) -> bool:
         if r["n_rows"] < K.MIN_ROWS_FOR_VARIANCE:
@@ -136,33 +136,38 @@ def _measure(df: DataFrame) -> tuple[dict[str, _Measured], dict[str, float], dic
         small = std is not None and ((mean != 0 and abs(std / mean) < K.NEAR_ZERO_CV) or (spread > 0 and std / spread < K.NEAR_ZERO_CV))
         return bool(r["constant"] or small)
 
-    out, formats, asked = {}, {}, {}
+    out, undated, asked, sketched = {}, [], {}, []
     for c, r in stats.items():
         n, present = r["n_rows"], r["n_rows"] - r["n_missing"]
         m = out[c] = _Measured(kinds[c], n > 0 and r["n_missing"] / n > K.HIGH_MISSING_SHARE, near_zero(r))
         if m.high_missing or m.near_zero:
             continue
-        if c in texts:
-            formats[c] = chosen_format([r[f"shape{i}"] for i in range(len(DATE_FORMATS))], present)
+        if c in texts and present and r["mean_len"] >= SHORTEST_DATE * K.DATE_SHARE:
+            undated.append(c)
         if ID_NAME.match(c) or not present:
             continue
         if kinds[c] == "integer":
             if n > 1 and r["n_missing"] == 0 and r["max"] - r["min"] == n - 1:
                 asked[c] = ["all_distinct"]
         elif c in texts:
-            limits = {"all_distinct": n if r["n_missing"] == 0 else None, "many": K.MAX_CATEGORICAL_CARDINALITY,
-                      "over_half": K.FREE_TEXT_UNIQUE_RATIO * present if r["mean_len"] > K.FREE_TEXT_MEDIUM_LEN else None}
-            for test, limit in limits.items():
-                if limit is None:
-                    continue
-                if test == "all_distinct":
-                    unsure = r["distinct"] >= limit * (1 - SKETCH_MARGIN)
-                else:
-                    unsure = abs(r["distinct"] - limit) <= SKETCH_MARGIN * limit + 1
-                    setattr(m, test, r["distinct"] > limit)
-                if unsure:
-                    asked.setdefault(c, []).append(test)
-    formats = {c: fmt for c, fmt in formats.items() if fmt}
+            sketched.append(c)
+    estimates = df.agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(q(c), F.lit(SKETCH_LG))) for c in sketched]).first() if sketched else ()
+    for c, distinct in zip(sketched, estimates):
+        r, m = stats[c], out[c]
+        present = r["n_rows"] - r["n_missing"]
+        limits = {"all_distinct": r["n_rows"] if r["n_missing"] == 0 else None, "many": K.MAX_CATEGORICAL_CARDINALITY,
+                  "over_half": K.FREE_TEXT_UNIQUE_RATIO * present if r["mean_len"] > K.FREE_TEXT_MEDIUM_LEN else None}
+        for test, limit in limits.items():
+            if limit is None:
+                continue
+            if test == "all_distinct":
+                unsure = distinct >= limit * (1 - SKETCH_MARGIN)
+            else:
+                unsure = abs(distinct - limit) <= SKETCH_MARGIN * limit + 1
+                setattr(m, test, distinct > limit)
+            if unsure:
+                asked.setdefault(c, []).append(test)
+    formats = date_formats(df, undated)
     if formats:
         dated = df.select(*[F.unix_date(F.to_date(parse_timestamp(q(c), fmt))).alias(f"d{i}") for i, (c, fmt) in enumerate(formats.items())])
         row = dated.agg(*[f(f"d{i}") for i in range(len(formats)) for f in (F.count, F.min, F.max)]).first()
