@@ -99,3 +99,22 @@ def test_small_tables(spark):
     assert C.hierarchical(one.limit(0), 2).collect() == []
     vectors = one.select("i", F.col("features").cast("array<float>").alias("features"))
     assert C.hierarchical(vectors, 1).count() == 3
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_tiles_merge_what_the_chain_merges(spark, width, monkeypatch):
+    """Dense groups, weights and lines of points: the tree of the chain, most of it found inside tiles."""
+    rng = np.random.default_rng(width)
+    X = np.unique(np.vstack([rng.normal(m, 0.5, (500, width)) for m in (0, 1, 4)] + [np.round(rng.uniform(-3, 8, (500, width)), 3)]), axis=0)
+    X[::2, -1] = np.round(X[::2, -1])
+    X = np.repeat(X, rng.integers(1, 4, len(X)), axis=0)
+    distinct, weights = np.unique(X, axis=0, return_counts=True)
+    monkeypatch.setattr(W, "TILE_ROWS", 150)
+    rounds, looked = [], W._neighbours
+    monkeypatch.setattr(W, "_neighbours", lambda clusters, blocks: rounds.append(clusters.count()) or looked(clusters, blocks))
+    merges = W.ward_merges(W.numbered_points(frame(spark, X), "features"), 300).toPandas()
+    want = chain(distinct, weights)
+    assert len(merges) == len(distinct) - 1 and merges["b"].is_unique
+    assert np.allclose(np.sort(merges["cost"]), np.sort([m[2] for m in want]), rtol=1e-7, atol=1e-12)
+    if width < 3:  # in more dimensions tiles as small as these are all border
+        assert not rounds or rounds[0] < len(distinct) / 2  # all pairs only among what the tiles left
