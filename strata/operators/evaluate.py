@@ -111,49 +111,74 @@ def davies_bouldin(df: DataFrame, features: str = "features", label: str = "clus
 
 # ---------------------------------------------------------------- silhouette
 
-BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 4096  # features and points of one block: a task holds two
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 65_536  # features and points of one block at most: a task holds two
+FEW_ROWS, MANY_BLOCKS = 4096, 20           # smaller blocks, for more tasks, as long as there are not many
+TILE_ROWS, TILE_COLUMNS = 512, 1024        # distances held at once
 
 
-def _distances(t: np.ndarray, r: np.ndarray) -> np.ndarray:
-    gram = (t * t).sum(axis=1)[:, None] + (r * r).sum(axis=1)[None, :] - 2.0 * (t @ r.T)
-    return np.sqrt(np.maximum(gram, 0.0))
+def _gram_sides(t: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices whose product holds the squared distances of ``t`` to ``r``."""
+    one = lambda x: np.ones((len(x), 1))
+    return (np.hstack([t, (t * t).sum(axis=1)[:, None], one(t)]), np.hstack([-2.0 * r, one(r), (r * r).sum(axis=1)[:, None]]))
 
 
 def _pair_sums(offsets: list[int], width: int):
     """Function of one pair of blocks: per point of either, its distance sums to every cluster of the other.
 
     The clusters of all label columns stand side by side (``offsets``), so each distance is
-    taken once whatever the number of columns. A block paired with itself counts once.
+    taken once whatever the number of columns. Points stand in the order of their labels in all
+    columns together: the distances to equally labelled ones are added up first, then dealt to the columns.
+    A block paired with itself counts once.
     """
-    def members(labels: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(labels), width))
-        for m, offset in enumerate(offsets):
-            there = np.flatnonzero(labels[:, m] >= 0)
-            out[there, offset + labels[there, m]] = weight[there]
-        return out
+    def runs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        return starts, code[starts]
 
     def sums(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         block, first, second = (table.column(c).to_numpy() for c in ("b", "i", "j"))
         x, labels, weight = np.stack(table.column("x").to_numpy()), np.stack(table.column("li").to_numpy()), table.column("w").to_numpy()
-        member = members(labels, weight)
-        left, right = np.flatnonzero(block == first[0]), np.flatnonzero(block == second[0])
-        own = first[0] == second[0]
+        kinds, code = np.unique(labels, axis=0, return_inverse=True)
+        code = code.ravel()
+        columns = np.zeros((len(kinds), width))
+        for m, offset in enumerate(offsets):
+            there = np.flatnonzero(kinds[:, m] >= 0)
+            columns[there, offset + kinds[there, m]] = 1.0
+        order = np.argsort(code, kind="stable")
+        left, right = order[block[order] == first[0]], order[block[order] == second[0]]
+        own, plain = first[0] == second[0], bool((weight == 1.0).all())
+        t, r = _gram_sides(x[left], x[right])
+        out_left, out_right = np.zeros((len(left), width)), np.zeros((len(right), width))
+        for a in range(0, len(left), TILE_ROWS):
+            rows = slice(a, min(a + TILE_ROWS, len(left)))
+            row_starts, row_codes = runs(code[left[rows]])
+            for b in range(0, len(right), TILE_COLUMNS):
+                cols = slice(b, min(b + TILE_COLUMNS, len(right)))
+                d = t[rows] @ r[cols].T
+                np.maximum(d, 0.0, out=d)
+                np.sqrt(d, out=d)
+                if own:  # a point and itself
+                    same = np.arange(max(rows.start, cols.start), min(rows.stop, cols.stop))
+                    d[same - rows.start, same - cols.start] = 0.0
+                starts, codes = runs(code[right[cols]])
+                out_left[rows] += np.add.reduceat(d if plain else d * weight[right[cols]], starts, axis=1) @ columns[codes]
+                if not own:
+                    out_right[cols] += np.add.reduceat(d if plain else d * weight[left[rows]][:, None], row_starts, axis=0).T @ columns[row_codes]
         out = np.zeros((len(x), width))
-        step = max(1, 2_000_000 // max(1, len(right)))
-        for a in range(0, len(left), step):
-            part = left[a:a + step]
-            d = _distances(x[part], x[right])
-            if own:
-                d[np.arange(len(part)), np.arange(a, a + len(part))] = 0.0
-            out[part] += d @ member[right]
-            if not own:
-                out[right] += d.T @ member[part]
-        return pa.table([table.column("pid"), pa.array(list(out), pa.list_(pa.float64()))], names=["pid", "sums"])
+        if not own:
+            out[right] = out_right
+        out[left] = out_left
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(out.ravel()))
+        return pa.table([table.column("pid"), flat], names=["pid", "sums"])
 
     return sums
 
 
+def block_count(rows: int, dims: int | None, block_bytes: int = BLOCK_BYTES) -> int:
+    """Blocks that the points are dealt to. Every point is copied, and gives a row of sums, once per block."""
+    return max(1, -(-rows * 8 * max(1, dims or 1) // block_bytes), -(-rows // BLOCK_ROWS), min(MANY_BLOCKS, -(-rows // FEW_ROWS)))
+
+
 def silhouettes(df: DataFrame, labels: Sequence[str], features: str = "features", weight: str | None = None,
                 block_bytes: int = BLOCK_BYTES) -> dict[str, float | None]:
     """E1 of several label columns in one pass over the distances: {label column: mean silhouette}.
@@ -186,10 +211,11 @@ def silhouettes(df: DataFrame, labels: Sequence[str], features: str = "features"
     # Written once: a point's id must be the same in all its pairs of blocks.
     fixed = staged(raw.select(F.monotonically_increasing_id().alias("pid"), index.alias("li"), "x", "w"), "points")
     rows, dims = fixed.agg(F.count("*"), F.max(F.size("x"))).first()
-    blocks = max(1, -(-rows * 8 * max(1, dims) // block_bytes), -(-rows // BLOCK_ROWS))
+    blocks = block_count(rows, dims, block_bytes)
     dealt = (fixed.withColumn("b", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
              .select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "pid", "li", "x", "w"))
-    sums = dealt.groupBy("i", "j").applyInArrow(_pair_sums(offsets, width), "pid long, sums array<double>")
+    # a task's work is its pairs of blocks, not its bytes: one partition for each pair, which Spark does not merge
+    sums = dealt.repartition(blocks * (blocks + 1) // 2, "i", "j").groupBy("i", "j").applyInArrow(_pair_sums(offsets, width), "pid long, sums array<double>")
     added = sums.groupBy("pid").agg(F.array(*[F.sum(F.col("sums")[c]) for c in range(width)]).alias("sums")).join(fixed.select("pid", "li", "w"), "pid")
 
     def score(i: int):

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..operators import cluster as C
 from ..operators import evaluate as E
 from ..operators.charts import pca_map
@@ -99,7 +100,8 @@ def refined_labels(spark, sf):
     df = tbl(spark, sf, "embeddings").select(F.col("embedding").cast("array<double>").alias("features"))
     rows = C.weighted_rows(df)
     first = C.kmeans(rows, 10)
-    again = C.kmeans(rows, 10, n_init=30) if C.should_refine(C.score_fit(rows, first), 0) else first
+    # of the 30 seeds the first pass has fitted the first ten, whose best is ``first``
+    again = C.kmeans(rows, 10, n_init=K.REFINE_N_INIT - K.KMEANS_N_INIT, seed=K.RANDOM_SEED + K.KMEANS_N_INIT) if C.should_refine(C.score_fit(rows, first), 0) else first
     fit = min(first, again, key=lambda f: f.cost)
     return _checked(spark, df, fit, not_worse=fit.cost <= first.cost)
 

@@ -146,3 +146,46 @@ def test_weighted_distinct_rows_keep_silhouette_and_cost(spark):
     s = C.search_k(df, k_max=3, n_init=2)
     direct = C.kmeans(df, 2, n_init=2)
     assert dict((k, i) for k, i, _ in s.curve)[2] == pytest.approx(direct.cost, rel=1e-6)
+
+
+def test_restarts_share_their_passes_and_equal_sparks_fits(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    rng = np.random.default_rng(8)
+    X = rng.normal(0, 1, (400, 3)) + 100.0
+    X[:50] = X[50:100]
+    rows = C.weighted_rows(spark.createDataFrame([(list(map(float, x)),) for x in X], "features array<double>"))
+    passes, made = [], C._pass
+    monkeypatch.setattr(C, "_pass", lambda centres: passes.append(len(centres)) or made(centres))
+    tasks = [(k, s) for k in (2, 5) for s in range(42, 45)]
+    fits = C._fits(rows, tasks)
+    spread, steps = C.mean_variance(rows), []
+    for (k, seed), fit in zip(tasks, fits):
+        one = KMeans(k=k, seed=seed, maxIter=C.MAX_ITER, tol=(1e-4 * spread / k) ** 0.5, featuresCol="__vec", weightCol=C.WEIGHT).fit(rows)
+        steps.append(one.summary.numIter)
+        assert np.allclose(fit.centers, one.clusterCenters()) and fit.cost == pytest.approx(one.summary.trainingCost)
+    assert passes[0] == len(tasks) and len(passes) == max(steps) and sum(passes) == sum(steps)
+
+
+def test_silhouettes_in_tiles_and_few_blocks(spark):
+    """Many points copied to few blocks; several labelings, weights and noise over more than one tile of distances."""
+    assert E.block_count(900_000, 10) <= 20 and E.block_count(15_000, 10) == 4 and E.block_count(5_400_000, 10) <= 83
+    rng = np.random.default_rng(9)
+    X, w = rng.normal(0, 1, (1500, 2)), rng.integers(1, 3, 1500)
+    one, two = rng.integers(0, 3, 1500), rng.integers(-1, 4, 1500)
+    df = spark.createDataFrame([(list(map(float, x)), int(a), int(b), float(c)) for x, a, b, c in zip(X, one, two, w)], "features array<double>, a int, b int, w double")
+    whole, many = np.repeat(X, w, axis=0), np.repeat(two, w)
+    for block_bytes in (E.BLOCK_BYTES, 9000):
+        got = E.silhouettes(df, ["a", "b"], weight="w", block_bytes=block_bytes)
+        assert got["a"] == pytest.approx(brute_silhouette(whole, np.repeat(one, w)), abs=1e-7)
+        assert got["b"] == pytest.approx(brute_silhouette(whole[many >= 0], many[many >= 0]), abs=1e-7)
+
+
+def test_bisecting_fits_on_small_partitions(spark, monkeypatch):
+    monkeypatch.setattr(C, "BISECT_ROWS", 20)
+    laid, made = [], C.weighted_rows
+    monkeypatch.setattr(C, "weighted_rows", lambda *a, **k: laid.append(made(*a, **k)) or laid[-1])
+    df = spark.createDataFrame([([float(i % 50), float(i // 50) * 100],) for i in range(100)], "features array<double>")
+    out = C.bisecting(df, 2)
+    assert laid[0].rdd.getNumPartitions() == 5
+    assert sorted(r["n"] for r in E.cluster_sizes(out).collect()) == [50, 50]
