@@ -72,14 +72,16 @@ def contract(ids: np.ndarray, w: np.ndarray, c: np.ndarray, height: np.ndarray,
     """
     ids, w, c, height = ids.copy(), w.astype(float).copy(), c.astype(float).copy(), height.astype(float).copy()
     nn, cost = np.full(len(ids), -1, np.int64), np.full(len(ids), np.inf)
-    most = np.full(len(ids), np.inf) if limit is None else limit(c, w)
+    most = np.zeros(len(ids)) if limit is None else limit(c, w)
     out, round_ = [], first_round
     stale = np.ones(len(ids), bool)
     while len(ids) > 1:
         anew = stale.all()
         cost[stale], nn[stale] = nearest(c[stale], w[stale], ids[stale], c, w, ids)
         at = np.searchsorted(ids, nn)
-        mutual = (nn[at] == ids) & (ids < nn) & (cost < most) & (cost < most[at])
+        mutual = (nn[at] == ids) & (ids < nn)
+        if limit is not None:
+            mutual &= (cost < most) & (cost < most[at])
         if not mutual.any():
             if anew and limit is not None:
                 break
@@ -188,11 +190,11 @@ def _in_tiles(clusters: DataFrame, n: int, rows: int, phase: int, round_: int) -
     sample = clusters.where(F.pmod(F.xxhash64("id", F.lit(phase)), F.lit(max(1, n // TILE_SAMPLE))) == 0).select("c").orderBy("c").collect()
     if not sample:
         return clusters.limit(0).selectExpr("id a", "id b", "w cost", "w size", "0 round", "c")
-    dims, at = _splits(np.array([r["c"] for r in sample]), depth, 0.5 + (0.0, -0.12, 0.12, -0.06, 0.06)[phase % 5])
+    dims, at = _splits(np.nan_to_num(np.array([r["c"] for r in sample], dtype=float)), depth, 0.5 + (0.0, -0.12, 0.12, -0.06, 0.06)[phase % 5])
     dealt = staged(clusters.select("id", "w", "c", "height", _tile_of(dims, at, depth)("c").alias("tile")), "ward-tiles")
     width = len(sample[0]["c"])
     boxes = dealt.groupBy("tile").agg(F.min("w"), *[f(F.col("c")[k]) for f in (F.min, F.max) for k in range(width)]).orderBy("tile").collect()  # one row per tile
-    table = np.array([list(r) for r in boxes], dtype=float)
+    table = np.nan_to_num(np.array([list(r) for r in boxes], dtype=float))
     tiles, light, low, high = table[:, 0].astype(int), table[:, 1], table[:, 2:2 + width], table[:, 2 + width:]
     slack = 1e-12 * np.maximum(np.abs(low), np.abs(high)).max(axis=0)  # of rounded centres
     low, high = low - slack, high + slack
@@ -200,7 +202,10 @@ def _in_tiles(clusters: DataFrame, n: int, rows: int, phase: int, round_: int) -
     def run(part: pa.Table) -> pa.Table:
         part = part.combine_chunks().sort_by("id")
         limit = _outside(part.column("tile")[0].as_py(), tiles, low, high, light)
-        merges, (ids, w, c, height) = contract(part.column("id").to_numpy(), part.column("w").to_numpy(), _points(part), part.column("height").to_numpy(), round_, limit)
+        given = (part.column("id").to_numpy(), part.column("w").to_numpy(), _points(part), part.column("height").to_numpy())
+        odd = np.isnan(given[2]).any(axis=1)  # points that lack a coordinate wait for the rounds over all pairs
+        merges, rest = contract(*[g[~odd] for g in given], round_, limit)
+        ids, w, c, height = (np.concatenate([x, g[odd]]) for x, g in zip(rest, given))
         a, b, cost, size, rounds = zip(*merges) if merges else ((),) * 5
         none = [None] * len(ids)
         return pa.table([pa.array([*a, *ids.tolist()], pa.int64()), pa.array([*b, *none], pa.int64()), pa.array([*cost, *height.tolist()], pa.float64()),

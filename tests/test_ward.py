@@ -118,3 +118,16 @@ def test_tiles_merge_what_the_chain_merges(spark, width, monkeypatch):
     assert np.allclose(np.sort(merges["cost"]), np.sort([m[2] for m in want]), rtol=1e-7, atol=1e-12)
     if width < 3:  # in more dimensions tiles as small as these are all border
         assert not rounds or rounds[0] < len(distinct) / 2  # all pairs only among what the tiles left
+
+
+def test_points_that_lack_a_coordinate_end(spark, monkeypatch):
+    ids, c = np.arange(4), np.array([[0.0, 1.0], [np.nan, 1.0], [5.0, 1.0], [np.nan, 2.0]])
+    merges, left = W.contract(ids, np.ones(4), c, np.zeros(4))
+    assert len(merges) == 3 and len(left[0]) == 1
+    rows = [(i, [float(i), None if i % 50 == 7 else 0.0]) for i in range(200)]
+    df = spark.createDataFrame(rows, "i long, features array<double>")
+    monkeypatch.setattr(W, "TILE_ROWS", 40)
+    points = W.numbered_points(df, "features")
+    found = W._in_tiles(points.withColumn("height", F.lit(0.0)), 200, 40, 0, 0).toPandas()
+    assert found["b"].notna().sum() + found["b"].isna().sum() == 200 and found["b"].notna().sum() > 20
+    assert sum(1 for c in found.loc[found["b"].isna(), "c"] if np.isnan(c).any()) == 4
