@@ -113,7 +113,10 @@ def davies_bouldin(df: DataFrame, features: str = "features", label: str = "clus
 
 BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 65_536  # features and points of one block at most: a task holds two
 FEW_ROWS, MANY_BLOCKS = 4096, 20           # smaller blocks, for more tasks, as long as there are not many
-TILE_ROWS, TILE_COLUMNS = 512, 1024        # distances held at once
+TILE_ROWS, TILE_COLUMNS = 128, 512         # distances held at once, in the cache of a core; the second a multiple of the first
+HELD_RUNS = 32                             # runs whose sums are held before they are dealt to the columns
+SUM_BYTES = 1 << 20                        # distance sums of one row of bytes
+PAIR_PARTITIONS = 2                        # partitions for each pair of blocks, so that few tasks hold two
 
 
 def _gram_sides(t: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,58 +125,106 @@ def _gram_sides(t: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.hstack([t, (t * t).sum(axis=1)[:, None], one(t)]), np.hstack([-2.0 * r, one(r), (r * r).sum(axis=1)[:, None]]))
 
 
+def _pack_block(table: pa.Table) -> pa.Table:
+    """Function of one block: its points as one row of bytes, in the order of their labels in all columns."""
+    labels = np.stack(table.column("li").to_numpy()).astype(np.int32)
+    order = np.lexsort((table.column("pid").to_numpy(), *labels.T[::-1]))
+    x, w = np.stack(table.column("x").to_numpy()).astype(float)[order], table.column("w").to_numpy()[order]
+    cells = {"x": x.tobytes(), "li": labels[order].tobytes(), "w": w.tobytes()}
+    return pa.table({"b": pa.array([table.column("b")[0].as_py()], pa.int32()), "n": pa.array([len(order)], pa.int64())} | {c: pa.array([v], pa.binary()) for c, v in cells.items()})
+
+
+def _cells(row: dict, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points, labels and weights of a packed row; ``width`` label columns."""
+    return np.frombuffer(row["x"]).reshape(row["n"], -1) if row["x"] else np.zeros((row["n"], 0)), np.frombuffer(row["li"], np.int32).reshape(row["n"], width), np.frombuffer(row["w"])
+
+
 def _pair_sums(offsets: list[int], width: int):
-    """Function of one pair of blocks: per point of either, its distance sums to every cluster of the other.
+    """Function of one pair of packed blocks: per point of either, its distance sums to every cluster of the other.
 
     The clusters of all label columns stand side by side (``offsets``), so each distance is
-    taken once whatever the number of columns. Points stand in the order of their labels in all
-    columns together: the distances to equally labelled ones are added up first, then dealt to the columns.
-    A block paired with itself counts once.
+    taken once whatever the number of columns. Blocks are in the order of the labels, so a tile of
+    distances has few runs of equally labelled points: weights add up each run, then the runs are dealt to the columns.
+    A block paired with itself counts once, and its rows carry the labels and weights of the points.
     """
-    def runs(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-        return starts, code[starts]
+    def runs(labels: np.ndarray, weight: np.ndarray, size: int) -> tuple[list[tuple[slice, np.ndarray, slice]], np.ndarray]:
+        """Tiles of ``size`` points: their weights by run, and the numbers of their runs; and the columns of all runs."""
+        tiles, dealt, done = [], [], 0
+        for a in range(0, len(labels), size):
+            at = slice(a, min(a + size, len(labels)))
+            new = np.r_[True, (labels[at][1:] != labels[at][:-1]).any(axis=1)]
+            kinds, run = labels[at][new], np.cumsum(new) - 1
+            member, columns = np.zeros((len(run), len(kinds))), np.zeros((len(kinds), width))
+            member[np.arange(len(run)), run] = weight[at]
+            for m, offset in enumerate(offsets):
+                there = np.flatnonzero(kinds[:, m] >= 0)
+                columns[there, offset + kinds[there, m]] = 1.0
+            if len(kinds) > width:
+                member, columns = member @ columns, np.eye(width)
+            tiles.append((at, member, slice(done, done + len(columns))))
+            dealt.append(columns)
+            done += len(columns)
+        return tiles, np.concatenate(dealt)
 
     def sums(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        block, first, second = (table.column(c).to_numpy() for c in ("b", "i", "j"))
-        x, labels, weight = np.stack(table.column("x").to_numpy()), np.stack(table.column("li").to_numpy()), table.column("w").to_numpy()
-        kinds, code = np.unique(labels, axis=0, return_inverse=True)
-        code = code.ravel()
-        columns = np.zeros((len(kinds), width))
-        for m, offset in enumerate(offsets):
-            there = np.flatnonzero(kinds[:, m] >= 0)
-            columns[there, offset + kinds[there, m]] = 1.0
-        order = np.argsort(code, kind="stable")
-        left, right = order[block[order] == first[0]], order[block[order] == second[0]]
-        own, plain = first[0] == second[0], bool((weight == 1.0).all())
-        t, r = _gram_sides(x[left], x[right])
-        out_left, out_right = np.zeros((len(left), width)), np.zeros((len(right), width))
-        for a in range(0, len(left), TILE_ROWS):
-            rows = slice(a, min(a + TILE_ROWS, len(left)))
-            row_starts, row_codes = runs(code[left[rows]])
-            for b in range(0, len(right), TILE_COLUMNS):
-                cols = slice(b, min(b + TILE_COLUMNS, len(right)))
-                d = t[rows] @ r[cols].T
+        blocks = {row["b"]: row for row in table.to_pylist()}
+        first, second = min(blocks), max(blocks)
+        own = first == second
+        (x, xl, xw), (y, yl, yw) = (_cells(blocks[b], len(offsets)) for b in (first, second))
+        t, r = _gram_sides(x, y)
+        r = np.ascontiguousarray(r.T)
+        left = np.zeros((len(x), width))
+        right = left if own else np.zeros((len(y), width))
+        (down, down_columns), (across, columns) = runs(xl, xw, TILE_ROWS), runs(yl, yw, TILE_COLUMNS)
+        held, begun, turned = np.empty(TILE_ROWS * TILE_COLUMNS), 0, None
+        for i, (rows, row_member, row_runs) in enumerate(down):
+            turn, part = np.ascontiguousarray(row_member.T), np.zeros((rows.stop - rows.start, len(columns)))
+            if turned is None:  # sums of the other block's points for the next runs of this one
+                turned, begun = np.zeros((max(HELD_RUNS, len(turn)), len(y))), row_runs.start
+            place = slice(row_runs.start - begun, row_runs.stop - begun)
+            for cols, member, col_runs in across:
+                if own and cols.stop <= rows.start:
+                    continue  # taken from the other side
+                d = held[:(rows.stop - rows.start) * (cols.stop - cols.start)].reshape(rows.stop - rows.start, -1)
+                np.matmul(t[rows], r[:, cols], out=d)
                 np.maximum(d, 0.0, out=d)
                 np.sqrt(d, out=d)
-                if own:  # a point and itself
-                    same = np.arange(max(rows.start, cols.start), min(rows.stop, cols.stop))
+                inside = own and cols.start <= rows.start
+                if inside:  # a point and itself; both orders of the other pairs are in such tiles
+                    same = np.arange(rows.start, rows.stop)
                     d[same - rows.start, same - cols.start] = 0.0
-                starts, codes = runs(code[right[cols]])
-                out_left[rows] += np.add.reduceat(d if plain else d * weight[right[cols]], starts, axis=1) @ columns[codes]
-                if not own:
-                    out_right[cols] += np.add.reduceat(d if plain else d * weight[left[rows]][:, None], row_starts, axis=0).T @ columns[row_codes]
-        out = np.zeros((len(x), width))
-        if not own:
-            out[right] = out_right
-        out[left] = out_left
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(out.ravel()))
-        return pa.table([table.column("pid"), flat], names=["pid", "sums"])
+                part[:, col_runs] = d @ member
+                if not inside:
+                    turned[place, cols] += turn @ d
+            left[rows] += part @ columns
+            if i + 1 == len(down) or down[i + 1][2].stop - begun > len(turned):
+                right += turned[:place.stop].T @ down_columns[begun:row_runs.stop]
+                turned = None
+        out = []
+        for b, labels, weight, found in [(first, xl, xw, left)] + ([] if own else [(second, yl, yw, right)]):
+            step = max(64, SUM_BYTES // (8 * width))
+            for c, a in enumerate(range(0, len(found), step)):
+                part = slice(a, a + step)
+                out.append((b, c, found[part].tobytes(), *((labels[part].tobytes(), weight[part].tobytes()) if own else (None, None))))
+        return pa.table([pa.array(v, kind) for v, kind in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["b", "c", "sums", "li", "w"])
 
     return sums
 
 
+def _added(columns: int, width: int):
+    """Function of one part of a block: its rows of distance sums added up, a row for each point."""
+    def add(table: pa.Table) -> pa.Table:
+        total, labels, weight = 0.0, None, None
+        for sums, li, w in zip(table.column("sums"), table.column("li"), table.column("w")):
+            total = total + np.frombuffer(sums.as_buffer())
+            if li.is_valid:
+                labels, weight = np.frombuffer(li.as_buffer(), np.int32), np.frombuffer(w.as_buffer())
+        lists = lambda flat, per: pa.ListArray.from_arrays(pa.array(np.arange(len(weight) + 1) * per, pa.int32()), pa.array(flat))
+        return pa.table([lists(total, width), lists(labels, columns), pa.array(weight)], names=["sums", "li", "w"])
+
+    return add
+
+
 def block_count(rows: int, dims: int | None, block_bytes: int = BLOCK_BYTES) -> int:
     """Blocks that the points are dealt to. Every point is copied, and gives a row of sums, once per block."""
     return max(1, -(-rows * 8 * max(1, dims or 1) // block_bytes), -(-rows // BLOCK_ROWS), min(MANY_BLOCKS, -(-rows // FEW_ROWS)))
@@ -183,9 +234,9 @@ def silhouettes(df: DataFrame, labels: Sequence[str], features: str = "features"
                 block_bytes: int = BLOCK_BYTES) -> dict[str, float | None]:
     """E1 of several label columns in one pass over the distances: {label column: mean silhouette}.
 
-    Points are dealt to blocks by a hash. Each unordered pair of blocks is one group of an Arrow
+    Points are dealt to even blocks, in the order of the finest label column and a hash. Each unordered pair of blocks is one group of an Arrow
     function, which takes the distances once and adds them up for the clusters of all label
-    columns; it returns one row per point, never one per pair, and Spark adds a point's rows. The
+    columns; it returns sums per point, never per pair, in rows of bytes that a last function adds up. The
     work is quadratic in the rows and hardly grows with the columns; the driver sees the cluster
     sizes and one mean per column.
 
@@ -196,10 +247,14 @@ def silhouettes(df: DataFrame, labels: Sequence[str], features: str = "features"
     names = list(labels)
     raw = as_array(df, features).select(q(features).alias("x"), F.array(*[q(c).cast("int") for c in names]).alias("l"),
                                         (q(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
-    found = raw.select("w", F.posexplode("l").alias("m", "c")).where(F.col("c") != NOISE).groupBy("m", "c").agg(F.sum("w").alias("n"))
+    # Written once: a point's id must be the same in all its pairs of blocks.
+    fixed = staged(raw.select(F.monotonically_increasing_id().alias("pid"), "l", "x", "w"), "points")
+    found = fixed.select("w", F.posexplode("l").alias("m", "c")).where(F.col("c") != NOISE).groupBy("m", "c").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows"))
     sizes: list[dict[int, float]] = [{} for _ in names]
+    starts: list[list[int]] = [[0] for _ in names]
     for row in found.orderBy("m", "c").collect():  # one row per cluster
         sizes[row["m"]][row["c"]] = float(row["n"])
+        starts[row["m"]].append(starts[row["m"]][-1] + row["rows"])
     scored = [m for m, of in enumerate(sizes) if 2 <= len(of) <= sum(of.values()) - 1]
     out: dict[str, float | None] = dict.fromkeys(names)
     if not scored:
@@ -208,15 +263,21 @@ def silhouettes(df: DataFrame, labels: Sequence[str], features: str = "features"
     width = sum(len(sizes[m]) for m in scored)
     place = [F.create_map(*[x for i, c in enumerate(sizes[m]) for x in (F.lit(c), F.lit(i))])[F.col("l")[m]] for m in scored]
     index = F.array(*[F.coalesce(p, F.lit(NOISE)) for p in place])
-    # Written once: a point's id must be the same in all its pairs of blocks.
-    fixed = staged(raw.select(F.monotonically_increasing_id().alias("pid"), index.alias("li"), "x", "w"), "points")
+    fixed = fixed.select("pid", index.alias("li"), "x", "w")
     rows, dims = fixed.agg(F.count("*"), F.max(F.size("x"))).first()
     blocks = block_count(rows, dims, block_bytes)
-    dealt = (fixed.withColumn("b", F.pmod(F.xxhash64("pid"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-             .select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "pid", "li", "x", "w"))
-    # a task's work is its pairs of blocks, not its bytes: one partition for each pair, which Spark does not merge
-    sums = dealt.repartition(blocks * (blocks + 1) // 2, "i", "j").groupBy("i", "j").applyInArrow(_pair_sums(offsets, width), "pid long, sums array<double>")
-    added = sums.groupBy("pid").agg(F.array(*[F.sum(F.col("sums")[c]) for c in range(width)]).alias("sums")).join(fixed.select("pid", "li", "w"), "pid")
+    # a point's place among all: its cluster's span in the column with most clusters, and in that a hash
+    finest = max(range(len(scored)), key=lambda i: len(sizes[scored[i]]))
+    ends, li, share = starts[scored[finest]], F.col("li")[finest], F.pmod(F.xxhash64("pid"), F.lit(1 << 20)) / float(1 << 20)
+    spans = F.array(*[F.struct(F.lit(float(a)).alias("a"), F.lit(float(b - a)).alias("n")) for a, b in zip(ends, [*ends[1:], rows])])
+    span = F.get(spans, F.when(li == NOISE, len(ends) - 1).otherwise(li))
+    place = (span["a"] + share * span["n"]) * float(blocks) / float(rows)
+    packed = fixed.withColumn("b", F.least(place.cast("int"), F.lit(blocks - 1))).groupBy("b").applyInArrow(_pack_block, "b int, n long, x binary, li binary, w binary")
+    dealt = packed.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "n", "x", "li", "w")
+    # a task's work is its pairs of blocks, not its bytes: partitions by the pairs, which Spark does not merge
+    sums = (dealt.repartition(PAIR_PARTITIONS * (blocks * (blocks + 1) // 2), "i", "j").groupBy("i", "j")
+            .applyInArrow(_pair_sums(offsets, width), "b int, c int, sums binary, li binary, w binary"))
+    added = sums.groupBy("b", "c").applyInArrow(_added(len(scored), width), "sums array<double>, li array<int>, w double")
 
     def score(i: int):
         size = F.array(*[F.lit(n) for n in sizes[scored[i]].values()])

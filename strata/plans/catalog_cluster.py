@@ -15,6 +15,7 @@ from ..operators import evaluate as E
 from ..operators.charts import pca_map
 from ..operators.prepare import fit_pca, prepare
 from ..operators.ward import cut_tree, numbered_points, ward_merges
+from ..session import staged
 from .registry import r, register, rounded, tbl
 from .segment import segment, summary_table
 
@@ -28,16 +29,21 @@ def customer_features(spark, sf):
     return c.join(o, c.c_custkey == o.o_custkey, "left").drop("o_custkey")
 
 
+def staged_features(spark, sf):
+    """``customer_features``, written once: many passes read it, and each would aggregate the orders again."""
+    return staged(customer_features(spark, sf), "customers")
+
+
 @register("segment_flagship")
 def segment_flagship(spark, sf):
     """Flagship: rules → prepare → k search → KMeans → quality, on customers + order aggregates."""
-    return summary_table(segment(customer_features(spark, sf)))
+    return summary_table(segment(staged_features(spark, sf)))
 
 
 @register("k_curve")
 def k_curve(spark, sf):
     """M4: k = 2..10, best of 10 restarts each, exact silhouettes."""
-    search = C.search_k(prepare(customer_features(spark, sf).drop("c_custkey", "c_name")).df)
+    search = C.search_k(prepare(staged_features(spark, sf).drop("c_custkey", "c_name")).df)
     return rounded(search.to_df(spark)).withColumn("chosen", F.col("k") == F.lit(search.optimal_k)) \
         .withColumn("elbow", F.col("k") == F.lit(search.elbow_k))
 

@@ -189,3 +189,55 @@ def test_bisecting_fits_on_small_partitions(spark, monkeypatch):
     out = C.bisecting(df, 2)
     assert laid[0].rdd.getNumPartitions() == 5
     assert sorted(r["n"] for r in E.cluster_sizes(out).collect()) == [50, 50]
+
+
+def test_a_pair_of_packed_blocks_takes_each_distance_once(monkeypatch):
+    """Sums of both blocks by every cluster, in few rows; a block with itself takes little over half its distances."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(10)
+    X, w = rng.normal(0, 1, (2600, 3)), rng.integers(1, 4, 2600).astype(float)
+    labels = np.stack([rng.integers(0, 3, 2600), rng.integers(-1, 9, 2600)], axis=1).astype(np.int32)
+    X[5] = X[6]
+
+    def packed(b, at):
+        return E._pack_block(pa.table({"b": pa.array([b] * len(at), pa.int32()), "pid": at, "li": pa.array(list(labels[at])), "x": pa.array(list(X[at])), "w": w[at]}))
+
+    def order(at):
+        return at[np.lexsort((at, labels[at, 1], labels[at, 0]))]
+
+    def sums(rows, against):
+        D = np.sqrt(((X[rows][:, None] - X[against][None]) ** 2).sum(-1)) * w[against]
+        return np.hstack([np.stack([D[:, labels[against, m] == c].sum(axis=1) for c in range(n)], axis=1) for m, n in ((0, 3), (1, 9))])
+
+    def found(table, b):
+        return np.concatenate([np.frombuffer(r["sums"]) for r in table.to_pylist() if r["b"] == b]).reshape(-1, 12)
+
+    taken, root = [], np.sqrt
+    monkeypatch.setattr(E.np, "sqrt", lambda d, out: taken.append(d.size) or root(d, out=out))
+    left, right = np.arange(1400), np.arange(1400, 2600)
+    own, pair = E._pair_sums([0, 3], 12)(packed(0, left)), E._pair_sums([0, 3], 12)(pa.concat_tables([packed(1, right), packed(0, left)]))
+    monkeypatch.undo()
+    assert sum(taken) <= 0.7 * 1400 ** 2 + 1400 * 1200 and own.num_rows == 1 and pair.num_rows == 2
+    assert np.allclose(found(own, 0), sums(order(left), order(left)), atol=1e-5)
+    assert np.allclose(found(pair, 0), sums(order(left), order(right))) and np.allclose(found(pair, 1), sums(order(right), order(left)))
+
+
+def test_equally_near_centres_leave_the_rows_to_the_first():
+    import pyarrow as pa
+
+    x, w = np.array([[0.0, 1.0], [2.0, 1.0], [0.0, 3.0]]), np.array([1.0, 2.0, 4.0])
+    batch = pa.record_batch([pa.array([x.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names=["x", "w"])
+    fits = [np.array([[1.0, 1.0], [1.0, 1.0]]), np.array([[0.0, 1.0], [2.0, 1.0], [0.0, 4.0]])]
+    got = np.frombuffer(next(C._pass(fits)(iter([batch]))).column("part")[0].as_py())
+    assert got[:10].tolist() == [4.0, 15.0, 0.0, 0.0, 0.0, 1.0, 4.0, 2.0, 0.0, 12.0] and got[10:15].tolist() == [7.0, 0.0, 1.0, 2.0, 4.0]
+    assert got[15:] == pytest.approx([1.0 + 2.0 + 4 * 5.0, 4.0])
+
+
+def test_first_centres_come_from_vectors_that_spark_keeps(spark, monkeypatch):
+    """A cached table would be decoded in each pass over it: the fit gets a projection, which Spark keeps for its passes."""
+    rows = C.weighted_rows(spark.createDataFrame([([float(i % 7), float(i)],) for i in range(60)], "features array<double>"))
+    plain = C.KMeans(k=3, seed=5, maxIter=0, featuresCol="__vec", weightCol=C.WEIGHT).fit(rows).clusterCenters()
+    kept, fit = [], C.KMeans.fit
+    monkeypatch.setattr(C.KMeans, "fit", lambda self, df: kept.append(df.storageLevel) or fit(self, df))
+    assert np.allclose(C._first_centres(rows, 3, 5), plain) and not kept[0].useMemory
