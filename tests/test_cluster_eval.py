@@ -241,3 +241,15 @@ def test_first_centres_come_from_vectors_that_spark_keeps(spark, monkeypatch):
     kept, fit = [], C.KMeans.fit
     monkeypatch.setattr(C.KMeans, "fit", lambda self, df: kept.append(df.storageLevel) or fit(self, df))
     assert np.allclose(C._first_centres(rows, 3, 5), plain) and not kept[0].useMemory
+
+
+def test_customer_features_are_written_once(spark, tmp_path):
+    """The passes of the k search and the flagship read written features, not the aggregated orders."""
+    from strata.plans import catalog_cluster as Q
+
+    spark.createDataFrame([(i, f"c{i}", i % 3, i * 10.0, "AB"[i % 2]) for i in range(6)],
+                          "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, i % 5, 1.5 * i) for i in range(20)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    once = Q.staged_features(spark, str(tmp_path))
+    assert all("strata-customers" in f for f in once.inputFiles()) and once.schema == Q.customer_features(spark, str(tmp_path)).schema
+    assert sorted(map(str, once.collect())) == sorted(map(str, Q.customer_features(spark, str(tmp_path)).collect()))
